@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.linededup import apply_bitmaps, line_dedup, n_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.withColumn("n_lines", n_lines("text"))
+    kept = apply_bitmaps(lines, line_dedup(docs), count_col="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +27,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).documents
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.secrets import KINDS, secret_spans
 
