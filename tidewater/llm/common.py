@@ -137,10 +137,10 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     doc = np.repeat(np.arange(len(counts)), sizes)
     out = rolled[offsets[:-1][doc] + np.arange(len(doc)) - at[:-1][doc]]
     for d in np.flatnonzero((counts > 0) & (counts < k)):
-        h = np.uint64(counts[d])
+        h = np.full(1, counts[d], np.uint64)
         for x in hashes[offsets[d] : offsets[d + 1]]:
             h = mix(h * MULT + x)
-        out[at[d]] = h ^ MIX1
+        out[at[d]] = h[0] ^ MIX1
     return out, at
 
 

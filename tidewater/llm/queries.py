@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.jaccard import jaccard_join
+
+    found = jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.classes().select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.linededup import apply_bitmaps, line_dedup, n_lines
 
