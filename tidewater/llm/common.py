@@ -190,3 +190,21 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(docs[text], F.lit(""))
+
+
+def pieces_of(batches, column: int, most: int = 4 << 20):
+    """The batches, cut so that each has at most `most` bytes of text (a longer text is alone): array work takes memory by
+    the bytes at hand."""
+    for batch in batches:
+        at = np.concatenate([[0], np.cumsum(np.asarray(_lengths(batch.column(column))))])
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

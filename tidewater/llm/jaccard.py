@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, bytes_of, components, distinct_sets, set_id, shingles, word_hashes
+from tidewater.llm.common import Scratch, bytes_of, components, distinct_sets, pieces_of, set_id, shingles, word_hashes
 
 #: Bits of the sketch's cells, and counters of a row of it.
 BITS, CHUNK = 18, 4096
@@ -40,7 +40,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         counts = np.zeros(1 << BITS, np.uint32)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         names = ["kind", "doc", "n", "set", "chunk", "counts"]
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             hashes, at = word_sets(batch.column(1), k)
             counts += np.bincount(hashes >> LOW, minlength=1 << BITS).astype(np.uint32)
             n = batch.num_rows
@@ -94,7 +94,7 @@ def prefixes(docs: DataFrame, text_col: str, k: int, percent: int, order: Order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces_of(batches, 0):
             hashes, at = word_sets(batch.column(0), k)
             keys = order.keys(hashes)
             grams, sets, sizes = [np.zeros(0, np.uint64)], [], []
@@ -121,7 +121,7 @@ def fragments_of(docs: DataFrame, text_col: str, k: int, order: Order) -> DataFr
     """(set, n, part, grams) of documents that carry the name of their set: an ascending array per fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             hashes, at = word_sets(batch.column(1), k)
             names = batch.column(0).to_pylist()
             keys = order.keys(hashes)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import MULT, Scratch, bytes_of, mix, partitions, powers
+from tidewater.llm.common import MULT, Scratch, bytes_of, mix, partitions, pieces_of, powers
 from tidewater.llm.suffix import permuted_prefixes, suffix_array
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,7 +64,7 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, k: int, least: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces_of(batches, 1, 8 << 20):
             data, at = bytes_of(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             parts, who = [], []
@@ -172,7 +172,7 @@ def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1, 8 << 20):
             rows = []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 rows += [(w["owner"], w["hot"], doc, w["start"], text[w["start"] : w["start"] + w["windows"] + least - 1]) for w in wanted]
@@ -202,7 +202,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, 1, 8 << 20):
             sizes, gone, removed, kept = [], [], [], []
             for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
