@@ -87,15 +87,18 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, apart: np.ndarray = SPACE, beginnings: int = 0) -> tuple[np.ndarray, ...]:
     """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ of a batch, and the offsets of each document's words.
 
+    apart: the bytes between words, if others. beginnings: a third array has the first so many bytes of each longer word, else 0.
+
     Words are hashed eight bytes at a time, with their length, so that all work is done by whole arrays.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, none[0]) if beginnings else none
+    inside = ~apart[data]
     first, last = inside.copy(), inside.copy()  # a word starts here; a word ends here
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -118,7 +121,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
         hashed[left] = mix((hashed[left] ^ some) * MULT + np.uint64(k + 1))
         k += 1
         left = left[lengths[left] > 8 * k]
-    return hashed, np.searchsorted(starts, offsets)
+    at = np.searchsorted(starts, offsets)
+    if not beginnings:
+        return hashed, at
+    head = np.ascontiguousarray(blocks[starts]).view(np.uint64)[:, 0] & masks[beginnings]
+    return hashed, at, np.where(lengths > beginnings, head, np.uint64(0))
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

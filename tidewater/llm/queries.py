@@ -17,6 +17,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.classes().select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.linededup import apply_bitmaps, line_dedup, n_lines
 
@@ -41,6 +47,14 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("p_junk", 6).alias("p_junk"), F.round("p_toxic", 6).alias("p_toxic"), "is_toxic")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.mixing import mix_sources
 
