@@ -57,28 +57,29 @@ def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35, dtype=x.dtype)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weight: np.ndarray | None = None, rounds: int = 300) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weight: np.ndarray | None = None, rounds: int = 160) -> np.ndarray:
     """Weights, the last one the intercept (not shrunk), by accelerated gradient steps on the mean log loss + l2 / (2 n) * |w|**2."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    n = max(len(x), 1)
-    weight = np.ones(len(x)) if weight is None else weight
-    shrink = np.full(x.shape[1], l2 / n)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    y = y.astype(np.float32)
+    n = np.float32(max(len(x), 1))
+    weight = np.ones(len(x), np.float32) if weight is None else weight.astype(np.float32)
+    shrink = np.full(x.shape[1], l2 / n, np.float32)
     shrink[-1] = 0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(12):  # the largest eigenvalue of the Gram matrix bounds the step
         v = x.T @ (weight * (x @ v)) / n
-        top = np.linalg.norm(v) or 1.0
+        top = np.linalg.norm(v) or np.float32(1)
         v /= top
-    step = 1 / (0.25 * top * 1.1 + l2 / n + 1e-9)
-    w = old = np.zeros(x.shape[1])
+    step = np.float32(1 / (0.25 * top * 1.1 + l2 / n + 1e-9))
+    w = old = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
-        look = w + k / (k + 3) * (w - old)
+        look = w + np.float32(k / (k + 3)) * (w - old)
         grad = x.T @ (weight * (sigmoid(x @ look) - y)) / n + shrink * look
         old, w = w, look - step * grad
-    return w
+    return w.astype(float)
 
 
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class Vocabulary:
     size: int
 
     @staticmethod
-    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int = 1500, least: int = 8) -> Vocabulary:
+    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int = 600, least: int = 8) -> Vocabulary:
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         seen = np.bincount(flat, minlength=1 << BITS).astype(float)
