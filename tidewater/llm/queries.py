@@ -61,6 +61,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.embeddings import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.secrets import KINDS, secret_spans
 
