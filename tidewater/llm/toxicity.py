@@ -83,17 +83,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     return fit_chain(unpacked(sample["ids"], np.int32), stats, np.array(sample["y"].tolist()), list(categories))
 
 
-def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """The rows with p_<category> double and is_<category> boolean per category; all columns stay.
 
     Null texts count as empty. Without a chain (no labels) probabilities are 0 and flags false. Equal rows get equal scores; an empty
-    table gives none. Columns of those names are replaced.
+    table gives none. Columns of those names, after the prefix, are replaced.
     """
     names = tuple(chain.names) if chain else names
-    new = [x for n in names for x in (f"p_{n}", f"is_{n}")]
+    new = [x for n in names for x in (f"{prefix}p_{n}", f"{prefix}is_{n}")]
     docs = docs.drop(*new)
     if chain is None:
-        return docs.withColumns({f"p_{n}": F.lit(0.0) for n in names} | {f"is_{n}": F.lit(False) for n in names})
+        return docs.withColumns({c: F.lit(False) if i % 2 else F.lit(0.0) for i, c in enumerate(new)})
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +108,8 @@ def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_
     return docs.mapInArrow(run, StructType([StructField(f"c{i}", t) for i, t in enumerate(kinds)])).toDF(*docs.columns, *new)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, prefix: str = "") -> DataFrame:
     """Scores all documents on the two categories that the labels table knows: junk (quality 0), then toxic given junk."""
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = train(docs, labels, categories, id_col=id_col, text_col=text_col, most=most)
-    return score(docs, chain, id_col=id_col, text_col=text_col, names=tuple(categories))
+    return score(docs, chain, id_col=id_col, text_col=text_col, names=tuple(categories), prefix=prefix)
