@@ -34,24 +34,30 @@ def word_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """kind 0: (doc, n, set); kind 1: (chunk, counts), what a task counted in the cells of the sketch."""
+    """kind 0: (doc, n, set, bits); kind 1: (chunk, counts), what a task counted in the cells of the sketch.
+
+    bits: 256 bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles as bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.uint32)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["kind", "doc", "n", "set", "chunk", "counts"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        names = ["kind", "doc", "n", "set", "chunk", "counts", "bits"]
         for batch in pieces_of(batches, 1):
             hashes, at = word_sets(batch.column(1), k)
             counts += np.bincount(hashes >> LOW, minlength=1 << BITS).astype(np.uint32)
             n = batch.num_rows
             sets = [set_id(hashes[at[i] : at[i + 1]]) if at[i + 1] > at[i] else None for i in range(n)]
-            rows = [np.zeros(n, np.int32), batch.column(0), np.diff(at), sets, [None] * n, [None] * n]
+            cells = np.repeat(np.arange(n), np.diff(at)) * 256 + (hashes & np.uint64(255)).astype(np.int64)
+            parity = np.bincount(cells, minlength=256 * n).astype(np.uint8) & 1
+            bits = np.packbits(parity).view(np.int64).reshape(n, 4).tolist()
+            rows = [np.zeros(n, np.int32), batch.column(0), np.diff(at), sets, [None] * n, [None] * n, bits]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
         m = (1 << BITS) // CHUNK
-        rows = [[1] * m, [None] * m, [None] * m, [None] * m, range(m), [c.tobytes() for c in counts.reshape(m, CHUNK)]]
+        rows = [[1] * m, [None] * m, [None] * m, [None] * m, range(m), [c.tobytes() for c in counts.reshape(m, CHUNK)], [None] * m]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "kind int, doc long, n long, set long, chunk int, counts binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "kind int, doc long, n long, set long, chunk int, counts binary, bits array<long>")
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +182,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "jaccard")
     described = scratch.put(describe(docs, id_col, text_col, k), "sets")
     sets = described.filter("kind = 0").select("doc", "n", "set")
+    nodes = described.filter("kind = 0 and set is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = scratch.put(nodes, "nodes")
     order = Order.of(described.filter("kind = 1").select("chunk", "counts"), fragments)
     found = scratch.put(prefixes(docs, text_col, k, percent, order), "prefixes")
 
@@ -186,9 +194,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch.drop("prefixes")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, n_a, n_b, common) of the pairs (a, b)."""
+        """(a, b, n_a, n_b, common) of the pairs (a, b) that can be linked. A bound on the overlap by the sets' bits leaves the
+        others out, before any n-grams are sent."""
+        side = lambda s: nodes.select(F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        most = (F.col("n_a") + F.col("n_b") - differ) / 2  # of the overlap
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+        pairs = scratch.put(pairs, f"{name}-pairs")
         wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        docs_of = scratch.put(sets.groupBy("set").agg(F.min("doc").alias("doc")).join(wanted, "set", "left_semi"), f"{name}-docs")
+        docs_of = scratch.put(nodes.select("set", "doc").join(wanted, "set", "left_semi"), f"{name}-docs")
         texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).join(docs_of, "doc").dropDuplicates(["set"])
         parts = scratch.put(fragments_of(texts, text_col, k, order), f"{name}-parts")
         a = parts.select(F.col("set").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("of_a"))
