@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,8 @@ def is_raw_pair(chosen: Column, rejected: Column) -> Column:
     """Whether both strings look like transcripts; looser than the turn pattern, which wants a space after the colon."""
     tests = [F.coalesce(F.contains(c, F.lit(m)), F.lit(False)) for c in (chosen, rejected) for m in ("Human:", "Assistant:")]
     return tests[0] & tests[1] & tests[2] & tests[3]
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.text import has_turn, is_raw_pair, parse_transcript
+from tidewater.functions.text import has_turn, is_raw_pair, let, parse_transcript
 
 #: Why a pair of transcripts is rejected, in the order in which the tests apply.
 REASONS = {
@@ -43,22 +43,26 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first == 0, n).otherwise(F.least(first - 1, n)).cast("int")
 
 
-def with_parsed(df: DataFrame) -> DataFrame:
-    """Adds __raw, __c, __r (parsed turns), __n (shared leading turns) and __error (a key of REASONS, null if valid)."""
-    chosen, rejected = F.col("chosen"), F.col("rejected")
-    df = df.withColumns({"__raw": is_raw_pair(chosen, rejected), "__c": parse_transcript(chosen), "__r": parse_transcript(rejected)})
-    df = df.withColumn("__n", common_prefix(F.col("__c"), F.col("__r")))
-    n, c, r = F.col("__n"), F.size("__c"), F.size("__r")
-    error = F.when(~has_turn(chosen), "E2").when(c == 0, "E3").when(~has_turn(rejected), "E2").when(r == 0, "E3")
-    error = error.when(n == 0, "E4").when((n >= c) | (n >= r), "E5")
-    error = error.when(F.get(F.col("__c"), n - 1)["role"] != "user", "E6").when((c - n != 1) | (r - n != 1), "E7")
-    error = error.when((F.get(F.col("__c"), n)["role"] != "assistant") | (F.get(F.col("__r"), n)["role"] != "assistant"), "E8")
-    return df.withColumn("__error", F.when(F.col("__raw"), error))
+def judged(chosen: Column, rejected: Column) -> Column:
+    """struct<raw, c, r, n, error>: whether both are transcripts, their turns, how many leading turns they share, and a key of
+    REASONS (null if valid)."""
+
+    def of(s: Column) -> Column:
+        n, c, r = s["n"], F.size(s["c"]), F.size(s["r"])
+        error = F.when(~has_turn(chosen), "E2").when(c == 0, "E3").when(~has_turn(rejected), "E2").when(r == 0, "E3")
+        error = error.when(n == 0, "E4").when((n >= c) | (n >= r), "E5")
+        error = error.when(F.get(s["c"], n - 1)["role"] != "user", "E6").when((c - n != 1) | (r - n != 1), "E7")
+        error = error.when((F.get(s["c"], n)["role"] != "assistant") | (F.get(s["r"], n)["role"] != "assistant"), "E8")
+        raw = is_raw_pair(chosen, rejected)
+        return F.struct(raw.alias("raw"), s["c"].alias("c"), s["r"].alias("r"), n.alias("n"), F.when(raw, error).alias("error"))
+
+    turns = F.struct(parse_transcript(chosen).alias("c"), parse_transcript(rejected).alias("r"))
+    return let(let(turns, lambda s: F.struct(s["c"].alias("c"), s["r"].alias("r"), common_prefix(s["c"], s["r"]).alias("n"))), of)
 
 
 def validation_error(df: DataFrame, name: str = "error") -> DataFrame:
     """The rows with why each pair isn't valid; null for valid pairs and for rows that are no transcripts."""
-    return with_parsed(df).withColumn(name, F.col("__error")).drop("__raw", "__c", "__r", "__n", "__error")
+    return df.withColumn(name, judged(F.col("chosen"), F.col("rejected"))["error"])
 
 
 def error_histogram(df: DataFrame) -> DataFrame:
@@ -69,12 +73,19 @@ def error_histogram(df: DataFrame) -> DataFrame:
 
 
 def canonical_pairs(df: DataFrame) -> DataFrame:
-    """Valid transcript pairs as dialogues prompt, chosen and rejected; other columns stay. Rows that are no transcripts
-    have a prompt of null turns left out, and a single string turn per side: canonical pairs have one schema."""
-    parsed = with_parsed(df).filter("__error is null and __raw")
-    n = F.col("__n")
-    out = {"prompt": F.slice("__c", F.lit(1), n), "chosen": F.slice("__c", n + 1, F.lit(1)), "rejected": F.slice("__r", n + 1, F.lit(1))}
-    return parsed.withColumns(out).drop("__raw", "__c", "__r", "__n", "__error")
+    """Valid transcript pairs as dialogues prompt, chosen and rejected; other columns stay. Strings that are no transcripts
+    have no canonical form and go."""
+
+    def of(j: Column) -> Column:
+        part = lambda c, start, size: F.slice(j[c], start, size)
+        fine = j["raw"] & j["error"].isNull()
+        pair = F.struct(part("c", F.lit(1), j["n"]).alias("prompt"), part("c", j["n"] + 1, F.lit(1)).alias("chosen"), part("r", j["n"] + 1, F.lit(1)).alias("rejected"))
+        return F.when(fine, pair)
+
+    made = df.withColumn("__pair", let(judged(F.col("chosen"), F.col("rejected")), of))
+    # null arrays explode to no row, so the pair is computed once and no filter is pushed below it
+    kept = made.select("*", F.explode(F.array_compact(F.array("__pair"))).alias("__p"))
+    return kept.withColumns({c: F.col(f"__p.{c}") for c in ("prompt", "chosen", "rejected")}).drop("__pair", "__p")
 
 
 def normalise(df: DataFrame) -> DataFrame:

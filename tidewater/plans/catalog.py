@@ -2,10 +2,409 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import losses as L
+from tidewater.functions import scoring as S
+from tidewater.functions import template as T
+from tidewater.operators import decontaminate as D
+from tidewater.operators import mixing as M
+from tidewater.operators import pairs as P
+from tidewater.operators import stats as G
+from tidewater.operators import tokenise as K
+from tidewater.operators.render import apply_template
+from tidewater.plans import inputs as I
+from tidewater.sources.cache import fingerprint
+from tidewater.sources.catalog import Catalog, non_empty_column
+
+joined = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), " || ")
+r6 = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
+SQL_JOINED = "array_to_string(list_transform({}, lambda m: m.role || ':' || m.content), ' || ')"
+LS = "(least({0}, 0) - ln(1 + exp(-abs({0}))))"
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        Q[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql.replace(", 6) AS ", ", 6) + 0 AS ")  # no negative zeros
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts to canonical pairs, rendered, decontaminated, and summed up by split."""
+    pairs = apply_template(P.canonical_pairs(I.raw_pairs(spark, d)), T.chatml(), "dpo")
+    clean = D.decontaminate(P.rename_rendered(pairs), I.table(spark, d, "benchmark"), text_col="chosen")
+    split = F.when(F.col("row_id") % 10 == 0, "test").otherwise("train").alias("split")
+    return clean.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("prompt_chars"), F.sum(F.length("chosen")).alias("chosen_chars"))
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT row_id, i AS pos, c[i].role AS role, c[i].content AS content FROM (SELECT row_id, c, unnest(range(1, len(c) + 1)) AS i FROM parsed)")
+def hh_parse_turns(spark, d):
+    from tidewater.functions.text import parse_transcript
+
+    rows = I.raw_pairs(spark, d).select("row_id", F.posexplode(parse_transcript(F.col("chosen"))).alias("pos", "m"))
+    return rows.select("row_id", (F.col("pos") + 1).cast("long").alias("pos"), "m.role", "m.content")
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT error, count(*) AS n FROM judged WHERE error IS NOT NULL GROUP BY error")
+def hh_error_histogram(spark, d):
+    return P.error_histogram(I.raw_pairs(spark, d)).select("error", "n")
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT row_id, {SQL_JOINED.format('c[1:n]')} AS prompt, c[n + 1].content AS chosen, r[n + 1].content AS rejected FROM judged WHERE error IS NULL")
+def hh_canonical_pairs(spark, d):
+    pairs = P.canonical_pairs(I.raw_pairs(spark, d))
+    return pairs.select("row_id", joined("prompt").alias("prompt"), F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"))
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT row_id, {SQL_JOINED.format('c')} AS messages FROM parsed WHERE len(list_filter(c, lambda m: m.role = 'user')) > 0")
+def sft_messages(spark, d):
+    return P.to_messages(I.raw_pairs(spark, d)).select("row_id", joined("messages").alias("messages"))
+
+
+@query(f"WITH {I.SQL_TURNS} SELECT row_id, {SQL_JOINED.format('messages[1:len(messages) - 1]')} AS prompt, messages[-1].content AS chosen FROM dialogues")
+def dpo_prompt_split(spark, d):
+    rows = I.dialogues(spark, d).withColumnRenamed("messages", "chosen").withColumn("rejected", F.col("chosen"))
+    return P.derive_prompt(rows).select("row_id", joined("prompt").alias("prompt"), F.col("chosen")[0]["content"].alias("chosen"))
+
+
+def _render(name: str, template: T.Template, message: str, system: str, task: str = "sft", tail: str = "''") -> None:
+    body = f"array_to_string(list_transform(range(1, len(messages) + 1), lambda i: {message}), '')"
+    query(f"WITH {I.SQL_TURNS} SELECT row_id, {system} || {body} || {tail} AS text FROM dialogues", name)(lambda spark, d: apply_template(I.dialogues(spark, d), template, task).select("row_id", "text"))
+
+
+_render("chat_render_default", T.default_template(), "'<|' || messages[i].role || '|>' || chr(10) || messages[i].content || '</s>' || chr(10)", "'<|system|>' || chr(10) || '</s>' || chr(10)")
+_render("chat_render_chatml", T.chatml(), "'<|im_start|>' || messages[i].role || chr(10) || messages[i].content || '<|im_end|>' || chr(10)", "'<|im_start|>system' || chr(10) || '<|im_end|>' || chr(10)")
+_render("chat_render_header", T.header(), f"'<|start_header_id|>' || messages[i].role || '<|end_header_id|>' || chr(10) || chr(10) || {I.sql_strip('messages[i].content')} || '<|eot_id|>'", "'<|begin_of_text|>'")
+_render("chat_render_inst", T.inst(), "CASE WHEN messages[i].role = 'assistant' THEN messages[i].content || '</s>' ELSE '[INST] ' || messages[i].content || ' [/INST]' END", "'<s>'")
+_render("chat_render_generation", T.chatml(), "'<|im_start|>' || messages[i].role || chr(10) || messages[i].content || '<|im_end|>' || chr(10)", "'<|im_start|>system' || chr(10) || '<|im_end|>' || chr(10)", "generation", "'<|im_start|>assistant' || chr(10)")
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT row_id, '<|begin_of_text|>' || array_to_string(list_transform(c[1:n], lambda m: '<|start_header_id|>' || m.role || '<|end_header_id|>' || chr(10) || chr(10) || m.content || '<|eot_id|>'), '') AS prompt, '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || r[n + 1].content || '<|eot_id|>' AS rejected FROM judged WHERE error IS NULL")
+def chat_render_preference(spark, d):
+    pairs = apply_template(P.canonical_pairs(I.raw_pairs(spark, d)), T.header(), "dpo", strip_response_bos=True)
+    return P.rename_rendered(pairs).select("row_id", "prompt", "rejected")
+
+
+@query(f"WITH {I.SQL_TURNS} SELECT row_id, {SQL_JOINED.format('messages')} AS chosen, {SQL_JOINED.format('messages[1:1]')} AS rejected FROM dialogues")
+def chat_render_rm(spark, d):
+    rows = I.dialogues(spark, d).select("row_id", F.col("messages").alias("chosen"), F.slice("messages", 1, 1).alias("rejected"))
+    plain = T.Template("plain", lambda m, i: F.concat(F.when(i > 0, " || ").otherwise(""), m["role"], F.lit(":"), m["content"]))
+    return apply_template(rows, plain, "rm").select("row_id", F.col("text_chosen").alias("chosen"), F.col("text_rejected").alias("rejected"))
+
+
+@query("SELECT o_orderkey AS pair_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders QUALIFY row_id < floor(CAST(0.29 AS DOUBLE) * (SELECT count(*) FROM orders))")
+def mix_prefix_sample(spark, d):
+    rows = Catalog.numbered(I.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id")), ["pair_id"])
+    return M.prefix_sample(rows, 0.29).select("pair_id", "row_id")
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT 'orders' AS source FROM orders UNION ALL SELECT 'customer' FROM customer) GROUP BY source")
+def mix_concat_counts(spark, d):
+    a = I.table(spark, d, "orders").select(F.lit("orders").alias("source"))
+    b = I.table(spark, d, "customer").select(F.lit("customer").alias("source"))
+    return a.unionByName(b).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5('42:' || doc_id) AS shuffle_key FROM documents")
+def hash_shuffle_key(spark, d):
+    return I.table(spark, d, "documents").select("doc_id", M.shuffle_key("doc_id").alias("shuffle_key"))
+
+
+@query()
+def inspection_sample(spark, d):
+    rows = Catalog.numbered(I.table(spark, d, "documents").select("doc_id"), ["doc_id"])
+    return M.k_sample(rows, 5, 42)
+
+
+@query("SELECT row_id, chosen, rejected, chosen AS prompt FROM (SELECT doc_id AS row_id, lang AS chosen, source AS rejected FROM documents)")
+def column_keep(spark, d):
+    rows = I.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("chosen"), F.col("source").alias("rejected"), F.col("lang").alias("prompt"), "n_chars")
+    return P.keep_columns(rows, ["row_id", "prompt"])
+
+
+@query(f"SELECT {I.sql_strip('text')} AS text FROM benchmark WHERE length({I.sql_strip('text')}) > 0")
+def column_scan(spark, d):
+    return non_empty_column(I.table(spark, d, "benchmark"), "text")
+
+
+HELD = f"WITH p AS (SELECT DISTINCT {I.sql_squash('lower(text)')} AS pattern FROM benchmark), d AS (SELECT doc_id, {I.sql_squash('lower(text)')} AS t FROM documents), h AS (SELECT doc_id, coalesce((SELECT bool_or(contains(t, pattern)) FROM p WHERE length(pattern) > 0), false) AS held FROM d)"
+
+
+@query(f"{HELD} SELECT doc_id FROM h WHERE NOT held")
+def decontam_keep(spark, d):
+    return D.decontaminate(I.table(spark, d, "documents"), I.table(spark, d, "benchmark"), id_col="doc_id").select("doc_id")
+
+
+@query(f"{HELD} SELECT count(*) AS n, sum(held::INT)::BIGINT AS n_dropped FROM h")
+def decontam_rate(spark, d):
+    docs = I.table(spark, d, "documents")
+    ids = D.contaminated_ids(docs, I.table(spark, d, "benchmark"), id_col="doc_id").withColumn("held", F.lit(1))
+    return docs.select("doc_id").join(ids, "doc_id", "left").agg(F.count("*").alias("n"), F.count("held").alias("n_dropped"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS docstring FROM documents")
+def docstring_extract(spark, d):
+    q = '"""'
+    prompt = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(f"def f(): {q}"), "lang", F.lit(q))).otherwise(F.concat(F.lit(f"def f(): {q}"), "lang", F.lit(f"{q} def g(): {q}"), "source", F.lit(q)))
+    return I.table(spark, d, "documents").select("doc_id", D.docstring(prompt).alias("docstring"))
+
+
+IDS = "list_transform(string_split({}, ''), lambda x: unicode(x))"
+TOKENS = f"""WITH {I.SQL_PARSED},
+texts AS (SELECT row_id, {SQL_JOINED.format('c[1:n]')} || ' || ' AS prompt, c[n + 1].content AS chosen, r[n + 1].content AS rejected FROM judged WHERE error IS NULL),
+ids AS (SELECT row_id, {IDS.format('prompt')} AS p, list_append({IDS.format('chosen')}, 999) AS a, list_append({IDS.format('rejected')}, 999) AS b FROM texts),
+cut AS (SELECT row_id, greatest(len(a), len(b)) AS longer, CASE WHEN len(p) + greatest(len(a), len(b)) > 200 THEN {{cut}} ELSE p END AS p, a, b FROM ids),
+done AS (SELECT row_id, p, CASE WHEN len(p) + longer > 200 THEN a[1:136] ELSE a END AS a, CASE WHEN len(p) + longer > 200 THEN b[1:136] ELSE b END AS b FROM cut)
+SELECT row_id, len(p) AS n_prompt, array_to_string(list_concat(p, a), ',') AS chosen_ids, array_to_string(list_concat(list_transform(p, lambda x: -100), b), ',') AS rejected_labels FROM done"""
+
+
+def _texts(spark, d):
+    pairs = P.canonical_pairs(I.raw_pairs(spark, d))
+    return pairs.select("row_id", F.concat(joined("prompt"), F.lit(" || ")).alias("prompt"), F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"))
+
+
+def _tokens(mode: str):
+    def run(spark, d):
+        rows = K.tokenise_pairs(_texts(spark, d), K.char_tokenizer(), max_length=200, max_prompt_length=64, truncation=mode)
+        return rows.select("row_id", F.size("prompt_input_ids").cast("long").alias("n_prompt"), F.array_join("chosen_input_ids", ",").alias("chosen_ids"), F.array_join("rejected_labels", ",").alias("rejected_labels"))
+
+    return run
+
+
+query(TOKENS.replace("{cut}", "p[1:64]"), "truncate_keep_start")(_tokens("keep_start"))
+query(TOKENS.replace("{cut}", "p[greatest(len(p) - 64, 0) + 1:len(p)]"), "truncate_keep_end")(_tokens("keep_end"))
+
+
+@query(f"""WITH {I.SQL_PARSED}, s AS (SELECT row_id, row_id // 4 AS batch, length({SQL_JOINED.format('c[1:n]')}) + 4 AS p, length(c[n + 1].content) + 1 AS a, length(r[n + 1].content) + 1 AS b FROM judged WHERE error IS NULL)
+SELECT batch, count(*) * 2 AS n_rows, max(p + greatest(a, b)) AS padded, sum(2 * p + a + b)::BIGINT AS n_real FROM s GROUP BY batch""")
+def pad_batch_lengths(spark, d):
+    rows = K.tokenise_pairs(_texts(spark, d), K.char_tokenizer(), max_length=1 << 30).withColumn("batch", F.expr("row_id div 4"))
+    padded = K.pad_batches(rows, "batch", "row_id")
+    ones = F.size(F.filter("attention_mask", lambda x: x == 1))
+    return padded.groupBy("batch").agg(F.count("*").alias("n_rows"), F.max(F.size("input_ids")).cast("long").alias("padded"), F.sum(ones).cast("long").alias("n_real"))
+
+
+@query(f"WITH {I.SQL_SEQUENCES} SELECT vec_id, round(x[label + 1] - (list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x)))))), 6) AS logp FROM rows JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)")
+def token_logprob(spark, d):
+    rows = I.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
+    return rows.select("vec_id", r6(S.token_logp(F.col("x"), F.col("label")), "logp"))
+
+
+def _sequence(average: bool):
+    return lambda spark, d: I.sequences(spark, d).select("seq", r6(S.sequence_logp(F.col("logits"), F.col("labels"), average=average), "logp"))
+
+
+ALL_SEQ = f"WITH {I.SQL_SEQUENCES} SELECT seq, round(coalesce({{}}(logp), 0), 6) AS logp FROM (SELECT DISTINCT seq FROM rows) LEFT JOIN logps USING (seq) GROUP BY seq"
+query(ALL_SEQ.format("sum"), "sequence_logprob_sum")(_sequence(False))
+query(ALL_SEQ.format("avg"), "sequence_logprob_mean")(_sequence(True))
+
+
+@query("WITH v AS (SELECT CASE event_id % 10 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE ELSE value END AS v FROM events) SELECT count(*) FILTER (WHERE isnan(v)) AS n_nan, count(*) FILTER (WHERE v = 'inf'::DOUBLE) AS n_pos_inf, count(*) FILTER (WHERE v = '-inf'::DOUBLE) AS n_neg_inf, count(*) AS n_total FROM v")
+def nonfinite_census(spark, d):
+    v = F.col("value")
+    for k, x in ((1, "nan"), (2, "inf"), (3, "-inf")):
+        v = F.when(F.col("event_id") % 10 == k, F.lit(float(x))).otherwise(v)
+    return G.census(I.table(spark, d, "events").select(v.alias("v")), "v")
+
+
+def _cols():
+    return F.col("c"), F.col("r"), F.col("rc"), F.col("rr")
+
+
+def _smooth(x: str, s: float) -> str:
+    return f"(-{LS.format(f'({x})')} * {1 - s} - {LS.format(f'(-({x}))')} * {s})"
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT pair_id, round({_smooth('2.0 * (c - r - 0.5)', 0.1)}, 6) AS loss, round(2.0 * c, 6) AS chosen_reward FROM scored")
+def loss_simpo_sigmoid(spark, d):
+    out = L.simpo(F.col("c"), F.col("r"), smoothing=0.1)
+    return I.scored(spark, d).select("pair_id", r6(out["loss"], "loss"), r6(out["chosen_reward"], "chosen_reward"))
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT pair_id, round(greatest(0, 1 - 2.0 * (c - r - 0.5)), 6) AS loss FROM scored")
+def loss_simpo_hinge(spark, d):
+    return I.scored(spark, d).select("pair_id", r6(L.simpo(F.col("c"), F.col("r"), kind="hinge")["loss"], "loss"))
+
+
+def _margin(divergence: str, project: str) -> None:
+    x = f"0.1 * ({project.format('(c - rc)')} - {project.format('(r - rr)')})"
+
+    def run(spark, d):
+        out = L.margin_dpo(*_cols(), divergence=divergence)
+        return I.scored(spark, d).select("pair_id", r6(out["loss"], "loss"), r6(out["margin"], "margin"))
+
+    query(f"WITH {I.SQL_SCORED} SELECT pair_id, round(-{LS.format(f'({x})')}, 6) AS loss, round((c - r) - (rc - rr), 6) AS margin FROM scored", f"loss_margin_{divergence}")(run)
+
+
+_margin("reverse_kl", "{0}")
+_margin("forward_kl", "(-exp(-{0}))")
+_margin("js_divergence", LS)
+_margin("alpha_divergence", "(exp(least(-0.5 * {0}, 80)) / -0.5)")
+
+STEPS = f"WITH RECURSIVE {I.SQL_SCORED}, g AS (SELECT *, (c - r) - (rc - rr) AS gap, microbatch // 4 + 1 AS step FROM scored)"
+
+
+def _gaps(spark, d):
+    c, r, rc, rr = _cols()
+    return G.by_step(I.scored(spark, d).withColumn("gap", (c - r) - (rc - rr)), accumulation=4)
+
+
+@query(f"{STEPS} SELECT step, count(*) AS batch_size, round(avg(gap), 6) AS mean, round(stddev_pop(gap), 6) AS std, round(min(gap), 6) AS min, round(quantile_cont(gap, 0.1), 6) AS p10, round(quantile_cont(gap, 0.5), 6) AS median, round(quantile_cont(gap, 0.9), 6) AS p90, round(max(gap), 6) AS max, round(avg((gap > 0)::INT), 6) AS pos_frac FROM g WHERE step % 2 = 0 GROUP BY step")
+def margin_summary_by_step(spark, d):
+    rows = G.margin_summary(_gaps(spark, d), "gap", log_steps=2)
+    return rows.select("step", "batch_size", *[r6(F.col(c), c) for c in rows.columns[2:]])
+
+
+def _ema(decay: float, std: str, first: str) -> str:
+    b = f"b AS (SELECT step, avg(gap) AS mean, {std}(gap) AS std FROM g GROUP BY step)"
+    n = "n AS (SELECT row_number() OVER (ORDER BY step) AS i, * FROM b)"
+    start = "SELECT i, step, mean AS m, std AS s FROM n WHERE i = 1" if not first else f"SELECT i, step, {decay} * {first.split(',')[0]} + (1 - {decay}::DOUBLE) * mean, {decay} * {first.split(',')[1]} + (1 - {decay}::DOUBLE) * std FROM n WHERE i = 1"
+    e = f"e(i, step, m, s) AS ({start} UNION ALL SELECT n.i, n.step, {decay}::DOUBLE * m + (1 - {decay}::DOUBLE) * mean, {decay}::DOUBLE * s + (1 - {decay}::DOUBLE) * std FROM e JOIN n ON n.i = e.i + 1)"
+    return f"{STEPS}, {b}, {n}, {e}"
+
+
+BETA = _ema(0.9, "stddev_pop", "0.0,1.0")
+ALPHA = _ema(0.9, "stddev_samp", "")
+
+
+@query(f"{BETA} SELECT step, round(m, 6) AS mean, round(s, 6) AS std FROM e")
+def beta_ema(spark, d):
+    state = G.running(G.batch_stats(_gaps(spark, d), "gap"), 0.9)
+    return state.select("step", r6(F.col("mean"), "mean"), r6(F.col("std"), "std"))
+
+
+@query(f"{ALPHA} SELECT step, round(m, 6) AS mean, round(s, 6) AS std FROM e")
+def alpha_ema(spark, d):
+    state = G.running(G.batch_stats(_gaps(spark, d), "gap", sample_std=True), 0.9, first=None)
+    return state.select("step", r6(F.col("mean"), "mean"), r6(F.col("std"), "std"))
+
+
+@query(f"{ALPHA} SELECT pair_id, round({_smooth('2.0 * ((c - r) - (0.1 * (gap - m) / greatest(s, 1e-8) + 0.5))', 0.0)}, 6) AS loss, round(2.0 * (c - 0.1 * (c - rc)), 6) AS chosen_reward FROM g JOIN e USING (step)")
+def loss_alpha(spark, d):
+    rows = _gaps(spark, d)
+    state = G.running(G.batch_stats(rows, "gap", sample_std=True), 0.9, first=None)
+    out = L.alpha_dpo(*_cols(), F.col("mean"), F.col("std"))
+    return rows.join(state, "step").select("pair_id", r6(out["loss"], "loss"), r6(out["chosen_reward"], "chosen_reward"))
+
+
+@query(f"{BETA} SELECT step, round(greatest(0.1 * (1 + 0.6 * (avg(gap) - any_value(m))), 0.001), 6) AS beta_used FROM g JOIN e USING (step) GROUP BY step")
+def beta_adaptive(spark, d):
+    rows = _gaps(spark, d)
+    state = G.running(G.batch_stats(rows, "gap"), 0.9)
+    used = rows.groupBy("step").agg(F.avg("gap").alias("kept_mean")).join(state, "step")
+    return used.select("step", r6(L.adaptive_beta(F.col("kept_mean"), F.col("mean")), "beta_used"))
+
+
+@query(f"{BETA}, u AS (SELECT step, greatest(0.1 * (1 + 0.6 * (avg(gap) - any_value(m))), 0.001) AS beta_used FROM g JOIN e USING (step) GROUP BY step) SELECT step, round(sum(-{LS.format('(beta_used * gap)')}) / greatest(count(*), 1), 6) AS loss FROM g JOIN u USING (step) GROUP BY step")
+def beta_loss(spark, d):
+    rows = _gaps(spark, d)
+    state = G.running(G.batch_stats(rows, "gap"), 0.9)
+    used = rows.groupBy("step").agg(F.avg("gap").alias("kept_mean")).join(state, "step").select("step", L.adaptive_beta(F.col("kept_mean"), F.col("mean")).alias("b"))
+    loss = G.masked_mean(-S.log_sigmoid(F.col("b") * F.col("gap")), F.lit(True))
+    return rows.join(used, "step").groupBy("step").agg(r6(loss, "loss"))
+
+
+@query(f"{BETA} SELECT step, count(*) AS n, greatest(1, floor(count(*) * 0.8::DOUBLE))::BIGINT AS n_kept FROM g GROUP BY step")
+def beta_keep_counts(spark, d):
+    rows = _gaps(spark, d)
+    state = G.running(G.batch_stats(rows, "gap"), 0.9)
+    rows = rows.join(state, "step").withColumn("w", L.gap_weight(F.col("gap"), F.col("mean"), F.col("std")))
+    kept = M.weighted_sample(rows, "w", 0.8, keys=("step",), row_id="pair_id")
+    return kept.groupBy("step").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+
+
+SIGN = "CASE WHEN c > r AND r > rc THEN 1 WHEN rc > r AND r > c THEN -1 ELSE 0 END"
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT pair_id, {SIGN} AS step FROM scored")
+def epsilon_steps(spark, d):
+    return I.scored(spark, d).select("pair_id", S.step_of(F.col("c"), F.col("r"), F.col("rc")).alias("step"))
+
+
+@query(f"WITH {I.SQL_SCORED}, s AS (SELECT *, {SIGN} AS k FROM scored) SELECT pair_id, round(-{LS.format('(0.3 / (1 + 0.2 * k) * ((c - r) - (rc - rr)))')}, 6) AS loss, round(0.3 / (1 + 0.2 * k) * (c - rc), 6) AS chosen_reward FROM s")
+def loss_epsilon(spark, d):
+    out = L.epsilon_dpo(*_cols(), S.step_of(F.col("c"), F.col("r"), F.col("rc")), beta=0.3, eps=0.2, smoothing=0.1)
+    return I.scored(spark, d).select("pair_id", r6(out["loss"], "loss"), r6(out["chosen_reward"], "chosen_reward"))
+
+
+PATH = f"""WITH RECURSIVE {I.SQL_SCORED}, m AS (SELECT microbatch, avg({SIGN}) AS k FROM scored GROUP BY microbatch),
+b AS (SELECT microbatch // 4 + 1 AS step, sum(k) / 4 AS k FROM m GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY step) AS i, * FROM b),
+e(i, step, beta, k) AS (SELECT i, step, 0.1::DOUBLE, k FROM n WHERE i = 1 UNION ALL SELECT n.i, n.step, beta / (1 + e.k * 0.01::DOUBLE), n.k FROM e JOIN n ON n.i = e.i + 1)"""
+
+
+@query(f"{PATH} SELECT step, round(beta, 6) AS beta, round(k, 6) AS mean_steps FROM e")
+def epsilon_beta_path(spark, d):
+    rows = I.scored(spark, d).groupBy("microbatch").agg(F.avg(S.step_of(F.col("c"), F.col("r"), F.col("rc"))).alias("k"))
+    steps = G.by_step(rows, accumulation=4).groupBy("step").agg((F.sum("k") / 4).alias("mean_steps"))
+    path = G.beta_path(steps, 0.1, 0.01)
+    return path.select("step", r6(F.col("beta"), "beta"), r6(F.col("mean_steps"), "mean_steps"))
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT round(avg((c > r)::INT), 6) AS accuracy, round(avg(({SIGN} = 1)::INT), 6) AS up, round(avg(({SIGN} = -1)::INT), 6) AS down FROM scored")
+def reward_accuracy(spark, d):
+    step = S.step_of(F.col("c"), F.col("r"), F.col("rc"))
+    return I.scored(spark, d).agg(r6(L.accuracy(F.col("c"), F.col("r")), "accuracy"), r6(F.avg((step == 1).cast("double")), "up"), r6(F.avg((step == -1).cast("double")), "down"))
+
+
+@query(f"WITH {I.SQL_SCORED}, m AS (SELECT microbatch, avg(c) AS c, avg(r) AS r FROM scored GROUP BY microbatch) SELECT round(avg(c), 6) AS c, round(avg(r), 6) AS r FROM m")
+def metric_mean_of_means(spark, d):
+    rows = G.mean_of_means(I.scored(spark, d), [], "microbatch", ["c", "r"])
+    return rows.select(r6(F.col("c"), "c"), r6(F.col("r"), "r"))
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT pair_id, round(c, 6) AS c, round(rc, 6) AS rc, round(rr, 6) AS rr FROM scored")
+def ref_logp_attach(spark, d):
+    rows = I.scored(spark, d)
+    out = G.attach_reference(rows.select("pair_id", "c"), rows.select("pair_id", "rc", "rr"))
+    return out.select("pair_id", *[r6(F.col(c), c) for c in ("c", "rc", "rr")])
+
+
+def _vectors(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return I.table(spark, d, "embeddings").select("vec_id", "label", x.alias("p"), F.reverse(x).alias("q"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS p FROM embeddings),
+w AS (SELECT vec_id, label, list_transform(range(1, len(p) + 1), lambda i: 1.1::DOUBLE * p[i] - 0.1::DOUBLE * p[len(p) + 1 - i]) AS a, list_transform(range(1, len(p) + 1), lambda i: 0.9::DOUBLE * p[i] + 0.1::DOUBLE * p[len(p) + 1 - i]) AS b FROM v)
+SELECT vec_id, round(a[label + 1] - ln(list_sum(list_transform(a, lambda x: exp(x)))), 6) AS up, round(b[label + 1] - ln(list_sum(list_transform(b, lambda x: exp(x)))), 6) AS down FROM w""")
+def epsilon_perturbation(spark, d):
+    up, down = S.perturbed(F.col("p"), F.col("q"), 0.1)
+    rows = _vectors(spark, d).withColumns({"a": up, "b": down})
+    return rows.select("vec_id", r6(S.token_logp(F.col("a"), F.col("label")), "up"), r6(S.token_logp(F.col("b"), F.col("label")), "down"))
+
+
+@query(f"WITH {I.SQL_SEQUENCES} SELECT seq, round(coalesce(-avg(logp), 0), 6) AS loss FROM (SELECT DISTINCT seq FROM rows) LEFT JOIN (SELECT * FROM logps WHERE y <> 0) USING (seq) GROUP BY seq")
+def rpo_cross_entropy(spark, d):
+    loss = S.cross_entropy(F.col("logits"), F.col("labels"))
+    return I.sequences(spark, d).select("seq", r6(F.when(F.isnan(loss), 0.0).otherwise(loss), "loss"))
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT 'c' AS name, count(*) AS n, 0::BIGINT AS n_far FROM scored")
+def compare_vectors(spark, d):
+    rows = I.scored(spark, d)
+    return G.compare(rows, rows.withColumn("c", F.col("c") + 1e-9), "pair_id", ["c"])
+
+
+@query()
+def cache_fingerprint(spark, d):
+    return spark.createDataFrame([(name, str(fingerprint(I.table(spark, d, name)))) for name in ("documents", "conversations")], "name string, fingerprint string")
+
+
+@query()
+def flagship_summary(spark, d):
+    return flagship(spark, d)
