@@ -56,12 +56,12 @@ def encoded(df: DataFrame, texts: dict[str, Column], spec: TokenizerSpec) -> Dat
     if spec.encode is not None:
         return df.withColumns({n: spec.encode(c) for n, c in texts.items()})
     base, at = df.withColumns(texts), len(df.columns)
-    kept = list(df.columns)
+    kept, names, python = list(df.columns), list(texts), spec.python
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [pa.array(spec.python([t or "" for t in batch.column(at + i).to_pylist()]), pa.list_(pa.int32())) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=[*kept, *texts])
+            new = [pa.array(python([t or "" for t in batch.column(at + i).to_pylist()]), pa.list_(pa.int32())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=[*kept, *names])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
