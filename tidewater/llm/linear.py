@@ -11,7 +11,7 @@ import pyarrow as pa
 from tidewater.llm.common import MULT, bytes_of, mix, word_hashes
 
 #: Bits of a feature's hash.
-BITS = 20
+BITS = 26
 #: Words of the classifiers end at any ASCII byte that is no letter or digit; other bytes belong to words.
 APART = np.ones(256, bool)
 APART[128:] = False
@@ -41,7 +41,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def pairs(docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature), by text."""
-    both = np.unique(docs.astype(np.int64) << BITS | ids)
+    both = np.unique(docs.astype(np.int64) << BITS | ids.astype(np.int64))
     return both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
 
 
@@ -60,26 +60,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35, dtype=x.dtype)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, weight: np.ndarray | None = None, rounds: int = 160) -> np.ndarray:
-    """Weights, the last one the intercept (not shrunk), by accelerated gradient steps on the mean log loss + l2 / (2 n) * |w|**2."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 12) -> np.ndarray:
+    """Weights, the last one the intercept, by Newton steps on the log loss + l2 / 2 * |w|**2 (the intercept hardly shrinks)."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    y = y.astype(np.float32)
-    n = np.float32(max(len(x), 1))
-    weight = np.ones(len(x), np.float32) if weight is None else weight.astype(np.float32)
-    shrink = np.full(x.shape[1], l2 / n, np.float32)
-    shrink[-1] = 0
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(12):  # the largest eigenvalue of the Gram matrix bounds the step
-        v = x.T @ (weight * (x @ v)) / n
-        top = np.linalg.norm(v) or np.float32(1)
-        v /= top
-    step = np.float32(1 / (0.25 * top * 1.1 + l2 / n + 1e-9))
-    w = old = np.zeros(x.shape[1], np.float32)
-    for k in range(rounds):
-        look = w + np.float32(k / (k + 3)) * (w - old)
-        grad = x.T @ (weight * (sigmoid(x @ look) - y)) / n + shrink * look
-        old, w = w, look - step * grad
-    return w.astype(float)
+    shrink = np.full(x.shape[1], l2)
+    shrink[-1] = 1e-3
+    w = np.zeros(x.shape[1])
+    loss = np.inf
+    step = w
+    for _ in range(rounds):
+        z = (x @ w.astype(np.float32)).astype(float)
+        now = float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * shrink @ (w * w))
+        if now > loss + 1e-9:  # too long a step
+            step = step / 2
+            w = w - step
+            continue
+        if loss - now < 1e-5 * max(1.0, now):
+            break
+        loss = now
+        p = sigmoid(z)
+        grad = x.T @ (p - y).astype(np.float32) + shrink * w
+        curved = x * np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None]
+        step = -np.linalg.solve((curved.T @ curved).astype(float) + np.diag(shrink), grad)
+        w = w + step
+    return w
 
 
 def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -90,38 +94,44 @@ def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """The features a linear model reads: the ones most associated with a label, by chi-squared, in at least `least` texts."""
 
-    column: np.ndarray  # of each hashed feature, -1 for those not read
+    chosen: np.ndarray  # ascending
     size: int
 
     @staticmethod
-    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int = 600, least: int = 8) -> Vocabulary:
+    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int = 300, least: int = 8) -> Vocabulary:
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        seen = np.bincount(flat, minlength=1 << BITS).astype(float)
-        best = np.zeros(1 << BITS)
+        names, flat = np.unique(flat, return_inverse=True)
+        seen = np.bincount(flat, minlength=len(names)).astype(float)
+        best = np.zeros(len(names))
         n = max(len(lists), 1)
         for y in labels:
-            with_y = np.bincount(flat, weights=y[doc].astype(float), minlength=1 << BITS)
+            with_y = np.bincount(flat, weights=y[doc].astype(float), minlength=len(names))
             rate = y.mean() if len(y) else 0
             gap = (with_y - seen * rate) ** 2 / np.maximum(seen * rate * (1 - rate) * (1 - seen / n), 1e-9)
             best = np.maximum(best, np.where((seen >= least) & (seen < n), gap, 0))
-        chosen = np.sort(np.argsort(-best, kind="stable")[:most])
-        chosen = chosen[best[chosen] > 10.8]  # p < 0.001
-        column = np.full(1 << BITS, -1, np.int32)
-        column[chosen] = np.arange(len(chosen))
-        return Vocabulary(column, len(chosen))
+        top = np.argsort(-best, kind="stable")[:most]
+        chosen = names[np.sort(top[best[top] > 10.8])]  # p < 0.001
+        return Vocabulary(chosen, len(chosen))
+
+    def columns(self, ids: np.ndarray) -> np.ndarray:
+        """Where the features stand in the model; -1 for those not read."""
+        if not self.size:
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.chosen, ids), self.size - 1)
+        return np.where(self.chosen[at] == ids, at, -1)
 
     def dense(self, lists: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
         x = np.zeros((len(lists), self.size + stats.shape[1]), np.float32)
         for i, ids in enumerate(lists):
-            c = self.column[ids]
+            c = self.columns(ids)
             x[i, c[c >= 0]] = 1
         x[:, self.size :] = stats
         return x
 
     def hits(self, docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, column) of a batch."""
-        c = self.column[ids]
+        c = self.columns(ids)
         some = c >= 0
         return pairs(docs[some], c[some])
 

@@ -81,14 +81,14 @@ def co_train(content: tuple[list[np.ndarray], np.ndarray], meta: list[np.ndarray
             some = (p >= sure) | (p <= 1 - sure)
             extra[1 - v] = (pool[some], (p[some] > 0.5).astype(int))
     out = [logits(x[held], w) for x, w in zip(xs, weights, strict=True)]
-    scales = [fit_logistic(o[:, None], y[held].astype(float), 0.1, rounds=600) for o in out]
+    scales = [fit_logistic(o[:, None], y[held].astype(float), 0.1) for o in out]
     views = np.stack([logits(o[:, None], s) for o, s in zip(out, scales, strict=True)], 1)
-    combined = fit_logistic(views, y[held].astype(float), 0.1, rounds=600)
+    combined = fit_logistic(views, y[held].astype(float), 0.1)
     right = float(((logits(views, combined) > 0) == (y[held] == 1)).mean()) if len(held) else 0.0
     return Judge(View(words, weights[0], scales[0]), View(names, weights[1], scales[1]), combined, right)
 
 
-def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 8000) -> Judge | None:
+def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 5000) -> Judge | None:
     """Fits on at most `most` labelled and `most` unlabelled documents, those of least hash. None if either label is missing."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     by_hash = lambda df: df.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     return co_train(content, [np.unique(np.array(m, np.int32)) for m in sample["meta"]], y)
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 8000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 5000) -> DataFrame:
     """(id, p_content, p_metadata, quality, kept) per row; kept if the combined quality is at least `least`.
 
     Null texts count as empty, null metadata is a value of its own, metadata columns that are missing are left out. With fewer

@@ -46,7 +46,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((sorted_p[k] + sorted_p[min(k + 1, len(p) - 1)]) / 2), float(f1[k])
 
 
-def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 5, l2: float = 1.0) -> Chain:
+def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 4, l2: float = 0.3) -> Chain:
     """labels: a column per category, 0 or 1; rows come in a fixed order, and row i is in fold i % folds."""
     words = Vocabulary.choose(lists, [labels[:, j] for j in range(labels.shape[1])])
     x = words.dense(lists, stats)
@@ -67,7 +67,7 @@ def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, na
     return Chain(list(names), words, weights, thresholds, held)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 6000) -> Chain | None:
     """Fits on at most `most` labelled documents, those of least hash, with texts. None without labels."""
     flags = [F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{j}") for j, c in enumerate(categories.values())]
     some = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *flags)
@@ -79,8 +79,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     if sample.empty:
         return None
     sample = sample.drop_duplicates("id").sort_values("id")
-    stats = np.array(unpacked(sample["stats"], np.float64))
-    return fit_chain(unpacked(sample["ids"], np.int32), stats, np.array(sample["y"].tolist()), list(categories))
+    lists, stats, y = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64)), np.array(sample["y"].tolist())
+    del sample
+    return fit_chain(lists, stats, y, list(categories))
 
 
 def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
@@ -108,7 +109,7 @@ def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_
     return docs.mapInArrow(run, StructType([StructField(f"c{i}", t) for i, t in enumerate(kinds)])).toDF(*docs.columns, *new)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, prefix: str = "") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, prefix: str = "") -> DataFrame:
     """Scores all documents on the two categories that the labels table knows: junk (quality 0), then toxic given junk."""
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = train(docs, labels, categories, id_col=id_col, text_col=text_col, most=most)
