@@ -188,7 +188,7 @@ def test_decontamination(spark, rows, empty):
     from tidewater.llm.decontaminate import contaminated
 
     long = [(d, t) for d, t in rows if t and len(t.split()) > 60][:4]
-    items = [(0, None), (1, ""), (2, "one"), (3, "Not in, any text at all"), *[(10 + i, " ".join(t.split()[5:40]).upper() + "!") for i, (_, t) in enumerate(long)]]
+    items = [(0, None), (1, ""), (2, "one"), (3, "Not in, any text at all"), *[(10 + i, " ".join(t.split()[5:40]).replace("a", "A") + "!") for i, (_, t) in enumerate(long)]]
     items.append((20, " ".join(long[0][1].split()[3:50]) + " and some other words"))
     df = spark.createDataFrame([(d, t, 7, "x") for d, t in rows], "doc_id long, text string, item int, h string")
     bench = spark.createDataFrame([*items, items[4]], "item_id long, text string")
@@ -313,7 +313,7 @@ def test_hashes_of_words():
     texts = ["a b c d", None, "", "A B C D", "x" * 30 + " y", "ab c", "a bc"]
     hashes, at = word_hashes(*bytes_of(pa.array(texts)))
     assert np.diff(at).tolist() == [4, 0, 0, 4, 2, 2, 2]
-    assert (hashes[:4] == hashes[4:8]).all() and len(set(hashes.tolist())) == 10
+    assert (hashes[:4] == hashes[4:8]).all() and len(set(hashes.tolist())) == 8
     s, to = shingles(hashes, at, 3)
     assert np.diff(to).tolist() == [2, 0, 0, 2, 1, 1, 1] and len(set(s[4:].tolist())) == 3
 
