@@ -271,6 +271,27 @@ def test_cache(spark, tmp_path):
     assert fingerprint(df) == fingerprint(df.orderBy(F.desc("id"))) != fingerprint(spark.range(8))
 
 
+def test_prepare(spark, tmp_path):
+    from tidewater.plans.prepare import log_samples, prepare
+
+    rows = [(i, f"{PROMPT}{A}Fine {i}", f"{PROMPT}{A}Bad" if i % 3 else f"{PROMPT}{A}") for i in range(12)]
+    for split in ("train", "test"):
+        spark.createDataFrame(rows, "row_id long, chosen string, rejected string").coalesce(1).write.parquet(f"{tmp_path}/hh/{split}.parquet")
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.register("hh", f"{tmp_path}/hh", format="transcript")
+    data, spec = DataArguments({"hh": 0.5}), K.char_tokenizer()
+    bench = spark.createDataFrame([("fine 1",)], "text string")
+    out = prepare(catalog, f"{tmp_path}/cache", "epsilon_dpo", data, spec, T.chatml(), benchmark=bench)
+    assert (out["train"].count(), out["test"].count()) == (3, 5)
+    again = prepare(catalog, f"{tmp_path}/cache", "epsilon_dpo", data, spec, T.chatml(), PreferenceConfig(preprocessing_mode="reuse_only"), benchmark=bench)
+    assert set(again["train"].columns) >= set(K.COLUMNS)
+    with pytest.raises(FileNotFoundError):
+        prepare(catalog, f"{tmp_path}/cache", "epsilon_dpo", data, spec, T.chatml(), PreferenceConfig(preprocessing_mode="reuse_only", max_length=99), benchmark=bench)
+    assert log_samples(out["test"], f"{tmp_path}/log", 3) == 3 and spark.read.text(f"{tmp_path}/log").count() == 3
+    row = spark.createDataFrame([([[1.0, 3.0], [5.0, 5.0]], [0, 1])], "x array<array<double>>, y array<int>").select(S.mean_logit(F.col("x"), F.col("y")).alias("m")).first()
+    assert row.m == 2.0
+
+
 def test_settings():
     text = "dataset_mixer:\n  a: 0.5\n  'b/c': 1\ndataset_splits:\n- train\n- test  # both\nauto_insert_empty_system_msg: false\n"
     args = load(DataArguments, text, ["--preprocessing_num_workers=4"])

@@ -85,3 +85,12 @@ def cross_entropy(logits: Column, labels: Column, ignore: int = 0) -> Column:
     pairs = F.zip_with(F.slice(logits, F.lit(1), n), F.slice(labels, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), F.when(y < 0, ignore).otherwise(y).alias("y")))
     real = F.filter(pairs, lambda p: p["y"] != ignore)
     return F.when(F.size(real) > 0, -sum_of(F.transform(real, lambda p: token_logp(p["x"], p["y"]))) / F.size(real)).otherwise(F.lit(NAN))
+
+
+def mean_logit(logits: Column, labels: Column, pad: int = -100) -> Column:
+    """Mean of all logits at loss positions; of all positions if no label counts."""
+    n = F.greatest(F.size(labels) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(logits, F.lit(1), n), F.slice(labels, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    real = F.filter(pairs, lambda p: p["y"] != pad)
+    flat = F.flatten(F.transform(F.when(F.size(real) > 0, real).otherwise(pairs), lambda p: p["x"]))
+    return F.when(F.size(flat) > 0, sum_of(flat) / F.size(flat)).otherwise(F.lit(NAN))

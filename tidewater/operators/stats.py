@@ -96,3 +96,10 @@ def attach_reference(pairs: DataFrame, reference: DataFrame, key: str = "pair_id
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     bad = F.raise_error(F.lit("a reference log-probability is missing or not finite")).cast("double")
     return joined.withColumns({c: F.when(fine(c), F.col(c)).otherwise(bad) for c in names})
+
+
+def evaluation(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(loss, logits_chosen, logits_rejected, label): what an evaluation step returns, from per-pair loss and mean logits; ignored
+    ones are left out."""
+    parts = {"loss": F.avg("loss").alias("loss"), "logits_chosen": F.avg("logits_chosen").alias("logits_chosen"), "logits_rejected": F.avg("logits_rejected").alias("logits_rejected")}
+    return df.agg(*[c for n, c in parts.items() if n not in ignore]).withColumn("label", F.lit(0))
