@@ -61,7 +61,8 @@ def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, na
                 out[b] = sigmoid(logits(x[b], fit_logistic(x[a], y[a], l2)))
         weights.append(fit_logistic(x, y, l2))
         t, f1 = best_threshold(out, y) if len(y) and 0 < y.sum() < len(y) else (0.5, 0.0)
-        thresholds.append(min(max(t, 0.05), 0.95))
+        # too few labels to tell a threshold by: an even chance is asked for
+        thresholds.append(min(max(t, 0.2), 0.95) if f1 >= 0.5 else 0.5)
         held[name] = f1
         x = np.hstack([x, out[:, None].astype(np.float32)])
     return Chain(list(names), words, weights, thresholds, held)
