@@ -3,7 +3,8 @@
 Each source's words are packed, document after document, into blocks of a fixed length. Its target gives it slots; each
 slot draws its output shard at random, so a shard's counts by source are multinomial given the totals. Slot j of a source
 goes through a pseudorandom permutation of the source's block indices (swap-or-not, one key per pass over the source), so a
-pass takes each block once, and blocks are joined to slots by index.
+pass takes each block once, and blocks are joined to slots by index: the words themselves go to the shards, and what is taken of
+a document is counted there.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the white space behind it.
+SPACED = WORD + r"[\x20\x09-\x0D]*"
 WEIGHTS = (5, 2, 1)
 
 
@@ -48,17 +51,39 @@ def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int, roun
     return df.withColumn(index, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col(index), turn))
 
 
-def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
-    return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0))
+def ranges(words: Column | None) -> Column:
+    """A document's pieces, one per block: the block, the document's word that it begins with, its place in the block, its number
+    of words and, from an array of the words, its text."""
+    start, size, length = F.col("start"), F.col("size"), F.col("length")
+
+    def piece(block: Column, own: Column | None) -> Column:
+        first = F.greatest(block * length - start, F.lit(0))
+        n = F.least((block + 1) * length - start, size) - first
+        text = [] if own is None else [F.array_join(F.slice(own, (first + 1).cast("int"), n.cast("int")), "").alias("text")]
+        return F.struct(block.alias("block"), first.alias("first"), (start + first - block * length).alias("at"), n.alias("words"), *text)
+
+    blocks = F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))
+    if words is None:
+        return F.transform(blocks, lambda b: piece(b, None))
+    # F.transform over one element names the words, so that they are found once
+    return F.element_at(F.transform(F.array(words), lambda own: F.transform(blocks, lambda b: piece(b, own))), 1)
 
 
 class Mixture:
     """documents: per row of the input its columns id, size, source_size, target and taken. slots: (shard, rank, slot, pass,
     block, words): which block of which source each slot of an output shard takes, and how many of its first words.
-    sources: (source, rank, source_size, target, length, n_blocks, words)."""
+    sources: (source, rank, source_size, target, length, n_blocks, words). blocks: (rank, block, id, start, first, at, words):
+    the words of a document that stand in a block, from its word `first` on, at the block's word `at`; start is the document's
+    place in its source. shards: slots joined to their words, (shard, rank, slot, pass, block, id, start, first, at, words, text), a row per
+    document of a slot, in the session's shared folder."""
 
-    def __init__(self, documents: DataFrame, slots: DataFrame, sources: DataFrame):
-        self.documents, self.slots, self.sources = documents, slots, sources
+    def __init__(self, documents: DataFrame, slots: DataFrame, sources: DataFrame, blocks: DataFrame, shards: DataFrame):
+        self.documents, self.slots, self.sources, self.blocks, self.shards = documents, slots, sources, blocks, shards
+
+    def texts(self) -> DataFrame:
+        """(shard, rank, slot, text): each slot's words with the white space of their documents, and a line's end between two documents."""
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"])
+        return self.shards.groupBy("shard", "rank", "slot").agg(F.array_join(parts, "\n").alias("text"))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, length: int = 64, per_shard: int = 8192, seed: int = 17, rounds: int = 12) -> Mixture:
@@ -71,8 +96,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = scratch.put(sizes, "sizes")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sizes = scratch.put(texts.drop("text"), "sizes")
     n_rows = sizes.count()
     sources = targets(sizes, weights, most)
     fixed = F.greatest(F.lit(1), F.least(F.lit(length), F.expr("source_size div 1024"))).cast("long")
@@ -87,15 +113,24 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # Each document's place in its source: chunks of a bounded number of rows are summed, then the rows within each.
     n_chunks = max(1, -(-n_rows // 2000))
-    dealt = sizes.join(sources.drop("target", "words", "whole", "rest", "part"), sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_chunks)))
-    sums = dealt.groupBy("rank", "chunk", "source_size", "n_slots").agg(F.sum("size").alias("in_chunk"))
+    own = sources.drop("target", "words", "whole", "rest", "part")
+
+    def deal(rows: DataFrame) -> DataFrame:
+        both = rows.join(own, rows["source"].eqNullSafe(own["source"])).drop(own["source"])
+        return both.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_chunks)))
+
+    sums = deal(sizes).groupBy("rank", "chunk", "source_size", "n_slots").agg(F.sum("size").alias("in_chunk"))
     base = F.sum("in_chunk").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("in_chunk")
     chunks = scratch.put(sums.withColumn("base", base), "chunks")
-    within = Window.partitionBy("rank", "chunk").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("upto", F.sum("size").over(within)).join(chunks.select("rank", "chunk", "base"), ["rank", "chunk"])
-    placed = placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-    placed = scratch.put(placed.select("id", "rank", "size", "start", "length"), "placed")
+
+    def place(rows: DataFrame) -> DataFrame:
+        """Rows with their start in their source. Ties are equal texts, so rows with texts are placed as those without."""
+        within = Window.partitionBy("rank", "chunk").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
+        found = deal(rows).withColumn("upto", F.sum("size").over(within)).join(chunks.select("rank", "chunk", "base"), ["rank", "chunk"])
+        return found.withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
+
+    placed = scratch.put(place(sizes).select("id", "rank", "size", "start", "length"), "placed")
+    blocks = placed.filter("size > 0").select("rank", "id", "start", F.explode(ranges(None)).alias("p")).select("rank", "p.block", "id", "start", "p.first", "p.at", "p.words")
 
     # Slots: each chunk makes its share of its source's slot numbers.
     upto = lambda at: F.floor(F.col("n_slots") * (at / F.col("source_size"))).cast("long")
@@ -109,17 +144,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     last = (F.col("slot") == F.col("n_slots") - 1) & (F.col("part") > 0)
     slots = slots.select("shard", "rank", "slot", "pass", "block", F.when(last, F.col("part")).otherwise(F.col("length")).alias("words"), last.alias("short"))
 
-    # Blocks are joined by index: how often each is taken whole, and how many first words once more.
-    taken = slots.groupBy("rank", "block").agg(F.count(F.when(~F.col("short"), 1)).alias("times"), F.max(F.when(F.col("short"), F.col("words"))).alias("more"))
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))))
-    joined = pieces.join(taken, ["rank", "block"])
-    first = F.col("block") * F.col("length")
-    end = F.col("start") + F.col("size")
-    words = F.col("times") * overlap(F.col("start"), end, first, first + F.col("length")) + overlap(F.col("start"), end, first, first + F.coalesce("more", F.lit(0)))
-    per_doc = joined.groupBy("rank", "start").agg(F.sum(words).alias("taken"))
+    # Blocks are joined by index: each slot gets its block's words, the last one of a source perhaps only the first of them.
+    pieces = place(texts.filter("size > 0")).filter("n_slots > 0")
+    pieces = pieces.select("rank", "id", "start", F.explode(ranges(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))).alias("p"))
+    pieces = pieces.select("rank", "p.block", "id", "start", "p.first", "p.at", F.col("p.words").alias("n"), "p.text")
+    joined = pieces.join(slots.drop("short"), ["rank", "block"]).filter("at < words").withColumn("m", F.least("n", F.expr("words - at")))
+    beginning = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)), F.lit(1), F.col("m").cast("int")), "")
+    text = F.when(F.col("m") < F.col("n"), beginning).otherwise(F.col("text"))
+    shards = scratch.put(joined.select("shard", "rank", "slot", "pass", "block", "id", "start", "first", "at", F.col("m").alias("words"), text.alias("text")), "shards")
+    per_doc = shards.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     full = placed.join(per_doc, ["rank", "start"], "left")
     shares = sources.select("rank", "source_size", "target")
     out = full.join(shares, "rank").select(
         F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
     )
-    return Mixture(out, slots.drop("short"), sources.select("source", "rank", "source_size", "target", "length", "n_blocks", "words"))
+    return Mixture(out, slots.drop("short"), sources.select("source", "rank", "source_size", "target", "length", "n_blocks", "words"), blocks, shards)
