@@ -44,3 +44,44 @@ def test_shards_hold_the_words_that_are_taken(spark):
     assert sum(blocks.values()) == sum(len(w) for ws in words.values() for w in ws)
     for rank, r in sources.items():
         assert abs(sum(n for (k, _), n in of_slot.items() if k == rank) - r.target) <= 1 + 0.005 * r.target
+
+
+def all_links(rows, k, percent):
+    """Each row's number of linked other rows, by brute force."""
+    sets = [brute.shingles(t, k) for _, t in rows]
+    return [sum(i != j and bool(s and x) and 100 * len(s & x) >= percent * len(s | x) for j, x in enumerate(sets)) for i, s in enumerate(sets)]
+
+
+def test_jaccard_has_all_links(spark):
+    """Near copies of one text: links within a component, of pairs that the pivot connects, too."""
+    from tidewater.llm.jaccard import all_links as within
+    from tidewater.llm.jaccard import jaccard_join
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "ONE")]
+    for size, copies in ((80, 60), (120, 12), (40, 3), (60, 2), (30, 1)):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(size)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [rows[10], rows[10], (len(rows), rows[70][1].upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (5, 80)):
+        found = jaccard_join(df, k=k, percent=percent)
+        want = all_links(rows, k, percent)
+        assert max(want) > 20
+        assert sorted((r.doc, r.n_links) for r in found.link_counts().collect()) == sorted((d, n) for (d, _), n in zip(rows, want, strict=True))
+        sets = {r.doc: r.set for r in found.sets.collect()}
+        text = {sets[d]: brute.shingles(t, k) for d, t in rows}
+        got = [(r.a, r.b) for r in found.links.collect()]
+        assert len(set(got)) == len(got)
+        for r in found.links.collect():
+            assert r.a < r.b and (r.n_a, r.n_b, r.common) == (len(text[r.a]), len(text[r.b]), len(text[r.a] & text[r.b]))
+        # many blocks a component
+        texts = {sets[d]: t for d, t in rows if sets[d] is not None}
+        members = spark.createDataFrame([(s, 7, len(texts)) for s in texts], "`set` long, comp long, m long")
+        blocks = within(members, spark.createDataFrame(list(texts.items()), "`set` long, text string"), k, percent, block=8)
+        assert sorted((r.a, r.b) for r in blocks.collect()) == sorted(got)

@@ -6,8 +6,9 @@ share an n-gram there, finds candidates. The global order is cut into fragments
 counted in each fragment separately and summed per pair, which gives the exact Jaccard similarity.
 
 Copies with equal sets are one node. Within the documents that share a prefix n-gram each is first compared with one pivot,
-and pairs that links connect already are not compared: so a large group of near copies costs about its rows, not their square,
-and the connected components are the same as if all pairs had been compared.
+and the pairs that those links leave apart are compared next: that gives the connected components at about the cost of the
+rows. Every link is within a component, so then all pairs of sets of a component of three or more are compared, in blocks of sets that meet
+in one task each, so that n-grams aren't sent once for each pair. The links are all there are.
 """
 
 from __future__ import annotations
@@ -148,18 +149,82 @@ def fragments_of(docs: DataFrame, text_col: str, k: int, order: Order) -> DataFr
     return docs.select("set", F.col(text_col)).mapInArrow(run, "set long, n int, part int, grams array<long>")
 
 
+def overlaps(hashes: np.ndarray, at: np.ndarray, width: int = 8192) -> np.ndarray:
+    """How many hashes each two of the sets have in common; so many different hashes are counted at a time."""
+    names, which = np.unique(hashes, return_inverse=True)
+    m = len(at) - 1
+    row = np.repeat(np.arange(m), np.diff(at))
+    by = np.argsort(which, kind="stable")
+    which, row = which[by], row[by]
+    out = np.zeros((m, m), np.int64)
+    for start in range(0, len(names), width):
+        a, b = np.searchsorted(which, [start, start + width])
+        x = np.zeros((m, min(width, len(names) - start)), np.float32)
+        x[row[a:b], which[a:b] - start] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def all_links(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 128) -> DataFrame:
+    """(a, b, n_a, n_b, common) of all linked pairs of sets within components. members: (set, comp, m), m the component's sets;
+    texts: (set, text). A component is dealt into blocks of about `block` sets, and each two blocks meet in one task."""
+    own = F.pmod(F.xxhash64("set"), F.col("blocks"))
+    dealt = members.withColumn("blocks", F.expr(f"(m + {block - 1}) div {block}")).withColumn("own", own)
+    dealt = dealt.select("comp", "set", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set")
+    rows = dealt.join(texts, "set").select("comp", "i", "j", "own", "set", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+
+    def links_of(group: pa.Table) -> pa.RecordBatch:
+        hashes, at = word_sets(group.column("text").combine_chunks().cast(pa.large_string()), k)
+        sets, blocks = (group.column(c).to_numpy() for c in ("set", "own"))
+        sizes = np.diff(at)
+        common = overlaps(hashes, at)
+        linked = 100 * common >= percent * (sizes[:, None] + sizes - common)
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            linked &= blocks[:, None] != blocks
+        a, b = np.nonzero(linked & (sets[:, None] < sets))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[a], sets[b], sizes[a].astype(np.int32), sizes[b].astype(np.int32), common[a, b])], ["a", "b", "n_a", "n_b", "common"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the rows of a group that may go on in the next batch
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if held and tuple(keys[x]) != key:
+                    yield links_of(pa.Table.from_batches(held))
+                    held = []
+                key = tuple(keys[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield links_of(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a long, b long, n_a int, n_b int, common long")
+
+
 def possible(percent: int) -> str:
     """Length and position filters on a pair that shares the n-gram at pos_a and pos_b."""
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * least(n_a - pos_a, n_b - pos_b) >= {percent} * (n_a + n_b)"
 
 
 class JaccardJoin:
-    """sets: (doc, n, set) per row; links: (a, b, common, n_a, n_b) pairs of sets that were compared and found linked; comps:
+    """sets: (doc, n, set) per row; links: (a, b, n_a, n_b, common), all pairs a < b of different sets that are linked; comps:
     (node, comp) of the linked sets."""
 
     def __init__(self, sets: DataFrame, links: DataFrame, comps: DataFrame, scratch: Scratch):
         self.sets, self.links, self.comps, self.scratch = sets, links, comps, scratch
 
+    def link_counts(self) -> DataFrame:
+        """(doc, n_links) per row: how many other rows it is linked with, copies of its own set included."""
+        copies = self.scratch.put(self.sets.filter("set is not null").groupBy("set").agg(F.count("*").alias("copies")), "copies")
+        ends = self.links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(self.links.select(F.col("b").alias("set"), F.col("a").alias("other")))
+        others = ends.join(copies.select(F.col("set").alias("other"), "copies"), "other").groupBy("set").agg(F.sum("copies").alias("others"))
+        counted = copies.join(others, "set", "left").select("set", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        return self.sets.join(counted, "set", "left").select("doc", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def classes(self) -> DataFrame:
         """(doc, n, component_id) per row: the smallest document reachable by links."""
         by_set = self.sets.filter("set is not null").groupBy("set").agg(F.min("doc").alias("least"))
@@ -229,4 +294,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rest = scratch.put(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = compare(rest, "rest").filter(linked)
     links = links.unionByName(more)
-    return JaccardJoin(sets, links, components(scratch, links, "all"), scratch)
+    comps = components(scratch, links, "all")
+
+    # All links: those of two sets alone are known, larger components are compared throughout.
+    members = comps.select(F.col("node").alias("set"), "comp").unionByName(comps.select(F.col("comp").alias("set"), "comp")).distinct()
+    members = scratch.put(members.join(members.groupBy("comp").agg(F.count("*").alias("m")), "comp"), "members")
+    pairs = links.join(members.filter("m = 2").select(F.col("set").alias("a")), "a").select("a", "b", "n_a", "n_b", "common")
+    large = members.filter("m > 2")
+    docs_of = scratch.put(nodes.select("set", "doc").join(large, "set", "left_semi"), "members-docs")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(docs_of, "doc").dropDuplicates(["set"]).select("set", "text")
+    links = scratch.put(pairs.unionByName(all_links(large, texts, k, percent)), "links")
+    return JaccardJoin(sets, links, comps, scratch)
