@@ -85,3 +85,16 @@ def test_jaccard_has_all_links(spark):
         members = spark.createDataFrame([(s, 7, len(texts)) for s in texts], "`set` long, comp long, m long")
         blocks = within(members, spark.createDataFrame(list(texts.items()), "`set` long, text string"), k, percent, block=8)
         assert sorted((r.a, r.b) for r in blocks.collect()) == sorted(got)
+
+
+def test_quality_learns_from_all_unlabelled_documents(spark):
+    """The bound is on labelled documents only."""
+    from tests.llm.test_operators import classified
+    from tidewater.llm.quality import metadata, quality, train
+
+    docs, labels, truth = classified(spark)
+    judge, every = train(docs, labels, metadata(["source", "lang"], docs, "n_chars"), most=100)
+    assert every.count() == docs.count()
+    assert len(judge.used) == 3 and all(max(views) > 300 for views in judge.used)
+    held = [r for r in quality(docs, labels, most=100).collect() if r.doc_id % 2 and r.doc_id < 1200]
+    assert sum(r.kept != truth[r.doc_id][0] for r in held) >= 0.95 * len(held)

@@ -1,8 +1,9 @@
 """Quality by co-training two views of a document: its text, and its metadata.
 
-Each view has a logistic model of its own. In every round a view labels the unlabelled pool and hands the labels that it is
+Each view has a logistic model of its own. In every round a view labels all unlabelled documents and hands the labels that it is
 sure of to the other view, which trains on them beside the true labels. Then each view is calibrated on held-out
-labels, and the calibrated views are combined to score all documents. Fitting uses bounded samples; scoring reads everything.
+labels, and the calibrated views are combined to score all documents. Only the labelled documents are a bounded sample, held by
+the driver; the unlabelled ones stay where they are, and each Newton step adds up their gradients and Hessians.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import pieces_of
-from tidewater.llm.linear import BITS, Vocabulary, features, featurise, fit_logistic, logits, sigmoid, unpacked
+from tidewater.llm.common import Scratch, pieces_of
+from tidewater.llm.linear import BITS, STATS, Vocabulary, features, featurise, fit_logistic, logits, sigmoid, unpacked
+
+#: Views: text, metadata. Sums of the tasks are added up in pieces of so many numbers.
+VIEWS, PIECE = 2, 8192
 
 
 def metadata(columns: list[str], docs: DataFrame, size_col: str | None) -> Column:
@@ -43,14 +47,14 @@ class Judge:
     meta: View
     combined: np.ndarray
     held_out: float
-
-    def scores(self, text: pa.Array, meta: pa.Array) -> np.ndarray:
-        docs, ids, stats = features(text)
-        c = self.content.words.logits(*self.content.words.hits(docs, ids), stats, self.content.weights)
-        flat = meta.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        who = np.repeat(np.arange(len(meta)), np.diff(meta.offsets.to_numpy()))
-        none = np.zeros((len(meta), 0))
-        m = self.meta.words.logits(*self.meta.words.hits(who, flat), none, self.meta.weights)
+    used: list  # per round and view: how many unlabelled documents it was fitted on
+
+    def scores(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Of rows (id, content, stats, meta), see compact()."""
+        n = batch.num_rows
+        stats = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(n, len(STATS))
+        c = self.content.words.logits(*rows_of(batch.column(1), n), stats, self.content.weights)
+        m = self.meta.words.logits(*rows_of(batch.column(3), n), np.zeros((n, 0)), self.meta.weights)
         return self.combine(c, m)
 
     def combine(self, c: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -58,50 +62,164 @@ class Judge:
         return np.stack([*sigmoid(views).T, sigmoid(logits(views, self.combined))], 1)
 
 
-def co_train(content: tuple[list[np.ndarray], np.ndarray], meta: list[np.ndarray], y: np.ndarray, rounds: int = 3, sure: float = 0.95) -> Judge:
-    """y: 1, 0, or -1 for the unlabelled pool. Every fifth labelled row is held out for calibration."""
-    labelled = np.flatnonzero(y >= 0)
-    held = labelled[::5]
-    fit = np.setdiff1d(labelled, held)
-    pool = np.flatnonzero(y < 0)
-    lists, stats = content
-    words = Vocabulary.choose([lists[i] for i in fit], [y[fit] == 1])
-    names = Vocabulary.choose([meta[i] for i in fit], [y[fit] == 1], least=5)
-    xs = [words.dense(lists, stats), names.dense(meta, np.zeros((len(meta), 0)))]
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(pool[:0], y[:0]), (pool[:0], y[:0])]
-    weights = [np.zeros(0), np.zeros(0)]
-    for r in range(rounds + 1):
-        for v, x in enumerate(xs):
-            rows, own = extra[v]
-            weights[v] = fit_logistic(x[np.concatenate([fit, rows])], np.concatenate([y[fit], own]).astype(float))
-        if r == rounds or not len(pool):
+def rows_of(columns: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of a batch's binary lists of int16."""
+    sizes = np.array([len(x) // 2 for x in columns.to_pylist()], np.int64)
+    return np.repeat(np.arange(n), sizes), np.frombuffer(b"".join(columns.to_pylist()), np.int16)
+
+
+def compact(docs: DataFrame, id_col: str, text_col: str, meta: Column, words: Vocabulary, names: Vocabulary) -> DataFrame:
+    """(id, content, stats, meta) of all documents: the columns of the views' models that a document has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, 1):
+            n = batch.num_rows
+            docs, ids, stats = features(batch.column(1))
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            who = np.repeat(np.arange(n), np.diff(batch.column(2).offsets.to_numpy()))
+            lists = []
+            for rows, columns in (words.hits(docs, ids), names.hits(who, flat)):
+                cuts = np.searchsorted(rows, np.arange(n + 1))
+                columns = columns.astype(np.int16)
+                lists.append(pa.array([columns[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists[0], pa.array([x.tobytes() for x in stats], pa.binary()), lists[1]], ["id", "content", "stats", "meta"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col), meta.alias("meta")).mapInArrow(run, f"id {kind}, content binary, stats binary, meta binary")
+
+
+class Far:
+    """All unlabelled documents, as compact() has them."""
+
+    def __init__(self, rows: DataFrame, words: Vocabulary, names: Vocabulary, sure: float):
+        self.rows, self.vocabularies, self.sure = rows.select("content", "stats", "meta"), (words, names), sure
+
+    def sums(self, teachers: list[np.ndarray], weights: list[np.ndarray], active: list[bool]) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
+        """Per view: documents, log loss, gradient and Hessian over those that the other view's teacher is sure of."""
+        vocabularies, sure = self.vocabularies, self.sure
+        sizes = [len(w) for w in weights]
+        ends = np.cumsum([2 + m + m * m for m in sizes])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(ends[-1])
+            for whole in batches:
+                for start in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(start, 4096)
+                    n = batch.num_rows
+                    stats = [np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(n, len(STATS)), np.zeros((n, 0))]
+                    hits = [rows_of(batch.column(c), n) for c in (0, 2)]
+                    judged = [sigmoid(v.logits(*h, x, t)) for v, h, x, t in zip(vocabularies, hits, stats, teachers, strict=True)]
+                    for v in range(VIEWS):
+                        p = judged[1 - v]
+                        some = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+                        if not active[v] or not len(some):
+                            continue
+                        m, size = sizes[v], vocabularies[v].size
+                        x = np.zeros((n, m), np.float32)
+                        x[hits[v]] = 1
+                        x[:, size:-1] = stats[v]
+                        x[:, -1] = 1
+                        x, y = x[some], (p[some] > 0.5).astype(float)
+                        z = (x @ weights[v].astype(np.float32)).astype(float)
+                        q = sigmoid(z)
+                        curved = x * np.sqrt(np.maximum(q * (1 - q), 1e-6)).astype(np.float32)[:, None]
+                        at = ends[v] - (2 + m + m * m)
+                        total[at] += len(some)
+                        total[at + 1] += np.sum(np.logaddexp(0, z) - y * z)
+                        total[at + 2 : at + 2 + m] += x.T @ (q - y).astype(np.float32)
+                        total[at + 2 + m : ends[v]] += (curved.T @ curved).astype(float).ravel()
+            pieces = range(0, len(total), PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array([i // PIECE for i in pieces], pa.int32()), pa.array([total[i : i + PIECE].tobytes() for i in pieces], pa.binary())], ["piece", "sums"])
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found[i] = found.get(i, 0) + np.frombuffer(x, np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["piece", "sums"])
+
+        kind = "piece int, sums binary"
+        total = np.zeros(ends[-1])
+        for r in self.rows.mapInArrow(run, kind).repartition(6, "piece").mapInArrow(add_up, kind).collect():  # two Hessians, whatever the input
+            total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.sums, np.float64)
+        parts = [total[e - (2 + m + m * m) : e] for e, m in zip(ends, sizes, strict=True)]
+        return [(int(x[0]), float(x[1]), x[2 : 2 + m], x[2 + m :].reshape(m, m)) for x, m in zip(parts, sizes, strict=True)]
+
+
+def fit_far(xs: list[np.ndarray], y: np.ndarray, far: Far, before: list[np.ndarray], l2: float = 0.3, steps: int = 12) -> tuple[list[np.ndarray], list[int]]:
+    """fit_logistic for both views, on the labelled rows here and the documents of far that the other view, with its weights
+    before, is sure of. Also how many documents those were."""
+    xs = [np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32) for x in xs]
+    weights, step = list(before), [np.zeros(len(w)) for w in before]
+    loss, active, used = [np.inf] * VIEWS, [True] * VIEWS, [0] * VIEWS
+    for _ in range(steps):
+        if not any(active):
             break
+        sums = far.sums(before, weights, active)
         for v, x in enumerate(xs):
-            p = sigmoid(logits(x[pool], weights[v]))
-            some = (p >= sure) | (p <= 1 - sure)
-            extra[1 - v] = (pool[some], (p[some] > 0.5).astype(int))
+            if not active[v]:
+                continue
+            n, far_loss, far_grad, far_hess = sums[v]
+            used[v] = n
+            w = weights[v]
+            shrink = np.full(len(w), l2)
+            shrink[-1] = 1e-3
+            z = (x @ w.astype(np.float32)).astype(float)
+            now = float(np.sum(np.logaddexp(0, z) - y * z) + far_loss + 0.5 * shrink @ (w * w))
+            if now > loss[v] + 1e-9 * max(1.0, now):  # too long a step
+                step[v] = step[v] / 2
+                weights[v] = w - step[v]
+                continue
+            if loss[v] - now < 1e-5 * max(1.0, now):
+                active[v] = False
+                continue
+            loss[v] = now
+            p = sigmoid(z)
+            curved = x * np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None]
+            grad = x.T @ (p - y).astype(np.float32) + far_grad + shrink * w
+            step[v] = -np.linalg.solve((curved.T @ curved).astype(float) + far_hess + np.diag(shrink), grad)
+            weights[v] = w + step[v]
+    return weights, used
+
+
+def co_train(xs: list[np.ndarray], y: np.ndarray, held: np.ndarray, vocabularies: tuple[Vocabulary, Vocabulary], far: Far, rounds: int = 3) -> Judge:
+    """y: 1 or 0 of the labelled rows xs. Those that are held out are for calibration."""
+    fit = np.setdiff1d(np.arange(len(y)), held)
+    weights = [fit_logistic(x[fit], y[fit].astype(float)) for x in xs]
+    used = []
+    for _ in range(rounds):
+        weights, n = fit_far([x[fit] for x in xs], y[fit].astype(float), far, weights)
+        used.append(n)
     out = [logits(x[held], w) for x, w in zip(xs, weights, strict=True)]
     scales = [fit_logistic(o[:, None], y[held].astype(float), 0.1) for o in out]
     views = np.stack([logits(o[:, None], s) for o, s in zip(out, scales, strict=True)], 1)
     combined = fit_logistic(views, y[held].astype(float), 0.1)
     right = float(((logits(views, combined) > 0) == (y[held] == 1)).mean()) if len(held) else 0.0
-    return Judge(View(words, weights[0], scales[0]), View(names, weights[1], scales[1]), combined, right)
+    return Judge(*(View(v, w, s) for v, w, s in zip(vocabularies, weights, scales, strict=True)), combined, right, used)
 
 
-def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 5000) -> Judge | None:
-    """Fits on at most `most` labelled and `most` unlabelled documents, those of least hash. None if either label is missing."""
+def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 5000) -> tuple[Judge, DataFrame] | None:
+    """Fits on at most `most` labelled documents, those of least hash, and on all documents without a label. Also compact() of
+    all documents. None if either label is missing."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    by_hash = lambda df: df.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)
-    free = docs.select(F.col(id_col).alias("id")).filter("id is not null").join(known, "id", "left_anti").withColumn("y", F.lit(-1))
-    some = by_hash(known).unionByName(by_hash(free))  # the bound of the broadcast
+    some = known.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)  # the bound of the broadcast
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), meta.alias("meta")).join(F.broadcast(some), "id").select("text", "id", "meta", "y")
     sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, meta array<int>, y int, ids binary, stats binary").toPandas()
     sample = sample.drop_duplicates("id").sort_values("id")
     y = sample["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
-    content = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64))
-    return co_train(content, [np.unique(np.array(m, np.int32)) for m in sample["meta"]], y)
+    lists, stats = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64))
+    own = [np.unique(np.array(m, np.int32)) for m in sample["meta"]]
+    held = np.arange(len(y))[::5]
+    fit = np.setdiff1d(np.arange(len(y)), held)
+    words = Vocabulary.choose([lists[i] for i in fit], [y[fit] == 1])
+    names = Vocabulary.choose([own[i] for i in fit], [y[fit] == 1], least=5)
+    scratch = Scratch(docs.sparkSession, "quality")
+    every = scratch.put(compact(docs, id_col, text_col, meta, words, names), "compact")
+    free = scratch.put(every.join(known.select("id"), "id", "left_anti").select("content", "stats", "meta"), "unlabelled")
+    xs = [words.dense(lists, stats), names.dense(own, np.zeros((len(own), 0)))]
+    return co_train(xs, y, held, (words, names), Far(free, words, names, 0.95)), every
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 5000) -> DataFrame:
@@ -112,14 +230,17 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     empty table gives none; other columns are not read.
     """
     meta = metadata(list(meta_cols), docs, size_col)
-    judge = train(docs, labels, meta, id_col=id_col, text_col=text_col, most=most)
+    found = train(docs, labels, meta, id_col=id_col, text_col=text_col, most=most)
+    kind = docs.schema[id_col].dataType.simpleString()
+    if found:
+        judge, every = found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, 1):
-            p = judge.scores(batch.column(1), batch.column(2)) if judge else np.full((batch.num_rows, 3), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p.T.copy())], ["id", "p_content", "p_metadata", "quality"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = judge.scores(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p.T.copy())], ["id", "p_content", "p_metadata", "quality"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col), meta.alias("meta"))
-    out = rows.mapInArrow(run, f"id {kind}, p_content double, p_metadata double, quality double")
+        out = every.mapInArrow(run, f"id {kind}, p_content double, p_metadata double, quality double")
+    else:
+        out = docs.select(F.col(id_col).alias("id"), *[F.lit(0.5).alias(c) for c in ("p_content", "p_metadata", "quality")])
     return out.select(F.col("id").alias(id_col), "p_content", "p_metadata", "quality", (F.col("quality") >= least).alias("kept"))
