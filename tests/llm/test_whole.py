@@ -98,3 +98,21 @@ def test_quality_learns_from_all_unlabelled_documents(spark):
     assert len(judge.used) == 3 and all(max(views) > 300 for views in judge.used)
     held = [r for r in quality(docs, labels, most=100).collect() if r.doc_id % 2 and r.doc_id < 1200]
     assert sum(r.kept != truth[r.doc_id][0] for r in held) >= 0.95 * len(held)
+
+
+def test_automata_learn_whole_credentials():
+    """Credentials of over 64 characters, whose classes follow a pattern without a period."""
+    from tidewater.llm.secrets import infer, learn
+
+    rng = random.Random(13)
+    kinds = ["0123456789", "abcdef", "ghijklmnop", "ABCDEF", "GHIJKLMN"]
+    for n in (65, 66, 100, 300):
+        pattern = [rng.choice(kinds) for _ in range(n)]
+        key = lambda: "".join(map(rng.choice, pattern)).encode()  # noqa: E731, B023
+        found = learn({"assign": [key() for _ in range(300)], "access": [], "hex": []})["assign"]
+        fresh = [key() for _ in range(100)]
+        assert sum(found.score(w) >= found.threshold for w in fresh) >= 85
+    hexes = [bytes(rng.choice(b"0123456789abcdef") for _ in range(128)) for _ in range(300)]
+    found = learn({"assign": [], "access": [], "hex": hexes[:200]})["hex"]
+    assert sum(found.score(w) >= found.threshold for w in hexes[200:]) >= 85
+    assert len(infer([b"ab1" * 2000]).steps) <= 70
