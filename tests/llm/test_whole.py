@@ -116,3 +116,16 @@ def test_automata_learn_whole_credentials():
     found = learn({"assign": [], "access": [], "hex": hexes[:200]})["hex"]
     assert sum(found.score(w) >= found.threshold for w in hexes[200:]) >= 85
     assert len(infer([b"ab1" * 2000]).steps) <= 70
+
+
+def test_all_candidates_are_scored(spark):
+    """Runs of 12 characters, without a digit, and around a base span; but none within one."""
+    from tidewater.llm.secrets import Automaton, secret_spans
+
+    judge = Automaton(steps=[{}], ends=[0.0], threshold=-1e9)  # finds every run likely
+    texts = ["so Abcdefghijk1 it", "so AbcdefghijkL it", "AbcdefghijK", "é Zq0123456789abcdefXYZ", "0123456789abcdef", "password=abcdefghijk1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_spans(df, automata={"hex": judge}).collect()}
+    assert got[0] == [("like_hex", 3, 15)] and got[1] == [("like_hex", 3, 15)] and got[2] == []
+    assert got[3] == [("like_hex", 2, 23), ("hex", 4, 20)]
+    assert got[4] == [("hex", 0, 16)] and got[5] == [("assign", 0, 21)]
