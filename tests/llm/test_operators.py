@@ -151,7 +151,7 @@ def test_tokens(spark, docs, rows, empty):
     extra = [(100, "a<|endoftext|> b<|endoftext|>"), (101, "don't  we'll\n\n  x "), (102, "日本語 ①½   é")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     want = {d: (len((t or "").encode()), n := len(own.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in [*rows, *extra]}
-    assert by_id(token_counts(df, path, block_chars=300), "n_bytes", "n_tokens", "over_limit") == want
+    assert by_id(token_counts(df, path, block_bytes=300), "n_bytes", "n_tokens", "over_limit") == want
     assert token_counts(empty, path).count() == 0
 
 

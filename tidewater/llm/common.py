@@ -59,9 +59,28 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows: the size check before a broadcast. Reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+def tidy() -> None:
+    """Gives free memory of this Python worker back, as it may stay for other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def per_worker(key: tuple, make):
+    """What a Python worker makes once and its later tasks find again."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidewater_worker", types.ModuleType("_tidewater_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +231,7 @@ def pieces_of(batches, column: int, most: int = 4 << 20):
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    tidy()
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

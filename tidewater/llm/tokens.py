@@ -1,106 +1,163 @@
 """Token counts by the method of distinct pre-tokens.
 
 A byte-level BPE never merges across pre-tokens, so a document has as many tokens as its pre-tokens have pieces. Each
-block of documents counts the pieces of a distinct pre-token once, joins these counts to the (document, pre-token)
-frequencies and sums. No token ids are made. A block is bounded by bytes of text, so memory is too. The join runs
-inside the block: shuffled over the whole corpus, its rows would be larger than the texts they stand for.
+block of documents is split once into (document, pre-token, frequency) rows, kept as arrays over the block's distinct pre-tokens. Those
+are reduced to the corpus's distinct pre-tokens, whose pieces are counted once; the counts are joined back to every
+block's pre-tokens, and the blocks' to their documents' frequencies, and summed. No token ids are made. What is shuffled
+are distinct pre-tokens of blocks and compressed frequencies, never a row for each pre-token of each document.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import Scratch, per_worker, pieces_of, tidy
+
 #: Fixed value: how the byte-level vocabulary splits a text (public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of a text that are split at a time, and pre-tokens that are encoded at a time.
+STRETCH, BATCH = 1 << 18, 4096
 
 
-class Pieces:
-    """Counts the pieces of distinct pre-tokens; remembers at most `remembered` of them, then starts anew."""
+class Splitter:
+    """Splits texts into pre-tokens as the vocabulary's file says."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str):
         import json
 
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
-        self.remembered = remembered
         self.find = regex.compile(PATTERN).findall
+        self.safe = regex.compile(r"(?<=\S)\s")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("only a byte-level vocabulary without a normaliser splits into independent pre-tokens this way")
-        special = [t for t in spec["added_tokens"]]
+        special = spec["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in special):
             raise ValueError("added tokens that take white space or need word ends aren't handled")
         self.special = [t["content"] for t in special]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if special else None
 
-    def pre_tokens(self, text: str) -> tuple[list[str], int]:
-        """A text's pre-tokens and how many special strings it holds; each is one token and parts the text."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.find(text), 0
-        parts = self.cut.split(text)
-        return [x for p in parts for x in self.find(p)], len(parts) - 1
-
-    def learn(self, distinct: list[str]) -> list[int]:
-        """Pieces of each distinct pre-token of a block."""
-        known = self.known
-        if len(known) + len(distinct) > self.remembered:
-            known.clear()
-        if new := [x for x in distinct if x not in known]:
-            known.update(zip(new, (len(e) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [known[x] for x in distinct]
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text of a block."""
-        lists, special = zip(*map(self.pre_tokens, texts), strict=True) if texts else ((), ())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes: dict[str, int] = {}
-        flat = np.fromiter((codes.setdefault(x, len(codes)) for pieces in lists for x in pieces), np.int64, int(sizes.sum()))
-        per = np.asarray(self.learn(list(codes)), np.int64)
-        docs = np.repeat(np.arange(len(lists)), sizes)
-        return np.bincount(docs, weights=per[flat], minlength=len(lists)).astype(np.int64) + np.asarray(special, np.int64)
-
-
-def blocks(texts: list[str], most: int) -> Iterator[slice]:
-    """Runs of texts of about `most` characters; a longer text is a block of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block_chars: int = 1 << 20) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row.
+    def stretches(self, text: str) -> Iterator[str]:
+        """The text in parts that split independently: no pre-token has white space behind other characters, so a part may end
+        before it."""
+        at = 0
+        while len(text) - at > 2 * STRETCH and (m := self.safe.search(text, at + STRETCH)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
 
-    tokenizer_path: a byte-level `tokenizers` file that each executor can open. Null texts count as empty (0 tokens); equal
-    rows give equal rows; an empty table gives none; other columns, whatever their names, are not read. Strings of special
-    tokens inside a text are handled as the library does by default: each is one token.
-    """
+    def frequencies(self, text: str) -> tuple[Counter, int]:
+        """A text's pre-tokens with their frequencies, and how many special strings it holds; each is one token and parts the text."""
+        found, special, parts = Counter(), 0, [text]
+        if self.cut is not None and any(s in text for s in self.special):
+            parts = self.cut.split(text)
+            special = len(parts) - 1
+        for part in parts:
+            for stretch in self.stretches(part):
+                found.update(self.find(stretch))
+        return found, special
+
+
+def encoder(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> DataFrame:
+    """A row per block of rows (id, text): its documents' ids, bytes and special strings, how many distinct pre-tokens each has, which
+    (int32 codes) and how often, and the block's distinct pre-tokens in order of their codes."""
+    schema = f"block long, ids array<{kind}>, n_bytes array<long>, special array<long>, sizes array<int>, codes binary, freqs binary, pieces array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        splitter = per_worker(("splitter", path), lambda: Splitter(path))
+        block = TaskContext.get().partitionId() << 32
+        for batch in pieces_of(batches, 1, block_bytes):
+            known: dict[str, int] = {}
+            codes, freqs, special = [], [], []
+            for text in batch.column(1):
+                found, n = splitter.frequencies(text.as_py() or "")
+                codes.append(np.fromiter((known.setdefault(x, len(known)) for x in found), np.int32, len(found)))
+                freqs.append(np.fromiter(found.values(), np.int32, len(found)))
+                special.append(n)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            whole = lambda parts: np.concatenate(parts).tobytes() if parts else b""
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            out = [pa.array([block], pa.int64()), one(batch.column(0)), one(sizes), one(pa.array(special, pa.int64())), one(pa.array(list(map(len, codes)), pa.int32())),
+                   pa.array([whole(codes)], pa.binary()), pa.array([whole(freqs)], pa.binary()), one(pa.array(list(known), pa.string()))]
+            yield pa.RecordBatch.from_arrays(out, names=["block", "ids", "n_bytes", "special", "sizes", "codes", "freqs", "pieces"])
+            block += 1
+            del known, codes, freqs, out
+        tidy()
+
+    return rows.mapInArrow(run, schema)
+
+
+def count_pieces(distinct: DataFrame, path: str) -> DataFrame:
+    """(piece, n): the tokens of each distinct pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [pieces.count(texts[s]) for s in blocks(texts, block_chars)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], ["id", "n_bytes", "n_tokens"]
-            )
+        tokenizer = per_worker(("tokenizer", path), lambda: encoder(path))
+        for batch in pieces_of(batches, 0):
+            for start in range(0, batch.num_rows, BATCH):
+                some = batch.column(0).slice(start, BATCH)
+                n = [len(e) for e in tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([some, pa.array(n, pa.int32())], ["piece", "n"])
+        tidy()
+
+    return distinct.select("piece").mapInArrow(run, "piece string, n int")
+
+
+def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the counts of their pre-tokens, in order of the codes, to rows (id, n_bytes, n_tokens)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, n_bytes, special, sizes = (batch.column(c)[i].values for c in range(4))
+            codes, freqs = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (4, 5))
+            n = batch.column(6)[i].values
+            n = np.zeros(0, np.int64) if n is None else n.to_numpy(zero_copy_only=False)
+            per = n[codes].astype(np.int64) * freqs
+            sums = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(sizes.to_numpy())])]
+            yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(np.diff(sums) + special.to_numpy())], ["id", "n_bytes", "n_tokens"])
+    tidy()
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) of every row.
 
+    tokenizer_path: a byte-level `tokenizers` file that each executor can open. Null texts count as empty (0 tokens); null ids are
+    ids; equal rows give equal rows; a very long text is a block of its own, split a stretch at a time; nothing is ranked, so there are no ties;
+    an empty table gives none; other columns, whatever their names, are not read. Strings of special tokens inside a
+    text are handled as the library does by default: each is one token. A block is about `block_bytes` of text.
+    """
+    scratch = Scratch(docs.sparkSession, "tokens")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    blocks = scratch.put(split_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, tokenizer_path, block_bytes), "blocks")
+    own = blocks.select("block", F.posexplode("pieces").alias("code", "piece"))
+    # A pre-token that is in every block is one row of each task before it is shuffled.
+    distinct = own.groupBy("piece").agg(F.count("*").alias("blocks"))
+    counted = scratch.put(count_pieces(distinct, tokenizer_path), "counted")
+    # Written without an exchange above it, so that Spark may split the rows of a pre-token that very many blocks hold.
+    priced = scratch.put(own.join(counted, "piece").select("block", "code", "n"), "priced")
+    per_block = priced.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda x: x["n"]).alias("n"))
+    joined = blocks.drop("pieces").join(per_block.withColumnRenamed("block", "__block"), F.col("block") == F.col("__block"), "left")
+    columns = ["ids", "n_bytes", "special", "sizes", "codes", "freqs", "n"]
+    out = joined.select(*columns).mapInArrow(sum_up, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
