@@ -129,3 +129,29 @@ def test_all_candidates_are_scored(spark):
     assert got[0] == [("like_hex", 3, 15)] and got[1] == [("like_hex", 3, 15)] and got[2] == []
     assert got[3] == [("like_hex", 2, 23), ("hex", 4, 20)]
     assert got[4] == [("hex", 0, 16)] and got[5] == [("assign", 0, 21)]
+
+
+def test_embedding_links_recall(spark):
+    """64 components, many lists: links of cosines down to 0.93 against brute force, and a large group of near copies whole."""
+    import numpy as np
+
+    from tidewater.llm.embeddings import embedding_links
+
+    rng = np.random.default_rng(14)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    base = unit(rng.normal(size=(1500, 64)))
+    away = unit(rng.normal(size=(1500, 64)))
+    away = unit(away - (away * base).sum(1)[:, None] * base)
+    c = rng.uniform(0.9301, 0.99, size=(1500, 1))
+    copies = c * base + np.sqrt(1 - c * c) * away
+    group = unit(base[:1] + 0.01 * rng.normal(size=(600, 64)))
+    x = np.concatenate([base, copies, group])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1)], "vec_id long, embedding array<double>, label int").repartition(4)
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 0)
+    want = (cosine >= 0.93).sum(1)
+    got = {r.vec_id: r for r in embedding_links(df, most=2000, block=256).collect()}
+    assert got[None].kept and got[None].n_links == 0
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
+    assert (n[3000:] >= 599).all() and len({got[i].component_id for i in range(3000, 3600)}) == 1
