@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
-Each source's words are packed, document after document, into blocks of a fixed length. Its target gives it slots; each
-slot draws its output shard at random, so a shard's counts by source are multinomial given the totals. Slot j of a source
-goes through a pseudorandom permutation of the source's block indices (swap-or-not, one key per pass over the source), so a
-pass takes each block once, and blocks are joined to slots by index: the words themselves go to the shards, and what is taken of
-a document is counted there.
+Each source's words are packed, document after document, into blocks of one fixed length. Its target gives it slots; each
+slot draws its output shard at random, so a shard's counts by source are multinomial given the sources' totals, which are fixed so
+that the targets are met. Slot j of a source goes through a pseudorandom permutation of the source's block indices (swap-or-not, one
+key per pass over the source), so a pass takes each block once, and blocks are joined to slots by index. What a slot takes of a document
+is counted there, and the document's words are then cut for all its slots at once, so that each text is shuffled once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch
+from tidewater.llm.common import Scratch, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space behind it.
@@ -38,8 +38,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return rows.select("source", "rank", "source_size", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int, rounds: int) -> DataFrame:
-    """Replaces index by its image under a pseudorandom permutation of [0, n) for each value of the keys (swap-or-not)."""
+def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int, rounds: int, back: bool = False) -> DataFrame:
+    """Replaces index by its image under a pseudorandom permutation of [0, n) for each value of the keys (swap-or-not). back: by what
+    it is the image of; each round undoes itself."""
     keyed = F.xxhash64(F.lit(seed), *keys)
 
     def turn(i: Column, r: Column) -> Column:
@@ -48,25 +49,20 @@ def permuted(df: DataFrame, index: str, n: str, keys: list[str], seed: int, roun
         swap = lambda j: F.when(F.xxhash64(r, keyed, F.greatest(i, j)).bitwiseAND(F.lit(1)) == 1, j).otherwise(i)
         return F.element_at(F.transform(other, swap), 1)
 
-    return df.withColumn(index, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col(index), turn))
+    order = (rounds, 1) if back else (1, rounds)
+    return df.withColumn(index, F.aggregate(F.sequence(*map(F.lit, order)), F.col(index), turn))
 
 
-def ranges(words: Column | None) -> Column:
-    """A document's pieces, one per block: the block, the document's word that it begins with, its place in the block, its number
-    of words and, from an array of the words, its text."""
+def ranges() -> Column:
+    """A document's pieces, one per block: the block, the document's word that it begins with, its place in the block and its number of words."""
     start, size, length = F.col("start"), F.col("size"), F.col("length")
 
-    def piece(block: Column, own: Column | None) -> Column:
+    def piece(block: Column) -> Column:
         first = F.greatest(block * length - start, F.lit(0))
         n = F.least((block + 1) * length - start, size) - first
-        text = [] if own is None else [F.array_join(F.slice(own, (first + 1).cast("int"), n.cast("int")), "").alias("text")]
-        return F.struct(block.alias("block"), first.alias("first"), (start + first - block * length).alias("at"), n.alias("words"), *text)
+        return F.struct(block.alias("block"), first.alias("first"), (start + first - block * length).alias("at"), n.alias("words"))
 
-    blocks = F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length"))
-    if words is None:
-        return F.transform(blocks, lambda b: piece(b, None))
-    # F.transform over one element names the words, so that they are found once
-    return F.element_at(F.transform(F.array(words), lambda own: F.transform(blocks, lambda b: piece(b, own))), 1)
+    return F.transform(F.sequence(F.expr("start div length"), F.expr("(start + size - 1) div length")), piece)
 
 
 class Mixture:
@@ -86,76 +82,79 @@ class Mixture:
         return self.shards.groupBy("shard", "rank", "slot").agg(F.array_join(parts, "\n").alias("text"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, length: int = 64, per_shard: int = 8192, seed: int = 17, rounds: int = 12) -> Mixture:
-    """Takes words of all documents until each source comes to its target; see Mixture.
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, length: int = 64, per_shard: int = 8192, per_chunk: int = 500, seed: int = 17, rounds: int = 12) -> Mixture:
+    """Takes words of all documents until each source comes to its target, rounded to a word; see Mixture.
 
-    length: words of a block, fewer for sources of under 1,024 such blocks so that rounding stays below a thousandth of the
-    source. A document's size is its count of [^\\x20\\x09-\\x0D]+; null or empty texts have size 0 and nothing taken. A null
-    source is a source, the last. Repeated rows are documents of their own. An empty table, or one without words, gives targets of
-    0. Other columns are not read. The seed fixes every draw, so reruns agree.
+    length: words of a block; only a source's last block may have fewer. A document's size is its count of [^\\x20\\x09-\\x0D]+; null or
+    empty texts have size 0 and nothing taken. A null source is a source, the last; null ids are ids. Repeated rows are documents of their own; rows
+    that tie (equal id and text) take places next to each other, in either order. A very long text is packed into many blocks. An
+    empty table, or one without words, gives targets of 0. Other columns are not read. The seed fixes every draw, so reruns agree.
+    per_chunk: documents, about, of one source whose places are summed up together.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    sizes = scratch.put(texts.drop("text"), "sizes")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sizes = scratch.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("h")), "sizes")
     n_rows = sizes.count()
-    sources = targets(sizes, weights, most)
-    fixed = F.greatest(F.lit(1), F.least(F.lit(length), F.expr("source_size div 1024"))).cast("long")
-    sources = sources.withColumn("length", fixed).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
+    sources = targets(sizes, weights, most).withColumn("length", F.lit(length).cast("long"))
+    sources = sources.withColumn("n_blocks", F.expr("(source_size + length - 1) div length"))
     sources = sources.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * most))
-    # Whole passes over the source, then blocks of one more pass, then the first words of one more block.
-    whole = F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)
-    rest = F.when(F.col("source_size") > 0, F.expr("words % source_size")).otherwise(0)
-    sources = sources.withColumn("whole", whole).withColumn("rest", rest).withColumn("part", F.expr("rest % length"))
-    sources = sources.withColumn("n_slots", F.expr("whole * n_blocks + rest div length + if(part > 0, 1, 0)"))
+    # Whole passes over the source, then blocks of one more pass, then the first words of one more block. Where the source's last,
+    # shorter block is among them, the slots behind it make up for what it lacks.
+    some = F.col("source_size") > 0
+    sources = sources.withColumn("pass", F.when(some, F.expr("words div source_size")).otherwise(F.lit(0).cast("long")))
+    sources = sources.withColumn("rest", F.when(some, F.expr("words % source_size")).otherwise(F.lit(0).cast("long")))
+    sources = sources.withColumn("lacks", F.expr("n_blocks * length - source_size")).withColumn("short_at", F.col("n_blocks") - 1)
+    sources = permuted(sources.withColumn("n_blocks", F.greatest("n_blocks", F.lit(1).cast("long"))), "short_at", "n_blocks", ["rank", "pass"], seed + 2, rounds, back=True)
+    sources = sources.withColumn("rest", F.expr("rest + if(lacks > 0 and least(rest - short_at * length, length) > length - lacks, lacks, 0)"))
+    sources = sources.withColumn("part", F.expr("rest % length"))
+    sources = sources.withColumn("n_slots", F.expr("pass * n_blocks + rest div length + if(part > 0, 1, 0)"))
     sources = scratch.put(sources, "sources")
 
     # Each document's place in its source: chunks of a bounded number of rows are summed, then the rows within each.
-    n_chunks = max(1, -(-n_rows // 2000))
-    own = sources.drop("target", "words", "whole", "rest", "part")
-
-    def deal(rows: DataFrame) -> DataFrame:
-        both = rows.join(own, rows["source"].eqNullSafe(own["source"])).drop(own["source"])
-        return both.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_chunks)))
-
-    sums = deal(sizes).groupBy("rank", "chunk", "source_size", "n_slots").agg(F.sum("size").alias("in_chunk"))
+    n_chunks = max(1, -(-n_rows // per_chunk))
+    own = sources.select("source", "rank", "source_size", "length", "n_slots")
+    both = sizes.join(own, sizes["source"].eqNullSafe(own["source"])).drop(own["source"])
+    dealt = both.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_chunks)))
+    sums = dealt.groupBy("rank", "chunk", "source_size", "n_slots").agg(F.sum("size").alias("in_chunk"))
     base = F.sum("in_chunk").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("in_chunk")
     chunks = scratch.put(sums.withColumn("base", base), "chunks")
-
-    def place(rows: DataFrame) -> DataFrame:
-        """Rows with their start in their source. Ties are equal texts, so rows with texts are placed as those without."""
-        within = Window.partitionBy("rank", "chunk").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
-        found = deal(rows).withColumn("upto", F.sum("size").over(within)).join(chunks.select("rank", "chunk", "base"), ["rank", "chunk"])
-        return found.withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-
-    placed = scratch.put(place(sizes).select("id", "rank", "size", "start", "length"), "placed")
-    blocks = placed.filter("size > 0").select("rank", "id", "start", F.explode(ranges(None)).alias("p")).select("rank", "p.block", "id", "start", "p.first", "p.at", "p.words")
+    within = Window.partitionBy("rank", "chunk").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("upto", F.sum("size").over(within)).join(chunks.select("rank", "chunk", "base"), ["rank", "chunk"])
+    placed = scratch.put(placed.withColumn("start", F.expr("base + upto - size")).select("id", "h", "rank", "size", "start", "length"), "placed")
+    scratch.drop("sizes")
+    blocks = placed.filter("size > 0").select("rank", "id", "h", "start", F.explode(ranges()).alias("p")).select("rank", "p.block", "id", "h", "start", "p.first", "p.at", "p.words")
 
     # Slots: each chunk makes its share of its source's slot numbers.
     upto = lambda at: F.floor(F.col("n_slots") * (at / F.col("source_size"))).cast("long")
     some = chunks.filter("in_chunk > 0 and n_slots > 0").withColumn("lo", upto(F.col("base"))).withColumn("hi", upto(F.col("base") + F.col("in_chunk")))
-    slots = some.filter("hi > lo").select("rank", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("slot"))
+    # The table of chunks is small and so is read by one task; what it makes is dealt out before.
+    some = some.filter("hi > lo").repartition(partitions(spark), "rank", "chunk")
+    slots = some.select("rank", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("slot"))
     slots = slots.join(sources.select("rank", "n_blocks", "n_slots", "length", "part"), "rank")
     total = sources.agg(F.sum("n_slots")).first()[0] or 0
     slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "slot"), F.lit(max(1, -(-total // per_shard)))))
     slots = slots.withColumn("pass", F.expr("slot div n_blocks")).withColumn("block", F.expr("slot % n_blocks"))
     slots = permuted(slots, "block", "n_blocks", ["rank", "pass"], seed + 2, rounds)
     last = (F.col("slot") == F.col("n_slots") - 1) & (F.col("part") > 0)
-    slots = slots.select("shard", "rank", "slot", "pass", "block", F.when(last, F.col("part")).otherwise(F.col("length")).alias("words"), last.alias("short"))
+    slots = slots.select("shard", "rank", "slot", "pass", "block", F.when(last, F.col("part")).otherwise(F.col("length")).alias("words"))
 
     # Blocks are joined by index: each slot gets its block's words, the last one of a source perhaps only the first of them.
-    pieces = place(texts.filter("size > 0")).filter("n_slots > 0")
-    pieces = pieces.select("rank", "id", "start", F.explode(ranges(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)))).alias("p"))
-    pieces = pieces.select("rank", "p.block", "id", "start", "p.first", "p.at", F.col("p.words").alias("n"), "p.text")
-    joined = pieces.join(slots.drop("short"), ["rank", "block"]).filter("at < words").withColumn("m", F.least("n", F.expr("words - at")))
-    beginning = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED), F.lit(0)), F.lit(1), F.col("m").cast("int")), "")
-    text = F.when(F.col("m") < F.col("n"), beginning).otherwise(F.col("text"))
-    shards = scratch.put(joined.select("shard", "rank", "slot", "pass", "block", "id", "start", "first", "at", F.col("m").alias("words"), text.alias("text")), "shards")
-    per_doc = shards.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
-    full = placed.join(per_doc, ["rank", "start"], "left")
-    shares = sources.select("rank", "source_size", "target")
-    out = full.join(shares, "rank").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
-    )
-    return Mixture(out, slots.drop("short"), sources.select("source", "rank", "source_size", "target", "length", "n_blocks", "words"), blocks, shards)
+    joined = blocks.withColumnRenamed("words", "n").join(slots, ["rank", "block"]).filter("at < words").withColumn("words", F.least("n", F.expr("words - at")))
+    piece = F.struct("shard", "slot", "pass", "block", "first", "at", "words")
+    wanted = joined.groupBy("rank", "start").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.sum("words").alias("taken"), F.collect_list(piece).alias("pieces"))
+    wanted = scratch.put(wanted, "wanted")
+    # Of rows with one id and text, one gives its words to all.
+    same = Window.partitionBy("id", "h").orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)
+    once = texts.withColumn("before", F.count("*").over(same)).filter("before = 0").drop("before")
+    once = once.select(F.col("id").alias("of"), F.col("h").alias("text_h"), "text")
+    full = wanted.join(once, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_h")))
+    words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
+    cut = lambda own: F.transform("pieces", lambda p: F.struct(p.alias("p"), F.array_join(F.slice(own, (p["first"] + 1).cast("int"), p["words"].cast("int")), "").alias("text")))
+    # F.transform over one element names the words, so that they are found once
+    cuts = full.select("rank", "id", "start", F.explode(F.element_at(F.transform(F.array(words), cut), 1)).alias("c"))
+    shards = scratch.put(cuts.select("c.p.shard", "rank", "c.p.slot", "c.p.pass", "c.p.block", "id", "start", "c.p.first", "c.p.at", "c.p.words", "c.text"), "shards")
+    out = placed.join(wanted.select("rank", "start", "taken"), ["rank", "start"], "left").join(sources.select("rank", "source_size", "target"), "rank")
+    out = out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    return Mixture(out, slots, sources.select("source", "rank", "source_size", "target", "length", "n_blocks", "words"), blocks.drop("h"), shards)
