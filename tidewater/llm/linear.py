@@ -60,45 +60,108 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35, dtype=x.dtype)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 12) -> np.ndarray:
-    """Weights, the last one the intercept, by Newton steps on the log loss + l2 / 2 * |w|**2 (the intercept hardly shrinks)."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    shrink = np.full(x.shape[1], l2)
-    shrink[-1] = 1e-3
-    w = np.zeros(x.shape[1])
-    loss = np.inf
-    step = w
-    for _ in range(rounds):
-        z = (x @ w.astype(np.float32)).astype(float)
-        now = float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * shrink @ (w * w))
-        if now > loss + 1e-9:  # too long a step
-            step = step / 2
-            w = w - step
-            continue
-        if loss - now < 1e-5 * max(1.0, now):
-            break
-        loss = now
-        p = sigmoid(z)
-        grad = x.T @ (p - y).astype(np.float32) + shrink * w
-        curved = x * np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None]
-        step = -np.linalg.solve((curved.T @ curved).astype(float) + np.diag(shrink), grad)
-        w = w + step
-    return w
+@dataclass
+class Rows:
+    """A sparse matrix of ones at (row, column), beside dense columns and a last column of ones for the intercept."""
+
+    row: np.ndarray
+    column: np.ndarray
+    width: int  # of the sparse part
+    dense: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return self.width + self.dense.shape[1] + 1
+
+    def __len__(self) -> int:
+        return len(self.dense)
 
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=len(self)) + self.dense @ w[self.width : -1] + w[-1]
 
-def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transpose times v."""
+        return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.width), self.dense.T @ v, [v.sum()]])
+
+    def squared_back(self, v: np.ndarray) -> np.ndarray:
+        """The transpose of the squares times v."""
+        return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.width), (self.dense**2).T @ v, [v.sum()]])
+
+    def take(self, which: np.ndarray) -> Rows:
+        place = np.full(len(self), -1)
+        place[which] = np.arange(len(which))
+        some = place[self.row] >= 0
+        return Rows(place[self.row[some]], self.column[some], self.width, self.dense[which])
+
+    def beside(self, column: np.ndarray) -> Rows:
+        return Rows(self.row, self.column, self.width, np.hstack([self.dense, column[:, None]]))
+
+    def loss(self, w: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log loss, gradient and the diagonal of the Hessian."""
+        z = self.times(w)
+        p = sigmoid(z)
+        return float(np.sum(np.logaddexp(0, z) - y * z)), self.back(p - y), self.squared_back(p * (1 - p))
+
+
+class Descent:
+    """L-BFGS, told the loss and gradient at w, wherever they come from, until it is done."""
+
+    def __init__(self, w: np.ndarray, l2: float, memory: int = 12, tolerance: float = 1e-6):
+        self.w, self.memory, self.tolerance, self.done = w, memory, tolerance, False
+        self.shrink = np.full(len(w), l2)
+        self.shrink[-1] = 1e-3  # the intercept hardly shrinks
+        self.base = self.grad = self.scale = self.step = None
+        self.best, self.length, self.slope, self.pairs = np.inf, 1.0, 0.0, []
+
+    def tell(self, loss: float, grad: np.ndarray, curve: np.ndarray) -> None:
+        """Loss, gradient and Hessian's diagonal at w, without the penalty."""
+        loss = loss + 0.5 * float(self.shrink @ (self.w * self.w))
+        grad = grad + self.shrink * self.w
+        if self.base is not None:
+            if not loss <= self.best + 1e-4 * self.length * self.slope:  # too long a step
+                self.length /= 2
+                self.w, self.done = (self.base, True) if self.length < 1e-3 else (self.base + self.length * self.step, False)
+                return
+            s, y = self.w - self.base, grad - self.grad
+            if s @ y > 1e-12:
+                self.pairs = [*self.pairs, (s, y)][-self.memory :]
+            if self.best - loss < self.tolerance * max(1.0, loss):
+                self.done = True
+                return
+        self.base, self.grad, self.best = self.w, grad, loss
+        self.scale = 1 / (curve + self.shrink)
+        q, known = grad.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s @ q) / (s @ y)
+            known.append(a)
+            q -= a * y
+        q *= self.scale
+        for (s, y), a in zip(self.pairs, reversed(known), strict=True):
+            q += (a - (y @ q) / (s @ y)) * s
+        self.step, self.slope, self.length = -q, -float(grad @ q), 1.0
+        self.w = self.base + self.step
+
+
+def fit_logistic(x: Rows, y: np.ndarray, l2: float = 0.3, rounds: int = 200) -> np.ndarray:
+    """Weights, the last one the intercept, of the least log loss + l2 / 2 * |w|**2."""
+    found = Descent(np.zeros(x.size), l2)
+    for _ in range(rounds):
+        if found.done:
+            break
+        found.tell(*x.loss(found.w, y))
+    return found.w if found.base is None or found.done else found.base
 
 
 @dataclass
 class Vocabulary:
-    """The features a linear model reads: the ones most associated with a label, by chi-squared, in at least `least` texts."""
+    """The features a linear model reads: those associated with a label, by chi-squared with p < 0.001, in at least `least` texts; if there
+    are more than `most`, those most associated."""
 
     chosen: np.ndarray  # ascending
     size: int
 
     @staticmethod
-    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int = 300, least: int = 8) -> Vocabulary:
+    def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int, least: int = 8) -> Vocabulary:
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         names, flat = np.unique(flat, return_inverse=True)
@@ -121,13 +184,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.chosen, ids), self.size - 1)
         return np.where(self.chosen[at] == ids, at, -1)
 
-    def dense(self, lists: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(lists), self.size + stats.shape[1]), np.float32)
-        for i, ids in enumerate(lists):
-            c = self.columns(ids)
-            x[i, c[c >= 0]] = 1
-        x[:, self.size :] = stats
-        return x
+    def rows(self, lists: list[np.ndarray], stats: np.ndarray) -> Rows:
+        found = [np.unique(c[c >= 0]) for c in map(self.columns, lists)]
+        row = np.repeat(np.arange(len(lists)), [len(c) for c in found])
+        return Rows(row, np.concatenate(found) if found else np.zeros(0, np.int64), self.size, stats.astype(float))
 
     def hits(self, docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, column) of a batch."""

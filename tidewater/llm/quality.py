@@ -3,7 +3,7 @@
 Each view has a logistic model of its own. In every round a view labels all unlabelled documents and hands the labels that it is
 sure of to the other view, which trains on them beside the true labels. Then each view is calibrated on held-out
 labels, and the calibrated views are combined to score all documents. Only the labelled documents are a bounded sample, held by
-the driver; the unlabelled ones stay where they are, and each Newton step adds up their gradients and Hessians.
+the driver; the unlabelled ones stay where they are, and each step of the descent adds up their losses and gradients.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, pieces_of
-from tidewater.llm.linear import BITS, STATS, Vocabulary, features, featurise, fit_logistic, logits, sigmoid, unpacked
+from tidewater.llm.common import Scratch, pieces_of, tidy
+from tidewater.llm.linear import BITS, STATS, Descent, Rows, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
+from tidewater.llm.linear import features as features_of
 
 #: Views: text, metadata. Sums of the tasks are added up in pieces of so many numbers.
 VIEWS, PIECE = 2, 8192
@@ -46,7 +47,7 @@ class Judge:
     content: View
     meta: View
     combined: np.ndarray
-    held_out: float
+    held_out: float  # the share of held-out labels that the combined views get right
     used: list  # per round and view: how many unlabelled documents it was fitted on
 
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -58,8 +59,13 @@ class Judge:
         return self.combine(c, m)
 
     def combine(self, c: np.ndarray, m: np.ndarray) -> np.ndarray:
-        views = np.stack([logits(x[:, None], v.scale) for x, v in ((c, self.content), (m, self.meta))], 1)
-        return np.stack([*sigmoid(views).T, sigmoid(logits(views, self.combined))], 1)
+        views = np.stack([plain(x[:, None]).times(v.scale) for x, v in ((c, self.content), (m, self.meta))], 1)
+        return np.stack([*sigmoid(views).T, sigmoid(plain(views).times(self.combined))], 1)
+
+
+def plain(x: np.ndarray) -> Rows:
+    """Dense columns alone."""
+    return Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, x)
 
 
 def rows_of(columns: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +80,7 @@ def compact(docs: DataFrame, id_col: str, text_col: str, meta: Column, words: Vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1):
             n = batch.num_rows
-            docs, ids, stats = features(batch.column(1))
+            docs, ids, stats = features_of(batch.column(1))
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
             who = np.repeat(np.arange(n), np.diff(batch.column(2).offsets.to_numpy()))
             lists = []
@@ -95,10 +101,10 @@ class Far:
         self.rows, self.vocabularies, self.sure = rows.select("content", "stats", "meta"), (words, names), sure
 
     def sums(self, teachers: list[np.ndarray], weights: list[np.ndarray], active: list[bool]) -> list[tuple[int, float, np.ndarray, np.ndarray]]:
-        """Per view: documents, log loss, gradient and Hessian over those that the other view's teacher is sure of."""
+        """Per view: documents, log loss, gradient and the Hessian's diagonal over those that the other view's teacher is sure of."""
         vocabularies, sure = self.vocabularies, self.sure
         sizes = [len(w) for w in weights]
-        ends = np.cumsum([2 + m + m * m for m in sizes])
+        ends = np.cumsum([2 + 2 * m for m in sizes])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(ends[-1])
@@ -107,29 +113,21 @@ class Far:
                     batch = whole.slice(start, 4096)
                     n = batch.num_rows
                     stats = [np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(n, len(STATS)), np.zeros((n, 0))]
-                    hits = [rows_of(batch.column(c), n) for c in (0, 2)]
-                    judged = [sigmoid(v.logits(*h, x, t)) for v, h, x, t in zip(vocabularies, hits, stats, teachers, strict=True)]
+                    views = [Rows(*rows_of(batch.column(c), n), v.size, x) for c, v, x in zip((0, 2), vocabularies, stats, strict=True)]
+                    judged = [sigmoid(x.times(t)) for x, t in zip(views, teachers, strict=True)]
                     for v in range(VIEWS):
                         p = judged[1 - v]
                         some = np.flatnonzero((p >= sure) | (p <= 1 - sure))
                         if not active[v] or not len(some):
                             continue
-                        m, size = sizes[v], vocabularies[v].size
-                        x = np.zeros((n, m), np.float32)
-                        x[hits[v]] = 1
-                        x[:, size:-1] = stats[v]
-                        x[:, -1] = 1
-                        x, y = x[some], (p[some] > 0.5).astype(float)
-                        z = (x @ weights[v].astype(np.float32)).astype(float)
-                        q = sigmoid(z)
-                        curved = x * np.sqrt(np.maximum(q * (1 - q), 1e-6)).astype(np.float32)[:, None]
-                        at = ends[v] - (2 + m + m * m)
-                        total[at] += len(some)
-                        total[at + 1] += np.sum(np.logaddexp(0, z) - y * z)
-                        total[at + 2 : at + 2 + m] += x.T @ (q - y).astype(np.float32)
-                        total[at + 2 + m : ends[v]] += (curved.T @ curved).astype(float).ravel()
+                        m, at = sizes[v], ends[v] - (2 + 2 * sizes[v])
+                        loss, grad, curve = views[v].take(some).loss(weights[v], (p[some] > 0.5).astype(float))
+                        total[at : at + 2] += len(some), loss
+                        total[at + 2 : at + 2 + m] += grad
+                        total[at + 2 + m : ends[v]] += curve
             pieces = range(0, len(total), PIECE)
             yield pa.RecordBatch.from_arrays([pa.array([i // PIECE for i in pieces], pa.int32()), pa.array([total[i : i + PIECE].tobytes() for i in pieces], pa.binary())], ["piece", "sums"])
+            tidy()
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: dict[int, np.ndarray] = {}
@@ -140,72 +138,61 @@ class Far:
 
         kind = "piece int, sums binary"
         total = np.zeros(ends[-1])
-        for r in self.rows.mapInArrow(run, kind).repartition(6, "piece").mapInArrow(add_up, kind).collect():  # two Hessians, whatever the input
+        for r in self.rows.mapInArrow(run, kind).repartition(6, "piece").mapInArrow(add_up, kind).collect():  # four vectors, whatever the input
             total[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.sums, np.float64)
-        parts = [total[e - (2 + m + m * m) : e] for e, m in zip(ends, sizes, strict=True)]
-        return [(int(x[0]), float(x[1]), x[2 : 2 + m], x[2 + m :].reshape(m, m)) for x, m in zip(parts, sizes, strict=True)]
+        parts = [total[e - (2 + 2 * m) : e] for e, m in zip(ends, sizes, strict=True)]
+        return [(int(x[0]), float(x[1]), x[2 : 2 + m], x[2 + m :]) for x, m in zip(parts, sizes, strict=True)]
 
 
-def fit_far(xs: list[np.ndarray], y: np.ndarray, far: Far, before: list[np.ndarray], l2: float = 0.3, steps: int = 12) -> tuple[list[np.ndarray], list[int]]:
+def fit_far(xs: list[Rows], y: np.ndarray, far: Far, before: list[np.ndarray], l2: float = 0.3, steps: int = 40, tolerance: float = 1e-4) -> tuple[list[np.ndarray], list[int]]:
     """fit_logistic for both views, on the labelled rows here and the documents of far that the other view, with its weights
     before, is sure of. Also how many documents those were."""
-    xs = [np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32) for x in xs]
-    weights, step = list(before), [np.zeros(len(w)) for w in before]
-    loss, active, used = [np.inf] * VIEWS, [True] * VIEWS, [0] * VIEWS
+    found, used = [Descent(w, l2, tolerance=tolerance) for w in before], [0] * VIEWS
     for _ in range(steps):
+        active = [not d.done for d in found]
         if not any(active):
             break
-        sums = far.sums(before, weights, active)
+        sums = far.sums(before, [d.w for d in found], active)
         for v, x in enumerate(xs):
-            if not active[v]:
-                continue
-            n, far_loss, far_grad, far_hess = sums[v]
-            used[v] = n
-            w = weights[v]
-            shrink = np.full(len(w), l2)
-            shrink[-1] = 1e-3
-            z = (x @ w.astype(np.float32)).astype(float)
-            now = float(np.sum(np.logaddexp(0, z) - y * z) + far_loss + 0.5 * shrink @ (w * w))
-            if now > loss[v] + 1e-9 * max(1.0, now):  # too long a step
-                step[v] = step[v] / 2
-                weights[v] = w - step[v]
-                continue
-            if loss[v] - now < 1e-5 * max(1.0, now):
-                active[v] = False
-                continue
-            loss[v] = now
-            p = sigmoid(z)
-            curved = x * np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)[:, None]
-            grad = x.T @ (p - y).astype(np.float32) + far_grad + shrink * w
-            step[v] = -np.linalg.solve((curved.T @ curved).astype(float) + far_hess + np.diag(shrink), grad)
-            weights[v] = w + step[v]
-    return weights, used
-
-
-def co_train(xs: list[np.ndarray], y: np.ndarray, held: np.ndarray, vocabularies: tuple[Vocabulary, Vocabulary], far: Far, rounds: int = 3) -> Judge:
+            if active[v]:
+                own = x.loss(found[v].w, y)
+                used[v] = sums[v][0]
+                found[v].tell(*(a + b for a, b in zip(own, sums[v][1:], strict=True)))
+    return [d.w if d.done else d.base for d in found], used
+
+
+def co_train(xs: list[Rows], y: np.ndarray, held: np.ndarray, vocabularies: tuple[Vocabulary, Vocabulary], far: Far, rounds: int = 3) -> Judge:
     """y: 1 or 0 of the labelled rows xs. Those that are held out are for calibration."""
     fit = np.setdiff1d(np.arange(len(y)), held)
-    weights = [fit_logistic(x[fit], y[fit].astype(float)) for x in xs]
+    own, known = [x.take(fit) for x in xs], y[fit].astype(float)
+    weights = [fit_logistic(x, known) for x in own]
     used = []
     for _ in range(rounds):
-        weights, n = fit_far([x[fit] for x in xs], y[fit].astype(float), far, weights)
+        weights, n = fit_far(own, known, far, weights)
         used.append(n)
-    out = [logits(x[held], w) for x, w in zip(xs, weights, strict=True)]
-    scales = [fit_logistic(o[:, None], y[held].astype(float), 0.1) for o in out]
-    views = np.stack([logits(o[:, None], s) for o, s in zip(out, scales, strict=True)], 1)
-    combined = fit_logistic(views, y[held].astype(float), 0.1)
-    right = float(((logits(views, combined) > 0) == (y[held] == 1)).mean()) if len(held) else 0.0
+    out = [x.take(held).times(w) for x, w in zip(xs, weights, strict=True)]
+    known = y[held].astype(float)
+    scales = [fit_logistic(plain(o[:, None]), known, 0.1) for o in out]
+    views = np.stack([plain(o[:, None]).times(s) for o, s in zip(out, scales, strict=True)], 1)
+    combined = fit_logistic(plain(views), known, 0.1)
+    right = float(((plain(views).times(combined) > 0) == (known == 1)).mean()) if len(held) else 0.0
     return Judge(*(View(v, w, s) for v, w, s in zip(vocabularies, weights, scales, strict=True)), combined, right, used)
 
 
-def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 5000) -> tuple[Judge, DataFrame] | None:
-    """Fits on at most `most` labelled documents, those of least hash, and on all documents without a label. Also compact() of
-    all documents. None if either label is missing."""
+def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 8000, features: int = 4096) -> tuple[Judge, DataFrame] | None:
+    """Fits on at most `most` labelled documents that are among docs, those of least hash, with at most so many features a view, and on
+    all documents without a label. Also compact() of all documents. None with fewer than ten labels of either kind.
+
+    A null label is no label; of several labels of one id the largest counts; of several rows with one id the one of least hash.
+    """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    some = known.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)  # the bound of the broadcast
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), meta.alias("meta")).join(F.broadcast(some), "id").select("text", "id", "meta", "y")
+    # Labels of documents that aren't there don't count against the bound.
+    there = docs.select(F.col(id_col).alias("id")).join(known, "id").distinct()
+    some = there.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)  # the bound of the broadcast
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), meta.alias("meta")).join(F.broadcast(some), "id")
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "meta", "y"), F.xxhash64("text", "meta")).alias("r")).select("r.text", "id", "r.meta", "r.y")
     sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, meta array<int>, y int, ids binary, stats binary").toPandas()
-    sample = sample.drop_duplicates("id").sort_values("id")
+    sample = sample.sort_values("id")
     y = sample["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
@@ -213,24 +200,25 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     own = [np.unique(np.array(m, np.int32)) for m in sample["meta"]]
     held = np.arange(len(y))[::5]
     fit = np.setdiff1d(np.arange(len(y)), held)
-    words = Vocabulary.choose([lists[i] for i in fit], [y[fit] == 1])
-    names = Vocabulary.choose([own[i] for i in fit], [y[fit] == 1], least=5)
+    words = Vocabulary.choose([lists[i] for i in fit], [y[fit] == 1], features)
+    names = Vocabulary.choose([own[i] for i in fit], [y[fit] == 1], features, least=5)
     scratch = Scratch(docs.sparkSession, "quality")
     every = scratch.put(compact(docs, id_col, text_col, meta, words, names), "compact")
     free = scratch.put(every.join(known.select("id"), "id", "left_anti").select("content", "stats", "meta"), "unlabelled")
-    xs = [words.dense(lists, stats), names.dense(own, np.zeros((len(own), 0)))]
+    xs = [words.rows(lists, stats), names.rows(own, np.zeros((len(own), 0)))]
     return co_train(xs, y, held, (words, names), Far(free, words, names, 0.95)), every
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 5000) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 8000, features: int = 4096) -> DataFrame:
     """(id, p_content, p_metadata, quality, kept) per row; kept if the combined quality is at least `least`.
 
     Null texts count as empty, null metadata is a value of its own, metadata columns that are missing are left out. With fewer
-    than ten labels of either kind nothing is learnt: all scores are 0.5 and all rows are kept. Equal rows get equal scores; an
-    empty table gives none; other columns are not read.
+    than ten labels of either kind nothing is learnt: all scores are 0.5 and all rows are kept. Null ids are scored like others, and count as
+    unlabelled. Long texts are read whole. Equal rows get equal scores, so ties are kept or go together; an
+    empty table gives none; other columns are not read. See train() for the bounds of the fit.
     """
     meta = metadata(list(meta_cols), docs, size_col)
-    found = train(docs, labels, meta, id_col=id_col, text_col=text_col, most=most)
+    found = train(docs, labels, meta, id_col=id_col, text_col=text_col, most=most, features=features)
     kind = docs.schema[id_col].dataType.simpleString()
     if found:
         judge, every = found

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import pieces_of
-from tidewater.llm.linear import STATS, Vocabulary, features, featurise, fit_logistic, logits, sigmoid, unpacked
+from tidewater.llm.linear import STATS, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
+from tidewater.llm.linear import features as features_of
 
 
 @dataclass
@@ -25,10 +26,10 @@ class Chain:
     words: Vocabulary
     weights: list[np.ndarray]
     thresholds: list[float]
-    held_out: dict[str, float]
+    held_out: dict[str, float]  # each category's F1 on out-of-fold predictions
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
-        docs, ids, stats = features(column)
+        docs, ids, stats = features_of(column)
         docs, columns = self.words.hits(docs, ids)
         known = stats
         for w in self.weights:
@@ -46,49 +47,56 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((sorted_p[k] + sorted_p[min(k + 1, len(p) - 1)]) / 2), float(f1[k])
 
 
-def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 4, l2: float = 0.3) -> Chain:
+def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 5, l2: float = 0.3, features: int = 4096) -> Chain:
     """labels: a column per category, 0 or 1; rows come in a fixed order, and row i is in fold i % folds."""
-    words = Vocabulary.choose(lists, [labels[:, j] for j in range(labels.shape[1])])
-    x = words.dense(lists, stats)
+    words = Vocabulary.choose(lists, [labels[:, j] for j in range(labels.shape[1])], features)
+    x = words.rows(lists, stats)
     fold = np.arange(len(x)) % folds
     weights, thresholds, held = [], [], {}
     for j, name in enumerate(names):
         y = labels[:, j].astype(float)
         out = np.zeros(len(x))
         for f in range(folds):
-            a, b = fold != f, fold == f
-            if b.any():
-                out[b] = sigmoid(logits(x[b], fit_logistic(x[a], y[a], l2)))
+            a, b = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            if len(b):
+                out[b] = sigmoid(x.take(b).times(fit_logistic(x.take(a), y[a], l2)))
         weights.append(fit_logistic(x, y, l2))
         t, f1 = best_threshold(out, y) if len(y) and 0 < y.sum() < len(y) else (0.5, 0.0)
         # too few labels to tell a threshold by: an even chance is asked for
         thresholds.append(min(max(t, 0.2), 0.95) if f1 >= 0.5 else 0.5)
         held[name] = f1
-        x = np.hstack([x, out[:, None].astype(np.float32)])
+        x = x.beside(out)
     return Chain(list(names), words, weights, thresholds, held)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 6000) -> Chain | None:
-    """Fits on at most `most` labelled documents, those of least hash, with texts. None without labels."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 4096) -> Chain | None:
+    """Fits on at most `most` labelled documents that are among docs, those of least hash, with at most so many features. None without labels.
+
+    A category's label that is null counts as 0; of several labels of one id the largest counts; of several rows with one id the
+    one of least hash.
+    """
     flags = [F.coalesce(c.cast("int"), F.lit(0)).alias(f"y{j}") for j, c in enumerate(categories.values())]
     some = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *flags)
     some = some.groupBy("id").agg(*[F.max(f"y{j}").alias(f"y{j}") for j in range(len(flags))])
-    some = some.orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(most)  # the bound of the broadcast
+    # Labels of documents that aren't there don't count against the bound.
+    there = docs.select(F.col(id_col).alias("id")).join(some, "id").distinct()
+    some = there.orderBy(F.xxhash64(F.lit("toxicity"), "id"), "id").limit(most)  # the bound of the broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    rows = rows.withColumn("h", F.xxhash64("text")).groupBy("id").agg(F.min_by(F.struct("text", *[f"y{j}" for j in range(len(flags))]), "h").alias("r")).select("id", "r.*")
     rows = rows.select("text", "id", F.array(*[f"y{j}" for j in range(len(flags))]).alias("y"))
     sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, y array<int>, ids binary, stats binary").toPandas()
     if sample.empty:
         return None
-    sample = sample.drop_duplicates("id").sort_values("id")
+    sample = sample.sort_values("id")
     lists, stats, y = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64)), np.array(sample["y"].tolist())
     del sample
-    return fit_chain(lists, stats, y, list(categories))
+    return fit_chain(lists, stats, y, list(categories), features=features)
 
 
 def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """The rows with p_<category> double and is_<category> boolean per category; all columns stay.
 
-    Null texts count as empty. Without a chain (no labels) probabilities are 0 and flags false. Equal rows get equal scores; an empty
+    Null texts count as empty; null ids are scored like others; long texts are read whole. Without a chain (no labels) probabilities are 0 and flags false. Equal rows get equal scores; an empty
     table gives none. Columns of those names, after the prefix, are replaced.
     """
     names = tuple(chain.names) if chain else names
@@ -110,8 +118,8 @@ def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_
     return docs.mapInArrow(run, StructType([StructField(f"c{i}", t) for i, t in enumerate(kinds)])).toDF(*docs.columns, *new)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 6000, prefix: str = "") -> DataFrame:
-    """Scores all documents on the two categories that the labels table knows: junk (quality 0), then toxic given junk."""
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 4096, prefix: str = "") -> DataFrame:
+    """Scores all documents on the two categories that the labels table knows: junk (quality 0), then toxic given junk. See train and score."""
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-    chain = train(docs, labels, categories, id_col=id_col, text_col=text_col, most=most)
+    chain = train(docs, labels, categories, id_col=id_col, text_col=text_col, most=most, features=features)
     return score(docs, chain, id_col=id_col, text_col=text_col, names=tuple(categories), prefix=prefix)
