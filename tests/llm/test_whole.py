@@ -54,8 +54,7 @@ def all_links(rows, k, percent):
 
 def test_jaccard_has_all_links(spark):
     """Near copies of one text: links within a component, of pairs that the pivot connects, too."""
-    from tidewater.llm.jaccard import all_links as within
-    from tidewater.llm.jaccard import jaccard_join
+    from tidewater.llm.jaccard import jaccard_join, within
 
     rng = random.Random(12)
     words = [f"w{i}" for i in range(400)]
@@ -81,10 +80,75 @@ def test_jaccard_has_all_links(spark):
         for r in found.links.collect():
             assert r.a < r.b and (r.n_a, r.n_b, r.common) == (len(text[r.a]), len(text[r.b]), len(text[r.a] & text[r.b]))
         # many blocks a component
-        texts = {sets[d]: t for d, t in rows if sets[d] is not None}
-        members = spark.createDataFrame([(s, 7, len(texts)) for s in texts], "`set` long, comp long, m long")
-        blocks = within(members, spark.createDataFrame(list(texts.items()), "`set` long, text string"), k, percent, block=8)
-        assert sorted((r.a, r.b) for r in blocks.collect()) == sorted(got)
+        for pairs in (True, False):
+            blocks = within(found.members(), found.parts, percent, pairs, block=8).collect()
+            if pairs:
+                assert sorted((r.a, r.b) for r in blocks) == sorted(got)
+            else:
+                others = Counter()
+                for r in blocks:
+                    others[r.set] += r.others
+                copies = Counter(r.set for r in found.sets.collect())
+                assert {s: n + copies[s] - 1 for s, n in others.items()} == {sets[d]: n for (d, _), n in zip(rows, want, strict=True) if others[sets[d]]}
+
+
+def test_jaccard_streams_runs_over_partitions(spark):
+    """Prefix rows of n-grams that go on over batches and partitions give the same star edges as in one piece."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewater.llm.jaccard import streamed
+
+    rng = random.Random(15)
+    for _ in range(200):
+        rows = sorted((rng.randint(0, 4), rng.randint(0, 6) << 32 | 9, rng.randint(0, 5)) for _ in range(rng.randint(1, 25)))
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*part, strict=True)], ["gram", "own", "set"])
+        cuts = sorted({0, len(rows), *(rng.randint(0, len(rows)) for _ in range(3))})
+        cuts = [c for c in cuts if c in (0, len(rows)) or rows[c - 1] != rows[c]]  # equal rows are in one partition
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            inner = sorted({a, b, rng.randint(a, b), rng.randint(a, b)})
+            for found in streamed(batch(rows[x:y]) for x, y in zip(inner[:-1], inner[1:], strict=True)):
+                out += list(zip(*(c.to_pylist() for c in found.columns), strict=True))
+        near = {(g, o, s) for is_open, g, o, s, _, _, _ in out if not is_open}
+        distinct = set(rows)
+        groups = defaultdict(set)
+        for g, o, s in distinct:
+            groups[g].add((o, s))
+        links = defaultdict(set)
+        for is_open, g, o, s, po, p, many in out:
+            links[g].add(((o, s), (po, p)))
+            if not is_open and len(groups[g]) > 2:
+                assert many
+        ends = defaultdict(set)
+        for is_open, g, o, s, *_ in out:
+            if is_open:
+                ends[g].add((o, s))
+        for g, members in groups.items():
+            if len(members) > 1:
+                assert {(g, *m) for m in members} <= near
+                least = min(ends[g], default=None)
+                edges = [*links[g], *((e, least) for e in ends[g])]
+                order = sorted(members)
+                place = {m: i for i, m in enumerate(order)}
+                root = brute.roots(range(len(order)), [(place[a], place[b]) for a, b in edges])
+                assert set(root.values()) == {0}
+        assert near <= distinct
+
+
+def test_jaccard_null_ids_and_equal_names(spark):
+    """Null ids link like any; an id with several texts is several documents; sets whose first names are equal stay apart."""
+    from tidewater.llm import jaccard
+
+    text = lambda start: " ".join(f"w{start + i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(0) + " x"), (5, text(0) + " y"), (9, text(500)), (9, text(500) + " z"), (9, text(0)), (3, text(900)), (4, text(900)), (None, text(2000)), (None, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = all_links(rows, 3, 90)
+    found = sorted((r.doc or -1, r.n, r.component_id or -1, r.n_links) for r in jaccard.jaccard_join(df, k=3, percent=90).classes(counted=True).collect())
+    groups = [5, 5, 5, 9, 9, 5, 3, 3, None, None, 8]
+    assert found == sorted((d or -1, len(brute.shingles(t, 3)), g or -1, n) for (d, t), g, n in zip(rows, groups, want, strict=True))
+    first, second = jaccard.names_of(__import__("numpy").arange(3))
+    assert jaccard.names_of(__import__("numpy").arange(3), frozenset([first])) == (second, second)
 
 
 def test_quality_learns_from_all_unlabelled_documents(spark):

@@ -26,7 +26,7 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), v AS (SELECT doc_id AS a FROM documents), {components("v", "e")}
-SELECT a AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM reach LEFT JOIN n ON n.doc_id = a"""
+SELECT a AS doc_id, coalesce(n, 0) AS n_shingles, component_id, (SELECT count(*) FROM e WHERE e.a = reach.a) AS n_links FROM reach LEFT JOIN n ON n.doc_id = a"""
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 OP2 = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), i AS (SELECT item_id, {WORDS} AS w FROM benchmark),

@@ -14,7 +14,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.jaccard import jaccard_join
 
     found = jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
-    return found.classes().select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return found.classes(counted=True).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
