@@ -94,7 +94,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = docs.select(F.xxhash64(id_col).alias("id_h"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     sizes = scratch.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("h")), "sizes")
     n_rows = sizes.count()
     sources = targets(sizes, weights, most).withColumn("length", F.lit(length).cast("long"))
@@ -145,11 +145,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     piece = F.struct("shard", "slot", "pass", "block", "first", "at", "words")
     wanted = joined.groupBy("rank", "start").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.sum("words").alias("taken"), F.collect_list(piece).alias("pieces"))
     wanted = scratch.put(wanted, "wanted")
-    # Of rows with one id and text, one gives its words to all.
-    same = Window.partitionBy("id", "h").orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)
-    once = texts.withColumn("before", F.count("*").over(same)).filter("before = 0").drop("before")
-    once = once.select(F.col("id").alias("of"), F.col("h").alias("text_h"), "text")
-    full = wanted.join(once, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text_h")))
+    # Of rows with one id and text, one gives its words to all. Both sides go by hashes without nulls, so that each text is shuffled once.
+    same = Window.partitionBy("id_h", "h").orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)
+    once = texts.withColumn("before", F.count("*").over(same)).filter("before = 0").select("id_h", "h", "text")
+    full = wanted.withColumn("id_h", F.xxhash64("id")).join(once, ["id_h", "h"])
     words = F.regexp_extract_all("text", F.lit(SPACED), F.lit(0))
     cut = lambda own: F.transform("pieces", lambda p: F.struct(p.alias("p"), F.array_join(F.slice(own, (p["first"] + 1).cast("int"), p["words"].cast("int")), "").alias("text")))
     # F.transform over one element names the words, so that they are found once
