@@ -106,7 +106,7 @@ class Rows:
 class Descent:
     """L-BFGS, told the loss and gradient at w, wherever they come from, until it is done."""
 
-    def __init__(self, w: np.ndarray, l2: float, memory: int = 12, tolerance: float = 1e-6):
+    def __init__(self, w: np.ndarray, l2: float, memory: int = 12, tolerance: float = 1e-5):
         self.w, self.memory, self.tolerance, self.done = w, memory, tolerance, False
         self.shrink = np.full(len(w), l2)
         self.shrink[-1] = 1e-3  # the intercept hardly shrinks
@@ -136,6 +136,9 @@ class Descent:
             known.append(a)
             q -= a * y
         q *= self.scale
+        if self.pairs:  # the diagonal alone takes features that go together for independent ones
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ (self.scale * y))
         for (s, y), a in zip(self.pairs, reversed(known), strict=True):
             q += (a - (y @ q) / (s @ y)) * s
         self.step, self.slope, self.length = -q, -float(grad @ q), 1.0

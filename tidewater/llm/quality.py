@@ -179,7 +179,7 @@ def co_train(xs: list[Rows], y: np.ndarray, held: np.ndarray, vocabularies: tupl
     return Judge(*(View(v, w, s) for v, w, s in zip(vocabularies, weights, scales, strict=True)), combined, right, used)
 
 
-def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 8000, features: int = 4096) -> tuple[Judge, DataFrame] | None:
+def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 8000, features: int = 1500) -> tuple[Judge, DataFrame] | None:
     """Fits on at most `most` labelled documents that are among docs, those of least hash, with at most so many features a view, and on
     all documents without a label. Also compact() of all documents. None with fewer than ten labels of either kind.
 
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     return co_train(xs, y, held, (words, names), Far(free, words, names, 0.95)), every
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 8000, features: int = 4096) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str | None = "n_chars", least: float = 0.5, most: int = 8000, features: int = 1500) -> DataFrame:
     """(id, p_content, p_metadata, quality, kept) per row; kept if the combined quality is at least `least`.
 
     Null texts count as empty, null metadata is a value of its own, metadata columns that are missing are left out. With fewer

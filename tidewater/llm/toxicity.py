@@ -47,7 +47,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((sorted_p[k] + sorted_p[min(k + 1, len(p) - 1)]) / 2), float(f1[k])
 
 
-def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 5, l2: float = 0.3, features: int = 4096) -> Chain:
+def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 4, l2: float = 0.3, features: int = 1500) -> Chain:
     """labels: a column per category, 0 or 1; rows come in a fixed order, and row i is in fold i % folds."""
     words = Vocabulary.choose(lists, [labels[:, j] for j in range(labels.shape[1])], features)
     x = words.rows(lists, stats)
@@ -69,7 +69,7 @@ def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, na
     return Chain(list(names), words, weights, thresholds, held)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 4096) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 1500) -> Chain | None:
     """Fits on at most `most` labelled documents that are among docs, those of least hash, with at most so many features. None without labels.
 
     A category's label that is null counts as 0; of several labels of one id the largest counts; of several rows with one id the
@@ -118,7 +118,7 @@ def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_
     return docs.mapInArrow(run, StructType([StructField(f"c{i}", t) for i, t in enumerate(kinds)])).toDF(*docs.columns, *new)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 4096, prefix: str = "") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 10_000, features: int = 1500, prefix: str = "") -> DataFrame:
     """Scores all documents on the two categories that the labels table knows: junk (quality 0), then toxic given junk. See train and score."""
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = train(docs, labels, categories, id_col=id_col, text_col=text_col, most=most, features=features)
