@@ -2,8 +2,8 @@
 
 A byte-level BPE never merges across pre-tokens, so a document has as many tokens as its pre-tokens have pieces. Each
 block of documents is split once into (document, pre-token, frequency) rows, kept as arrays over the block's distinct pre-tokens. Those
-are reduced to the corpus's distinct pre-tokens, whose pieces are counted once; the counts are joined back to every
-block's pre-tokens, and the blocks' to their documents' frequencies, and summed. No token ids are made. What is shuffled
+of all blocks meet, ranged and sorted by pre-token; the pieces of each distinct one are counted once, and the counts are joined to
+the blocks' pre-tokens as these stream by, then to their documents' frequencies, and summed. No token ids are made. What is shuffled
 are distinct pre-tokens of blocks and compressed frequencies, never a row for each pre-token of each document.
 """
 
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, per_worker, pieces_of, tidy
+from tidewater.llm.common import Scratch, partitions, per_worker, pieces_of, tidy
 
 #: Fixed value: how the byte-level vocabulary splits a text (public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,6 +79,19 @@ def encoder(path: str):
     return tokenizer
 
 
+def packed(values: np.ndarray) -> bytes:
+    """int32 values as zstd frames, bytes of one weight together."""
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int32)
+    n = int.from_bytes(data[:8], "little")
+    flat = pa.Codec("zstd").decompress(data[8:], decompressed_size=4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, -1).T).view(np.int32)[:, 0]
+
+
 def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> DataFrame:
     """A row per block of rows (id, text): its documents' ids, bytes and special strings, how many distinct pre-tokens each has, which
     (int32 codes) and how often, and the block's distinct pre-tokens in order of their codes."""
@@ -98,7 +111,7 @@ def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> Dat
                 freqs.append(np.fromiter(found.values(), np.int32, len(found)))
                 special.append(n)
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            whole = lambda parts: np.concatenate(parts).tobytes() if parts else b""
+            whole = lambda parts: packed(np.concatenate(parts)) if parts else b""
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             out = [pa.array([block], pa.int64()), one(batch.column(0)), one(sizes), one(pa.array(special, pa.int64())), one(pa.array(list(map(len, codes)), pa.int32())),
                    pa.array([whole(codes)], pa.binary()), pa.array([whole(freqs)], pa.binary()), one(pa.array(list(known), pa.string()))]
@@ -110,19 +123,24 @@ def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> Dat
     return rows.mapInArrow(run, schema)
 
 
-def count_pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """(piece, n): the tokens of each distinct pre-token."""
+def count_pieces(own: DataFrame, path: str) -> DataFrame:
+    """(block, code, n): the tokens of each block's distinct pre-tokens, from rows (piece, block, code) sorted by piece. A pre-token is
+    encoded once, or once a batch if it has very many rows; by its range, even one that all blocks hold is dealt over many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = per_worker(("tokenizer", path), lambda: encoder(path))
+        last, tokens = None, 0
         for batch in pieces_of(batches, 0):
-            for start in range(0, batch.num_rows, BATCH):
-                some = batch.column(0).slice(start, BATCH)
-                n = [len(e) for e in tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([some, pa.array(n, pa.int32())], ["piece", "n"])
-        tidy()
+            if not batch.num_rows:
+                continue
+            which = pc.dictionary_encode(batch.column(0))
+            distinct = which.dictionary.to_pylist()
+            known = [tokens] if distinct[0] == last else []
+            n = known + [len(e) for i in range(len(known), len(distinct), BATCH) for e in tokenizer.encode_batch_fast(distinct[i : i + BATCH], add_special_tokens=False)]
+            last, tokens = distinct[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int32()).take(which.indices)], ["block", "code", "n"])
 
-    return distinct.select("piece").mapInArrow(run, "piece string, n int")
+    return own.mapInArrow(run, "block long, code int, n int")
 
 
 def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +148,7 @@ def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             ids, n_bytes, special, sizes = (batch.column(c)[i].values for c in range(4))
-            codes, freqs = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (4, 5))
+            codes, freqs = (unpacked(batch.column(c)[i].as_py()) for c in (4, 5))
             n = batch.column(6)[i].values
             n = np.zeros(0, np.int64) if n is None else n.to_numpy(zero_copy_only=False)
             per = n[codes].astype(np.int64) * freqs
@@ -139,7 +157,7 @@ def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row.
 
     tokenizer_path: a byte-level `tokenizers` file that each executor can open. Null texts count as empty (0 tokens); null ids are
@@ -150,12 +168,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "tokens")
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = scratch.put(split_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, tokenizer_path, block_bytes), "blocks")
-    own = blocks.select("block", F.posexplode("pieces").alias("code", "piece"))
-    # A pre-token that is in every block is one row of each task before it is shuffled.
-    distinct = own.groupBy("piece").agg(F.count("*").alias("blocks"))
-    counted = scratch.put(count_pieces(distinct, tokenizer_path), "counted")
-    # Written without an exchange above it, so that Spark may split the rows of a pre-token that very many blocks hold.
-    priced = scratch.put(own.join(counted, "piece").select("block", "code", "n"), "priced")
+    own = blocks.select(F.col("block"), F.posexplode("pieces").alias("code", "piece")).select("piece", "block", "code")
+    ranged = own.repartitionByRange(partitions(docs.sparkSession), "piece", "block").sortWithinPartitions("piece")
+    priced = count_pieces(ranged, tokenizer_path)
     per_block = priced.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda x: x["n"]).alias("n"))
     joined = blocks.drop("pieces").join(per_block.withColumnRenamed("block", "__block"), F.col("block") == F.col("__block"), "left")
     columns = ["ids", "n_bytes", "special", "sizes", "codes", "freqs", "n"]
