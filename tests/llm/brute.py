@@ -131,3 +131,68 @@ def secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(found)]
+
+
+class alergia:  # noqa: N801
+    """ALERGIA as it is written down: a prefix tree of words with the words kept at each state, merged by recursion. Probabilities have one count
+    more in the denominator."""
+
+    def __init__(self, words, alpha=0.01, fewest=16):
+        self.alpha, self.fewest = alpha, fewest
+        prefixes = sorted({w[:i] for w in words for i in range(len(w) + 1)}, key=lambda p: (min(j for j, w in enumerate(sorted(words)) if w.startswith(p)), len(p)))
+        self.next = {p: {} for p in prefixes}
+        self.n, self.ends = Counter(), Counter()
+        for w in words:
+            self.ends[w] += 1
+            for i in range(len(w) + 1):
+                self.n[w[:i]] += 1
+                if i < len(w):
+                    self.next[w[:i]][w[i]] = w[: i + 1]
+        self.edge = {(p, c): self.n[q] for p, out in self.next.items() for c, q in out.items()}
+        born = {p: i for i, p in enumerate(prefixes)}
+        red = [b""]
+        while blue := sorted(((q, p, c) for p in red for c, q in self.next[p].items() if q not in red), key=lambda x: (born[x[0]], red.index(x[1]), x[2])):
+            q, p, c = blue[0]
+            for r in red:
+                if self.alike(r, q):
+                    self.next[p][c] = r
+                    self.fold(r, q)
+                    break
+            else:
+                red.append(q)
+        self.n_states = len(red)
+
+    def shares(self, p):
+        out = {c: self.edge[p, c] for c in self.next[p]}
+        return {**out, "end": self.ends[p]}, sum(out.values()) + self.ends[p]
+
+    def alike(self, a, b):
+        (x, n), (y, m) = self.shares(a), self.shares(b)
+        if n and m:
+            if min(n, m) < self.fewest and (x["end"] == n) != (y["end"] == m):
+                return False
+            bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if any(abs(x.get(c, 0) / n - y.get(c, 0) / m) > bound for c in {*x, *y}):
+                return False
+            return all(self.alike(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c])
+        return True
+
+    def fold(self, a, b):
+        if a == b:
+            return
+        self.ends[a] += self.ends[b]
+        for c, q in list(self.next[b].items()):
+            self.edge[a, c] = self.edge.get((a, c), 0) + self.edge[b, c]
+            if c in self.next[a]:
+                self.fold(self.next[a][c], q)
+            else:
+                self.next[a][c] = q
+
+    def log_probability(self, w):
+        p, total = b"", 0.0
+        for c in w:
+            x, n = self.shares(p)
+            total += math.log(x[c] / (n + 1))
+            p = self.next[p][c]
+        x, n = self.shares(p)
+        return total + (math.log(x["end"] / (n + 1)) if x["end"] else math.log(1e-6))
