@@ -109,26 +109,42 @@ def test_substrings(docs, rows, empty):
 
 
 def test_substrings_of_hot_owners(spark, rows):
-    """The path for owners of many segments gives the same spans."""
+    """Owners that are split by other hashes, and what is left after all turns, give the same spans; runs of one byte and one phrase in many contexts among them."""
     from tidewater.llm.common import Scratch
     from tidewater.llm.substrings import covered_spans
 
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rng = random.Random(18)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    phrase, passage = text(60), text(400)
+    more = [(100 + i, text(rng.randint(0, 90)) + phrase + text(rng.randint(0, 90))) for i in range(60)]
+    more += [(200 + i, text(rng.randint(0, 60)) + passage[rng.randint(0, 20) : rng.randint(300, 400)] + text(60)) for i in range(60)]
+    more += [(300 + i, text(20) + "-" * rng.randint(50, 700) + text(20)) for i in range(20)]
+    both = [*rows, *more]
+    df = spark.createDataFrame(both, "doc_id long, text string").repartition(3)
+    want = brute.substrings(both)
 
-    def covered(most):
-        spans = covered_spans(df, Scratch(spark, "t"), most_segments=most).collect()
-        return {(r.doc, i) for r in spans for i in range(r.a, r.b)}
+    def covered(**bounds):
+        spans = covered_spans(df, Scratch(spark, "t"), **bounds).collect()
+        found = {(r.doc, i) for r in spans for i in range(r.a, r.b)}
+        assert {d: sum(x == d for x, _ in found) for d in want} == {d: v[1] for d, v in want.items()}
+        return found
 
-    assert covered(4096) == covered(0) != set()
+    usual = covered()
+    assert usual == covered(owner_bytes=2000, shard_bytes=5000) == covered(owner_bytes=0, turns=1) == covered(owner_bytes=0, turns=0)
 
 
 def test_suffix_arrays():
-    from tidewater.llm.suffix import permuted_prefixes, suffix_array
+    from tidewater.llm.suffix import classify, induce, induce_wide, permuted_prefixes, suffix_array
 
     rng = random.Random(3)
-    for _ in range(150):
+    for turn in range(200):
         t = [rng.randint(0, rng.choice([1, 2, 5, 30])) for _ in range(rng.randint(1, 80))]
+        if turn % 4 == 0:  # repeats, and so several levels of names
+            t = (t * 40)[: rng.randint(1, 900)]
         sa = suffix_array(np.array(t, np.uint16)).tolist()
+        s = classify(np.array(t))
+        lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+        assert (induce(np.array(t), s, lms, 31) == induce_wide(np.array(t), s, lms, 31)).all()
         assert sa == sorted(range(len(t)), key=lambda i: t[i:])
         data = np.array(t, np.uint8)
         prefix = permuted_prefixes(data, np.array(sa), 4, np.arange(len(t)) <= len(t) - 4)

@@ -4,20 +4,21 @@ A window of `least` bytes belongs to the smallest hash of its k-byte strings, so
 together, and a run of windows with one owner is a segment. Owners are counted over all documents; most have one segment and
 are done. Segments with equal bytes are collapsed first: all but the earliest are covered. What is left of an owner, segments
 whose bytes differ but whose windows may be equal, goes to one shard; a suffix array of the shard by induced sorting
-and its permuted common prefixes group equal windows, and all but the first of each group are covered. An owner of too many
-different segments (the edge of a passage that very many documents hold) is dealt out by its windows' own bytes instead.
+and its permuted common prefixes group equal windows, and all but the first of each group are covered. An owner whose segments have too many
+bytes for a shard (the edge of a passage that very many documents hold) is split: its windows get owners anew, by another hash, which equal
+windows share as before, and so on in rounds; each leaves an owner only a small part of what it had.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import MULT, Scratch, bytes_of, mix, partitions, pieces_of, powers
+from tidewater.llm.common import MULT, Scratch, bytes_of, mix, partitions, pieces_of, powers, tidy
 from tidewater.llm.suffix import permuted_prefixes, suffix_array
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -34,13 +35,15 @@ class Hasher:
         if n > len(self.up):
             self.up, self.down = powers(n + n // 4, BASE), powers(n + n // 4, INVERSE)
 
-    def segments(self, data: np.ndarray, k: int, least: int) -> tuple[np.ndarray, ...]:
-        """(owner, content, start, windows, repeats) of one text of at least `least` bytes."""
+    def segments(self, data: np.ndarray, k: int, least: int, turn: int = 0) -> tuple[np.ndarray, ...]:
+        """(owner, content, start, windows, repeats) of one text of at least `least` bytes. turn: which of the hashes gives owners."""
         n = len(data)
         self.grow(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         grams = mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
+        if turn:
+            grams = mix(grams + np.uint64(turn) * MULT)
         low, width, span = grams, 1, least - k + 1
         while 2 * width <= span:
             low = np.minimum(low[: len(low) - width], low[width:])
@@ -79,22 +82,43 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, k: int, least: int)
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "owner long, content long, doc long, start int, windows int, repeats boolean")
 
 
+def segments_again(pieces: DataFrame, k: int, least: int, turn: int) -> DataFrame:
+    """(owner, content, doc, start, windows, repeats, piece) of pieces (doc, start, piece), by another hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in pieces_of(batches, 2, 1 << 20):
+            rows = []
+            for doc, start, piece in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                owner, content, new, windows, repeats = hasher.segments(np.frombuffer(piece, np.uint8), k, least, turn)
+                cut = [piece[a : a + n + least - 1] for a, n in zip(new.tolist(), windows.tolist(), strict=True)]
+                rows.append((owner.view(np.int64), content.view(np.int64), np.full(len(new), doc, np.int64), (start + new).astype(np.int32), windows.astype(np.int32), repeats, cut))
+            if rows:
+                *arrays, cuts = zip(*rows, strict=True)
+                out = [*(pa.array(np.concatenate(x)) for x in arrays), pa.array([c for cut in cuts for c in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["owner", "content", "doc", "start", "windows", "repeats", "piece"])
+        tidy()
+
+    return pieces.select("doc", "start", "piece").mapInArrow(run, "owner long, content long, doc long, start int, windows int, repeats boolean, piece binary")
+
+
 def windows_by_content(rows: DataFrame, least: int) -> DataFrame:
-    """(doc, a, b): the exact way for owners of very many segments. Each window goes by a 128-bit hash of its own bytes; the
-    first of each is found by partial aggregation."""
+    """(doc, a, b): the exact way for what no hash splits, such as a run of one byte that is longer than a shard. Each window goes by a
+    128-bit hash of its own bytes; the first of each is found by partial aggregation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def batch_of(hashes: list[bytes], docs: list[int], at: list[int]) -> pa.RecordBatch:
+            two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs, pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "at"])
+
         for batch in batches:
-            hashes, docs, at = [], [], []
             for doc, start, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for j in range(len(piece) - least + 1):
-                    hashes.append(xxhash.xxh3_128_digest(piece[j : j + least]))
-                    docs.append(doc)
-                    at.append(start + j)
-            two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs, pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "at"])
+                for a in range(0, len(piece) - least + 1, 1 << 16):
+                    some = range(a, min(a + (1 << 16), len(piece) - least + 1))
+                    yield batch_of([xxhash.xxh3_128_digest(piece[j : j + least]) for j in some], [doc] * len(some), [start + j for j in some])
+        tidy()
 
     windows = rows.select("doc", "start", "piece").mapInArrow(run, "h1 long, h2 long, doc long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -148,28 +172,34 @@ def covered_in_shards(least: int, shard_bytes: int):
                 size += len(piece)
         if pieces and (found := solve(np.array(docs), np.array(starts), pieces)) is not None:
             yield found
+        tidy()
 
     return run
 
 
-def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, k: int = 32, shard_bytes: int = 1 << 20, most_segments: int = 4096) -> DataFrame:
-    """(doc, a, b): byte spans, possibly overlapping, that strings of `least` bytes that also start earlier cover."""
-    spark = docs.sparkSession
-    found = scratch.put(segments_of(docs, id_col, text_col, k, least), "segments")
+def settled(found: DataFrame, scratch: Scratch, name: str, least: int, owner_bytes: int, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Of a table of segments: the spans (doc, a, b) of all but the earliest of equal ones, and of owners with segments that differ (owner, hot,
+    doc, start, piece) of each; hot: they have more than owner_bytes together."""
     owners = found.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.max("repeats").alias("repeats"))
-    owners = scratch.put(owners.filter("n > 1 or repeats").select("owner", (F.expr("x <> y") | F.col("repeats")).alias("differ")), "owners")
-    some = scratch.put(found.drop("repeats").join(owners, "owner"), "some")
-    scratch.drop("segments")
-    first = some.groupBy("owner", "content", "differ").agg(F.min(F.struct("doc", "start", "windows")).alias("first"), F.count("*").alias("n"))
-    first = scratch.put(first, "first")
-    copies = some.join(first.filter("n > 1").select("owner", "content", "first"), ["owner", "content"]).filter("doc <> first.doc or start <> first.start")
-    spans = scratch.put(copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (least - 1)).alias("b")), "copies")
-
-    # Different segments of one owner: their bytes are fetched, and their windows compared.
-    many = first.filter("differ").groupBy("owner").agg(F.count("*").alias("m"))
-    fetch = first.filter("differ").join(many, "owner").select("owner", F.col("m") > most_segments, "first.*").toDF("owner", "hot", "doc", "start", "windows")
-    wanted = scratch.put(fetch.groupBy("doc").agg(F.collect_list(F.struct("owner", "hot", "start", "windows")).alias("wanted")), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"])
+    owners = scratch.put(owners.filter("n > 1 or repeats").select("owner", (F.expr("x <> y") | F.col("repeats")).alias("differ")), f"{name}-owners")
+    some = scratch.put(found.drop("repeats").join(owners, "owner"), f"{name}-some")
+    scratch.drop(f"{name}-segments")
+    where = F.struct("doc", "start", "windows", *[c for c in found.columns if c == "piece"])
+    first = scratch.put(some.groupBy("owner", "content", "differ").agg(F.min(where).alias("first"), F.count("*").alias("n")), f"{name}-first")
+    copies = some.join(first.filter("n > 1").select("owner", "content", "first.doc", "first.start").toDF("owner", "content", "d", "s"), ["owner", "content"]).filter("doc <> d or start <> s")
+    spans = scratch.put(copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (least - 1)).alias("b")), f"{name}-copies")
+    scratch.drop(f"{name}-some")
+    differ = first.filter("differ").select("owner", "first.*")
+    many = differ.groupBy("owner").agg(F.sum(F.col("windows") + (least - 1)).alias("bytes"))
+    pieces = fetch(differ.join(many, "owner").withColumn("hot", F.col("bytes") > owner_bytes).drop("bytes"))
+    pieces = scratch.put(pieces.select("owner", "hot", "doc", "start", "piece"), f"{name}-pieces")
+    scratch.drop(f"{name}-first")
+    return spans, pieces
+
+
+def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100, k: int = 32, shard_bytes: int = 1 << 20, owner_bytes: int = 1 << 18, turns: int = 6) -> DataFrame:
+    """(doc, a, b): byte spans, possibly overlapping, that strings of `least` bytes that also start earlier cover. An owner of more than
+    owner_bytes is split by other hashes, `turns` times at most; what is left then goes by its windows' own bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1, 8 << 20):
@@ -180,10 +210,24 @@ def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["owner", "hot", "doc", "start", "piece"])
 
-    pieces = scratch.put(texts.mapInArrow(cut, "owner long, hot boolean, doc long, start int, piece binary"), "pieces")
-    cold = pieces.filter("not hot").select("owner", "doc", "start", "piece").repartition(partitions(spark), "owner").sortWithinPartitions("owner")
-    shards = cold.mapInArrow(covered_in_shards(least, shard_bytes), "doc long, a int, b int")
-    return spans.unionByName(shards).unionByName(windows_by_content(pieces.filter("hot"), least))
+    def from_texts(wanted: DataFrame) -> DataFrame:
+        wanted = scratch.put(wanted.groupBy("doc").agg(F.collect_list(F.struct("owner", "hot", "start", "windows")).alias("wanted")), "wanted")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"])
+        return texts.mapInArrow(cut, "owner long, hot boolean, doc long, start int, piece binary")
+
+    found = scratch.put(segments_of(docs, id_col, text_col, k, least), "0-segments")
+    spans, pieces = settled(found, scratch, "0", least, owner_bytes, from_texts)
+    scratch.drop("wanted")
+    cold, hot = pieces.filter("not hot"), pieces.filter("hot")
+    for turn in range(1, turns + 1):
+        if hot.isEmpty():
+            break
+        found = scratch.put(segments_again(hot, k, least, turn), f"{turn}-segments")
+        more, pieces = settled(found, scratch, f"{turn}", least, owner_bytes, lambda wanted: wanted)
+        spans, cold, hot = spans.unionByName(more), cold.unionByName(pieces.filter("not hot")), pieces.filter("hot")
+    ranged = cold.select("owner", "doc", "start", "piece").repartition(partitions(docs.sparkSession), "owner").sortWithinPartitions("owner")
+    shards = ranged.mapInArrow(covered_in_shards(least, shard_bytes), "doc long, a int, b int")
+    return spans.unionByName(shards).unionByName(windows_by_content(hot, least))
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100) -> DataFrame:
@@ -197,8 +241,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = covered_spans(docs, scratch, id_col=id_col, text_col=text_col, least=least)
     spans = scratch.put(spans.groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    for name in ("some", "pieces", "first", "copies", "wanted"):
-        scratch.drop(name)
+    for turn in range(8):
+        for name in ("pieces", "copies", "owners"):
+            scratch.drop(f"{turn}-{name}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting, in whole-array steps.
 
 Suffixes are classified as smaller (S) or larger (L) than their successor; leftmost S suffixes (LMS) are sorted by their
-substrings up to the next one, by induction; equal substrings get equal names, and the string of names, a third as
-long or less, is sorted in turn; its order induces that of all suffixes. Both inductions take each bucket as arrays: one step
-per bucket and per repeat of its own character.
+substrings up to the next one, by induction; equal substrings get equal names, and the string of names, half as
+long at most, is sorted in the same way, recursively; its order induces that of all suffixes. Over the bytes, inductions take each bucket as arrays: one step
+per bucket and per repeat of its own character. Names are an alphabet nearly as wide as their string, whose buckets hold a
+few suffixes each, so there inductions go suffix by suffix; both take time in proportion to the string.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, width: int) -> np.ndar
 def names_of(t: np.ndarray, s: np.ndarray, by: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """A name for each LMS substring, ordered as they are; by: LMS suffixes in order of their substrings, lms: in text order."""
     n = len(t)
-    u = t.astype(np.uint32) * 2 + s
+    u = t.astype(np.int64) * 2 + s
     size = np.append(np.diff(lms) + 1, n - lms[-1] + 1)  # up to and with the next LMS; the last one has the end
     length = np.zeros(n + 1, np.int64)
     length[lms] = size
@@ -108,47 +109,54 @@ def names_of(t: np.ndarray, s: np.ndarray, by: np.ndarray, lms: np.ndarray) -> n
     return name[lms]
 
 
-def order_of(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names. Its alphabet is too wide for steps by bucket, so ranks are doubled: only suffixes that
-    are still tied are compared again."""
-    n = len(names)
-    rank = names.copy()
-    order = np.argsort(rank, kind="stable")
-    h = 1
-    sorted_rank = rank[order]
-    first = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[order] = starts
-    tied = np.flatnonzero(~first | np.append(~first[1:], False))
-    while len(tied):
-        some = order[tied]
-        after = np.where(some + h < n, rank[np.minimum(some + h, n - 1)] + 1, 0)
-        head = rank[some]
-        by = np.lexsort((after, head))
-        some, head, after = some[by], head[by], after[by]
-        order[tied] = some
-        fresh = np.concatenate([[True], (head[1:] != head[:-1]) | (after[1:] != after[:-1])])
-        rank[some] = np.maximum.accumulate(np.where(fresh, tied, 0))
-        tied = tied[~fresh | np.append(~fresh[1:], False)]
-        h *= 2
-    return order
+def induce_wide(t: np.ndarray, s: np.ndarray, lms: np.ndarray, width: int) -> np.ndarray:
+    """What induce() does, for a wide alphabet: each suffix is put at its bucket's next free place."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=width))
+    text, smaller, order = t.tolist(), s.tolist(), [-1] * n
+    tail = ends.tolist()
+    for p in lms[::-1].tolist():
+        c = text[p]
+        tail[c] -= 1
+        order[tail[c]] = p
+    head = [0, *ends[:-1].tolist()]
+    c = text[n - 1]  # the end of the string, the least of all, induces the last suffix
+    order[head[c]] = n - 1
+    head[c] += 1
+    for i in range(n):
+        p = order[i] - 1
+        if p >= 0 and not smaller[p]:
+            c = text[p]
+            order[head[c]] = p
+            head[c] += 1
+    order = [p if p >= 0 and not smaller[p] else -1 for p in order]
+    tail = ends.tolist()
+    for i in range(n - 1, -1, -1):
+        p = order[i] - 1
+        if p >= 0 and smaller[p]:
+            c = text[p]
+            tail[c] -= 1
+            order[tail[c]] = p
+    return np.array(order, np.int64)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of small integers (uint16)."""
+    """The suffix array of a string of small integers."""
     n = len(t)
     if n < 2:
         return np.arange(n)
     s = classify(t)
     width = int(t.max()) + 1
+    by_bucket = induce if width <= 512 else induce_wide
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     if len(lms) > 1:
-        by = induce(t, s, lms, width)
+        by = by_bucket(t, s, lms, width)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         names = names_of(t, s, by[is_lms[by]], lms)
-        lms = lms[order_of(names)]
-    return induce(t, s, lms, width)
+        different = int(names.max()) + 1 == len(names)
+        lms = lms[np.argsort(names) if different else suffix_array(names)]
+    return by_bucket(t, s, lms, width)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int, valid: np.ndarray) -> np.ndarray:
