@@ -93,8 +93,8 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> DataFrame:
-    """A row per block of rows (id, text): its documents' ids, bytes and special strings, how many distinct pre-tokens each has, which
-    (int32 codes) and how often, and the block's distinct pre-tokens in order of their codes."""
+    """A row per block of rows (id, text): its documents' ids, bytes and special strings, how many distinct pre-tokens each has, which (by
+    steps from one code to the next) and how often, and the block's distinct pre-tokens in ascending order, which is that of their codes."""
     schema = f"block long, ids array<{kind}>, n_bytes array<long>, special array<long>, sizes array<int>, codes binary, freqs binary, pieces array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,22 +110,32 @@ def split_blocks(rows: DataFrame, kind: str, path: str, block_bytes: int) -> Dat
                 codes.append(np.fromiter((known.setdefault(x, len(known)) for x in found), np.int32, len(found)))
                 freqs.append(np.fromiter(found.values(), np.int32, len(found)))
                 special.append(n)
+            pieces = sorted(known)
+            rank = np.empty(len(pieces), np.int32)
+            rank[np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))] = np.arange(len(pieces), dtype=np.int32)
+            counts = np.array(list(map(len, codes)), np.int32)
+            flat = rank[np.concatenate(codes)] if codes else np.zeros(0, np.int32)
+            by = np.argsort(np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32 | flat)
+            flat, often = flat[by], np.concatenate(freqs)[by] if freqs else flat
+            starts = (np.cumsum(counts) - counts)[counts > 0]
+            steps = np.diff(flat, prepend=np.int32(0))
+            steps[starts] = flat[starts]
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            whole = lambda parts: packed(np.concatenate(parts)) if parts else b""
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            out = [pa.array([block], pa.int64()), one(batch.column(0)), one(sizes), one(pa.array(special, pa.int64())), one(pa.array(list(map(len, codes)), pa.int32())),
-                   pa.array([whole(codes)], pa.binary()), pa.array([whole(freqs)], pa.binary()), one(pa.array(list(known), pa.string()))]
+            out = [pa.array([block], pa.int64()), one(batch.column(0)), one(sizes), one(pa.array(special, pa.int64())), one(pa.array(counts)),
+                   pa.array([packed(steps)], pa.binary()), pa.array([packed(often)], pa.binary()), one(pa.array(pieces, pa.string()))]
             yield pa.RecordBatch.from_arrays(out, names=["block", "ids", "n_bytes", "special", "sizes", "codes", "freqs", "pieces"])
             block += 1
-            del known, codes, freqs, out
+            del known, codes, freqs, pieces, out
         tidy()
 
     return rows.mapInArrow(run, schema)
 
 
 def count_pieces(own: DataFrame, path: str) -> DataFrame:
-    """(block, code, n): the tokens of each block's distinct pre-tokens, from rows (piece, block, code) sorted by piece. A pre-token is
-    encoded once, or once a batch if it has very many rows; by its range, even one that all blocks hold is dealt over many tasks."""
+    """(block, first, n): the tokens of a stretch of a block's distinct pre-tokens, which begins with `first`, from rows (piece, block) in ranges
+    sorted by piece. A pre-token is encoded once, or once a task if it has very many rows; by its range, even one that all blocks hold is
+    dealt over many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = per_worker(("tokenizer", path), lambda: encoder(path))
@@ -138,9 +148,15 @@ def count_pieces(own: DataFrame, path: str) -> DataFrame:
             known = [tokens] if distinct[0] == last else []
             n = known + [len(e) for i in range(len(known), len(distinct), BATCH) for e in tokenizer.encode_batch_fast(distinct[i : i + BATCH], add_special_tokens=False)]
             last, tokens = distinct[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(n, pa.int32()).take(which.indices)], ["block", "code", "n"])
+            n = np.array(n, np.int32)[which.indices.to_numpy()]
+            block = batch.column(1).to_numpy()
+            by = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(block[by], prepend=block[by[0]] - 1))
+            parts = [packed(x) for x in np.split(n[by], starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[by[starts]]), batch.column(0).take(pa.array(by[starts])), pa.array(parts, pa.binary())], ["block", "first", "n"])
+        tidy()
 
-    return own.mapInArrow(run, "block long, code int, n int")
+    return own.mapInArrow(run, "block long, first string, n binary")
 
 
 def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +164,14 @@ def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             ids, n_bytes, special, sizes = (batch.column(c)[i].values for c in range(4))
-            codes, freqs = (unpacked(batch.column(c)[i].as_py()) for c in (4, 5))
-            n = batch.column(6)[i].values
-            n = np.zeros(0, np.int64) if n is None else n.to_numpy(zero_copy_only=False)
-            per = n[codes].astype(np.int64) * freqs
-            sums = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(sizes.to_numpy())])]
-            yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(np.diff(sums) + special.to_numpy())], ["id", "n_bytes", "n_tokens"])
+            steps, often = (unpacked(batch.column(c)[i].as_py()) for c in (4, 5))
+            n = np.concatenate([np.zeros(0, np.int64), *map(unpacked, batch.column(6)[i].as_py() or ())])
+            edges = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+            run = np.cumsum(steps, dtype=np.int64)  # from one document to the next it starts anew
+            before = np.concatenate([[0], run])[edges[:-1]]
+            codes = run - np.repeat(before, sizes.to_numpy())
+            sums = np.concatenate([[0], np.cumsum(n[codes] * often)])[edges]
+            yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(np.diff(sums).astype(np.int64) + special.to_numpy())], ["id", "n_bytes", "n_tokens"])
     tidy()
 
 
@@ -168,10 +186,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "tokens")
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = scratch.put(split_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), kind, tokenizer_path, block_bytes), "blocks")
-    own = blocks.select(F.col("block"), F.posexplode("pieces").alias("code", "piece")).select("piece", "block", "code")
+    own = blocks.select(F.explode("pieces").alias("piece"), "block")
     ranged = own.repartitionByRange(partitions(docs.sparkSession), "piece", "block").sortWithinPartitions("piece")
     priced = count_pieces(ranged, tokenizer_path)
-    per_block = priced.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "n"))), lambda x: x["n"]).alias("n"))
+    # Ranges are stretches of a block's pre-tokens too, so in order of their beginnings they give the counts in order of the codes.
+    per_block = priced.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "n"))), lambda x: x["n"]).alias("n"))
     joined = blocks.drop("pieces").join(per_block.withColumnRenamed("block", "__block"), F.col("block") == F.col("__block"), "left")
     columns = ["ids", "n_bytes", "special", "sizes", "codes", "freqs", "n"]
     out = joined.select(*columns).mapInArrow(sum_up, f"id {kind}, n_bytes long, n_tokens long")
