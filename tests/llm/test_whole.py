@@ -108,9 +108,9 @@ def test_jaccard_streams_runs_over_partitions(spark):
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             inner = sorted({a, b, rng.randint(a, b), rng.randint(a, b)})
-            for found in streamed(batch(rows[x:y]) for x, y in zip(inner[:-1], inner[1:], strict=True)):
+            for found in streamed((batch(rows[x:y]) for x, y in zip(inner[:-1], inner[1:], strict=True)), 1):
                 out += list(zip(*(c.to_pylist() for c in found.columns), strict=True))
-        near = {(g, o, s) for is_open, g, o, s, _, _, _ in out if not is_open}
+        near = {x for is_open, g, o, s, po, p, _ in out if not is_open for x in ((g, o, s), (g, po, p))}
         distinct = set(rows)
         groups = defaultdict(set)
         for g, o, s in distinct:
@@ -118,7 +118,7 @@ def test_jaccard_streams_runs_over_partitions(spark):
         links = defaultdict(set)
         for is_open, g, o, s, po, p, many in out:
             links[g].add(((o, s), (po, p)))
-            if not is_open and len(groups[g]) > 2:
+            if not is_open and len(groups[g]) > 2 and (o, s) != (po, p):
                 assert many
         ends = defaultdict(set)
         for is_open, g, o, s, *_ in out:
@@ -136,6 +136,28 @@ def test_jaccard_streams_runs_over_partitions(spark):
         assert near <= distinct
 
 
+def test_jaccard_partners_by_sizes_and_places():
+    import numpy as np
+
+    from tidewater.llm.jaccard import partners
+
+    rng = random.Random(19)
+    for percent in (50, 80, 90):
+        runs = [sorted(rng.randint(0, 5) << 32 | rng.randint(6, 30) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+        sizes = np.array(list(map(len, runs)))
+        star, many = partners(np.array([x for r in runs for x in r]), np.cumsum(sizes) - sizes, sizes, percent, most=5)
+        at = 0
+        for r in runs:
+            n, pos = [x & 0xFFFFFFFF for x in r], [x >> 32 for x in r]
+            fine = lambda i, j: 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and (100 + percent) * min(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j])  # noqa: E731, B023
+            if 1 < len(r) <= 5:
+                assert [bool(x) for x in star[at : at + len(r)]] == [i > 0 and fine(i, 0) for i in range(len(r))]
+                assert [bool(x) for x in many[at : at + len(r)]] == [i > 0 and any(j not in (0, i) and fine(i, j) for j in range(len(r))) for i in range(len(r))]
+            else:
+                assert star[at : at + len(r)].all() and many[at : at + len(r)].all()
+            at += len(r)
+
+
 def test_jaccard_null_ids_and_equal_names(spark):
     """Null ids link like any; an id with several texts is several documents; sets whose first names are equal stay apart."""
     from tidewater.llm import jaccard

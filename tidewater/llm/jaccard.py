@@ -138,11 +138,31 @@ def prefixes(docs: DataFrame, text_col: str, k: int, percent: int, order: Order,
     return docs.select(F.col(text_col)).mapInArrow(run, "gram long, own long, set long")
 
 
-def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def partners(own: np.ndarray, at: np.ndarray, sizes: np.ndarray, percent: int, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of rows (at, sizes): whether a row can be linked with its run's first row, and whether it can with any other, by sizes and
+    places (see possible). In runs of over `most` rows all may."""
+    n, rest = own & 0xFFFFFFFF, (own & 0xFFFFFFFF) - (own >> 32)
+    star, many = np.ones(len(own), bool), np.ones(len(own), bool)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        runs = at[sizes == size]
+        for i in range(0, len(runs), step := max(1, (1 << 20) // size**2)):
+            where = runs[i : i + step, None] + np.arange(size)
+            a, b = n[where][:, :, None], n[where][:, None, :]
+            ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            ok &= (100 + percent) * np.minimum(rest[where][:, :, None], rest[where][:, None, :]) >= percent * (a + b)
+            ok[:, np.arange(size), np.arange(size)] = False
+            star[where] = ok[:, 0, :]
+            ok[:, 0, :] = ok[:, :, 0] = False
+            many[where] = ok.any(2)
+    return star, many
+
+
+def streamed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Prefix rows sorted by (gram, own, set) to rows (open, gram, own, set, pivot_own, pivot, many).
 
-    Rows of n-grams that only one set has go. The pivot is the n-gram's first row here; many: the n-gram may have three sets or more. The first
-    and the last n-gram may go on in a neighbouring partition: all their rows stay, and each gives one more row, open, of its pivot.
+    The pivot is the n-gram's first row here. Rows that can't be linked with another row of their n-gram go, and so do pivots; many: the row may be
+    linked with another one than the pivot. The first and the last n-gram may go on in a neighbouring partition: all their rows
+    stay, and each gives one more row, open, of its pivot.
     """
 
     def rows(is_open: bool, *columns: np.ndarray) -> pa.RecordBatch:
@@ -181,10 +201,12 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_alone = sizes[-1] == 1 and not (goes_on and len(at) == 1)
         keep[-1] &= not last_alone
         some = keep[run]
-        many = (sizes > 2)[run]
-        many |= run == run[-1]
+        star, many = partners(own, at, sizes, percent)
+        ended = run != run[-1]  # runs that are here as a whole
         if goes_on or first:
-            many |= run == 0
+            ended &= run != 0
+        some &= ~ended | star | many
+        many |= ~ended
         if some.any():
             yield rows(False, gram[some], own[some], name[some], pivot_own[run][some], pivot[run][some], many[some])
         if first and len(at) > 1:
@@ -423,7 +445,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     names = frozenset(twice)
     found = scratch.put(prefixes(docs, text_col, k, percent, order, names), "prefixes")
     ranged = found.repartitionByRange(partitions(spark), "gram", "own", "set").sortWithinPartitions("gram", "own", "set")
-    near = scratch.put(ranged.mapInArrow(streamed, "open boolean, gram long, own long, set long, pivot_own long, pivot long, many boolean"), "near")
+    near = scratch.put(ranged.mapInArrow(lambda batches: streamed(batches, percent), "open boolean, gram long, own long, set long, pivot_own long, pivot long, many boolean"), "near")
     scratch.drop("prefixes")
 
     def pairs_of(a: str, own_a: str, b: str, own_b: str) -> list[str]:
