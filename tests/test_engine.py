@@ -97,8 +97,9 @@ def test_messages_and_prompts(spark):
     row = P.derive_prompt(df).first()
     assert (row.prompt, row.chosen, row.rejected) == ([u], [a], [("assistant", "s")])
     assert P.to_messages(dialogue(spark, prompt=[u], completion=[a])).first().messages == [u, a]
-    with pytest.raises(ValueError):
-        P.to_messages(spark.range(1))
+    assert P.to_messages(spark.range(1)).columns == ["id"]  # none of the shapes: as it is
+    with pytest.raises(ValueError, match="sft needs"):
+        apply_template(spark.range(1), T.chatml(), "sft")
     with pytest.raises(ValueError):
         apply_template(df, T.chatml(), "other")
     assert P.keep_columns(P.derive_prompt(df).withColumn("x", F.lit(1)), ["prompt"]).columns == ["chosen", "rejected", "prompt"]
@@ -310,3 +311,116 @@ def test_queries_run(spark):
     for name in ("hh_error_histogram", "chat_render_chatml", "loss_alpha", "mix_prefix_sample", "flagship_summary"):
         assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_normalise_keeps_rows_that_are_no_transcripts(spark):
+    rows = [(1, f"{PROMPT}{A}Fine", f"{PROMPT}{A}Bad"), (2, f"{PROMPT}{A}Fine", f"{PROMPT}{A}"), (3, "plain", "text"), (4, None, "x")]
+    out = {r.row_id: r for r in P.normalise(spark.createDataFrame(rows, "row_id long, chosen string, rejected string")).collect()}
+    assert set(out) == {1, 3, 4}
+    assert out[1].chosen[0].content == "Fine" and out[1].chosen_text is None
+    assert (out[3].chosen, out[3].chosen_text, out[3].rejected_text) == (None, "plain", "text") and out[4].rejected_text == "x"
+    with pytest.raises(Exception, match="no dialogue"):
+        apply_template(P.normalise(spark.createDataFrame(rows, "row_id long, chosen string, rejected string")), T.chatml(), "dpo").collect()
+    done = dialogue(spark, prompt=[("user", "q")], chosen=[("assistant", "a")], rejected=[("assistant", "b")])
+    assert P.normalise(done).collect() == done.collect()
+
+
+def test_running_statistics_equal_a_plain_fold(spark):
+    rng = random.Random(4)
+    steps = sorted(rng.sample(range(1, 3000), 700))
+    rows = [(k, s, rng.gauss(0, 1), rng.random()) for k in (0, 1) for s in steps]
+    df = spark.createDataFrame(rows, "k int, step long, mean double, std double").repartition(5)
+    for decay in (0.0, 0.05, 0.9, 0.999):
+        for first in ((0.0, 1.0), None):
+            want = {}
+            for k in (0, 1):
+                state = first
+                for _, s, m, v in [r for r in rows if r[0] == k]:
+                    state = (m, v) if state is None else tuple(decay * a + (1 - decay) * b for a, b in zip(state, (m, v), strict=True))
+                    want[k, s] = state
+            got = {(r.k, r.step): (r.mean, r.std) for r in G.running(df, decay, first=first, keys=("k",)).collect()}
+            assert got.keys() == want.keys()
+            assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12) for key in want for a, b in zip(got[key], want[key], strict=True))
+    one = df.filter("k = 0")
+    half = G.update_state(None, one.filter(f"step <= {steps[300]}"), 0.9)
+    assert G.update_state(half, one.filter(f"step > {steps[300]}"), 0.9) == pytest.approx(G.update_state(None, one, 0.9))
+    assert G.update_state((1.0, 2.0), one.limit(0), 0.9) == (1.0, 2.0)
+    beta, want = 0.1, {}
+    for _, s, m, _ in [r for r in rows if r[0] == 0]:
+        want[s] = beta
+        beta /= 1 + m * 0.01
+    got = {r.step: r.beta for r in G.beta_path(one, 0.1, 0.01, mean="mean").collect()}
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
+def test_masked_beta_loss_equals_a_plain_batch(spark):
+    rng = random.Random(5)
+    rows = [(i, i // 10, *(rng.gauss(0, 2) for _ in range(4))) for i in range(60)]
+    df = spark.createDataFrame(rows, "pair_id long, step long, c double, r double, rc double, rr double")
+    out = G.beta_rows(df, rho=0.5).collect()
+    per = {r.step: r for r in G.beta_summary(G.beta_rows(df, rho=0.5)).collect()}
+    state = (0.0, 1.0)
+    for step in range(6):
+        batch = [r for r in out if r.step == step]
+        gaps = [r.gap for r in batch]
+        mean = sum(gaps) / 10
+        std = math.sqrt(sum((g - mean) ** 2 for g in gaps) / 10)
+        state = (0.9 * state[0] + 0.1 * mean, 0.9 * state[1] + 0.1 * std)
+        kept = [r.gap for r in batch if r.kept]
+        assert len(kept) == 5 and batch[0].mean == pytest.approx(state[0]) and batch[0].std == pytest.approx(state[1])
+        raw = 0.1 * (1 + 0.6 * (sum(kept) / 5 - state[0]))
+        used = max(raw, 1e-3)
+        assert (per[step].beta_raw, per[step].beta_used, per[step].kept_share) == pytest.approx((raw, used, 0.5))
+        assert per[step].loss == pytest.approx(sum(math.log1p(math.exp(-used * g)) for g in kept) / 5)
+    fixed = G.beta_rows(df, training=False, state=(0.5, 2.0)).collect()
+    assert all(r.kept and (r.mean, r.std) == (0.5, 2.0) for r in fixed)
+    assert not all(r.kept for r in G.beta_rows(df, training=False, deterministic_eval=False).collect())
+
+
+def test_containment_beyond_one_automaton(spark):
+    """Patterns that are too many for one automaton go by anchors and several scans, with the same rows."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, text(rng.randint(1, 60))) for i in range(200)] + [(900, None), (901, "")]
+    bench = [(text(n),) for n in (1, 2, 3, 4) for _ in range(2)] + [(" ".join(docs[i][1].split()[2 : 2 + n]) + cut,) for i in range(0, 60, 3) for n, cut in ((5, ""), (6, "x"), (9, ""))]
+    df, patterns = spark.createDataFrame(docs, "row_id long, text string").repartition(3), spark.createDataFrame(bench, "text string")
+    known = {" ".join(b.split()) for (b,) in bench if b.split()}
+    want = {i for i, t in docs if t and any(p in t for p in known)}
+    for chars in (1 << 20, 60, 400):
+        assert {r.row_id for r in D.contaminated_ids(df, patterns, automaton_chars=chars).collect()} == want
+
+
+def test_codecs_are_told_apart(spark):
+    from tidewater.sources.cache import cache_root, function_hash
+
+    assert function_hash(K.word_codec(100)) == function_hash(K.word_codec(100)) != function_hash(K.word_codec(32768))
+    assert function_hash(K.char_codec) != function_hash(K.word_codec(100)) != function_hash(None)
+    assert (cache_root("a/b", "/p/"), cache_root("/a", "/p"), cache_root("s3a://x/y", "/p")) == ("/p/a/b", "/a", "s3a://x/y")
+
+
+def test_margin_log_keeps_rows_without_step_and_raises_on_broken_lines(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"mean": 1.0}\n\n{"step": 2, "mean": 2.0, "more": 1}\n')
+    assert sorted((r.step or 0, r["mean"]) for r in read_margins(spark, str(tmp_path / "log.jsonl")).collect()) == [(0, 1.0), (2, 2.0)]
+    (tmp_path / "bad.jsonl").write_text('{"step": 1}\n{"step": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_margins(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_packing_and_eval_batches(spark):
+    rng = random.Random(7)
+    rows = [(i * 1000, [rng.randint(0, 9) for _ in range(rng.randint(0, 30))]) for i in range(50)]
+    df = spark.createDataFrame(rows, "row_id long, ids array<int>").repartition(4)
+    flat = [x for _, a in rows for x in [*a, 99]]
+    got = {r.block: r.input_ids for r in K.pack(df, "ids", "row_id", 16, 99).collect()}
+    assert got == {b: flat[b * 16 : b * 16 + 16] for b in range(-(-len(flat) // 16))}
+    numbered = spark.range(9).withColumnRenamed("id", "row_id")
+    assert M.eval_batch(numbered, 4).count() == 4 and M.eval_batch(numbered, 40).count() == 9
+
+
+def test_losses_of_batches(spark):
+    rows = spark.createDataFrame([(1.0, 3.0, 2), (2.0, 5.0, 3)], "loss double, nll double, n int")
+    assert rows.agg(L.with_sft(F.col("loss"), F.col("nll"), F.col("n"), 0.5).alias("x")).first().x == pytest.approx(1.5 + 0.5 * 8 / 5)
+    assert rows.agg(L.with_sft(F.col("loss"), F.col("nll"), F.col("n"), 0.0).alias("x")).first().x == 1.5
+    assert value(spark, L.weighted(F.lit(2.0), F.lit(-1.0), F.lit(-0.5))) == pytest.approx(2 * math.exp(-1.5))
+    assert value(spark, L.weighted(F.lit(2.0), F.lit(1.0), F.lit(0.5))) == 2.0

@@ -10,6 +10,36 @@ from typing import Any, TypeVar, get_args, get_origin
 C = TypeVar("C")
 
 
+# The settings' names and defaults, as configuration files have them.
+
+
+@dataclass
+class ModelArguments:
+    base_model_revision: str | None = None
+    model_name_or_path: str | None = None
+    model_revision: str = "main"
+    model_code_revision: str | None = None
+    torch_dtype: str | None = None
+    tokenizer_name_or_path: str | None = None
+    trust_remote_code: bool = False
+    attn_implementation: str | None = None
+    use_peft: bool = False
+    lora_r: int | None = 16
+    lora_alpha: int | None = 32
+    lora_dropout: float | None = 0.05
+    lora_target_modules: list[str] | None = None
+    lora_modules_to_save: list[str] | None = None
+    load_in_8bit: bool = False
+    load_in_4bit: bool = False
+    bnb_4bit_quant_type: str | None = "nf4"
+    use_bnb_nested_quant: bool = False
+    bnb_4bit_quant_storage: str | None = "uint8"
+
+    def __post_init__(self) -> None:
+        if self.load_in_8bit and self.load_in_4bit:
+            raise ValueError("load_in_8bit and load_in_4bit exclude each other")
+
+
 @dataclass
 class DataArguments:
     dataset_mixer: dict[str, float] = field(default_factory=dict)
@@ -19,8 +49,16 @@ class DataArguments:
     preprocessing_num_workers: int | None = None
     truncation_side: str | None = None
     auto_insert_empty_system_msg: bool = True
+    chat_template: str | None = None
+    text_column: str | None = "text"
+    use_persistent_hf_cache: bool = False
+    hf_cache_dir: str | None = None
+    preprocessing_log_samples: int = 0
+    preprocessing_log_dir: str | None = None
 
     def __post_init__(self) -> None:
+        if self.preprocessing_log_samples < 0:
+            raise ValueError("preprocessing_log_samples must not be negative")
         if self.dataset_dir is not None:
             if self.dataset_configs is not None:
                 raise ValueError("dataset_dir and dataset_configs exclude each other")
@@ -48,6 +86,23 @@ class PreferenceConfig:
             raise ValueError(f"unknown non_finite {self.non_finite!r}")
 
 
+@dataclass
+class SFTConfig:
+    max_seq_length: int | None = None
+    packing: bool = False
+    dataset_text_field: str = "text"
+    hub_model_revision: str | None = "main"
+    logging_first_step: bool = True
+
+
+@dataclass
+class DPOConfig(PreferenceConfig):
+    hub_model_revision: str | None = "main"
+    logging_first_step: bool = True
+    optim: str | None = "rmsprop"
+    remove_unused_columns: bool = False
+
+
 @dataclass
 class SimPOConfig(PreferenceConfig):
     beta: float = 2.0
@@ -58,6 +113,7 @@ class SimPOConfig(PreferenceConfig):
 @dataclass
 class AlphaDPOConfig(SimPOConfig):
     alpha: float = 0.1
+    ln: bool = False  # log-probabilities are means over tokens, not sums
 
 
 @dataclass

@@ -34,6 +34,16 @@ def alpha_dpo(c: Column, r: Column, rc: Column, rr: Column, mean: Column, std: C
     return {"loss": loss, "chosen_reward": beta * (c - alpha * (c - rc)), "rejected_reward": beta * (r - alpha * (r - rr)), "margin": margin}
 
 
+def with_sft(loss: Column, nll: Column, tokens: Column, weight: float) -> Column:
+    """A batch's mean preference loss and, weighted, the mean over all its chosen tokens of their negative log-probability. Aggregates."""
+    return F.avg(loss) + (weight * F.sum(nll) / F.sum(tokens) if weight > 0 else 0.0)
+
+
+def weighted(loss: Column, chosen_weight: Column, rejected_weight: Column) -> Column:
+    """A pair's loss by its length weights: min(1, exp(w_c + w_r))."""
+    return loss * F.least(F.lit(1.0), F.exp(chosen_weight + rejected_weight))
+
+
 def beta_gap(c: Column, r: Column, rc: Column, rr: Column) -> Column:
     return (c - rc) - (r - rr)
 

@@ -87,6 +87,14 @@ def cross_entropy(logits: Column, labels: Column, ignore: int = 0) -> Column:
     return F.when(F.size(real) > 0, -sum_of(F.transform(real, lambda p: token_logp(p["x"], p["y"]))) / F.size(real)).otherwise(F.lit(NAN))
 
 
+def token_nll(logits: Column, labels: Column, pad: int = -100) -> tuple[Column, Column]:
+    """Sum of the negative log-probabilities of the labels that count, and their number."""
+    n = F.greatest(F.size(labels) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(logits, F.lit(1), n), F.slice(labels, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    real = F.filter(pairs, lambda p: p["y"] != pad)
+    return -sum_of(F.transform(real, lambda p: token_logp(p["x"], p["y"]))), F.size(real)
+
+
 def mean_logit(logits: Column, labels: Column, pad: int = -100) -> Column:
     """Mean of all logits at loss positions; of all positions if no label counts."""
     n = F.greatest(F.size(labels) - 1, F.lit(0))

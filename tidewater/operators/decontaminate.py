@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +31,58 @@ def patterns(benchmark: DataFrame, text_col: str = "text", allow: tuple[str, ...
     return df.select(normalised(F.col(text_col)).alias("pattern")).filter("length(pattern) > 0").distinct()
 
 
-def contaminated_ids(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "row_id", text_col: str = "text", pattern_col: str = "text", allow: tuple[str, ...] = ()) -> DataFrame:
-    """Ids of rows that hold a pattern. A pattern of three words or more is found through its rarest inner word, which must be a
-    whole word of a row that holds it; shorter ones are compared with every row, in a broadcast of a checked size."""
+#: Characters of patterns that one automaton holds: it takes about a hundred bytes for each.
+AUTOMATON_CHARS = 1 << 20
+
+
+def holding(texts: DataFrame, found: list[str]) -> DataFrame:
+    """The __id of rows of (__id, __text) that hold a pattern, by one scan of an Aho-Corasick automaton over Arrow batches."""
+    kind = texts.schema["__id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in found:
+            automaton.add_word(x, 1)
+        automaton.make_automaton()
+        for batch in batches:
+            hit = [next(automaton.iter(t.as_py()), None) is not None for t in batch.column(1)]
+            yield batch.select([0]).filter(pa.array(hit, pa.bool_()))
+
+    return texts.select("__id", "__text").mapInArrow(run, f"__id {kind}")
+
+
+def contaminated_ids(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "row_id", text_col: str = "text", pattern_col: str = "text", allow: tuple[str, ...] = (), automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Ids of rows that hold a pattern.
+
+    Patterns of at most automaton_chars together are found by one scan and no shuffle of texts. Beyond that, a pattern of five words or more is
+    found through the rarest of its inner three-word runs, which must be a run of words of a row that holds it: only hashes of runs
+    that are some pattern's anchor leave a scan of the texts; shorter patterns go through as many automata as they need, a scan each.
+    """
     found = patterns(benchmark, pattern_col, allow).withColumn("words", F.split("pattern", " "))
-    long = found.filter(F.size("words") >= 3).select("pattern", F.slice("words", F.lit(2), F.size("words") - 2).alias("inner"))
-    short = found.filter(F.size("words") < 3).select("pattern")
     texts = docs.select(F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__text")).filter("__text is not null")
-    tokens = texts.select("__id", F.explode(F.array_distinct(F.split("__text", " "))).alias("word"))
-    inner = long.select("pattern", F.explode(F.array_distinct("inner")).alias("word"))
-    frequency = tokens.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").count()
-    ranked = inner.join(frequency, "word", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")).alias("a"))
-    anchors = ranked.filter("a.n > 0").select("pattern", F.col("a.word").alias("word"))
-    candidates = tokens.join(anchors, "word").select("__id", "pattern")
-    ids = candidates.join(texts, "__id").filter(F.contains("__text", F.col("pattern"))).select("__id")
-    if not short.isEmpty():
-        if short.limit(10_001).count() > 10_000:
-            raise ValueError("more than 10,000 patterns of under three words")
-        ids = ids.unionByName(texts.join(F.broadcast(short), F.contains("__text", F.col("pattern")), "left_semi").select("__id"))
+    total = found.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()[0]
+    if total == 0:
+        return docs.select(id_col).limit(0)
+    scans = found.select("pattern") if total <= automaton_chars else found.filter(F.size("words") < 5).select("pattern")
+    numbered = scans.withColumn("part", F.expr(f"pmod(xxhash64(pattern), {max(1, -(-total // automaton_chars))})"))
+    ids: DataFrame | None = None
+    for (part,) in sorted(numbered.select("part").distinct().collect()):
+        own = [r.pattern for r in numbered.filter(F.col("part") == part).select("pattern").collect()]  # about automaton_chars
+        hits = holding(texts, own).distinct()
+        ids = hits if ids is None else ids.unionByName(hits)
+    if total > automaton_chars:
+        runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(3))))
+        long = found.filter(F.size("words") >= 5).select("pattern", F.slice("words", F.lit(2), F.size("words") - 2).alias("inner"))
+        inner = long.select("pattern", F.explode(F.array_distinct(runs(F.col("inner"), F.size("inner")))).alias("run"))
+        words = F.split("__text", " ")
+        own = texts.select("__id", F.explode(F.array_distinct(F.transform(F.array(words), lambda w: runs(w, F.size(w)))[0])).alias("run"))
+        frequency = own.join(inner.select("run").distinct(), "run").groupBy("run").count()
+        ranked = inner.join(frequency, "run").groupBy("pattern").agg(F.min(F.struct("count", "run"))["run"].alias("run"))
+        candidates = own.join(ranked, "run").select("__id", "pattern")
+        hits = candidates.join(texts, "__id").filter(F.contains("__text", F.col("pattern"))).select("__id")
+        ids = hits if ids is None else ids.unionByName(hits)
     return ids.distinct().select(F.col("__id").alias(id_col))
 
 

@@ -35,6 +35,11 @@ def k_sample(df: DataFrame, count: int, seed: int, row_id: str = "row_id") -> Da
     return df.filter(F.col(row_id).isin(random.Random(seed).sample(range(n), k=min(n, count))))
 
 
+def eval_batch(df: DataFrame, batch_size: int, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """The rows that an evaluation generates from: at most a batch, at places that the seed fixes."""
+    return k_sample(df, batch_size, seed, row_id)
+
+
 def weighted_sample(df: DataFrame, weight: str, rho: float, *, keys: tuple[str, ...] = (), row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Adds kept: max(1, int(n * rho)) rows per group without replacement, by exponential keys -ln(u) / weight. If all weights of a
     group are 0, all count alike. Each group is a batch, so its window is bounded by the batch's size."""
@@ -70,7 +75,7 @@ def mix(catalog: Catalog, mixer: dict[str, float], *, splits: tuple[str, ...] =
                 df = normalise(df)
             if side == "train":
                 df = prefix_sample(catalog.numbered(df), fraction)
-            parts[side].append(keep_columns(df, (*columns, "row_id")).withColumn("source", F.lit(name)))
+            parts[side].append(keep_columns(df, (*columns, "row_id", "chosen_text", "rejected_text")).withColumn("source", F.lit(name)))
     out = {}
     for side, dfs in parts.items():
         if dfs:

@@ -73,24 +73,35 @@ def error_histogram(df: DataFrame) -> DataFrame:
 
 
 def canonical_pairs(df: DataFrame) -> DataFrame:
-    """Valid transcript pairs as dialogues prompt, chosen and rejected; other columns stay. Strings that are no transcripts
-    have no canonical form and go."""
+    """The valid transcript pairs alone, as dialogues prompt, chosen and rejected; other columns stay. normalise() also keeps strings
+    that are no transcripts."""
+    return _converted(df, False)
+
+
+def _converted(df: DataFrame, others: bool) -> DataFrame:
+    """others: rows that are no transcripts stay too, with their strings in chosen_text and rejected_text and no dialogues."""
 
     def of(j: Column) -> Column:
         part = lambda c, start, size: F.slice(j[c], start, size)
-        fine = j["raw"] & j["error"].isNull()
-        pair = F.struct(part("c", F.lit(1), j["n"]).alias("prompt"), part("c", j["n"] + 1, F.lit(1)).alias("chosen"), part("r", j["n"] + 1, F.lit(1)).alias("rejected"))
-        return F.when(fine, pair)
+        parts = [part("c", F.lit(1), j["n"]).alias("prompt"), part("c", j["n"] + 1, F.lit(1)).alias("chosen"), part("r", j["n"] + 1, F.lit(1)).alias("rejected")]
+        if not others:
+            return F.when(j["raw"] & j["error"].isNull(), F.struct(*parts))
+        parts = [F.when(j["raw"], p).alias(n) for p, n in zip(parts, ("prompt", "chosen", "rejected"), strict=True)]
+        texts = [F.when(~j["raw"], F.col(c)).alias(f"{c}_text") for c in ("chosen", "rejected")]
+        return F.when(~j["raw"] | j["error"].isNull(), F.struct(*parts, *texts))
 
     made = df.withColumn("__pair", let(judged(F.col("chosen"), F.col("rejected")), of))
     # null arrays explode to no row, so the pair is computed once and no filter is pushed below it
     kept = made.select("*", F.explode(F.array_compact(F.array("__pair"))).alias("__p"))
-    return kept.withColumns({c: F.col(f"__p.{c}") for c in ("prompt", "chosen", "rejected")}).drop("__pair", "__p")
+    names = ("prompt", "chosen", "rejected", *(("chosen_text", "rejected_text") if others else ()))
+    return kept.withColumns({c: F.col(f"__p.{c}") for c in names}).drop("__pair", "__p")
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """A source's pairs in canonical form. Dialogues pass as they are; transcripts are parsed and invalid ones go."""
-    return canonical_pairs(df) if is_string(df, "chosen") and is_string(df, "rejected") else df
+    """A source's pairs in canonical form. A table of dialogues passes as it is. In a table of strings, transcripts are parsed and invalid ones
+    go; all other rows stay, unchanged, with their strings in chosen_text and rejected_text (null for transcripts), as one column can't hold
+    both dialogues and strings; their dialogues are null."""
+    return _converted(df, True) if is_string(df, "chosen") and is_string(df, "rejected") else df
 
 
 def derive_prompt(df: DataFrame) -> DataFrame:
@@ -106,7 +117,8 @@ def derive_prompt(df: DataFrame) -> DataFrame:
 
 
 def to_messages(df: DataFrame) -> DataFrame:
-    """A messages column from the first shape that the schema has; raises if it has none."""
+    """A messages column from the first shape that the schema has. Of strings, rows that are no transcripts have no messages and go, as there is
+    nothing to render; a table without any of these shapes comes back as it is."""
     if is_dialogue(df, "messages"):
         return df
     if is_string(df, "chosen"):
@@ -118,7 +130,7 @@ def to_messages(df: DataFrame) -> DataFrame:
         return df.withColumn("messages", F.col("chosen"))
     if is_dialogue(df, "prompt") and is_dialogue(df, "completion"):
         return df.withColumn("messages", F.concat("prompt", "completion"))
-    raise ValueError("need messages, chosen, prompt with chosen, or prompt with completion")
+    return df
 
 
 def keep_columns(df: DataFrame, wanted: list[str] | tuple[str, ...]) -> DataFrame:

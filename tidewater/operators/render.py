@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.template import Template, render, strip_bos, with_system
@@ -16,9 +16,16 @@ def apply_template(df: DataFrame, template: Template, task: str, *, auto_system:
 
     strip_response_bos: takes a leading beginning-of-text mark from chosen and rejected (the preference path).
     """
-    system = (lambda c: with_system(F.col(c), template)) if auto_system else F.col
+    def own(c: str) -> Column:
+        none = F.raise_error(F.lit(f"a row has no dialogue in {c}")).cast("array<struct<role:string,content:string>>")
+        return F.when(F.col(c).isNull(), none).otherwise(F.col(c))
+
+    system = (lambda c: with_system(own(c), template)) if auto_system else own
     if task == "sft":
-        return to_messages(df).withColumn("messages", system("messages")).withColumn("text", render(F.col("messages"), template))
+        df = to_messages(df)
+        if not is_dialogue(df, "messages"):
+            raise ValueError("sft needs messages, or chosen, prompt with chosen, or prompt with completion")
+        return df.withColumn("messages", system("messages")).withColumn("text", render(F.col("messages"), template))
     if task == "generation":
         if not is_dialogue(df, "messages"):
             raise ValueError("generation needs messages")
@@ -32,5 +39,5 @@ def apply_template(df: DataFrame, template: Template, task: str, *, auto_system:
     if task == "rm":
         return df.withColumns({f"text_{c}": render(system(c), template) for c in ("chosen", "rejected")})
     df = derive_prompt(df)
-    answer = (lambda c: strip_bos(render(F.col(c), template), template)) if strip_response_bos else (lambda c: render(F.col(c), template))
+    answer = (lambda c: strip_bos(render(own(c), template), template)) if strip_response_bos else (lambda c: render(own(c), template))
     return df.withColumns({"text_prompt": render(system("prompt"), template), "text_chosen": answer("chosen"), "text_rejected": answer("rejected")})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,36 +41,99 @@ def batch_stats(df: DataFrame, value: str, step: str = "step", sample_std: bool
 
 
 def running(stats: DataFrame, decay: float, *, step: str = "step", first: tuple[float, float] | None = (0.0, 1.0), keys: tuple[str, ...] = ()) -> DataFrame:
-    """(step, mean, std) of the exponential moving averages after each step, by a fold in step order.
+    """(keys, step, mean, std) of the exponential moving averages after each step.
 
-    first: the state before the first step, or None to begin with its values. The fold holds one row per step and key (not
-    per pair): what a training run logs.
+    first: the state before the first step, or None to begin with its values. Steps are whole numbers; keys aren't null. A scan in blocks of
+    steps: averages within each are sums over a window, and only the blocks' ends, one row each, are folded in order.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col("mean").cast("double").alias("mean"), F.col("std").cast("double").alias("std"))))
-    grouped = stats.groupBy(*keys).agg(rows.alias("rows"))
-    kind = "array<struct<step:bigint,mean:double,std:double>>"
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        mix = lambda name, start: decay * F.coalesce(last[name], F.lit(start)) + (1 - decay) * x[name]
-        if first is None:
-            value = lambda name: F.when(F.size(acc) == 0, x[name]).otherwise(mix(name, 0.0))
-        else:
-            value = lambda name: mix(name, first[0] if name == "mean" else first[1])
-        return F.concat(acc, F.array(F.struct(x["step"].cast("long").alias("step"), value("mean").alias("mean"), value("std").alias("std")))).cast(kind)
-
-    folded = grouped.select(*keys, F.explode(F.aggregate("rows", F.array().cast(kind), fold)).alias("s"))
-    return folded.select(*keys, F.col("s.step").alias("step"), F.col("s.mean").alias("mean"), F.col("s.std").alias("std"))
+    rows = stats.select(*keys, F.col(step).cast("long").alias("step"), F.col("mean").cast("double").alias("mean"), F.col("std").cast("double").alias("std"))
+    if decay == 0:
+        return rows
+    size = max(1, min(128, int(250 / max(-math.log10(abs(decay)), 1e-9))))  # within it, powers of the decay are finite
+    rows = rows.withColumn("__block", F.expr(f"step div {size}"))
+    block = Window.partitionBy(*keys, "__block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.count("*").over(block)
+    power = lambda n: F.pow(F.lit(float(decay)), n)
+    rows = rows.withColumn("__i", place)
+    own = lambda c: (1 - decay) * power(F.col("__i")) * F.sum(F.col(c) * power(-F.col("__i"))).over(block)
+    rows = rows.withColumns({"__mean": own("mean"), "__std": own("std")})
+    ends = rows.groupBy(*keys, "__block").agg(F.max("__i").alias("n"), *[F.max_by(f"__{c}", "__i").alias(c) for c in ("mean", "std")], *[F.min_by(c, "__i").alias(f"first_{c}") for c in ("mean", "std")])
+    kinds = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds + ', ' if keys else ''}__block long, mean double, std double"
+    width = len(keys)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, m, s = None, 0.0, 1.0
+        for batch in batches:
+            before = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, mean, std, first_mean, first_std = row[width + 1 :]
+                if row[:width] != key:
+                    key, (m, s) = row[:width], first or (first_mean, first_std)
+                before.append((m, s))
+                m, s = decay**n * m + mean, decay**n * s + std
+            out = list(zip(*before, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], *(pa.array(x, pa.float64()) for x in out)], names=[*keys, "__block", "mean", "std"])
+
+    dealt = ends.repartition(*keys) if keys else ends.coalesce(1)
+    carried = dealt.sortWithinPartitions(*keys, "__block").select(*keys, "__block", "n", "mean", "std", "first_mean", "first_std").mapInArrow(fold, schema)
+    carried = carried.withColumnsRenamed({"mean": "__m", "std": "__s"})
+    joined = rows.join(carried, [*keys, "__block"])
+    return joined.select(*keys, "step", (F.col("__mean") + power(F.col("__i")) * F.col("__m")).alias("mean"), (F.col("__std") + power(F.col("__i")) * F.col("__s")).alias("std"))
+
+
+def update_state(state: tuple[float, float] | None, stats: DataFrame, decay: float, *, step: str = "step") -> tuple[float, float] | None:
+    """The state after more steps, to go on from; without a state it begins with the first step's values."""
+    last = running(stats, decay, step=step, first=state).orderBy(F.desc("step")).first()
+    return (last["mean"], last["std"]) if last else state
 
 
 def beta_path(steps: DataFrame, beta: float, eps: float, *, step: str = "step", mean: str = "mean_steps") -> DataFrame:
-    """(step, beta, mean_steps): the beta in use at each optimizer step, before the update by beta / (1 + mean_steps * eps)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).cast("long").alias("step"), F.col(mean).cast("double").alias("k"))))
-    kind = "struct<beta:double,out:array<struct<step:bigint,beta:double,k:double>>>"
-    start = F.struct(F.lit(float(beta)).alias("beta"), F.array().alias("out")).cast(kind)
-    turn = lambda acc, x: F.struct((acc["beta"] / (1 + x["k"] * eps)).alias("beta"), F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), acc["beta"].alias("beta"), x["k"].alias("k")))).alias("out")).cast(kind)
-    out = steps.agg(F.aggregate(rows, start, turn).alias("s")).select(F.explode("s.out").alias("s"))
-    return out.select(F.col("s.step").alias("step"), F.col("s.beta").alias("beta"), F.col("s.k").alias("mean_steps"))
+    """(step, beta, mean_steps): the beta in use at each optimizer step, before the update by beta / (1 + mean_steps * eps). Products within
+    blocks of 1,024 steps, and of the blocks before."""
+    rows = steps.select(F.col(step).cast("long").alias("step"), F.col(mean).cast("double").alias("mean_steps"))
+    rows = rows.withColumns({"__block": F.expr("step div 1024"), "__f": 1 + F.col("mean_steps") * eps})
+    before = lambda w: F.coalesce(F.product("__f").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    own = rows.withColumn("__own", before(Window.partitionBy("__block").orderBy("step")))
+    blocks = rows.groupBy("__block").agg(F.product("__f").alias("__f"))
+    blocks = blocks.withColumn("__all", before(Window.orderBy("__block"))).select("__block", "__all")
+    return own.join(blocks, "__block").select("step", (F.lit(float(beta)) / (F.col("__all") * F.col("__own"))).alias("beta"), "mean_steps")
+
+
+def beta_rows(df: DataFrame, *, beta: float = 0.1, alpha: float = 0.6, rho: float = 0.8, decay: float = 0.9, least: float = 1e-3, state: tuple[float, float] | None = None, training: bool = True, deterministic_eval: bool = True, row_id: str = "pair_id", seed: int = 42) -> DataFrame:
+    """Rows (step, c, r, rc, rr, ...) with gap, mean, std, kept, beta_raw, beta_used and loss: each step's batch moves the running statistics, keeps
+    a weighted share of its pairs, and takes its beta from those.
+
+    Out of training the statistics stay at `state` ((0, 1) by default) and, if deterministic_eval, all pairs are kept.
+    """
+    from tidewater.functions.losses import beta_gap, gap_weight
+    from tidewater.functions.scoring import log_sigmoid
+    from tidewater.operators.mixing import weighted_sample
+
+    rows = df.withColumn("gap", beta_gap(F.col("c"), F.col("r"), F.col("rc"), F.col("rr")))
+    state = state or (0.0, 1.0)
+    if training:
+        rows = rows.join(running(batch_stats(rows, "gap"), decay, first=state), "step")
+    else:
+        rows = rows.withColumns({"mean": F.lit(float(state[0])), "std": F.lit(float(state[1]))})
+    if not training and deterministic_eval:
+        rows = rows.withColumn("kept", F.lit(True))
+    else:
+        rows = weighted_sample(rows.withColumn("__w", gap_weight(F.col("gap"), F.col("mean"), F.col("std"))), "__w", rho, keys=("step",), row_id=row_id, seed=seed).drop("__w")
+    batch = Window.partitionBy("step")
+    raw = beta * (1 + alpha * (F.avg(F.when(F.col("kept"), F.col("gap"))).over(batch) - F.col("mean")))
+    rows = rows.withColumn("beta_raw", raw).withColumn("beta_used", F.greatest("beta_raw", F.lit(least)))
+    return rows.withColumn("loss", -log_sigmoid(F.col("beta_used") * F.col("gap")))
+
+
+def beta_summary(rows: DataFrame) -> DataFrame:
+    """(step, loss, beta_raw, beta_used, kept_share) of beta_rows: the loss is the mean over kept pairs."""
+    return rows.groupBy("step").agg(masked_mean(F.col("loss"), F.col("kept")).alias("loss"), F.first("beta_raw").alias("beta_raw"), F.first("beta_used").alias("beta_used"), F.avg(F.col("kept").cast("double")).alias("kept_share"))
+
+
+def margin_extremes(df: DataFrame, margin: str = "margin", step: str = "step") -> DataFrame:
+    """(step, mean, min, max, std) of an adaptive margin by batch; std with n - 1."""
+    return df.groupBy(step).agg(F.avg(margin).alias("mean"), F.min(margin).alias("min"), F.max(margin).alias("max"), F.stddev_samp(margin).alias("std"))
 
 
 def masked_mean(value: Column, mask: Column) -> Column:

@@ -150,11 +150,35 @@ def real_labels(labels: Column, pad_label: int = -100) -> Column:
     return F.filter(labels, lambda x: x != pad_label)
 
 
-def inspection_rows(df: DataFrame, decode: Callable[[Column], Column] | None = None, pad_label: int = -100) -> DataFrame:
-    """Ids, decoded texts and lengths of tokenised pairs. decode: the char codec's by default."""
+#: Fixed value: the fields of an inspection row.
+INSPECTION = (
+    "sample_index split tokenization_source prompt chosen rejected prompt_input_ids prompt_attention_mask chosen_input_ids chosen_attention_mask chosen_labels "
+    "rejected_input_ids rejected_attention_mask rejected_labels decoded_prompt decoded_chosen_full decoded_rejected_full decoded_chosen_target decoded_rejected_target "
+    "prompt_length chosen_length rejected_length chosen_target_length rejected_target_length"
+).split()
+
+
+def inspection_rows(df: DataFrame, decode: Callable[[Column], Column] | None = None, pad_label: int = -100, *, split: str = "train", source: str = "online", index: str = "row_id") -> DataFrame:
+    """INSPECTION of tokenised pairs: where a row is from, its texts, ids, decoded texts and lengths. decode: the char codec's by default.
+    Columns that the table hasn't are null."""
     decode = decode or (lambda ids: F.array_join(F.transform(ids, lambda i: F.char(i)), ""))
-    out: dict[str, Column] = {}
+    out: dict[str, Column] = {"sample_index": F.col(index) if index in df.columns else F.lit(None).cast("long"), "split": F.lit(split), "tokenization_source": F.lit(source)}
+    out |= {"decoded_prompt": decode(F.col("prompt_input_ids")), "prompt_length": F.size("prompt_input_ids")}
     for s in ("chosen", "rejected"):
-        answer = real_labels(F.col(f"{s}_labels"), pad_label)
-        out |= {f"{s}_response_ids": answer, f"{s}_response_text": decode(answer), f"{s}_text": decode(F.col(f"{s}_input_ids")), f"{s}_length": F.size(f"{s}_input_ids"), f"{s}_response_length": F.size(answer)}
-    return df.withColumns(out | {"prompt_text": decode(F.col("prompt_input_ids")), "prompt_length": F.size("prompt_input_ids")})
+        target = real_labels(F.col(f"{s}_labels"), pad_label)
+        out |= {f"decoded_{s}_full": decode(F.col(f"{s}_input_ids")), f"decoded_{s}_target": decode(target), f"{s}_length": F.size(f"{s}_input_ids"), f"{s}_target_length": F.size(target)}
+    return df.select(*[(out[n] if n in out else F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in INSPECTION])
+
+
+def pack(df: DataFrame, ids: str, row_id: str, length: int, eos: int) -> DataFrame:
+    """(block, input_ids): all rows' ids in row_id order, eos behind each, cut into blocks of `length`; the last one may be shorter. Row ids are whole
+    numbers. Places are sums within runs of 4,096 row ids and of the runs before, so no task sees all rows."""
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.concat(F.col(ids), F.array(F.lit(eos))).alias("a")).withColumns({"n": F.size("a").cast("long"), "run": F.expr("id div 4096")})
+    runs = rows.groupBy("run").agg(F.sum("n").alias("total"))
+    runs = runs.select("run", (F.sum("total").over(Window.orderBy("run")) - F.col("total")).alias("base"))
+    within = Window.partitionBy("run").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("n").over(within)).join(runs, "run").withColumn("start", F.expr("base + upto - n"))
+    piece = lambda b: F.struct(b.alias("block"), F.greatest(F.col("start"), b * length).alias("at"), F.slice("a", (F.greatest(b * length - F.col("start"), F.lit(0)) + 1).cast("int"), F.lit(length) - F.greatest(F.col("start") - b * length, F.lit(0)).cast("int")).alias("ids"))
+    cut = rows.select(F.explode(F.transform(F.sequence(F.expr(f"start div {length}"), F.expr(f"(start + n - 1) div {length}")), piece)).alias("p")).select("p.*")
+    packed = cut.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda s: s["ids"])).alias("input_ids"))
+    return packed.select("block", "input_ids")

@@ -71,6 +71,14 @@ def hh_canonical_pairs(spark, d):
     return pairs.select("row_id", joined("prompt").alias("prompt"), F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"))
 
 
+@query(f"""WITH {I.SQL_PARSED} SELECT row_id, {SQL_JOINED.format('c[1:n]')} AS prompt, c[n + 1].content AS chosen, r[n + 1].content AS rejected, NULL::VARCHAR AS chosen_text, NULL::VARCHAR AS rejected_text FROM judged WHERE error IS NULL AND row_id % 8 <> 5
+UNION ALL SELECT row_id, NULL, NULL, NULL, 'plain ' || row_id, rejected FROM raw WHERE row_id % 8 = 5 UNION ALL SELECT row_id, NULL, NULL, NULL, raw.chosen, raw.rejected FROM parsed JOIN raw USING (row_id) WHERE NOT is_raw AND row_id % 8 <> 5""")
+def hh_normalise_mixed(spark, d):
+    rows = I.raw_pairs(spark, d).withColumn("chosen", F.when(F.col("row_id") % 8 == 5, F.concat(F.lit("plain "), "row_id")).otherwise(F.col("chosen")))
+    out = P.normalise(rows)
+    return out.select("row_id", joined("prompt").alias("prompt"), F.col("chosen")[0]["content"].alias("chosen"), F.col("rejected")[0]["content"].alias("rejected"), "chosen_text", "rejected_text")
+
+
 @query(f"WITH {I.SQL_PARSED} SELECT row_id, {SQL_JOINED.format('c')} AS messages FROM parsed WHERE len(list_filter(c, lambda m: m.role = 'user')) > 0")
 def sft_messages(spark, d):
     return P.to_messages(I.raw_pairs(spark, d)).select("row_id", joined("messages").alias("messages"))
@@ -100,11 +108,13 @@ def chat_render_preference(spark, d):
     return P.rename_rendered(pairs).select("row_id", "prompt", "rejected")
 
 
-@query(f"WITH {I.SQL_TURNS} SELECT row_id, {SQL_JOINED.format('messages')} AS chosen, {SQL_JOINED.format('messages[1:1]')} AS rejected FROM dialogues")
+CHATML = "'<|im_start|>system' || chr(10) || '<|im_end|>' || chr(10) || array_to_string(list_transform({}, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')"
+
+
+@query(f"WITH {I.SQL_TURNS} SELECT row_id, {CHATML.format('messages')} AS chosen, {CHATML.format('messages[1:1]')} AS rejected FROM dialogues")
 def chat_render_rm(spark, d):
     rows = I.dialogues(spark, d).select("row_id", F.col("messages").alias("chosen"), F.slice("messages", 1, 1).alias("rejected"))
-    plain = T.Template("plain", lambda m, i: F.concat(F.when(i > 0, " || ").otherwise(""), m["role"], F.lit(":"), m["content"]))
-    return apply_template(rows, plain, "rm").select("row_id", F.col("text_chosen").alias("chosen"), F.col("text_rejected").alias("rejected"))
+    return apply_template(rows, T.chatml(), "rm").select("row_id", F.col("text_chosen").alias("chosen"), F.col("text_rejected").alias("rejected"))
 
 
 @query("SELECT o_orderkey AS pair_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders QUALIFY row_id < floor(CAST(0.29 AS DOUBLE) * (SELECT count(*) FROM orders))")
@@ -113,11 +123,15 @@ def mix_prefix_sample(spark, d):
     return M.prefix_sample(rows, 0.29).select("pair_id", "row_id")
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT 'orders' AS source FROM orders UNION ALL SELECT 'customer' FROM customer) GROUP BY source")
+@query("""SELECT source, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT 'orders' AS source, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders QUALIFY row_id < floor(0.29::DOUBLE * (SELECT count(*) FROM orders))
+UNION ALL SELECT 'customer', row_number() OVER (ORDER BY c_custkey) - 1 FROM customer) GROUP BY source""")
 def mix_concat_counts(spark, d):
-    a = I.table(spark, d, "orders").select(F.lit("orders").alias("source"))
-    b = I.table(spark, d, "customer").select(F.lit("customer").alias("source"))
-    return a.unionByName(b).groupBy("source").agg(F.count("*").alias("n"))
+    catalog = Catalog(spark, d)
+    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+        rows = Catalog.numbered(I.table(spark, d, name).select(F.col(key).alias("pair_id"), F.lit("x").alias("chosen")), ["pair_id"])
+        catalog.register(name, {"train": rows})
+    mixed = M.mix(catalog, {"orders": 0.29, "customer": 1.0}, splits=("train",))["train"]
+    return mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
 @query("SELECT doc_id, md5('42:' || doc_id) AS shuffle_key FROM documents")
@@ -125,7 +139,14 @@ def hash_shuffle_key(spark, d):
     return I.table(spark, d, "documents").select("doc_id", M.shuffle_key("doc_id").alias("shuffle_key"))
 
 
-@query()
+def _sampled(sizes: tuple[int, ...]) -> str:
+    """The places that the seeded sample draws, for tables of these sizes."""
+    import random
+
+    return " OR ".join(f"(n = {n} AND row_id IN ({', '.join(map(str, random.Random(42).sample(range(n), 5)))}))" for n in sizes)
+
+
+@query(f"SELECT doc_id, row_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, count(*) OVER () AS n FROM documents) WHERE {_sampled((200, 1000, 10000))}")
 def inspection_sample(spark, d):
     rows = Catalog.numbered(I.table(spark, d, "documents").select("doc_id"), ["doc_id"])
     return M.k_sample(rows, 5, 42)
@@ -310,22 +331,38 @@ def beta_adaptive(spark, d):
     return used.select("step", r6(L.adaptive_beta(F.col("kept_mean"), F.col("mean")), "beta_used"))
 
 
-@query(f"{BETA}, u AS (SELECT step, greatest(0.1 * (1 + 0.6 * (avg(gap) - any_value(m))), 0.001) AS beta_used FROM g JOIN e USING (step) GROUP BY step) SELECT step, round(sum(-{LS.format('(beta_used * gap)')}) / greatest(count(*), 1), 6) AS loss FROM g JOIN u USING (step) GROUP BY step")
-def beta_loss(spark, d):
-    rows = _gaps(spark, d)
-    state = G.running(G.batch_stats(rows, "gap"), 0.9)
-    used = rows.groupBy("step").agg(F.avg("gap").alias("kept_mean")).join(state, "step").select("step", L.adaptive_beta(F.col("kept_mean"), F.col("mean")).alias("b"))
-    loss = G.masked_mean(-S.log_sigmoid(F.col("b") * F.col("gap")), F.lit(True))
-    return rows.join(used, "step").groupBy("step").agg(r6(loss, "loss"))
+KEPT = """w AS (SELECT g.*, m, s, exp(-0.5 * ((gap - m) / greatest(s, 1e-6)) ^ 2) AS w FROM g JOIN e USING (step)),
+v AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY step) <= 0 THEN 1 ELSE w END AS v, (('0x' || substr(md5('42:' || pair_id), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE AS u FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY CASE WHEN v > 0 THEN -ln(u) / v ELSE 'inf'::DOUBLE END, pair_id) <= greatest(1, floor(count(*) OVER (PARTITION BY step) * 0.8::DOUBLE)) AS kept FROM v)"""
+
+
+@query(f"{BETA}, {KEPT} SELECT pair_id, step, kept FROM k")
+def beta_keep_rows(spark, d):
+    return G.beta_rows(_gaps(spark, d)).select("pair_id", "step", "kept")
+
+
+USED = "b2 AS (SELECT step, 0.1 * (1 + 0.6 * (avg(gap) FILTER (WHERE kept) - any_value(m))) AS raw, avg(kept::INT) AS kept_share FROM k GROUP BY step)"
+
 
+@query(f"{BETA}, {KEPT}, {USED} SELECT step, round(sum(CASE WHEN kept THEN -{LS.format('(greatest(raw, 0.001) * gap)')} ELSE 0 END) / greatest(count(*) FILTER (WHERE kept), 1), 6) AS loss, round(any_value(raw), 6) AS beta_raw, round(any_value(greatest(raw, 0.001)), 6) AS beta_used, round(any_value(kept_share), 6) AS kept_share FROM k JOIN b2 USING (step) GROUP BY step")
+def beta_loss_masked(spark, d):
+    out = G.beta_summary(G.beta_rows(_gaps(spark, d)))
+    return out.select("step", *[r6(F.col(c), c) for c in out.columns[1:]])
 
-@query(f"{BETA} SELECT step, count(*) AS n, greatest(1, floor(count(*) * 0.8::DOUBLE))::BIGINT AS n_kept FROM g GROUP BY step")
-def beta_keep_counts(spark, d):
+
+@query(f"{STEPS}, b AS (SELECT step, greatest(0.1 * (1 + 0.6 * (avg(gap) - 0.5)), 0.001) AS beta_used FROM g GROUP BY step) SELECT step, round(avg(-{LS.format('(beta_used * gap)')}), 6) AS loss, round(any_value(beta_used), 6) AS beta_used FROM g JOIN b USING (step) GROUP BY step")
+def beta_loss_eval(spark, d):
+    out = G.beta_summary(G.beta_rows(_gaps(spark, d), training=False, state=(0.5, 2.0)))
+    return out.select("step", r6(F.col("loss"), "loss"), r6(F.col("beta_used"), "beta_used"))
+
+
+@query(f"{ALPHA} SELECT step, round(avg(margin), 6) AS mean, round(min(margin), 6) AS min, round(max(margin), 6) AS max, round(stddev_samp(margin), 6) AS std FROM (SELECT step, 0.1 * (gap - m) / greatest(s, 1e-8) + 0.5 AS margin FROM g JOIN e USING (step)) GROUP BY step")
+def alpha_margin_stats(spark, d):
     rows = _gaps(spark, d)
-    state = G.running(G.batch_stats(rows, "gap"), 0.9)
-    rows = rows.join(state, "step").withColumn("w", L.gap_weight(F.col("gap"), F.col("mean"), F.col("std")))
-    kept = M.weighted_sample(rows, "w", 0.8, keys=("step",), row_id="pair_id")
-    return kept.groupBy("step").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("n_kept"))
+    state = G.running(G.batch_stats(rows, "gap", sample_std=True), 0.9, first=None)
+    margin = L.alpha_dpo(*_cols(), F.col("mean"), F.col("std"))["margin"]
+    out = G.margin_extremes(rows.join(state, "step").select("step", margin.alias("margin")))
+    return out.select("step", *[r6(F.col(c), c) for c in out.columns[1:]])
 
 
 SIGN = "CASE WHEN c > r AND r > rc THEN 1 WHEN rc > r AND r > c THEN -1 ELSE 0 END"
@@ -367,10 +404,10 @@ def metric_mean_of_means(spark, d):
     return rows.select(r6(F.col("c"), "c"), r6(F.col("r"), "r"))
 
 
-@query(f"WITH {I.SQL_SCORED} SELECT pair_id, round(c, 6) AS c, round(rc, 6) AS rc, round(rr, 6) AS rr FROM scored")
+@query(f"WITH {I.SQL_SCORED}, ref AS (SELECT o_orderkey AS pair_id, (length(o_orderpriority) + o_custkey) / 10.0::DOUBLE AS rc, length(o_orderstatus) / 4.0::DOUBLE AS rr FROM orders) SELECT pair_id, round(c, 6) AS c, round(ref.rc, 6) AS rc, round(ref.rr, 6) AS rr FROM scored JOIN ref USING (pair_id)")
 def ref_logp_attach(spark, d):
-    rows = I.scored(spark, d)
-    out = G.attach_reference(rows.select("pair_id", "c"), rows.select("pair_id", "rc", "rr"))
+    reference = I.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), ((F.length("o_orderpriority") + F.col("o_custkey")) / 10).alias("rc"), (F.length("o_orderstatus") / 4).alias("rr"))
+    out = G.attach_reference(I.scored(spark, d).select("pair_id", "c"), reference.orderBy(F.desc("pair_id")))
     return out.select("pair_id", *[r6(F.col(c), c) for c in ("c", "rc", "rr")])
 
 
@@ -394,10 +431,44 @@ def rpo_cross_entropy(spark, d):
     return I.sequences(spark, d).select("seq", r6(F.when(F.isnan(loss), 0.0).otherwise(loss), "loss"))
 
 
-@query(f"WITH {I.SQL_SCORED} SELECT 'c' AS name, count(*) AS n, 0::BIGINT AS n_far FROM scored")
+@query(f"""WITH {I.SQL_SCORED}, b AS (SELECT pair_id, c + CASE WHEN pair_id % 7 = 0 THEN 0.01 ELSE 1e-9 END AS c, r * (1 + CASE WHEN pair_id % 5 = 0 THEN 2e-5 ELSE 1e-7 END::DOUBLE) AS r FROM scored WHERE pair_id % 11 <> 0),
+f AS (SELECT abs(x.c - b.c) <= 1e-5 + 1e-5::DOUBLE * abs(b.c) AS c, abs(x.r - b.r) <= 1e-5 + 1e-5::DOUBLE * abs(b.r) AS r FROM scored x FULL JOIN b USING (pair_id))
+SELECT 'c' AS name, count(*) AS n, count(*) FILTER (WHERE c IS NOT TRUE) AS n_far FROM f UNION ALL SELECT 'r', count(*), count(*) FILTER (WHERE r IS NOT TRUE) FROM f""")
 def compare_vectors(spark, d):
     rows = I.scored(spark, d)
-    return G.compare(rows, rows.withColumn("c", F.col("c") + 1e-9), "pair_id", ["c"])
+    other = rows.filter("pair_id % 11 <> 0").select("pair_id", (F.col("c") + F.when(F.col("pair_id") % 7 == 0, 0.01).otherwise(1e-9)).alias("c"), (F.col("r") * (1 + F.when(F.col("pair_id") % 5 == 0, 2e-5).otherwise(1e-7))).alias("r"))
+    return G.compare(rows, other, "pair_id", ["c", "r"])
+
+
+ADJUSTED = "(x[y + 1] - lse) - ln(list_sum(list_transform(x, lambda v: exp(2 * (v - lse)))))"
+
+
+@query(f"""WITH {I.SQL_SEQUENCES}, l AS (SELECT seq, x, y, list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) AS lse FROM shifted WHERE y IS NOT NULL AND y <> -100),
+w AS (SELECT seq, coalesce(sum({ADJUSTED}), 0) / greatest(count(lse), 1) AS w FROM (SELECT DISTINCT seq FROM rows) LEFT JOIN l USING (seq) GROUP BY seq)
+SELECT a.seq // 2 AS pair, round(a.w, 6) AS chosen_weight, round(least(1, exp(a.w + b.w)) * 0.5, 6) AS loss FROM w a JOIN w b ON b.seq = a.seq + 1 WHERE a.seq % 2 = 0""")
+def length_weighted_loss(spark, d):
+    rows = I.sequences(spark, d).select("seq", S.length_weight(F.col("logits"), F.col("labels")).alias("w"))
+    other = rows.select((F.col("seq") - 1).alias("seq"), F.col("w").alias("v"))
+    pairs = rows.filter("seq % 2 = 0").join(other, "seq")
+    return pairs.select(F.expr("seq div 2").alias("pair"), r6(F.col("w"), "chosen_weight"), r6(L.weighted(F.lit(0.5), F.col("w"), F.col("v")), "loss"))
+
+
+@query(f"""WITH {I.SQL_SEQUENCES}, s AS (SELECT seq, sum(logp) AS c, count(logp) AS n FROM (SELECT DISTINCT seq FROM rows) LEFT JOIN logps USING (seq) GROUP BY seq), p AS (SELECT a.seq // 2 AS pair, a.c / a.n AS c, b.c / b.n AS r, -a.c AS nll, a.n FROM s a JOIN s b ON b.seq = a.seq + 1 WHERE a.seq % 2 = 0)
+SELECT pair // 4 AS batch, round(avg({_smooth('2.0 * (c - r - 0.5)', 0.0)}) + 0.3 * sum(nll) / sum(n), 6) AS loss FROM p GROUP BY 1""")
+def loss_simpo_sft(spark, d):
+    nll, n = S.token_nll(F.col("logits"), F.col("labels"))
+    rows = I.sequences(spark, d).select("seq", S.sequence_logp(F.col("logits"), F.col("labels"), average=True).alias("c"), nll.alias("nll"), n.alias("n"))
+    pairs = rows.filter("seq % 2 = 0").join(rows.select((F.col("seq") - 1).alias("seq"), F.col("c").alias("r")), "seq")
+    loss = L.with_sft(L.simpo(F.col("c"), F.col("r"))["loss"], F.col("nll"), F.col("n"), 0.3)
+    return pairs.groupBy(F.expr("seq div 8").alias("batch")).agg(r6(loss, "loss"))
+
+
+@query(f"""WITH {I.SQL_TURNS}, t2 AS (SELECT row_id, list_append({IDS.format(SQL_JOINED.format('messages'))}, 999) AS a FROM dialogues), n AS (SELECT a, sum(len(a)) OVER (ORDER BY row_id) - len(a) AS start FROM t2),
+x AS (SELECT unnest(a) AS id, start + unnest(range(0, len(a))) AS pos FROM n) SELECT pos // 256 AS block, count(*) AS n, array_to_string(list(id ORDER BY pos), ',') AS ids FROM x GROUP BY 1""")
+def pack_sequences(spark, d):
+    rows = I.dialogues(spark, d).select("row_id", K.char_codec(joined("messages")).alias("ids"))
+    packed = K.pack(rows, "ids", "row_id", 256, 999)
+    return packed.select("block", F.size("input_ids").cast("long").alias("n"), F.array_join("input_ids", ",").alias("ids"))
 
 
 @query()
@@ -405,6 +476,10 @@ def cache_fingerprint(spark, d):
     return spark.createDataFrame([(name, str(fingerprint(I.table(spark, d, name)))) for name in ("documents", "conversations")], "name string, fingerprint string")
 
 
-@query()
+@query(f"""WITH {I.SQL_PARSED}, pat AS (SELECT DISTINCT {I.sql_squash('lower(text)')} AS pattern FROM benchmark),
+x AS (SELECT row_id, {CHATML.format('c[1:n]')} AS prompt, '<|im_start|>' || c[n + 1].role || chr(10) || c[n + 1].content || '<|im_end|>' || chr(10) AS chosen FROM judged WHERE error IS NULL),
+y AS (SELECT *, {I.sql_squash('lower(chosen)')} AS t FROM x)
+SELECT CASE WHEN row_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, sum(length(prompt))::BIGINT AS prompt_chars, sum(length(chosen))::BIGINT AS chosen_chars FROM y
+WHERE NOT coalesce((SELECT bool_or(contains(t, pattern)) FROM pat WHERE length(pattern) > 0), false) GROUP BY 1""")
 def flagship_summary(spark, d):
     return flagship(spark, d)

@@ -15,7 +15,7 @@ from tidewater.operators.mixing import k_sample, mix
 from tidewater.operators.pairs import STANDARD_COLUMNS, rename_rendered
 from tidewater.operators.render import apply_template
 from tidewater.operators.tokenise import COLUMNS, TokenizerSpec, inspection_rows, tokenise_pairs
-from tidewater.sources.cache import TokenCache, code_hash, fingerprint
+from tidewater.sources.cache import TokenCache, code_hash, fingerprint, function_hash
 from tidewater.sources.catalog import Catalog
 from tidewater.sources.sinks import write_samples
 
@@ -39,7 +39,7 @@ def manifest(trainer: str, split: str, df: DataFrame, spec: TokenizerSpec, templ
     return {
         "trainer": trainer,
         "split": split,
-        "tokenizer": {"name": spec.name, "bos": spec.bos, "eos": spec.eos, "pad": spec.pad, "model_max_length": spec.model_max_length},
+        "tokenizer": {"name": spec.name, "bos": spec.bos, "eos": spec.eos, "pad": spec.pad, "model_max_length": spec.model_max_length, "codec": [function_hash(spec.encode), function_hash(spec.python)]},
         "template": template.name,
         "system": data.auto_insert_empty_system_msg,
         "settings": {k: v for k, v in asdict(config).items() if k in ("max_length", "max_prompt_length", "max_target_length", "truncation_mode", "label_pad_token_id")},

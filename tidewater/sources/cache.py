@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import types
 from collections.abc import Callable
 from typing import Any
 
@@ -25,6 +26,37 @@ def code_hash(f: Callable) -> str:
         return hashlib.sha256(repr(f).encode()).hexdigest()
 
 
+def function_hash(f: Any) -> str:
+    """What a function does: its code, constants, names, defaults and, in turn, what it closes over. Functions of one source line that
+    hold different values differ."""
+
+    def parts(x: Any, seen: tuple = ()) -> Any:
+        if isinstance(x, types.FunctionType):
+            if id(x) in seen:
+                return "itself"
+            seen = (*seen, id(x))
+            cells = [parts(c.cell_contents, seen) for c in x.__closure__ or ()]
+            return ["function", parts(x.__code__, seen), cells, [parts(d, seen) for d in x.__defaults__ or ()], sorted((k, parts(v, seen)) for k, v in (x.__kwdefaults__ or {}).items())]
+        if isinstance(x, types.CodeType):
+            return [x.co_code.hex(), list(x.co_names), list(x.co_varnames), [parts(c, seen) for c in x.co_consts]]
+        if isinstance(x, (list, tuple)):
+            return [type(x).__name__, *[parts(v, seen) for v in x]]
+        if isinstance(x, dict):
+            return sorted((str(k), parts(v, seen)) for k, v in x.items())
+        if x is None or isinstance(x, (str, bytes, int, float, bool)):
+            return repr(x)
+        if callable(x) and not hasattr(x, "__dict__"):
+            return getattr(x, "__qualname__", repr(type(x)))
+        return [type(x).__qualname__, parts(dict(vars(x)), seen) if hasattr(x, "__dict__") and not isinstance(x, (type, types.ModuleType)) else getattr(x, "__name__", "")]
+
+    return stable_hash(parts(f))
+
+
+def cache_root(path: str, base: str) -> str:
+    """Where a cache lies: a relative path counts from the project's folder; others, with a scheme too, stay."""
+    return path if path.startswith("/") or "://" in path else f"{base.rstrip('/')}/{path}"
+
+
 def fingerprint(df: DataFrame) -> dict[str, Any]:
     """Rows and an order-insensitive sum of their hashes, in one pass of partial sums."""
     h = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")

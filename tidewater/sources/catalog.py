@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Source:
-    path: str
+    path: str | dict[str, DataFrame]  # a folder, or tables by split
     format: str = "canonical"  # or "transcript"
     subdir: bool = False  # whether a config names a folder
 
@@ -22,7 +22,7 @@ class Catalog:
     root: str = ""
     sources: dict[str, Source] = field(default_factory=dict)
 
-    def register(self, name: str, path: str, *, format: str = "canonical", subdir: bool = False) -> None:
+    def register(self, name: str, path: str | dict[str, DataFrame], *, format: str = "canonical", subdir: bool = False) -> None:
         self.sources[name] = Source(path, format, subdir)
 
     def is_transcript(self, name: str) -> bool:
@@ -33,6 +33,10 @@ class Catalog:
         tried = []
         if name in self.sources:
             s = self.sources[name]
+            if isinstance(s.path, dict):
+                if split in s.path:
+                    return s.path[split]
+                raise FileNotFoundError(f"source {name!r} has no split {split!r}; it has {sorted(s.path)}")
             tried.append("/".join([s.path, *([config] if config and s.subdir else []), f"{split}.parquet"]))
         tried.append(f"{self.root}/{name}/{split}".lstrip("/") if not self.root else f"{self.root}/{name}/{split}")
         for path in tried:

@@ -29,8 +29,9 @@ def write_full_margins(df: DataFrame, path: str) -> None:
 
 
 def read_margins(spark: SparkSession, path: str) -> DataFrame:
-    """The margin log's fixed columns, missing ones null. Raises if there is no row."""
-    df = spark.read.schema(MARGIN_LOG).json(path).filter("step is not null")
+    """The margin log's fixed columns, missing ones null, also the step. Blank lines go; raises if there is no row, and, when read, if a line is
+    broken."""
+    df = spark.read.schema(MARGIN_LOG).option("mode", "FAILFAST").json(path)
     if df.isEmpty():
         raise ValueError(f"no margins at {path}")
     return df
