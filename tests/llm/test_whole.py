@@ -285,3 +285,61 @@ def test_automata_equal_a_plain_alergia():
         for w in words[:40]:
             chars = sum(found.chars[c] for c in w)
             assert math.isclose(found.read(w)[0] - chars, plain.log_probability(w.translate(found.symbols)), abs_tol=1e-9)
+
+
+def test_line_runs_in_parts():
+    """Runs that are passed on in parts, within a document too, count each document once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewater.llm.linededup import stream_runs
+
+    rng = random.Random(20)
+    for _ in range(100):
+        rows = sorted((rng.randint(0, 2), 0, rng.randint(0, 4), p) for p in range(rng.randint(1, 60)))
+        cuts = sorted({0, len(rows), *(rng.randint(0, len(rows)) for _ in range(5))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t)) for c, t in zip(zip(*rows[a:b], strict=True), (np.int64, np.int64, np.int64, np.int32), strict=True)], ["h1", "h2", "doc", "pos"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        docs = defaultdict(set)
+        for h, _, d, _ in rows:
+            docs[h].add(d)
+        for part in (3, 1000):
+            out = [x for b in stream_runs(3, part)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            n, last = Counter(), {}
+            for kind, h, _, d, _, k in out:
+                if kind == 2:
+                    n[h] += k
+                    last[h] = max(last.get(h, -1), d)
+            assert all(n[h] == len(docs[h]) and last[h] == max(docs[h]) for h in n)
+            gone = {(d, p) for kind, h, _, d, p, _ in out if kind == 0 or kind == 1 and n[h] >= 3 and d != last[h]}
+            assert gone == {(d, p) for h, _, d, p in rows if len(docs[h]) >= 3 and d != max(docs[h])}
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Ids that repeat, with equal and other texts, and null ids: what others() names, but one row, goes."""
+    from tidewater.llm.jaccard import jaccard_join
+
+    text = lambda start: " ".join(f"w{start + i}" for i in range(60))
+    rows = [(3, text(0)), (3, text(0)), (3, text(0) + " more"), (1, text(0) + " x"), (None, text(0)), (None, text(500)), (None, text(500)), (7, text(500) + " y"), (8, text(900)), (8, text(1500)), (9, None), (9, None), (None, text(3000)), (None, text(3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone, again = jaccard_join(df, k=3, percent=90).others()
+    from pyspark.sql import functions as F
+
+    key = {(r.i, r.h): (r.doc_id, r.text) for r in df.select("doc_id", "text", F.xxhash64("doc_id").alias("i"), F.xxhash64("text").alias("h")).collect()}
+    gone = {key[r.id_h, r.text_h] for r in gone.collect()}
+    assert gone == {rows[0], rows[2], rows[4], rows[5]}
+    assert [key[r.id_h, r.text_h] for r in again.collect()] == [rows[-1]]
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from tidewater.llm.common import Scratch
+
+    outer = Scratch(spark, "outer")
+    kept = outer.put(spark.range(3), "a")
+    with Scratch.sweep():
+        inner = Scratch(spark, "inner")
+        assert outer.put(inner.put(spark.range(4), "b"), "c").count() == 4 and Path(inner.root.removeprefix("file:")).exists()
+    assert not Path(inner.root.removeprefix("file:")).exists() and kept.count() == 3
+    outer.remove()
+    assert not Path(outer.root.removeprefix("file:")).exists() and outer not in Scratch.open

@@ -6,10 +6,13 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the word and line rules: [\x20\x09-\x0D].
@@ -37,11 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. They cut lineage, and outlive the loss of executors."""
+    """Tables of one run in the shared folder. They cut lineage, and outlive the loss of executors. A result may read them whenever it is
+    used, so they go when the session ends, or before by remove(), or by sweep() once a result is written."""
+
+    open: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._path()
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch.open.append(self)
+
+    def _path(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -50,9 +64,24 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Removes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def remove(self) -> None:
+        """Removes all of the run's tables."""
+        fs, path = self._path()
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
+        Scratch.open.remove(self)
+
+    @staticmethod
+    @contextmanager
+    def sweep() -> Iterator[None]:
+        """Removes the tables of all runs that began inside, when it ends: what they led to must be written by then."""
+        before = list(Scratch.open)
+        yield
+        for run in [s for s in Scratch.open if s not in before]:
+            run.remove()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -193,19 +222,22 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.put(edges, f"{name}-0")
+    # The rounds' tables have about as many rows as there are edges, often few: no file of a few rows for each shuffle partition.
+    files = -(-edges.count() // 50_000) or 1
+    put = lambda df, part: scratch.put(df.coalesce(files) if files < partitions(scratch.spark) else df, f"{name}-{part}")
     before, k = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Tables of their own, so that a join deals both sides anew and Spark may split the rows of a large component.
-        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-m{k}")
+        least = put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"m{k}")
         # large star: every larger neighbour goes to the least one
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large = scratch.put(large, f"{name}-l{k}")
+        large = put(large, f"l{k}")
         # small star: all smaller neighbours go to the least of them
-        low = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-n{k}")
+        low = put(large.groupBy("u").agg(F.min("v").alias("m")), f"n{k}")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{k + 1}")
+        new = put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{k + 1}")
         for part in "lmn":
             scratch.drop(f"{name}-{part}{k}")
         scratch.drop(f"{name}-{k}")
@@ -217,10 +249,6 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def text_of(docs: DataFrame, text: str = "text") -> Column:
-    return F.coalesce(docs[text], F.lit(""))
-
-
 def pieces_of(batches, column: int, most: int = 4 << 20):
     """The batches, cut so that each has at most `most` bytes of text (a longer text is alone): array work takes memory by
     the bytes at hand."""

@@ -48,15 +48,15 @@ def names_of(hashes: np.ndarray, twice: frozenset[int] = frozenset()) -> tuple[i
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """kind 0: (doc, n, set, second, bits); kind 1: (chunk, counts), what a task counted in the cells of the sketch.
+    """kind 0: (doc, text_h, n, set, second, bits), text_h a hash of the text that tells an id's texts apart; kind 1: (chunk, counts), what a task counted in the cells of the sketch.
 
     bits: 256 bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles as bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.uint32)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        names = ["kind", "doc", "n", "set", "second", "chunk", "counts", "bits"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        names = ["kind", "doc", "text_h", "n", "set", "second", "chunk", "counts", "bits"]
         for batch in pieces_of(batches, 1):
             hashes, at = word_sets(batch.column(1), k)
             counts += np.bincount(hashes >> LOW, minlength=1 << BITS).astype(np.uint32)
@@ -65,13 +65,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             cells = np.repeat(np.arange(n), np.diff(at)) * 256 + (hashes & np.uint64(255)).astype(np.int64)
             parity = np.bincount(cells, minlength=256 * n).astype(np.uint8) & 1
             bits = np.packbits(parity).view(np.int64).reshape(n, 4).tolist()
-            rows = [np.zeros(n, np.int32), batch.column(0), np.diff(at), sets, second, [None] * n, [None] * n, bits]
+            rows = [np.zeros(n, np.int32), batch.column(0), batch.column(2), np.diff(at), sets, second, [None] * n, [None] * n, bits]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
         m = (1 << BITS) // CHUNK
-        rows = [[1] * m, *[[None] * m] * 4, range(m), [c.tobytes() for c in counts.reshape(m, CHUNK)], [None] * m]
+        rows = [[1] * m, *[[None] * m] * 5, range(m), [c.tobytes() for c in counts.reshape(m, CHUNK)], [None] * m]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "kind int, doc long, n long, set long, second long, chunk int, counts binary, bits array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, "kind int, doc long, text_h long, n long, set long, second long, chunk int, counts binary, bits array<long>")
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +374,7 @@ def possible(percent: int) -> str:
 
 
 class JaccardJoin:
-    """sets: (doc, n, set) per row; comps: (node, comp) of the linked sets. Links are within components, and are counted or listed
+    """sets: (doc, text_h, n, set) per row; comps: (node, comp) of the linked sets. Links are within components, and are counted or listed
     when they are asked for."""
 
     def __init__(self, sets: DataFrame, nodes: DataFrame, comps: DataFrame, parts: DataFrame, percent: int, scratch: Scratch):
@@ -396,16 +396,17 @@ class JaccardJoin:
         return within(self.members(), self.parts, self.percent, True)
 
     def by_set(self, counted: bool = True) -> DataFrame:
-        """(set, component_id, n_links) per set; n_links of each of its documents, copies included."""
+        """(set, component, component_id, n_links) per set; n_links of each of its documents, copies included. component is a set's name."""
         comps = self.members().select("set", "comp")
         least = comps.join(self.nodes.select("set", "doc"), "set").groupBy("comp").agg(F.min("doc").alias("component_id"))
-        out = self.nodes.select("set", "doc", "copies").join(comps.join(least, "comp").select("set", "component_id"), "set", "left")
+        out = self.nodes.select("set", "doc", "copies").join(comps.join(least, "comp").select("set", F.col("comp").alias("component"), "component_id"), "set", "left")
         n_links = F.col("copies") - 1
         if counted:
             others = within(self.members(), self.parts, self.percent, False).groupBy("set").agg(F.sum("others").alias("others"))
             out = out.join(others, "set", "left")
             n_links = n_links + F.coalesce("others", F.lit(0))
-        return out.select("set", F.coalesce("component_id", "doc").alias("component_id"), n_links.alias("n_links"))
+        component_id = F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("component_id"))
+        return out.select("set", F.coalesce("component", "set").alias("component"), component_id.alias("component_id"), n_links.alias("n_links"))
 
     def link_counts(self) -> DataFrame:
         """(doc, n_links) per row: how many other rows it is linked with, copies of its own set included."""
@@ -419,6 +420,17 @@ class JaccardJoin:
         none = self.sets.filter("set is null").select("doc", "n", F.col("doc").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
         return some.unionByName(none.select(*columns))
 
+    def others(self) -> tuple[DataFrame, DataFrame]:
+        """What goes if one row of each component stays: (id_h, text_h) of rows that aren't it, and of those that stay but are there more than
+        once; id_h is xxhash64 of the id. The one that stays has the least id (null last) and, of an id's texts, the least hash. Rows without
+        words are in no component."""
+        rows = self.sets.filter("set is not null").join(self.by_set(False).select("set", "component"), "set")
+        rows = rows.groupBy("component", "doc", "text_h").agg(F.count("*").alias("rows"))
+        rows = self.scratch.put(rows.select("component", F.struct(F.col("doc").isNull().alias("none"), "doc", "text_h").alias("row"), "rows"), "rows")
+        least = self.scratch.put(rows.groupBy("component").agg(F.min("row").alias("first"), F.sum("rows").alias("n")).filter("n > 1"), "least")
+        both = rows.join(least, "component").select(F.xxhash64("row.doc").alias("id_h"), "row.text_h", (F.col("row") == F.col("first")).alias("stays"), "rows")
+        return both.filter("not stays").select("id_h", "text_h"), both.filter("stays and rows > 1").select("id_h", "text_h")
+
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, fragments: int = 8) -> JaccardJoin:
     """Links documents whose sets of k-word shingles have a Jaccard similarity of at least percent / 100.
@@ -432,13 +444,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     described = scratch.put(describe(docs, id_col, text_col, k), "sets")
-    rows = described.filter("kind = 0").select("doc", "n", "set", "second", "bits")
+    rows = described.filter("kind = 0").select("doc", "text_h", "n", "set", "second", "bits")
     known = rows.filter("set is not null")
     # Different sets of one name: with N sets about N * N / 2 ** 65 of them.
     twice = [r.set for r in known.groupBy("set").agg(F.min("second").alias("x"), F.max("second").alias("y")).filter("x <> y").select("set").collect()]
     if twice:
         rows = rows.withColumn("set", F.when(F.col("set").isin(twice), F.col("second")).otherwise(F.col("set")))
-    sets = rows.select("doc", "n", "set")
+    sets = rows.select("doc", "text_h", "n", "set")
     nodes = rows.filter("set is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
     nodes = scratch.put(nodes, "nodes")
     order = Order.of(described.filter("kind = 1").select("chunk", "counts"), fragments)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, partitions
+from tidewater.llm.common import Scratch, partitions, pieces_of, tidy
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -28,7 +28,7 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
         import xxhash
 
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in pieces_of(batches, 1):
             hashes, pos, counts = [], [], []
             for text in batch.column(1).cast(pa.large_binary()).to_pylist():
                 before = len(pos)
@@ -47,11 +47,13 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
     return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "h1 long, h2 long, doc long, pos int")
 
 
-def stream_runs(most_docs: int):
+def stream_runs(most_docs: int, part: int = 1_000_000):
     """Per sorted partition: rows (kind, h1, h2, doc, pos, n). kind 0: drop this line; 1: an open run's line; 2: what an open run
     holds (n documents, doc the last)."""
 
-    def settle(kind: int, h1, h2, doc, pos, first_open: bool, last_open: bool) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[np.ndarray], first_open: bool, last_open: bool, counted: bool) -> Iterator[pa.RecordBatch]:
+        """counted: the first row's document was counted with the part before."""
+        h1, h2, doc, pos = held
         n = len(h1)
         if not n:
             return
@@ -61,6 +63,7 @@ def stream_runs(most_docs: int):
         run = np.cumsum(new) - 1
         fresh = new.copy()
         fresh[1:] |= doc[1:] != doc[:-1]
+        fresh[0] = not counted
         n_docs = np.bincount(run, weights=fresh).astype(np.int64)
         last = doc[np.append(starts[1:], n) - 1]
         is_open = np.zeros(len(starts), bool)
@@ -80,25 +83,26 @@ def stream_runs(most_docs: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), kind, np.int32)), *map(pa.array, (h1, h2, doc, pos, n))], ["kind", "h1", "h2", "doc", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, True
+        held, first, before = None, True, None  # before: the key and document that a part of a run ended with
+        known = lambda: (held[0][0], held[1][0], held[2][0]) == before
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             held = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
             h1, h2, doc, pos = held
-            # All but the last run is complete; a last run of great length is passed on open, in parts that end with a document.
+            # All but the last run is complete; a last run of great length is passed on open, in parts.
             ends = np.flatnonzero((h1 != h1[-1]) | (h2 != h2[-1]))
             cut = int(ends[-1]) + 1 if len(ends) else 0
             if cut:
-                yield from settle(0, *(x[:cut] for x in held), first, False)
-                held, first = [x[cut:] for x in held], False
-            elif len(h1) > 1_000_000 and doc[0] != doc[-1]:
-                part = int(np.flatnonzero(doc != doc[-1])[-1]) + 1
-                yield from settle(0, *(x[:part] for x in held), True, True)
-                held, first = [x[part:] for x in held], True
+                yield from settle([x[:cut] for x in held], first, False, known())
+                held, first, before = [x[cut:] for x in held], False, None
+            elif len(h1) > part:
+                yield from settle(held, True, True, known())
+                held, first, before = None, True, (h1[-1], h2[-1], doc[-1])
         if held is not None:
-            yield from settle(0, *held, first, True)
+            yield from settle(held, first, True, known())
+        tidy()
 
     return run
 
@@ -161,7 +165,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
     place, at = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, place):
             texts = batch.column(place).cast(pa.large_binary()).to_pylist()
             for i, bits in enumerate(batch.column(at).to_pylist()):
                 if bits is not None:
