@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 W = "\x20\x09-\x0d"
 
 
@@ -196,3 +198,79 @@ class alergia:  # noqa: N801
             p = self.next[p][c]
         x, n = self.shares(p)
         return total + (math.log(x["end"] / (n + 1)) if x["end"] else math.log(1e-6))
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def logistic(x, y, l2=0.3):
+    """Weights and intercept by plain Newton steps on a dense matrix."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    shrink = np.diag([*[l2] * (x.shape[1] - 1), 1e-3])
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + shrink, x.T @ (p - y) + shrink @ w)
+        size = 1.0
+        loss = lambda v: np.sum(np.logaddexp(0, x @ v) - y * (x @ v)) + 0.5 * v @ shrink @ v
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def predict(x, w):
+    return sigmoid(x @ w[:-1] + w[-1])
+
+
+def telling(lists, labels, most, least):
+    """Features by the largest chi-squared to any label, ascending."""
+    n, best = len(lists), {}
+    for f in sorted({f for x in lists for f in x}):
+        has = np.array([f in x for x in lists])
+        seen = has.sum()
+        if least <= seen < n:
+            best[f] = max((has @ y - seen * y.mean()) ** 2 / max(seen * y.mean() * (1 - y.mean()) * (1 - seen / n), 1e-9) for y in labels)
+    top = sorted(best, key=lambda f: (-best[f], f))[:most]
+    return sorted(f for f in top if best[f] > 10.8)
+
+
+def matrix(lists, names):
+    return np.array([[float(f in x) for f in names] for x in map(set, lists)])
+
+
+def chain(lists, stats, labels, folds=4, features=1500):
+    """Out-of-fold and final probabilities of each category, each fitted beside the ones before."""
+    names = telling(lists, list(labels.T.astype(float)), features, 8)
+    x = np.hstack([matrix(lists, names), stats])
+    train = test = x
+    fold, out, final = np.arange(len(x)) % folds, [], []
+    for y in labels.T.astype(float):
+        held = np.zeros(len(x))
+        for f in range(folds):
+            held[fold == f] = predict(train[fold == f], logistic(train[fold != f], y[fold != f]))
+        final.append(predict(test, logistic(train, y)))
+        train, test = np.hstack([train, held[:, None]]), np.hstack([test, final[-1][:, None]])
+        out.append(held)
+    return np.stack(out, 1), np.stack(final, 1)
+
+
+def co_training(views, y, fit, held, free, sure=0.95, rounds=3):
+    """views: two matrices of all rows; y: labels of the labelled ones, by row; free: the unlabelled rows. Calibrated and combined probabilities."""
+    known = np.array([y[i] for i in fit], float)
+    weights = [logistic(x[fit], known) for x in views]
+    for _ in range(rounds):
+        judged, new = [predict(x[free], w) for x, w in zip(views, weights, strict=True)], []
+        for v, x in enumerate(views):
+            p = judged[1 - v]
+            some = (p >= sure) | (p <= 1 - sure)
+            new.append(logistic(np.vstack([x[fit], x[free][some]]), np.concatenate([known, p[some] > 0.5])))
+        weights = new
+    z = [x @ w[:-1] + w[-1] for x, w in zip(views, weights, strict=True)]
+    true = np.array([y[i] for i in held], float)
+    scales = [logistic(o[held, None], true, 0.1) for o in z]
+    both = np.stack([o * s[0] + s[1] for o, s in zip(z, scales, strict=True)], 1)
+    return np.hstack([sigmoid(both), predict(both, logistic(both[held], true, 0.1))[:, None]])

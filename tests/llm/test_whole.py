@@ -343,3 +343,77 @@ def test_scratch_tables_go(spark):
     assert not Path(inner.root.removeprefix("file:")).exists() and kept.count() == 3
     outer.remove()
     assert not Path(outer.root.removeprefix("file:")).exists() and outer not in Scratch.open
+
+
+def features_by_row(texts):
+    """(features, statistics) of texts, as the classifiers see them."""
+    import pyarrow as pa
+
+    from tidewater.llm import linear
+
+    docs, ids, stats = linear.features(pa.array(texts, pa.string()))
+    docs, ids = linear.pairs(docs, ids)
+    return [ids[docs == i] for i in range(len(texts))], stats
+
+
+def test_chain_equals_a_plain_chain(spark):
+    """Every document's probabilities against dense Newton steps; labels of documents that aren't there change nothing, and nor do null ids, repeated
+    rows or very long texts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import classified
+    from tidewater.llm.toxicity import toxicity, train
+
+    docs, labels, _ = classified(spark, 500)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    known = {}
+    for r in labels.collect():
+        if r.doc_id in rows:
+            junk, toxic = known.get(r.doc_id, (0, 0))
+            known[r.doc_id] = max(junk, int(r.quality == 0)), max(toxic, int(r.toxic == 1))
+    ids = sorted(known)
+    lists, stats = features_by_row([rows[i] for i in ids])
+    held, want = brute.chain(lists, stats, np.array([known[i] for i in ids]))
+    more = labels.unionByName(spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(1).alias("toxic")))
+    extra = [(None, rows[ids[0]]), (ids[0], rows[ids[0]]), (9000, " ".join(["word1"] * 200_000)), (9001, None)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = toxicity(every, more).collect()
+    by_id = {r.doc_id: (r.p_junk, r.p_toxic) for r in got if r.doc_id in known}
+    assert len(got) == docs.count() + 4
+    assert np.abs(np.array([by_id[i] for i in ids]) - want).max() < 0.02
+    assert len({(r.p_junk, r.p_toxic) for r in got if r.text == rows[ids[0]]}) == 1
+    categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    assert all(v >= 0.9 for v in train(docs, more, categories).held_out.values())
+
+
+def test_co_training_equals_a_plain_one(spark):
+    """Every document's three scores against dense Newton steps on all unlabelled documents; absent documents' labels change nothing."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import classified
+    from tidewater.llm.quality import metadata, quality, train
+
+    docs, labels, _ = classified(spark, 500)
+    meta = metadata(["source", "lang"], docs, "n_chars")
+    rows = {r.doc_id: r for r in docs.select("doc_id", "text", meta.alias("meta")).collect()}
+    ids = sorted(rows)
+    y = {r.doc_id: r.quality for r in labels.filter("quality is not null").collect() if r.doc_id in rows}
+    place = {d: i for i, d in enumerate(ids)}
+    known = sorted(y)
+    held, fit = known[::5], [d for i, d in enumerate(known) if i % 5]
+    lists, stats = features_by_row([rows[d].text for d in ids])
+    own = [set(rows[d].meta) for d in ids]
+    truth = np.array([y[d] for d in fit], float)
+    views = [np.hstack([brute.matrix(lists, brute.telling([lists[place[d]] for d in fit], [truth], 1500, 8)), stats]), brute.matrix(own, brute.telling([own[place[d]] for d in fit], [truth], 1500, 5))]
+    where = lambda some: [place[d] for d in some]
+    want = brute.co_training(views, {place[d]: v for d, v in y.items()}, where(fit), where(held), where([d for d in ids if d not in y]))
+    more = labels.unionByName(spark.range(10_000, 40_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(1).alias("toxic")))
+    extra = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    got = {r.doc_id: (r.p_content, r.p_metadata, r.quality, r.kept) for r in quality(docs, more).collect()}
+    found = np.array([got[d][:3] for d in ids])
+    assert np.abs(found - want).max() < 0.08 and np.abs(found - want).mean() < 0.004
+    assert all(k == (q >= 0.5) for *_, q, k in got.values())
+    assert sum(r.doc_id is None for r in quality(docs.unionByName(extra), more).collect()) == 1
+    assert train(docs, more, meta)[0].held_out >= 0.9

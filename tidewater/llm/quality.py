@@ -144,7 +144,7 @@ class Far:
         return [(int(x[0]), float(x[1]), x[2 : 2 + m], x[2 + m :]) for x, m in zip(parts, sizes, strict=True)]
 
 
-def fit_far(xs: list[Rows], y: np.ndarray, far: Far, before: list[np.ndarray], l2: float = 0.3, steps: int = 40, tolerance: float = 1e-4) -> tuple[list[np.ndarray], list[int]]:
+def fit_far(xs: list[Rows], y: np.ndarray, far: Far, before: list[np.ndarray], l2: float = 0.3, steps: int = 60, tolerance: float = 1e-5) -> tuple[list[np.ndarray], list[int]]:
     """fit_logistic for both views, on the labelled rows here and the documents of far that the other view, with its weights
     before, is sure of. Also how many documents those were."""
     found, used = [Descent(w, l2, tolerance=tolerance) for w in before], [0] * VIEWS
