@@ -35,21 +35,42 @@ class Hasher:
         if n > len(self.up):
             self.up, self.down = powers(n + n // 4, BASE), powers(n + n // 4, INVERSE)
 
-    def segments(self, data: np.ndarray, k: int, least: int, turn: int = 0) -> tuple[np.ndarray, ...]:
-        """(owner, content, start, windows, repeats) of one text of at least `least` bytes. turn: which of the hashes gives owners."""
+    def owners(self, data: np.ndarray, k: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the text's bytes by powers, a hash of each k-byte string, and each window's owner. turn: which of the hashes gives owners."""
         n = len(data)
         self.grow(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         grams = mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
         if turn:
-            grams = mix(grams + np.uint64(turn) * MULT)
+            grams = mix(grams + np.uint64(turn & 0xFFFFFFFFFFFFFFFF) * MULT)
         low, width, span = grams, 1, least - k + 1
         while 2 * width <= span:
             low = np.minimum(low[: len(low) - width], low[width:])
             width *= 2
         if span > width:
             low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+        return sums, grams, low
+
+    def shared(self, data: np.ndarray, inside: np.ndarray, k: int, least: int, turn: int) -> np.ndarray:
+        """Which windows, of those that begin inside, may have an equal one: their owner by this hash has another run of windows, or stands
+        twice in its one run."""
+        _, grams, low = self.owners(data, k, least, turn)
+        at = np.flatnonzero(inside[: len(low)])
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]])]))
+        start, stop = at[new], at[np.append(new[1:], len(at)) - 1] + 1
+        _, which, count = np.unique(low[start], return_inverse=True, return_counts=True)
+        once = np.flatnonzero(count[which] == 1)
+        sizes = stop[once] - start[once] + least - k
+        place = np.arange(sizes.sum()) + np.repeat(start[once] - np.cumsum(sizes) + sizes, sizes)
+        alive = np.ones(len(start), bool)
+        if len(once):
+            alive[once] = np.add.reduceat(grams[place] == np.repeat(low[start[once]], sizes), np.cumsum(sizes) - sizes) > 1
+        return at[np.repeat(alive, np.diff(np.append(new, len(at))))]
+
+    def segments(self, data: np.ndarray, k: int, least: int, turn: int = 0) -> tuple[np.ndarray, ...]:
+        """(owner, content, start, windows, repeats) of one text of at least `least` bytes."""
+        sums, grams, low = self.owners(data, k, least, turn)
         new = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
         end = np.append(new[1:], len(low))
         owner = low[new]
@@ -126,12 +147,34 @@ def windows_by_content(rows: DataFrame, least: int) -> DataFrame:
     return later.select("doc", F.col("at").alias("a"), (F.col("at") + least).alias("b"))
 
 
-def covered_in_shards(least: int, shard_bytes: int):
-    """Per partition, sorted by owner: (doc, a, b) of windows that an earlier one of their shard equals. Shards end between owners."""
+def covered_in_shards(least: int, k: int, shard_bytes: int):
+    """Per partition, sorted by owner: (doc, a, b) of windows that an earlier one of their shard equals. Shards end between owners. Most windows
+    of segments that differ equal no other: those whose owner by two more hashes nothing shares aren't sorted."""
 
-    def solve(doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch | None:
+    def reduced(hasher: Hasher, doc: np.ndarray, start: np.ndarray, pieces: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The parts of pieces whose windows may have an equal one."""
+        sizes = np.array([len(p) for p in pieces])
+        at = np.cumsum(sizes + 1) - sizes - 1
+        whole = b"\0".join(pieces) + b"\0"
+        n = sizes - least + 1
+        inside = np.zeros(len(whole), bool)
+        inside[np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = True
+        alive = hasher.shared(np.frombuffer(whole, np.uint8), inside, k, least, turn)
+        if not len(alive):
+            return doc[:0], start[:0], []
+        # windows of one piece whose bytes overlap or touch are one part
+        new = np.flatnonzero(np.concatenate([[True], alive[1:] > alive[:-1] + least]))
+        a, b = alive[new], alive[np.append(new[1:], len(alive)) - 1] + least
+        piece = np.searchsorted(at, a, "right") - 1
+        return doc[piece], start[piece] + a - at[piece], [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+    def solve(hasher: Hasher, doc: np.ndarray, start: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch | None:
         by = np.lexsort((start, doc))  # a place in the shard's text then is a place in the order of (document, start)
         doc, start, pieces = doc[by], start[by], [pieces[i] for i in by]
+        for turn in (-1, -2):
+            doc, start, pieces = reduced(hasher, doc, start, pieces, turn)
+            if not pieces:
+                return None
         sizes = np.array([len(p) for p in pieces])
         at = np.cumsum(sizes + 1) - sizes - 1
         data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -158,11 +201,12 @@ def covered_in_shards(least: int, shard_bytes: int):
         return pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["doc", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         owners, docs, starts, pieces, size = [], [], [], [], 0
         for batch in batches:
             for owner, doc, start, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if size > shard_bytes and owner != owners[-1]:
-                    if (found := solve(np.array(docs), np.array(starts), pieces)) is not None:
+                    if (found := solve(hasher, np.array(docs), np.array(starts), pieces)) is not None:
                         yield found
                     owners, docs, starts, pieces, size = [], [], [], [], 0
                 owners.append(owner)
@@ -170,7 +214,7 @@ def covered_in_shards(least: int, shard_bytes: int):
                 starts.append(start)
                 pieces.append(piece)
                 size += len(piece)
-        if pieces and (found := solve(np.array(docs), np.array(starts), pieces)) is not None:
+        if pieces and (found := solve(hasher, np.array(docs), np.array(starts), pieces)) is not None:
             yield found
         tidy()
 
@@ -226,7 +270,7 @@ def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         more, pieces = settled(found, scratch, f"{turn}", least, owner_bytes, lambda wanted: wanted)
         spans, cold, hot = spans.unionByName(more), cold.unionByName(pieces.filter("not hot")), pieces.filter("hot")
     ranged = cold.select("owner", "doc", "start", "piece").repartition(partitions(docs.sparkSession), "owner").sortWithinPartitions("owner")
-    shards = ranged.mapInArrow(covered_in_shards(least, shard_bytes), "doc long, a int, b int")
+    shards = ranged.mapInArrow(covered_in_shards(least, k, shard_bytes), "doc long, a int, b int")
     return spans.unionByName(shards).unionByName(windows_by_content(hot, least))
 
 
