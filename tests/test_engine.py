@@ -424,3 +424,89 @@ def test_losses_of_batches(spark):
     assert rows.agg(L.with_sft(F.col("loss"), F.col("nll"), F.col("n"), 0.0).alias("x")).first().x == 1.5
     assert value(spark, L.weighted(F.lit(2.0), F.lit(-1.0), F.lit(-0.5))) == pytest.approx(2 * math.exp(-1.5))
     assert value(spark, L.weighted(F.lit(2.0), F.lit(1.0), F.lit(0.5))) == 2.0
+
+
+def test_sinks_of_margins(spark, tmp_path):
+    from tidewater.sources.sinks import MARGIN_LOG, write_card, write_full_margins
+
+    rows = spark.createDataFrame([(1, 0.5), (1, -0.5), (2, 1.0)], "step long, margin double")
+    write_full_margins(rows, f"{tmp_path}/full")
+    write_full_margins(rows.withColumn("step", F.lit(3)), f"{tmp_path}/full")
+    assert {(r.step, r.n) for r in spark.read.parquet(f"{tmp_path}/full").groupBy("step").agg(F.count("*").alias("n")).collect()} == {(1, 2), (2, 1), (3, 3)}
+    write_card(spark, f"{tmp_path}/card", "margins", 6)
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/card").collect())
+    assert "# margins" in text and "6 rows" in text and all(c in text for c in MARGIN_LOG.names)
+
+
+def test_non_finite_policy(spark):
+    for bad, fixed in ((float("nan"), 0.0), (float("inf"), 1e4), (float("-inf"), -1e4), (2.0, 2.0)):
+        assert value(spark, S.checked(F.lit(bad), "sanitize")) == fixed
+    assert value(spark, S.checked(F.lit(1.5), "error")) == 1.5
+    with pytest.raises(Exception, match="non-finite"):
+        value(spark, S.checked(F.lit(float("nan")), "error"))
+    with pytest.raises(ValueError):
+        S.checked(F.lit(1.0), "other")
+
+
+def test_evaluation_output(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (3.0, 4.0, 5.0)], "loss double, logits_chosen double, logits_rejected double")
+    assert G.evaluation(df).first().asDict() == {"loss": 2.0, "logits_chosen": 3.0, "logits_rejected": 4.0, "label": 0}
+    assert G.evaluation(df, ("logits_chosen",)).columns == ["loss", "logits_rejected", "label"]
+
+
+def test_encoder_decoder_and_tokenizer_setup(spark):
+    df = spark.createDataFrame([("abcdef", "xyz", "")], "prompt string, chosen string, rejected string")
+    row = K.tokenise_encoder_decoder(df, K.char_tokenizer(), max_prompt_length=4, max_target_length=2).first()
+    assert (row.prompt_input_ids, row.prompt_attention_mask, row.chosen_labels, row.rejected_labels) == ([97, 98, 99, 100], [1] * 4, [120, 121], [])
+    assert K.needs_chatml_setup("<|im_start|>x", {"<|im_start|>"}, "<pad>") and K.needs_chatml_setup("<|im_start|>x", {"<|im_start|>", "<|im_end|>"}, None)
+    assert not K.needs_chatml_setup("<|im_start|>x", {"<|im_start|>", "<|im_end|>"}, "<pad>") and not K.needs_chatml_setup("plain", set(), None)
+    spec = K.TokenizerSpec("t", eos=7, model_max_length=10**9).ready()
+    assert (spec.pad, spec.model_max_length) == (7, 2048)
+    assert K.TokenizerSpec("t", eos=7, pad=3, model_max_length=512).ready().pad == 3
+
+
+def test_prompts_that_differ_raise_and_padding(spark):
+    with pytest.raises(Exception, match="differ"):
+        odd = K.TokenizerSpec("odd", eos=999, python=lambda texts: [[ord(t[-1]), ord(t[-1]), *map(ord, t)] if t else [] for t in texts])
+        K.tokenise_pairs(spark.createDataFrame([("abc", "x", "yz")], "prompt string, chosen string, rejected string"), odd).collect()
+    rows = K.tokenise_pairs(spark.createDataFrame([(0, 1, "a", "xyz", "q"), (0, 2, "b", "x", "pq")], "batch int, row_id int, prompt string, chosen string, rejected string"), K.char_tokenizer())
+    got = {(r.row_id, r.side): (r.input_ids, r.attention_mask, r.labels) for r in K.pad_batches(rows, "batch", "row_id", pad=0).collect()}
+    assert got[1, 0] == ([97, 120, 121, 122, 999], [1] * 5, [-100, 120, 121, 122, 999])
+    assert got[2, 0] == ([98, 120, 999, 0, 0], [1, 1, 1, 0, 0], [-100, 120, 999, -100, -100])
+    assert got[1, 1] == ([97, 113, 999, 0, 0], [1, 1, 1, 0, 0], [-100, 113, 999, -100, -100])
+
+
+def test_inspection_rows_have_all_fields(spark):
+    rows = K.tokenise_pairs(spark.createDataFrame([(4, "ab", "c", "de")], "row_id long, prompt string, chosen string, rejected string"), K.char_tokenizer(eos=None))
+    row = K.inspection_rows(rows, split="test").first().asDict()
+    assert list(row) == list(K.INSPECTION) and len(row) == 24
+    assert (row["sample_index"], row["split"], row["decoded_prompt"], row["decoded_chosen_full"], row["decoded_rejected_target"], row["rejected_target_length"]) == (4, "test", "ab", "abc", "de", 2)
+
+
+def test_weighted_samples_follow_their_weights(spark):
+    """Which rows are kept: the heavier ones, over many groups, in about the share that sampling without replacement gives."""
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), F.expr("id div 10").alias("g"), F.when(F.col("id") % 10 < 5, 3.0).otherwise(1.0).alias("w"))
+    kept = M.weighted_sample(df, "w", 0.3, keys=("g",)).filter("kept")
+    share = kept.filter("w = 3").count() / kept.count()
+    rng = random.Random(8)
+    plain = [sorted(range(10), key=lambda i: -math.log(1 - rng.random()) / (3 if i < 5 else 1))[:3] for _ in range(5000)]
+    assert kept.count() == 6000 and abs(share - sum(i < 5 for x in plain for i in x) / 15000) < 0.02
+
+
+def test_configs_of_models_and_trainers():
+    from tidewater.config import AlphaDPOConfig, DPOConfig, ModelArguments, SFTConfig
+
+    model = load(ModelArguments, "model_name_or_path: m\nuse_peft: true\nlora_target_modules:\n  - q\n  - v\n", ["--lora_r=8"])
+    assert (model.model_name_or_path, model.use_peft, model.lora_target_modules, model.lora_r) == ("m", True, ["q", "v"], 8)
+    with pytest.raises(ValueError):
+        ModelArguments(load_in_8bit=True, load_in_4bit=True)
+    assert load(SFTConfig, "packing: true").packing and load(DPOConfig, "", ["--beta=0.2"]).beta == 0.2 and not AlphaDPOConfig().ln
+    with pytest.raises(ValueError):
+        load(DataArguments, "preprocessing_log_samples: -1")
+
+
+def test_loss_registry(spark):
+    c = [F.lit(x) for x in (-1.0, -2.0, -1.5, -1.8)]
+    assert set(L.REGISTRY) == {"simpo", "alpha_dpo", "margin_dpo", "epsilon_dpo"}
+    assert value(spark, L.REGISTRY["margin_dpo"](*c)["margin"]) == pytest.approx(0.7)
+    assert value(spark, L.REGISTRY["simpo"](c[0], c[1])["loss"]) == pytest.approx(math.log1p(math.exp(-1.0)))
