@@ -116,15 +116,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_chunks = max(1, -(-n_rows // per_chunk))
     own = sources.select("source", "rank", "source_size", "length", "n_slots")
     both = sizes.join(own, sizes["source"].eqNullSafe(own["source"])).drop(own["source"])
-    dealt = both.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_chunks)))
+    # Rows without words take no place, and texts tell null ids apart, so neither makes a chunk large.
+    dealt = both.filter("size > 0").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id", "h"), F.lit(n_chunks)))
     sums = dealt.groupBy("rank", "chunk", "source_size", "n_slots").agg(F.sum("size").alias("in_chunk"))
     base = F.sum("in_chunk").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("in_chunk")
     chunks = scratch.put(sums.withColumn("base", base), "chunks")
     within = Window.partitionBy("rank", "chunk").orderBy("id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.withColumn("upto", F.sum("size").over(within)).join(chunks.select("rank", "chunk", "base"), ["rank", "chunk"])
     placed = scratch.put(placed.withColumn("start", F.expr("base + upto - size")).select("id", "h", "rank", "size", "start", "length"), "placed")
-    scratch.drop("sizes")
-    blocks = placed.filter("size > 0").select("rank", "id", "h", "start", F.explode(ranges()).alias("p")).select("rank", "p.block", "id", "h", "start", "p.first", "p.at", "p.words")
+    blocks = placed.select("rank", "id", "h", "start", F.explode(ranges()).alias("p")).select("rank", "p.block", "id", "h", "start", "p.first", "p.at", "p.words")
 
     # Slots: each chunk makes its share of its source's slot numbers.
     upto = lambda at: F.floor(F.col("n_slots") * (at / F.col("source_size"))).cast("long")
@@ -154,6 +154,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # F.transform over one element names the words, so that they are found once
     cuts = full.select("rank", "id", "start", F.explode(F.element_at(F.transform(F.array(words), cut), 1)).alias("c"))
     shards = scratch.put(cuts.select("c.p.shard", "rank", "c.p.slot", "c.p.pass", "c.p.block", "id", "start", "c.p.first", "c.p.at", "c.p.words", "c.text"), "shards")
-    out = placed.join(wanted.select("rank", "start", "taken"), ["rank", "start"], "left").join(sources.select("rank", "source_size", "target"), "rank")
-    out = out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    shares = sources.select("source", "rank", "source_size", "target")
+    taken = placed.join(wanted.select("rank", "start", "taken"), ["rank", "start"], "left").join(shares, "rank").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    none = sizes.filter("size = 0").join(shares, sizes["source"].eqNullSafe(shares["source"])).select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    out = taken.unionByName(none).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
     return Mixture(out, slots, sources.select("source", "rank", "source_size", "target", "length", "n_blocks", "words"), blocks.drop("h"), shards)
