@@ -391,6 +391,14 @@ def test_containment_beyond_one_automaton(spark):
         assert {r.row_id for r in D.contaminated_ids(df, patterns, automaton_chars=chars).collect()} == want
 
 
+def test_prompt_metadata_tells_renderers_apart():
+    from tidewater.plans.prepare import prompt_metadata
+
+    of = lambda t, **k: prompt_metadata(K.char_tokenizer(), t, DataArguments(**k))
+    assert of(T.chatml()) == of(T.chatml()) != of(T.chatml(), auto_insert_empty_system_msg=False)
+    assert of(T.header()) != of(T.header("<s>")) and of(T.header())["template"] == "header"
+
+
 def test_codecs_are_told_apart(spark):
     from tidewater.sources.cache import cache_root, function_hash
 
@@ -427,15 +435,18 @@ def test_losses_of_batches(spark):
 
 
 def test_sinks_of_margins(spark, tmp_path):
-    from tidewater.sources.sinks import MARGIN_LOG, write_card, write_full_margins
+    from tidewater.sources.sinks import MARGIN_LOG, margin_dataset_name, write_card, write_full_margins
 
     rows = spark.createDataFrame([(1, 0.5), (1, -0.5), (2, 1.0)], "step long, margin double")
     write_full_margins(rows, f"{tmp_path}/full")
     write_full_margins(rows.withColumn("step", F.lit(3)), f"{tmp_path}/full")
     assert {(r.step, r.n) for r in spark.read.parquet(f"{tmp_path}/full").groupBy("step").agg(F.count("*").alias("n")).collect()} == {(1, 2), (2, 1), (3, 3)}
-    write_card(spark, f"{tmp_path}/card", "margins", 6)
+    assert (margin_dataset_name("m"), margin_dataset_name(None, "x")) == ("m-margin", "x")
+    with pytest.raises(ValueError):
+        margin_dataset_name(None)
+    write_card(spark, f"{tmp_path}/card", "margins", 6, run={"base": "m"}, mixer={"a": 0.5})
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/card").collect())
-    assert "# margins" in text and "6 rows" in text and all(c in text for c in MARGIN_LOG.names)
+    assert "# margins" in text and "6 rows" in text and "- base: m" in text and '{"a": 0.5}' in text and all(c in text for c in MARGIN_LOG.names)
 
 
 def test_non_finite_policy(spark):

@@ -28,7 +28,8 @@ def seeded_shuffle(df: DataFrame, seed: int = 42, row_id: str = "row_id") -> Dat
 
 
 def k_sample(df: DataFrame, count: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """At most count rows at the places that Python's seeded sample draws; none if count is not positive."""
+    """At most count rows at the places that Python's seeded sample draws; none if count is not positive. Fixed value: the draw is this call of
+    the standard library, so that samples can be reproduced from the seed alone."""
     n = df.count()
     if n <= 0 or count <= 0:
         return df.limit(0)

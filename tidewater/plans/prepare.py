@@ -34,14 +34,18 @@ def rendered(catalog: Catalog, data: DataArguments, template: Template, *, bench
     return out
 
 
+def prompt_metadata(spec: TokenizerSpec, template: Template, data: DataArguments) -> dict[str, Any]:
+    """How prompts are made, taken before rendering: the tokenizer, its template and the code and values that render."""
+    return {"tokenizer": spec.name, "template": spec.chat_template or template.name, "system": data.auto_insert_empty_system_msg, "render": function_hash(template.render)}
+
+
 def manifest(trainer: str, split: str, df: DataFrame, spec: TokenizerSpec, template: Template, data: DataArguments, config: PreferenceConfig) -> dict[str, Any]:
     """What identifies a tokenised table: its input's fingerprint, the tokenizer, the template, the lengths and the code."""
     return {
         "trainer": trainer,
         "split": split,
         "tokenizer": {"name": spec.name, "bos": spec.bos, "eos": spec.eos, "pad": spec.pad, "model_max_length": spec.model_max_length, "codec": [function_hash(spec.encode), function_hash(spec.python)]},
-        "template": template.name,
-        "system": data.auto_insert_empty_system_msg,
+        "prompt": prompt_metadata(spec, template, data),
         "settings": {k: v for k, v in asdict(config).items() if k in ("max_length", "max_prompt_length", "max_target_length", "truncation_mode", "label_pad_token_id")},
         "input": fingerprint(df.select("prompt", "chosen", "rejected")),
         "columns": sorted(COLUMNS),

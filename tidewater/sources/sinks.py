@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,15 @@ def read_margins(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def write_card(spark: SparkSession, path: str, name: str, rows: int) -> None:
-    """A short description beside a margin dataset."""
-    text = f"# {name}\n\nMargins by optimizer step: {rows} rows with the columns {', '.join(MARGIN_LOG.names)}.\n"
+def margin_dataset_name(model: str | None, explicit: str | None = None) -> str:
+    """The name of a model's margin dataset, unless one is given."""
+    if not (explicit or model):
+        raise ValueError("a margin dataset needs a name or a model's name")
+    return explicit or f"{model}-margin"
+
+
+def write_card(spark: SparkSession, path: str, name: str, rows: int, *, run: dict[str, str | None] | None = None, mixer: dict[str, float] | None = None) -> None:
+    """A short description beside a margin dataset: rows, columns, what is known of the run, and the mixture of its data."""
+    facts = "".join(f"- {k}: {v}\n" for k, v in (run or {}).items())
+    text = f"# {name}\n\nMargins by optimizer step: {rows} rows with the columns {', '.join(MARGIN_LOG.names)}.\n{facts}mixer: {json.dumps(mixer, sort_keys=True)}\n"
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def running_stream(stream: DataFrame, key: str, step: str, mean: str, std: str, decay: float, first: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """(key, step, mean, std) after each step of a stream of per-step statistics; one state row of two numbers per key. Steps
-    count in the order of their batches, and by step within one."""
+    count in the order of their batches, and by step within one. A batch's steps of a key are sorted and folded in Python: they are a row each, not
+    one per pair."""
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         m, s = state.get if state.exists else first
