@@ -158,6 +158,33 @@ def test_jaccard_partners_by_sizes_and_places():
             at += len(r)
 
 
+def test_parities_bound_differences(spark):
+    """The number of bits in which parities differ, folded to the smaller size, by both ways of counting, against the sets."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tidewater.llm import jaccard
+
+    rng = np.random.default_rng(22)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 255, 256, 257, 900, 1100, 5000, 40_000)]
+    sets += [np.union1d(s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, 1 + len(s) // 20, dtype=np.uint64)) for s in sets]
+    rows = [jaccard.parities(s) for s in sets]
+    assert [64 * len(r) for r in rows[:9]] == [256, 256, 256, 256, 512, 1024, 2048, 8192, 32768]
+    folded = jaccard.Folded(pa.array([r.tolist() for r in rows], pa.list_(pa.int64())))
+    a, b = map(np.ravel, np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    got = folded.differ(a, b)
+    pairs = []
+    for i, j, d in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        size = 64 * min(len(rows[i]), len(rows[j]))
+        other = np.setxor1d(sets[i], sets[j])
+        assert d == (np.bincount((other & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).sum() <= len(other)
+        n_i, n_j = len(sets[i]), len(sets[j])
+        pairs.append((len(pairs), n_i, n_j, rows[i].tolist(), rows[j].tolist(), 100 * (n_i + n_j - d) >= 90 * (2 * (n_i + n_j) - (n_i + n_j - d))))
+    df = spark.createDataFrame(pairs, "k int, n_a int, n_b int, bits_a array<long>, bits_b array<long>, want boolean").repartition(4)
+    assert df.filter(jaccard.alike(90) != F.col("want")).count() == 0
+
+
 def test_jaccard_null_ids_and_equal_names(spark):
     """Null ids link like any; an id with several texts is several documents; sets whose first names are equal stay apart."""
     from tidewater.llm import jaccard

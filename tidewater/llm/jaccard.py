@@ -10,7 +10,7 @@ documents is dealt over many tasks too. Within the documents that share a prefix
 in that order; then the pairs that those links leave apart are compared. That gives the connected components at about the cost of the
 rows. Every link is within a component, so all pairs of sets of a component of three or more can be compared, in blocks of sets that meet
 in one task each, for the number of links of each document or the links themselves. Where rows of a group have to meet each other they do so in such
-blocks, and only pairs that pass a bound on their overlap (by 256 parities of each set) come out, before any n-grams are sent.
+blocks, and only pairs that pass a bound on their overlap (by parities of each set, about one for each n-gram) come out, before any n-grams are sent.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def names_of(hashes: np.ndarray, twice: frozenset[int] = frozenset()) -> tuple[i
 def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """kind 0: (doc, text_h, n, set, second, bits), text_h a hash of the text that tells an id's texts apart; kind 1: (chunk, counts), what a task counted in the cells of the sketch.
 
-    bits: 256 bits, each the parity of the shingles that hash to it. Two sets differ in at least as many shingles as bits.
+    bits: see parities.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +62,8 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             counts += np.bincount(hashes >> LOW, minlength=1 << BITS).astype(np.uint32)
             n = batch.num_rows
             sets, second = zip(*(names_of(hashes[at[i] : at[i + 1]]) if at[i + 1] > at[i] else (None, None) for i in range(n)), strict=True)
-            cells = np.repeat(np.arange(n), np.diff(at)) * 256 + (hashes & np.uint64(255)).astype(np.int64)
-            parity = np.bincount(cells, minlength=256 * n).astype(np.uint8) & 1
-            bits = np.packbits(parity).view(np.int64).reshape(n, 4).tolist()
+            parts = [parities(hashes[at[i] : at[i + 1]]) for i in range(n)]
+            bits = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
             rows = [np.zeros(n, np.int32), batch.column(0), batch.column(2), np.diff(at), sets, second, [None] * n, [None] * n, bits]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names)
         m = (1 << BITS) // CHUNK
@@ -74,6 +73,13 @@ def describe(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, "kind int, doc long, text_h long, n long, set long, second long, chunk int, counts binary, bits array<long>")
 
 
+def parities(hashes: np.ndarray, least: int = 1 << 8, most: int = 1 << 15) -> np.ndarray:
+    """A power of two of bits, as 64-bit words, about one for each of the hashes within bounds; each is the parity of those that fall on it. Two sets
+    differ in at least as many hashes as bits. Halves laid over each other (xor) are the parities in half as many bits."""
+    size = min(max(least, 1 << max(len(hashes) - 1, 0).bit_length()), most)
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -331,6 +337,31 @@ def within(members: DataFrame, parts: DataFrame, percent: int, pairs: bool, bloc
     return by_group(rows, ["comp", "i", "j"], ["own", "set"], solve, "a long, b long, n_a int, n_b int, common long" if pairs else "set long, others long")
 
 
+class Folded:
+    """Rows of parities of several sizes."""
+
+    def __init__(self, column: pa.ListArray):
+        at, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        self.size = np.diff(at)
+        self.rows = {}
+        for m in np.unique(self.size).tolist():
+            some = np.flatnonzero(self.size >= m)
+            rows = np.zeros((len(at) - 1, m), np.uint64)
+            for i in some.tolist():
+                rows[i] = np.bitwise_xor.reduce(flat[at[i] : at[i + 1]].reshape(-1, m), axis=0)
+            self.rows[m] = rows
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits rows differ, in the smaller size of the two."""
+        out, size = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        for m, rows in self.rows.items():
+            some = np.flatnonzero(size == m)
+            for i in range(0, len(some), step := max(1, (1 << 18) // m)):
+                k = some[i : i + step]
+                out[k] = np.bitwise_count(rows[a[k]] ^ rows[b[k]]).sum(1, dtype=np.int64)
+        return out
+
+
 def apart_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(a, b): the pairs of sets of different components that share a prefix n-gram and pass the bounds. rows: (gram, set, place, comp, bits, m),
     m the n-gram's rows."""
@@ -338,7 +369,7 @@ def apart_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     def solve(group: pa.Table) -> pa.RecordBatch:
         sets, sides, place, comp = (group.column(c).to_numpy() for c in ("set", "own", "place", "comp"))
         n, pos = place & 0xFFFFFFFF, place >> 32
-        bits = group.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
+        bits = Folded(group.column("bits").combine_chunks())
         cross = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         for x in range(0, len(sets), 128):
@@ -351,7 +382,7 @@ def apart_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
                 ok &= sides[s, None] != sides
             a, b = np.nonzero(ok)
             a += x
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            differ = bits.differ(a, b)
             most = n[a] + n[b] - differ  # twice the overlap at most
             fine = 100 * most >= percent * (2 * (n[a] + n[b]) - most)
             found.append(np.stack([sets[a[fine]], sets[b[fine]]], 1))
@@ -363,7 +394,9 @@ def apart_pairs(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
 
 def alike(percent: int) -> Column:
     """A bound on a pair's overlap by bits_a and bits_b."""
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    m = F.least(F.size("bits_a"), F.size("bits_b"))
+    whole = lambda c, i: F.aggregate(F.sequence(F.lit(0), (F.size(c) / m).cast("int") - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(c, (i + j * m).cast("int"))))
+    differ = F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0), lambda s, i: s + F.bit_count(whole("bits_a", i).bitwiseXOR(whole("bits_b", i))))
     most = F.col("n_a") + F.col("n_b") - differ  # twice the overlap at most
     return 100 * most >= percent * (2 * (F.col("n_a") + F.col("n_b")) - most)
 
