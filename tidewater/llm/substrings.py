@@ -43,7 +43,7 @@ class Hasher:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         grams = mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1])
         if turn:
-            grams = mix(grams + np.uint64(turn & 0xFFFFFFFFFFFFFFFF) * MULT)
+            grams = mix(grams + np.uint64(turn * int(MULT) & 0xFFFFFFFFFFFFFFFF))
         low, width, span = grams, 1, least - k + 1
         while 2 * width <= span:
             low = np.minimum(low[: len(low) - width], low[width:])
