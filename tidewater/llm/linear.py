@@ -88,8 +88,8 @@ class Rows:
         return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.width), (self.dense**2).T @ v, [v.sum()]])
 
     def take(self, which: np.ndarray) -> Rows:
-        place = np.full(len(self), -1)
-        place[which] = np.arange(len(which))
+        place = np.full(len(self), -1, np.int32)
+        place[which] = np.arange(len(which), dtype=np.int32)
         some = place[self.row] >= 0
         return Rows(place[self.row[some]], self.column[some], self.width, self.dense[which])
 
@@ -166,8 +166,13 @@ class Vocabulary:
     @staticmethod
     def choose(lists: list[np.ndarray], labels: list[np.ndarray], most: int, least: int = 8) -> Vocabulary:
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        names, flat = np.unique(flat, return_inverse=True)
+        names, seen = np.unique(flat, return_counts=True)
+        names = names[(seen >= least) & (seen < max(len(lists), 1))]  # most are in a few texts
+        at = np.searchsorted(names, flat)
+        some = names[np.minimum(at, len(names) - 1)] == flat if len(names) else np.zeros(len(flat), bool)
+        doc = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])[some]
+        flat = at[some].astype(np.int32)
+        del at, some
         seen = np.bincount(flat, minlength=len(names)).astype(float)
         best = np.zeros(len(names))
         n = max(len(lists), 1)
@@ -175,7 +180,7 @@ class Vocabulary:
             with_y = np.bincount(flat, weights=y[doc].astype(float), minlength=len(names))
             rate = y.mean() if len(y) else 0
             gap = (with_y - seen * rate) ** 2 / np.maximum(seen * rate * (1 - rate) * (1 - seen / n), 1e-9)
-            best = np.maximum(best, np.where((seen >= least) & (seen < n), gap, 0))
+            best = np.maximum(best, gap)
         top = np.argsort(-best, kind="stable")[:most]
         chosen = names[np.sort(top[best[top] > 10.8])]  # p < 0.001
         return Vocabulary(chosen, len(chosen))
@@ -189,8 +194,8 @@ class Vocabulary:
 
     def rows(self, lists: list[np.ndarray], stats: np.ndarray) -> Rows:
         found = [np.unique(c[c >= 0]) for c in map(self.columns, lists)]
-        row = np.repeat(np.arange(len(lists)), [len(c) for c in found])
-        return Rows(row, np.concatenate(found) if found else np.zeros(0, np.int64), self.size, stats.astype(float))
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(c) for c in found])
+        return Rows(row, (np.concatenate(found) if found else np.zeros(0)).astype(np.int32), self.size, stats.astype(float))
 
     def hits(self, docs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, column) of a batch."""
@@ -202,6 +207,15 @@ class Vocabulary:
         return np.bincount(docs, weights=w[columns], minlength=len(stats)) + stats @ w[self.size : self.size + stats.shape[1]] + w[-1]
 
 
-def unpacked(column: list[bytes], kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column]
+def unpacked(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """Binary values as arrays that share the column's memory."""
+    out = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        size = np.dtype(kind).itemsize
+        out += [np.frombuffer(flat, kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 

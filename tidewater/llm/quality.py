@@ -191,13 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     some = there.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)  # the bound of the broadcast
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), meta.alias("meta")).join(F.broadcast(some), "id")
     rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "meta", "y"), F.xxhash64("text", "meta")).alias("r")).select("r.text", "id", "r.meta", "r.y")
-    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, meta array<int>, y int, ids binary, stats binary").toPandas()
-    sample = sample.sort_values("id")
+    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, meta array<int>, y int, ids binary, stats binary").toArrow().sort_by("id")
     y = sample["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
     lists, stats = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64))
-    own = [np.unique(np.array(m, np.int32)) for m in sample["meta"]]
+    own = [np.unique(np.array(m, np.int32)) for m in sample["meta"].to_pylist()]
     held = np.arange(len(y))[::5]
     fit = np.setdiff1d(np.arange(len(y)), held)
     words = Vocabulary.choose([lists[i] for i in fit], [y[fit] == 1], features)
@@ -206,6 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     every = scratch.put(compact(docs, id_col, text_col, meta, words, names), "compact")
     free = scratch.put(every.join(known.select("id"), "id", "left_anti").select("content", "stats", "meta"), "unlabelled")
     xs = [words.rows(lists, stats), names.rows(own, np.zeros((len(own), 0)))]
+    del sample, lists
+    tidy()
     return co_train(xs, y, held, (words, names), Far(free, words, names, 0.95)), every
 
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import pieces_of
-from tidewater.llm.linear import STATS, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
+from tidewater.llm.common import pieces_of, tidy
+from tidewater.llm.linear import STATS, Rows, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
 from tidewater.llm.linear import features as features_of
 
 
@@ -47,10 +47,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((sorted_p[k] + sorted_p[min(k + 1, len(p) - 1)]) / 2), float(f1[k])
 
 
-def fit_chain(lists: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, names: list[str], folds: int = 4, l2: float = 0.3, features: int = 1500) -> Chain:
+def fit_chain(words: Vocabulary, x: Rows, labels: np.ndarray, names: list[str], folds: int = 4, l2: float = 0.3) -> Chain:
     """labels: a column per category, 0 or 1; rows come in a fixed order, and row i is in fold i % folds."""
-    words = Vocabulary.choose(lists, [labels[:, j] for j in range(labels.shape[1])], features)
-    x = words.rows(lists, stats)
     fold = np.arange(len(x)) % folds
     weights, thresholds, held = [], [], {}
     for j, name in enumerate(names):
@@ -84,13 +82,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
     rows = rows.withColumn("h", F.xxhash64("text")).groupBy("id").agg(F.min_by(F.struct("text", *[f"y{j}" for j in range(len(flags))]), "h").alias("r")).select("id", "r.*")
     rows = rows.select("text", "id", F.array(*[f"y{j}" for j in range(len(flags))]).alias("y"))
-    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, y array<int>, ids binary, stats binary").toPandas()
-    if sample.empty:
+    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, y array<int>, ids binary, stats binary").toArrow()
+    if not sample.num_rows:
         return None
-    sample = sample.sort_values("id")
-    lists, stats, y = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64)), np.array(sample["y"].tolist())
-    del sample
-    return fit_chain(lists, stats, y, list(categories), features=features)
+    sample = sample.sort_by("id")
+    lists, stats, y = unpacked(sample["ids"], np.int32), np.array(unpacked(sample["stats"], np.float64)), np.array(sample["y"].to_pylist())
+    words = Vocabulary.choose(lists, [y[:, j] for j in range(y.shape[1])], features)
+    x = words.rows(lists, stats)
+    del sample, lists
+    tidy()
+    chain = fit_chain(words, x, y, list(categories))
+    tidy()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain | None, *, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
