@@ -208,16 +208,18 @@ def embedding_links(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     classes = good.groupBy("label", "dim", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = scratch.put(classes, "classes")
 
-    sample = classes.orderBy(F.xxhash64("h1", "h2"), "id").limit(most).select("dim", "vector").toPandas()
-    if sample.empty:
+    sample = classes.orderBy(F.xxhash64("h1", "h2"), "id").limit(most).select("dim", "vector").toArrow()
+    if not sample.num_rows:
         return keyed.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     reach = float(np.sqrt(2 - 2 * least))
     n_lists = lists_for(classes.count(), most) if lists is None else lists
     by_dim = {}
-    for dim, some in sample.groupby("dim"):
-        x = np.stack(some["vector"].to_numpy())
-        by_dim[int(dim)] = Quantiser.fit(x / np.linalg.norm(x, axis=1)[:, None], n_lists, subspaces, codes)
+    dims = sample["dim"].to_numpy()
+    for dim in np.unique(dims).tolist():
+        x = vectors_of(sample["vector"].combine_chunks().take(pa.array(np.flatnonzero(dims == dim))))
+        by_dim[dim] = Quantiser.fit(x / np.linalg.norm(x, axis=1)[:, None], n_lists, subspaces, codes)
     del sample
+    tidy()
 
     def quantiser_of(dim: int) -> Quantiser:
         """A dimension that isn't in the sample has one list and one code."""
