@@ -471,6 +471,143 @@ def pack_sequences(spark, d):
     return packed.select("block", F.size("input_ids").cast("long").alias("n"), F.array_join("input_ids", ",").alias("ids"))
 
 
+MESSAGE = "'<|im_start|>' || {0}.role || chr(10) || {0}.content || '<|im_end|>' || chr(10)"
+
+
+@query(f"WITH {I.SQL_PARSED} SELECT row_id, {CHATML.format('c[1:n]')} AS prompt, {MESSAGE.format('c[n + 1]')} AS chosen, {MESSAGE.format('r[n + 1]')} AS rejected FROM judged WHERE error IS NULL")
+def chat_render_dpo(spark, d):
+    rows = apply_template(P.canonical_pairs(I.raw_pairs(spark, d)), T.chatml(), "dpo")
+    return rows.select("row_id", F.col("text_prompt").alias("prompt"), F.col("text_chosen").alias("chosen"), F.col("text_rejected").alias("rejected"))
+
+
+@query("SELECT doc_id AS row_id, CASE doc_id % 9 WHEN 1 THEN 'E2' WHEN 2 THEN 'E2' WHEN 3 THEN 'E3' WHEN 4 THEN 'E4' WHEN 5 THEN 'E5' WHEN 6 THEN 'E6' WHEN 7 THEN 'E7' WHEN 8 THEN 'E8' END AS error FROM documents")
+def hh_error_reasons(spark, d):
+    """Each reason, from pairs that are made to have it."""
+    h, a = "\n\nHuman: ", "\n\nAssistant: "
+    fine = (f"{h}q{a}r{h}s{a}t", f"{h}q{a}r{h}s{a}u")
+    made = [fine, ("Human:q Assistant:r", fine[1]), (fine[0], "Human:q Assistant:r"), (f"{h}{a}", fine[1]), (f"{h}other{a}t", fine[1]), (fine[0], f"{h}q{a}r{h}s{a} "), (f"{h}q{a}r{a}t", f"{h}q{a}r{a}u"), (f"{fine[0]}{h}more", fine[1]), (f"{h}q{h}x{a}", f"{h}q{h}y{a}")]
+    pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in made]), (F.col("row_id") % 9 + 1).cast("int"))
+    rows = I.table(spark, d, "documents").select(F.col("doc_id").alias("row_id")).withColumns({"chosen": pick(0), "rejected": pick(1)})
+    return P.validation_error(rows).select("row_id", "error")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'items', count(*) FROM benchmark")
+def catalog_split_load(spark, d):
+    """A registered folder, and one that isn't registered, by the fallback."""
+    catalog = Catalog(spark, d.rpartition("/")[0])
+    catalog.register("tables", d)
+    docs = catalog.load("tables", "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return docs.unionByName(catalog.load(d.rpartition("/")[2], "benchmark.parquet").agg(F.lit("items").alias("lang"), F.count("*").alias("n")))
+
+
+@query("SELECT source, side, count(*) AS n FROM (SELECT 'a' AS source, 'train' AS side, row_number() OVER (ORDER BY doc_id) - 1 AS i, 0.5 AS f, count(*) OVER () AS n FROM documents UNION ALL SELECT 'a', 'test', 0, 1, 1 FROM documents UNION ALL SELECT 'b', 'train', row_number() OVER (ORDER BY doc_id) - 1, 0.1, count(*) OVER () FROM documents UNION ALL SELECT 'b', 'test', 0, 1, 1 FROM documents) WHERE i < floor(f::DOUBLE * n) GROUP BY ALL")
+def mix_splits(spark, d):
+    """Train splits are sampled, each by its own fraction; test splits never."""
+    rows = Catalog.numbered(I.table(spark, d, "documents").select("doc_id", F.lit("x").alias("chosen")), ["doc_id"])
+    catalog = Catalog(spark, d)
+    for name in "ab":
+        catalog.register(name, {"train": rows, "test": rows})
+    mixed = M.mix(catalog, {"a": 0.5, "b": 0.1})
+    parts = [mixed[side].groupBy("source").agg(F.lit(side).alias("side"), F.count("*").alias("n")) for side in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) - 1 AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents)")
+def seeded_shuffle_order(spark, d):
+    rows = Catalog.numbered(I.table(spark, d, "documents").select("doc_id"), ["doc_id"])
+    shuffled = rows.withColumns({"key": M.shuffle_key(), "old": F.col("row_id")})
+    return Catalog.numbered(shuffled, ["key", "old"]).select("doc_id", F.col("row_id").alias("place"))
+
+
+@query(f"SELECT doc_id, row_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id, count(*) OVER () AS n FROM documents) WHERE {_sampled((200, 1000, 10000))}")
+def eval_batch_rows(spark, d):
+    return M.eval_batch(Catalog.numbered(I.table(spark, d, "documents").select("doc_id"), ["doc_id"]), 5)
+
+
+@query(f"{HELD.replace('FROM benchmark', 'FROM benchmark WHERE text IS DISTINCT FROM (SELECT min(text) FROM benchmark)')} SELECT doc_id FROM h WHERE held")
+def decontam_allowed(spark, d):
+    """An allowed pattern, and an empty one, match nothing."""
+    bench = I.table(spark, d, "benchmark").select("text")
+    allowed = bench.agg(F.min("text")).first()[0]
+    return D.contaminated_ids(I.table(spark, d, "documents"), bench.unionByName(bench.limit(1).withColumn("text", F.lit(" "))), id_col="doc_id", allow=(allowed,))
+
+
+BOS = TOKENS[: TOKENS.index(",\ncut AS")] + " SELECT row_id, array_to_string(list_concat([1], p, a), ',') AS chosen_ids, array_to_string(list_transform(list_concat([1], p), lambda x: 1), ',') AS prompt_mask, array_to_string(b, ',') AS target, len(p) + 1 + len(b) AS n_rejected FROM ids"
+
+
+@query(BOS)
+def tokens_with_bos(spark, d):
+    """A beginning mark, all masks, and the labels without their padding."""
+    rows = K.tokenise_pairs(_texts(spark, d), K.char_tokenizer(bos=1), max_length=1 << 30)
+    return rows.select("row_id", F.array_join("chosen_input_ids", ",").alias("chosen_ids"), F.array_join("prompt_attention_mask", ",").alias("prompt_mask"), F.array_join(K.real_labels(F.col("rejected_labels")), ",").alias("target"), F.size("rejected_attention_mask").cast("long").alias("n_rejected"))
+
+
+@query(f"WITH {I.SQL_PARSED}, texts AS (SELECT row_id, {SQL_JOINED.format('c[1:n]')} || ' || ' AS prompt, c[n + 1].content AS chosen FROM judged WHERE error IS NULL) SELECT row_id, array_to_string(({IDS.format('prompt')})[1:20], ',') AS prompt_ids, array_to_string(({IDS.format('chosen')})[1:10], ',') AS labels FROM texts")
+def tokens_encoder_decoder(spark, d):
+    rows = K.tokenise_encoder_decoder(_texts(spark, d), K.char_tokenizer(), max_prompt_length=20, max_target_length=10)
+    return rows.select("row_id", F.array_join("prompt_input_ids", ",").alias("prompt_ids"), F.array_join("chosen_labels", ",").alias("labels"))
+
+
+@query(f"WITH {I.SQL_PARSED}, texts AS (SELECT row_id, {SQL_JOINED.format('c[1:n]')} || ' || ' AS prompt, c[n + 1].content AS chosen, r[n + 1].content AS rejected FROM judged WHERE error IS NULL) SELECT row_id AS sample_index, 'train' AS split, prompt AS decoded_prompt, prompt || chosen AS decoded_chosen_full, rejected AS decoded_rejected_target, length(prompt || rejected) AS rejected_length, length(chosen) AS chosen_target_length FROM texts")
+def inspection_records(spark, d):
+    rows = K.inspection_rows(K.tokenise_pairs(_texts(spark, d), K.char_tokenizer(eos=None), max_length=1 << 30))
+    return rows.select("sample_index", "split", "decoded_prompt", "decoded_chosen_full", "decoded_rejected_target", F.col("rejected_length").cast("long"), F.col("chosen_target_length").cast("long"))
+
+
+@query(f"""WITH {I.SQL_PARSED}, s AS (SELECT row_id, row_id // 4 AS batch, {IDS.format("(" + SQL_JOINED.format('c[1:n]') + " || ' || ')")} AS p, list_append({IDS.format('c[n + 1].content')}, 999) AS a, list_append({IDS.format('r[n + 1].content')}, 999) AS b FROM judged WHERE error IS NULL),
+m AS (SELECT *, max(len(p) + greatest(len(a), len(b))) OVER (PARTITION BY batch) AS n FROM s), x AS (SELECT batch, row_id, 0 AS side, p, a AS t, n FROM m UNION ALL SELECT batch, row_id, 1, p, b, n FROM m)
+SELECT batch, row_id, side, array_to_string(list_concat(p, t, list_transform(range(n - len(p) - len(t)), lambda i: 7)), ',') AS input_ids, array_to_string(list_concat(list_transform(p, lambda i: -100), t, list_transform(range(n - len(p) - len(t)), lambda i: -100)), ',') AS labels FROM x""")
+def pad_batch_values(spark, d):
+    rows = K.tokenise_pairs(_texts(spark, d), K.char_tokenizer(), max_length=1 << 30).withColumn("batch", F.expr("row_id div 4"))
+    padded = K.pad_batches(rows, "batch", "row_id", pad=7)
+    return padded.select("batch", "row_id", "side", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"WITH {I.SQL_SEQUENCES} SELECT seq, round(CASE WHEN count(logp) = 0 THEN NULL ELSE avg(logp) END, 6) AS logp FROM (SELECT DISTINCT seq FROM rows) LEFT JOIN (SELECT * FROM logps WHERE seq % 2 = 0) USING (seq) GROUP BY seq")
+def sequence_logprob_unclamped(spark, d):
+    """Without the clamp, a sequence in which no label counts has no mean."""
+    rows = I.sequences(spark, d).withColumn("labels", F.when(F.col("seq") % 2 == 0, F.col("labels")).otherwise(F.transform("labels", lambda _: F.lit(-100))))
+    logp = S.sequence_logp(F.col("logits"), F.col("labels"), average=True, clamp=False)
+    return rows.select("seq", F.when(~F.isnan(logp), F.round(logp, 6) + 0.0).alias("logp"))
+
+
+@query(f"WITH {I.SQL_SEQUENCES} SELECT seq, round(avg(v), 6) AS mean_logit FROM (SELECT seq, unnest(x) AS v FROM shifted WHERE y IS NOT NULL AND y <> -100) GROUP BY seq")
+def mean_logits(spark, d):
+    return I.sequences(spark, d).select("seq", r6(S.mean_logit(F.col("logits"), F.col("labels")), "mean_logit"))
+
+
+@query("WITH v AS (SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE ELSE value END AS v FROM events) SELECT event_id, round(CASE WHEN isnan(v) THEN 0 WHEN isinf(v) THEN sign(v) * 10000 ELSE v END, 6) AS v FROM v")
+def nonfinite_repair(spark, d):
+    v = F.col("value")
+    for k, x in ((1, "nan"), (2, "inf"), (3, "-inf")):
+        v = F.when(F.col("event_id") % 10 == k, F.lit(float(x))).otherwise(v)
+    return I.table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", r6(S.checked(F.col("v"), "sanitize"), "v"))
+
+
+@query(f"{BETA} SELECT pair_id, round(exp(-0.5 * ((gap - m) / greatest(s, 1e-6)) ^ 2), 6) AS weight FROM g JOIN e USING (step)")
+def beta_weights(spark, d):
+    rows = _gaps(spark, d)
+    state = G.running(G.batch_stats(rows, "gap"), 0.9)
+    return rows.join(state, "step").select("pair_id", r6(L.gap_weight(F.col("gap"), F.col("mean"), F.col("std")), "weight"))
+
+
+@query(f"{ALPHA} SELECT round(m, 6) AS mean, round(s, 6) AS std FROM e ORDER BY i DESC LIMIT 1")
+def alpha_state_resumed(spark, d):
+    """The state after half of the steps, gone on from to the end."""
+    stats = G.batch_stats(_gaps(spark, d), "gap", sample_std=True)
+    half = stats.agg(F.expr("max(step) div 2")).first()[0]
+    state = G.update_state(None, stats.filter(F.col("step") <= half), 0.9)
+    mean, std = G.update_state(state, stats.filter(F.col("step") > half), 0.9)
+    return spark.range(1).select(r6(F.lit(mean), "mean"), r6(F.lit(std), "std"))
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT round(avg({_smooth('2.0 * (c - r - 0.5)', 0.0)}), 6) AS loss, round(avg(c), 6) AS logits_chosen, 0 AS label FROM scored")
+def evaluation_output(spark, d):
+    rows = I.scored(spark, d).select(L.simpo(F.col("c"), F.col("r"))["loss"].alias("loss"), F.col("c").alias("logits_chosen"), F.col("r").alias("logits_rejected"))
+    out = G.evaluation(rows, ("logits_rejected",))
+    return out.select(r6(F.col("loss"), "loss"), r6(F.col("logits_chosen"), "logits_chosen"), "label")
+
+
 @query()
 def cache_fingerprint(spark, d):
     return spark.createDataFrame([(name, str(fingerprint(I.table(spark, d, name)))) for name in ("documents", "conversations")], "name string, fingerprint string")
