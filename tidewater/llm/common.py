@@ -123,6 +123,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+def flat_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column without nulls as one byte array, of its own, and its offsets."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[at[0] : at[-1]].copy(), at - at[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * MIX1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, pieces_of, tidy
+from tidewater.llm.common import Scratch, flat_binary, pieces_of, tidy
 from tidewater.llm.linear import BITS, STATS, Descent, Rows, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
 from tidewater.llm.linear import features as features_of
 
@@ -53,7 +53,7 @@ class Judge:
     def scores(self, batch: pa.RecordBatch) -> np.ndarray:
         """Of rows (id, content, stats, meta), see compact()."""
         n = batch.num_rows
-        stats = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(n, len(STATS))
+        stats = flat_binary(batch.column(2))[0].view(np.float64).reshape(n, len(STATS))
         c = self.content.words.logits(*rows_of(batch.column(1), n), stats, self.content.weights)
         m = self.meta.words.logits(*rows_of(batch.column(3), n), np.zeros((n, 0)), self.meta.weights)
         return self.combine(c, m)
@@ -70,8 +70,8 @@ def plain(x: np.ndarray) -> Rows:
 
 def rows_of(columns: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of a batch's binary lists of int16."""
-    sizes = np.array([len(x) // 2 for x in columns.to_pylist()], np.int64)
-    return np.repeat(np.arange(n), sizes), np.frombuffer(b"".join(columns.to_pylist()), np.int16)
+    flat, at = flat_binary(columns)
+    return np.repeat(np.arange(n, dtype=np.int32), np.diff(at) // 2), flat.view(np.int16)
 
 
 def compact(docs: DataFrame, id_col: str, text_col: str, meta: Column, words: Vocabulary, names: Vocabulary) -> DataFrame:
@@ -112,7 +112,7 @@ class Far:
                 for start in range(0, whole.num_rows, 4096):
                     batch = whole.slice(start, 4096)
                     n = batch.num_rows
-                    stats = [np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(n, len(STATS)), np.zeros((n, 0))]
+                    stats = [flat_binary(batch.column(1))[0].view(np.float64).reshape(n, len(STATS)), np.zeros((n, 0))]
                     views = [Rows(*rows_of(batch.column(c), n), v.size, x) for c, v, x in zip((0, 2), vocabularies, stats, strict=True)]
                     judged = [sigmoid(x.times(t)) for x, t in zip(views, teachers, strict=True)]
                     for v in range(VIEWS):
