@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Scratch, flat_binary, pieces_of, tidy
+from tidewater.llm.common import Scratch, flat_binary, partitions, pieces_of, tidy
 from tidewater.llm.linear import BITS, STATS, Descent, Rows, Vocabulary, featurise, fit_logistic, sigmoid, unpacked
 from tidewater.llm.linear import features as features_of
 
@@ -203,7 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     names = Vocabulary.choose([own[i] for i in fit], [y[fit] == 1], features, least=5)
     scratch = Scratch(docs.sparkSession, "quality")
     every = scratch.put(compact(docs, id_col, text_col, meta, words, names), "compact")
-    free = scratch.put(every.join(known.select("id"), "id", "left_anti").select("content", "stats", "meta"), "unlabelled")
+    free = every.join(known.select("id"), "id", "left_anti").select("content", "stats", "meta")
+    # Every step of the descent reads this table: it has a file for each 20,000 documents, not one for each of many small tasks.
+    files = max(1, -(-every.count() // 20_000))
+    free = scratch.put(free.coalesce(files) if files < partitions(docs.sparkSession) else free, "unlabelled")
     xs = [words.rows(lists, stats), names.rows(own, np.zeros((len(own), 0)))]
     del sample, lists
     tidy()
