@@ -147,17 +147,11 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, apart: np.ndarray = SPACE, beginnings: int = 0) -> tuple[np.ndarray, ...]:
-    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ of a batch, and the offsets of each document's words.
-
-    apart: the bytes between words, if others. beginnings: a third array has the first so many bytes of each longer word, else 0.
-
-    Words are hashed eight bytes at a time, with their length, so that all work is done by whole arrays.
-    """
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a batch starts and ends; words end with their document. apart: the bytes between words."""
     n = len(data)
     if not n:
-        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-        return (*none, none[0]) if beginnings else none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = ~apart[data]
     first, last = inside.copy(), inside.copy()  # a word starts here; a word ends here
     first[1:] &= ~inside[:-1]
@@ -166,8 +160,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, apart:
     cut = cut[(cut > 0) & (cut < n)]
     first[cut] = inside[cut]
     last[cut - 1] = inside[cut - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    lengths = ends - starts
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fold: bool = True, beginnings: int = 0) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every span of bytes (spans of up to 8 bytes and one length never share it); with `beginnings` also the first so many
+    bytes of each longer span, else 0. Spans are hashed eight bytes at a time, with their length, so that all work is done by whole arrays."""
+    n = len(data)
     wide = np.zeros(n + 8, np.uint8)
     wide[:n] = LOWER[data] if fold else data
     blocks = np.lib.stride_tricks.as_strided(wide.view(), (n + 1, 8), (1, 1))
@@ -181,11 +180,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, apart:
         hashed[left] = mix((hashed[left] ^ some) * MULT + np.uint64(k + 1))
         k += 1
         left = left[lengths[left] > 8 * k]
-    at = np.searchsorted(starts, offsets)
     if not beginnings:
-        return hashed, at
+        return (hashed,)
     head = np.ascontiguousarray(blocks[starts]).view(np.uint64)[:, 0] & masks[beginnings]
-    return hashed, at, np.where(lengths > beginnings, head, np.uint64(0))
+    return hashed, np.where(lengths > beginnings, head, np.uint64(0))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, apart: np.ndarray = SPACE, beginnings: int = 0) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every word [^\\x20\\x09-\\x0D]+ of a batch, and the offsets of each document's words.
+
+    apart: the bytes between words, if others. beginnings: a third array has the first so many bytes of each longer word, else 0.
+    """
+    if not len(data):
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, none[0]) if beginnings else none
+    starts, ends = word_spans(data, offsets, apart)
+    hashed, *head = hash_spans(data, starts, ends - starts, fold, beginnings)
+    return hashed, np.searchsorted(starts, offsets), *head
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -46,5 +46,24 @@ e AS (SELECT p.a, q.a AS b FROM f p JOIN f q ON p.label = q.label AND p.a <> q.a
 SELECT a AS vec_id, (SELECT count(*) FROM e WHERE e.a = reach.a) AS n_links, component_id, a = component_id AS kept FROM reach"""
 
 
+OP11 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, 1 AS words, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS x FROM f WHERE words > 1),
+k AS (SELECT lang, phrase, a, 1 AS k, x[1] AS lp, array_to_string(x[2:], ' ') AS rp FROM c UNION ALL SELECT lang, phrase, a, 2, x[1] || ' ' || x[2], x[3] FROM c WHERE words = 3),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.lp JOIN f r ON r.lang = k.lang AND r.phrase = k.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, x[1] || ' ' || x[2] AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, x[2] || ' ' || x[3], a FROM c WHERE words = 3),
+h AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op9_embedding_near_dedup": OP9}
+    return {"op1_ngram_jaccard_join": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op9_embedding_near_dedup": OP9, "op11_phrase_collocations": OP11}
