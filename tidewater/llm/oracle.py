@@ -65,5 +65,23 @@ t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
 
 
+OP12 = rf"""WITH RECURSIVE b AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS x),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+l AS (SELECT doc_id, {LOW.format("run")} AS run, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+y AS (SELECT run, c, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda z: CASE WHEN unicode(z) < 128 THEN [unicode(z)::BIGINT] ELSE [192 + (unicode(z) >> 6)::BIGINT, 128 + (unicode(z) & 63)::BIGINT] END)) AS y FROM l),
+h AS (SELECT run, c, xor(list_reduce(y, lambda s, z: xor(s >> 8, x[(xor(s, z) & 255) + 1]), 4294967295), 4294967295) AS h FROM y, b),
+q AS (SELECT CASE WHEN h % 31 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM q WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+d AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS less FROM i),
+e AS (SELECT d.word AS a, d.n AS an, w.word AS b, w.n AS bn FROM d JOIN w ON d.less = w.word UNION ALL SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.less = w.word
+  UNION ALL SELECT x.word, x.n, z.word, z.n FROM i x JOIN i z ON x.i = z.i AND x.word[:x.i - 1] = z.word[:z.i - 1] AND x.word[x.i + 1:] = z.word[z.i + 1:] AND x.word <> z.word),
+f AS (SELECT a, count(*) AS n_near, arg_min(b, (-bn, b)) AS form, max(bn) AS form_n, any_value(an) AS an FROM e GROUP BY a),
+g AS (SELECT a, n_near, CASE WHEN form_n >= 10 * an THEN form END AS form, CASE WHEN form_n >= 10 * an THEN form_n END AS form_n FROM f),
+t AS (SELECT a AS word, form AS root FROM g WHERE form IS NOT NULL UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.a = t.root WHERE g.form IS NOT NULL),
+o AS (SELECT t.word, arg_max(t.root, w.n) AS root FROM t JOIN w ON w.word = t.root GROUP BY t.word)
+SELECT w.word, form, coalesce(o.root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN g ON g.a = w.word LEFT JOIN o ON o.word = w.word"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op9_embedding_near_dedup": OP9, "op11_phrase_collocations": OP11}
+    return {"op1_ngram_jaccard_join": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op9_embedding_near_dedup": OP9, "op11_phrase_collocations": OP11, "op12_spelling_variants": OP12}

@@ -90,5 +90,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.spelling import letter_runs, spelling_variants, words_of
+
+    runs = letter_runs(table(spark, sf_dir, "documents"), "doc_id", "text", 7)  # shorter runs give no word of 7 letters
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod("h", F.length("run")).cast("int")
+    less = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+    return spelling_variants(words_of(words, 7, 2), times=10)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
