@@ -101,5 +101,17 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(words_of(words, 7, 2), times=10)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewater.llm.common import Scratch
+    from tidewater.llm.tokenfiles import write_token_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = write_token_files(docs, f"{Scratch(spark, 'tokens').root}/files", public_tokenizers.path("word_bpe_49k.json"))
+    found = files.read(docs.select("doc_id").distinct(), "doc_id")
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

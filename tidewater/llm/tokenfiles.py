@@ -243,10 +243,12 @@ def write_index(path: str, h1: np.ndarray, h2: np.ndarray, runs: np.ndarray) ->
     rows = np.repeat(at[order] - first[:-1], counts) + np.arange(len(h1))
     head = json.dumps({"sizes": own.sizes, "keys": len(at), "runs": len(h1)}).encode()
     fs, where = opened(path)
-    with fs.open_output_stream(where) as f:
+    own_copy = f"{where}.{uuid.uuid4().hex}"  # a second run of a task never cuts the file short that another reads
+    with fs.open_output_stream(own_copy) as f:
         f.write(MAGIC + len(head).to_bytes(8, "little") + head)
         for x in (own.bits, marks, first, runs[rows].T):
             f.write(np.ascontiguousarray(x).tobytes())
+    fs.move(own_copy, where)
     return len(at)
 
 
