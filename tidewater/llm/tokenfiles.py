@@ -382,7 +382,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
         task = TaskContext.get()
         name, shard, out, sizes, doc, start = "", task.partitionId() << 24, None, None, 0, 0
         fs, where = opened(f"{path}/ids")
-        for batch in pieces_of(batches, 1, STRETCH):
+        for batch in pieces_of(batches, 1, min(STRETCH, shard_ids)):
             if not batch.num_rows:
                 continue
             ids, counts = encoder.encode(batch.column(1))
