@@ -137,6 +137,26 @@ def test_mixing_and_samples(spark, tmp_path):
     assert [r.row_id for r in Catalog.numbered(df.repartition(3).withColumnRenamed("row_id", "k"), ["k"]).orderBy("k").collect()] == list(range(50))
 
 
+def test_numbers_of_a_wide_table(spark):
+    """Numbers are 0 to n - 1 without gaps, in order, whatever the exchanges do: several partitions, ties, wide rows, columns without type."""
+    n = 400_000
+    wide = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("k"), (F.col("id") % 1000).alias("tie"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 2).alias("text"), F.lit(None).alias("none"), F.lit(1).alias("a.b"))
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            out = Catalog.numbered(wide, ["k"])
+            assert out.columns == [*wide.columns, "row_id"]
+            assert out.filter("row_id <> k").count() == 0 and out.select("row_id").distinct().count() == n
+            assert M.prefix_sample(out, 0.5).count() == n // 2
+            ties = Catalog.numbered(wide, ["tie"])
+            got = ties.groupBy("tie").agg(F.min("row_id").alias("a"), F.max("row_id").alias("b"), F.count("*").alias("n"))
+            assert got.filter(f"a <> tie * {n // 1000} or b <> a + n - 1").count() == 0
+            assert ties.agg(F.sum(F.xxhash64("row_id", "k").cast("decimal(38,0)"))).first() == ties.agg(F.sum(F.xxhash64("row_id", "k").cast("decimal(38,0)"))).first()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Catalog.numbered(wide.limit(0), ["k"]).count() == 0
+
+
 def test_containment(spark):
     docs = [(1, "The  Quick brown FOX jumps"), (2, "nothing here"), (3, "xquick brown foxy"), (4, None), (5, "short one")]
     items = [("the quick Brown fox",), ("quick brown fox",), ("",), ("t o",)]

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.shared import written
+
 
 @dataclass
 class Source:
@@ -48,17 +50,21 @@ class Catalog:
 
     @staticmethod
     def numbered(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-        """With row_id 0 to n - 1. One that is stored is taken as it is (renumbered without gaps). Numbers are given per partition
-        of a range-sorted table and shifted by the partitions' sizes, so no task sees all rows."""
+        """With row_id 0 to n - 1. One that is stored is taken as it is (renumbered without gaps). The range-sorted table is written once to the
+        shared folder; a row's number is its place in its file and the rows of the files before, so the numbers hold however often the result
+        is read, ties keep one order, and no task sees all rows."""
         by = order or (["row_id"] if "row_id" in df.columns else None)
-        part = F.spark_partition_id()
         if by:
             df = df.orderBy(*by)
-        marked = df.drop("row_id").withColumn("__part", part).withColumn("__at", F.monotonically_increasing_id())
-        sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+        kept = df.drop("row_id")
+        empty = [f.name for f in kept.schema if f.dataType.typeName() == "void"]  # Parquet has no such type
+        table = written(kept.drop(*empty).withColumn("__row", F.lit(True)), "numbered")
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+        marked = table.select("*", part.alias("__part"), F.col("_metadata.row_index").alias("__at"))
+        sizes = marked.groupBy("__part").agg(F.count("*").alias("__n"))
         before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        shifts = sizes.select("__part", "__first", before.alias("__shift"))  # one row a partition
-        return marked.join(F.broadcast(shifts), "__part").withColumn("row_id", F.col("__at") - F.col("__first") + F.col("__shift")).drop("__part", "__at", "__first", "__shift")
+        shifts = sizes.select("__part", before.alias("__shift"))  # one row a file
+        return marked.join(F.broadcast(shifts), "__part").withColumn("row_id", F.col("__at") + F.col("__shift")).select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in kept.columns], "row_id")
 
 
 def non_empty_column(df: DataFrame, name: str) -> DataFrame:
