@@ -123,9 +123,9 @@ def mix_prefix_sample(spark, d):
     return M.prefix_sample(rows, 0.29).select("pair_id", "row_id")
 
 
-@query("SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_id FROM lineitem QUALIFY row_id < floor(CAST(0.5 AS DOUBLE) * (SELECT count(*) FROM lineitem))")
+@query("SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_id FROM lineitem QUALIFY row_id < floor(CAST(0.5 AS DOUBLE) * (SELECT count(*) FROM lineitem))")
 def mix_prefix_wide(spark, d):
-    return M.prefix_sample(Catalog.numbered(I.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]), 0.5)
+    return M.prefix_sample(Catalog.numbered(I.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]), 0.5)
 
 
 @query("""SELECT source, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT 'orders' AS source, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders QUALIFY row_id < floor(0.29::DOUBLE * (SELECT count(*) FROM orders))
