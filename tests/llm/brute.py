@@ -103,9 +103,13 @@ def contained(docs, items, k=5, percent=80):
         w = re.findall(r"[^\W_]+", (t or "").lower())
         return set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
+    def held(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return {tuple(w[i : i + m]) for m in range(1, k + 1) for i in range(len(w) - m + 1)}
+
     out = {}
     for d, t in docs:
-        own = of(t)
+        own = held(t)
         for i, x in items:
             q = of(x)
             if q and 100 * len(q & own) >= percent * len(q):

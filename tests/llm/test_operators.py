@@ -108,6 +108,21 @@ def test_substrings(docs, rows, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substrings_of_texts_whose_sums_collide(spark):
+    """Two texts of one length that share no string of 100 bytes, though the sums of their bytes by powers are equal: nothing goes."""
+    from tidewater.llm.substrings import Hasher, substring_dedup
+
+    rng = np.random.default_rng(2)
+    some = rng.integers(97, 123, 1 << 22).astype(np.uint8)
+    _, grams, _ = Hasher().owners(some, 32, 100, 0)
+    at = int(grams.argmin())
+    least = some[at : at + 32].tobytes().decode()  # of smaller hash than any string of the texts
+    blocks = [least + "".join(map(chr, rng.integers(97, 123, 28))) for _ in range(2048)]
+    one, two = ("".join(b + "ab"[(i.bit_count() + side) % 2] for i, b in enumerate(blocks)) for side in (0, 1))
+    got = substring_dedup(spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0, 3: len(two)}
+
+
 def test_substrings_of_hot_owners(spark, rows):
     """Owners that are split by other hashes, and what is left after all turns, give the same spans; runs of one byte and one phrase in many contexts among them."""
     from tidewater.llm.common import Scratch
@@ -206,10 +221,13 @@ def test_decontamination(spark, rows, empty):
     long = [(d, t) for d, t in rows if t and len(t.split()) > 60][:4]
     items = [(0, None), (1, ""), (2, "one"), (3, "Not in, any text at all"), *[(10 + i, " ".join(t.split()[5:40]).replace("a", "A") + "!") for i, (_, t) in enumerate(long)]]
     items.append((20, " ".join(long[0][1].split()[3:50]) + " and some other words"))
+    words = [t.split() for _, t in long]
+    items += [(30 + m, " ".join(words[1][7 : 7 + m])) for m in range(1, 5)]  # short items inside long documents
     df = spark.createDataFrame([(d, t, 7, "x") for d, t in rows], "doc_id long, text string, item int, h string")
     bench = spark.createDataFrame([*items, items[4]], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_common) for r in contaminated(df, bench).collect()}
     assert got == brute.contained(rows, items) and len(got) >= 5
+    assert {i for _, i in got} >= {31, 32, 33, 34}
     assert contaminated(empty, bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
@@ -297,6 +315,20 @@ def test_toxicity(spark, empty):
     assert toxicity(empty.select("doc_id", "text"), labels).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_ids_of_other_types(spark, kind):
+    from tidewater.llm.quality import quality
+    from tidewater.llm.toxicity import toxicity
+
+    docs, labels, truth = classified(spark)
+    docs, labels = (df.withColumn("doc_id", F.col("doc_id").cast(kind)) for df in (docs, labels))
+    own = int if kind == "string" else lambda x: x
+    toxic = toxicity(docs, labels).collect()
+    assert sum(r.is_toxic == truth[own(r.doc_id)][1] for r in toxic) >= 0.97 * len(toxic)
+    kept = quality(docs, labels)
+    assert dict(kept.dtypes)["doc_id"] == kind and kept.count() == docs.count()
+
+
 def test_quality(spark):
     from tidewater.llm.quality import quality
 

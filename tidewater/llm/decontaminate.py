@@ -31,10 +31,16 @@ def shingle_hashes(hashes: Column, k: int) -> Column:
     return F.when(n >= k, many).when(n > 0, F.array(F.xxhash64(n, hashes))).otherwise(F.array().cast("array<bigint>"))
 
 
-def shingled(rows: DataFrame, keys: list[str], text_col: str, k: int) -> DataFrame:
-    """(keys, h) for every shingle, repeats included."""
+def runs_of(hashes: Column, m: int) -> Column:
+    """A hash of each run of m words, as a whole item of m words has it."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - m), lambda i: F.xxhash64(F.lit(m), F.slice(hashes, i + 1, F.lit(m))))
+    return F.when(F.size(hashes) >= m, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingled(rows: DataFrame, keys: list[str], text_col: str, k: int, short: tuple[int, ...] = ()) -> DataFrame:
+    """(keys, h) for every shingle, repeats included, and for every run of as many words as `short` names."""
     hashed = rows.select(*keys, F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("w"))
-    return hashed.select(*keys, F.explode(shingle_hashes(F.col("w"), k)).alias("h"))
+    return hashed.select(*keys, F.explode(F.concat(shingle_hashes(F.col("w"), k), *[runs_of(F.col("w"), m) for m in short])).alias("h"))
 
 
 def min_hashes(items: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """(id, item, n_shingles, n_common): the items of which a document holds at least `percent` % of the distinct shingles.
 
     Words are lower-cased runs of letters and digits. An item of fewer than k words is one shingle, its whole sequence, and is found in
-    documents that are that sequence. Null and empty texts and items have no shingle and match nothing. Repeated rows of one
+    every document that holds these words in a row. Null and empty texts and items have no shingle and match nothing. Repeated rows of one
     id count once; a null id never matches. Empty tables give none. Other columns are not read. Joins with the
     items broadcast them only while they are below Spark's own size threshold, and shuffle beyond it.
     """
@@ -62,10 +68,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     sizes = items.groupBy("item").agg(F.count("*").alias("size"))
     items = scratch.put(items.join(sizes, "item"), "items")
     searched = scratch.put(min_hashes(items).distinct(), "min_hashes")
+    # How many words items of fewer than k have, at most k - 1 numbers: documents are searched for runs of so many words as well.
+    n_words = F.size(words(F.col(item_text_col)))
+    short = tuple(sorted(r[0] for r in benchmark.select(n_words.alias("m")).filter(f"m between 1 and {k - 1}").distinct().collect()))
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null")
-    candidates = scratch.put(shingled(texts, ["doc"], "text", k).join(searched, "h").select("doc", "item").distinct(), "candidates")
+    candidates = scratch.put(shingled(texts, ["doc"], "text", k, short).join(searched, "h").select("doc", "item").distinct(), "candidates")
     some = scratch.put(candidates.select("doc").distinct(), "documents")
-    held = shingled(texts.join(some, "doc", "left_semi"), ["doc"], "text", k).join(items, "h").select("doc", "item", "size", "h")
+    held = shingled(texts.join(some, "doc", "left_semi"), ["doc"], "text", k, short).join(items, "h").select("doc", "item", "size", "h")
     common = held.join(candidates, ["doc", "item"], "left_semi").groupBy("doc", "item", "size").agg(F.count_distinct("h").alias("n_common"))
     found = common.filter(F.col("n_common") * 100 >= F.col("size") * percent)
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("size").alias("n_shingles"), "n_common")

@@ -30,7 +30,7 @@ SELECT a AS doc_id, coalesce(n, 0) AS n_shingles, component_id, (SELECT count(*)
 
 WORDS = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 OP2 = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest({shingles("w", 5)}) AS h FROM d), s AS (SELECT DISTINCT item_id, unnest({shingles("w", 5)}) AS h FROM i),
+ds AS (SELECT DISTINCT doc_id, unnest({shingles("w", 5)}) AS h FROM d UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: 'short ' || array_to_string(w[i:i + m - 1], ' '))) FROM d, (SELECT DISTINCT len(w) AS m FROM i WHERE len(w) BETWEEN 1 AND 4)), s AS (SELECT DISTINCT item_id, unnest({shingles("w", 5)}) AS h FROM i),
 n AS (SELECT item_id, count(*) AS n_shingles FROM s GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_common FROM ds JOIN s USING (h) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles"""
 

@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, meta: Column, *, id_col: str = "do
     some = there.orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)  # the bound of the broadcast
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), meta.alias("meta")).join(F.broadcast(some), "id")
     rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "meta", "y"), F.xxhash64("text", "meta")).alias("r")).select("r.text", "id", "r.meta", "r.y")
-    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, meta array<int>, y int, ids binary, stats binary").toArrow().sort_by("id")
+    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), f"id {rows.schema['id'].dataType.simpleString()}, meta array<int>, y int, ids binary, stats binary").toArrow().sort_by("id")
     y = sample["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None

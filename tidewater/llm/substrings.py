@@ -69,22 +69,26 @@ class Hasher:
         return at[np.repeat(alive, np.diff(np.append(new, len(at))))]
 
     def segments(self, data: np.ndarray, k: int, least: int, turn: int = 0) -> tuple[np.ndarray, ...]:
-        """(owner, content, start, windows, repeats) of one text of at least `least` bytes."""
-        sums, grams, low = self.owners(data, k, least, turn)
+        """(owner, content, check, start, windows, repeats) of one text of at least `least` bytes. content and check are 128 bits of a hash of the
+        segment's bytes that has nothing to do with the sums: those collide for made texts, which costs work elsewhere but here would lose text."""
+        import xxhash
+
+        _, grams, low = self.owners(data, k, least, turn)
         new = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
         end = np.append(new[1:], len(low))
         owner = low[new]
         stop = end - 1 + least
-        content = mix((sums[stop] - sums[new]) * self.down[new] ^ (stop - new).astype(np.uint64) * MULT)
+        raw = memoryview(np.ascontiguousarray(data))
+        two = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(new.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
         # windows of a segment can only be equal if its owner stands in it twice
         sizes = stop - k + 1 - new
         at = np.arange(sizes.sum()) + np.repeat(new - np.cumsum(sizes) + sizes, sizes)
         hits = np.add.reduceat(grams[at] == np.repeat(owner, sizes), np.cumsum(sizes) - sizes)
-        return owner, content, new, end - new, hits > 1
+        return owner, two[:, 0], two[:, 1], new, end - new, hits > 1
 
 
 def segments_of(docs: DataFrame, id_col: str, text_col: str, k: int, least: int) -> DataFrame:
-    """(owner, content, doc, start, windows, repeats) of all texts."""
+    """(owner, content, check, doc, start, windows, repeats) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -96,31 +100,31 @@ def segments_of(docs: DataFrame, id_col: str, text_col: str, k: int, least: int)
                 parts.append(hasher.segments(data[at[i] : at[i + 1]], k, least))
                 who.append(np.full(len(parts[-1][0]), ids[i], np.int64))
             if parts:
-                owner, content, start, windows, repeats = (np.concatenate(x) for x in zip(*parts, strict=True))
-                out = [owner.view(np.int64), content.view(np.int64), np.concatenate(who), start.astype(np.int32), windows.astype(np.int32), repeats]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["owner", "content", "doc", "start", "windows", "repeats"])
+                owner, content, check, start, windows, repeats = (np.concatenate(x) for x in zip(*parts, strict=True))
+                out = [owner.view(np.int64), content, check, np.concatenate(who), start.astype(np.int32), windows.astype(np.int32), repeats]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["owner", "content", "check", "doc", "start", "windows", "repeats"])
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "owner long, content long, doc long, start int, windows int, repeats boolean")
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "owner long, content long, check long, doc long, start int, windows int, repeats boolean")
 
 
 def segments_again(pieces: DataFrame, k: int, least: int, turn: int) -> DataFrame:
-    """(owner, content, doc, start, windows, repeats, piece) of pieces (doc, start, piece), by another hash."""
+    """(owner, content, check, doc, start, windows, repeats, piece) of pieces (doc, start, piece), by another hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in pieces_of(batches, 2, 1 << 20):
             rows = []
             for doc, start, piece in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                owner, content, new, windows, repeats = hasher.segments(np.frombuffer(piece, np.uint8), k, least, turn)
+                owner, content, check, new, windows, repeats = hasher.segments(np.frombuffer(piece, np.uint8), k, least, turn)
                 cut = [piece[a : a + n + least - 1] for a, n in zip(new.tolist(), windows.tolist(), strict=True)]
-                rows.append((owner.view(np.int64), content.view(np.int64), np.full(len(new), doc, np.int64), (start + new).astype(np.int32), windows.astype(np.int32), repeats, cut))
+                rows.append((owner.view(np.int64), content, check, np.full(len(new), doc, np.int64), (start + new).astype(np.int32), windows.astype(np.int32), repeats, cut))
             if rows:
                 *arrays, cuts = zip(*rows, strict=True)
                 out = [*(pa.array(np.concatenate(x)) for x in arrays), pa.array([c for cut in cuts for c in cut], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["owner", "content", "doc", "start", "windows", "repeats", "piece"])
+                yield pa.RecordBatch.from_arrays(out, ["owner", "content", "check", "doc", "start", "windows", "repeats", "piece"])
         tidy()
 
-    return pieces.select("doc", "start", "piece").mapInArrow(run, "owner long, content long, doc long, start int, windows int, repeats boolean, piece binary")
+    return pieces.select("doc", "start", "piece").mapInArrow(run, "owner long, content long, check long, doc long, start int, windows int, repeats boolean, piece binary")
 
 
 def windows_by_content(rows: DataFrame, least: int) -> DataFrame:
@@ -224,13 +228,13 @@ def covered_in_shards(least: int, k: int, shard_bytes: int):
 def settled(found: DataFrame, scratch: Scratch, name: str, least: int, owner_bytes: int, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Of a table of segments: the spans (doc, a, b) of all but the earliest of equal ones, and of owners with segments that differ (owner, hot,
     doc, start, piece) of each; hot: they have more than owner_bytes together."""
-    owners = found.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.max("repeats").alias("repeats"))
-    owners = scratch.put(owners.filter("n > 1 or repeats").select("owner", (F.expr("x <> y") | F.col("repeats")).alias("differ")), f"{name}-owners")
+    owners = found.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.min("check").alias("z"), F.max("check").alias("w"), F.max("repeats").alias("repeats"))
+    owners = scratch.put(owners.filter("n > 1 or repeats").select("owner", (F.expr("x <> y or z <> w") | F.col("repeats")).alias("differ")), f"{name}-owners")
     some = scratch.put(found.drop("repeats").join(owners, "owner"), f"{name}-some")
     scratch.drop(f"{name}-segments")
     where = F.struct("doc", "start", "windows", *[c for c in found.columns if c == "piece"])
-    first = scratch.put(some.groupBy("owner", "content", "differ").agg(F.min(where).alias("first"), F.count("*").alias("n")), f"{name}-first")
-    copies = some.join(first.filter("n > 1").select("owner", "content", "first.doc", "first.start").toDF("owner", "content", "d", "s"), ["owner", "content"]).filter("doc <> d or start <> s")
+    first = scratch.put(some.groupBy("owner", "content", "check", "differ").agg(F.min(where).alias("first"), F.count("*").alias("n")), f"{name}-first")
+    copies = some.join(first.filter("n > 1").select("owner", "content", "check", "first.doc", "first.start").toDF("owner", "content", "check", "d", "s"), ["owner", "content", "check"]).filter("doc <> d or start <> s")
     spans = scratch.put(copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (least - 1)).alias("b")), f"{name}-copies")
     scratch.drop(f"{name}-some")
     differ = first.filter("differ").select("owner", "first.*")

@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
     rows = rows.withColumn("h", F.xxhash64("text")).groupBy("id").agg(F.min_by(F.struct("text", *[f"y{j}" for j in range(len(flags))]), "h").alias("r")).select("id", "r.*")
     rows = rows.select("text", "id", F.array(*[f"y{j}" for j in range(len(flags))]).alias("y"))
-    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), "id long, y array<int>, ids binary, stats binary").toArrow()
+    sample = rows.mapInArrow(lambda b: featurise(pieces_of(b, 0)), f"id {rows.schema['id'].dataType.simpleString()}, y array<int>, ids binary, stats binary").toArrow()
     if not sample.num_rows:
         return None
     sample = sample.sort_by("id")
