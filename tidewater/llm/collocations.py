@@ -240,14 +240,14 @@ def collocations(
 
     Null and empty texts have no words; a very long text is a stretch of its own; repeated rows count each; an empty table, or one
     without frequent phrases, gives none; other columns, whatever their names, are not read. The sketch has about as many cells as there are n-grams, two to the `most_bits`-th
-    power at most (64 MB a row as bits, the size of what is broadcast); with more n-grams for each cell it rules out fewer, and the second pass counts more: no result changes. Distinct words of over 8 bytes
+    power at most and 2**16 at least (64 MB a row as bits, the size of what is broadcast); with more n-grams for each cell it rules out fewer, and the second pass counts more: no result changes. Distinct words of over 8 bytes
     are told apart by 64-bit hashes within 4 MB of text, all else by their bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(max((size * most_words // 12).bit_length(), SLICE), most_bits, 32)  # about two n-grams a cell, with six bytes for a word and what follows it
+    bits = max(min((size * most_words // 12).bit_length(), most_bits, 32), SLICE)  # about two n-grams a cell, with six bytes for a word and what follows it
     found = scratch.put(sketch(texts, most_words, bits, least), "sketch")
     filled = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
     width = 1 << (SLICE - 3)
