@@ -114,6 +114,62 @@ def test_templates(spark):
         apply_template(dialogue(spark, messages=[]), T.chatml(), "sft").collect()
 
 
+def printed(spark, source, messages=(("user", " q "), ("assistant", "r")), **constants):
+    from tidewater.functions.language import compiled
+
+    return compiled_value(spark, compiled(source, F.col("messages"), constants), messages)
+
+
+def compiled_value(spark, c, messages):
+    return spark.createDataFrame([([tuple(m) for m in messages],)], "messages array<struct<role:string,content:string>>").select(c.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("", ""),
+        ("plain\n", "plain"),
+        ("{% for m in messages %}{{ m.role }}{% if not loop.last %}, {% endif %}{% endfor %}", "user, assistant"),
+        ("a\n  {% if true %}\nb\n  {% endif %}\nc", "a\nb\nc"),
+        ("a \n {%- if true -%} \n b {%- endif %}", "ab"),
+        ("{{ messages[0].content | trim }}{{ messages[-1]['content'] }}", "qr"),
+        ("{% set x = 'a' %}{% for m in messages %}{% set x = x + 'b' %}{{ x }}{% endfor %}{{ x }}", "ababa"),
+        ("{% set x = 'a' %}{% if messages | length == 2 %}{% set x = 'b' %}{% elif false %}{% set x = 'c' %}{% endif %}{{ x }}", "b"),
+        ("{% for m in messages[1:] %}{{ loop.index ~ m.role }}{% endfor %}", "1assistant"),
+        ("{% for m in messages[-1:] %}{{ m.role }}{% endfor %}{% for m in messages[5:] %}{{ m.role }}{% endfor %}", "assistant"),
+        ("{% for m in messages %}{% for o in messages %}{{ loop.index0 }}{% endfor %}{{ loop.index }}{% endfor %}", "011012"),
+        ("{{ '}}' }}{{ \"it's\" }}{{ 'a\\nb' }}{# {{ gone }} #}", "}}it'sa\nb"),
+        ("{{ 'x' if eos_token is defined and eos_token else 'y' }}{{ 'z' if other is not defined }}", "xz"),
+        ("{{ 7 % 4 }}{{ 1 + 2 - 4 }}{% if 'us' in messages[0].role and 'q' not in 'abc' %}!{% endif %}", "3-1!"),
+        ("{{ messages[0].content.strip() | upper }}{{ 'A' | lower }}", "Qa"),
+    ],
+)
+def test_template_language(spark, source, text):
+    assert printed(spark, source, eos_token="</s>") == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["{% macro x() %}{% endmacro %}", "{{ other }}", "{{ messages }}", "{% for m in messages %}", "{% endif %}", "{{ 'a' + 1 }}", "{{ messages | tojson }}", "{{ 'a", "{% if true %}{% set x = 'a' %}{% endif %}{{ x }}", "{% set ns.x = 1 %}", "{{ 'a' 'b' }}", "{{ strftime('x') }}"],
+)
+def test_template_language_raises_before_it_runs(source):
+    from tidewater.functions.language import compiled
+
+    with pytest.raises(ValueError):
+        compiled(source, F.col("messages"), {})
+
+
+def test_template_errors_and_choice(spark):
+    source = "{% if messages[0].role != 'user' %}{{ raise_exception('a user begins') }}{% endif %}ok"
+    assert printed(spark, source) == "ok"
+    with pytest.raises(Exception, match="a user begins"):
+        printed(spark, source, [("assistant", "r")])
+    assert printed(spark, "{% for m in messages %}{{ m.role + m.content }}{% endfor %}!", [("a", None), ("b", "c")]) == "bc!" and printed(spark, "{% for m in messages %}x{% endfor %}", []) == ""
+    assert T.chosen_template("{{ 'a' }}", "{{ 'b' }}").name == "settings" and T.chosen_template(None, "{{ 'b' }}").source == "{{ 'b' }}" and T.chosen_template(None).source == T.DEFAULT
+    with pytest.raises(ValueError):
+        T.Template("broken", "{% for %}")
+
+
 def test_mixing_and_samples(spark, tmp_path):
     for name, n in (("a", 10), ("b", 7)):
         for split in ("train", "test"):
@@ -416,7 +472,7 @@ def test_prompt_metadata_tells_renderers_apart():
 
     of = lambda t, **k: prompt_metadata(K.char_tokenizer(), t, DataArguments(**k))
     assert of(T.chatml()) == of(T.chatml()) != of(T.chatml(), auto_insert_empty_system_msg=False)
-    assert of(T.header()) != of(T.header("<s>")) and of(T.header())["template"] == "header"
+    assert of(T.header()) != of(T.header("<s>")) and of(T.header())["template"] == T.HEADER
 
 
 def test_codecs_are_told_apart(spark):

@@ -2,52 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import strip
+from tidewater.functions.language import compiled, parse
+
+
+# The template of tokenizers that have none, and that of header models, as settings files give them.
+DEFAULT = "{% for message in messages %}\n{% if message['role'] == 'user' %}\n{{ '<|user|>\n' + message['content'] + eos_token }}\n{% elif message['role'] == 'system' %}\n{{ '<|system|>\n' + message['content'] + eos_token }}\n{% elif message['role'] == 'assistant' %}\n{{ '<|assistant|>\n'  + message['content'] + eos_token }}\n{% endif %}\n{% if loop.last and add_generation_prompt %}\n{{ '<|assistant|>' }}\n{% endif %}\n{% endfor %}"
+HEADER = "{% set loop_messages = messages %}{% for message in loop_messages %}{% set content = '<|start_header_id|>' + message['role'] + '<|end_header_id|>\n\n'+ message['content'] | trim + '<|eot_id|>' %}{% if loop.index0 == 0 %}{% set content = bos_token + content %}{% endif %}{{ content }}{% endfor %}{% if add_generation_prompt %}{{ '<|start_header_id|>assistant<|end_header_id|>\n\n' }}{% endif %}"
+
+CHATML = "{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' + m.content + '<|im_end|>\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+INST = "{% for m in messages %}{% if loop.first %}{{ bos_token }}{% endif %}{% if m.role == 'assistant' %}{{ m.content + eos_token }}{% else %}{{ '[INST] ' + m.content + ' [/INST]' }}{% endif %}{% endfor %}"
 
 
 @dataclass(frozen=True)
 class Template:
-    """render: a message (role, content) and its place to text. source: words by which a template is known to take a system message."""
+    """A template's text and the special tokens that it may name; compiled by tidewater.functions.language. bos: what strip_bos takes away."""
 
     name: str
-    render: Callable[[Column, Column], Column]
-    generation: str = ""
-    source: str = ""
+    source: str
     bos: str | None = None
+    eos: str = "</s>"
+
+    def __post_init__(self) -> None:
+        parse(self.source)
 
     def takes_system(self) -> bool:
         return "system" in self.source or "<|im_start|>" in self.source
 
 
-def _default(eos: str) -> Callable[[Column, Column], Column]:
-    known = lambda m: m["role"].isin("user", "system", "assistant")
-    return lambda m, i: F.when(known(m), F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit(eos + "\n"))).otherwise("")
-
-
 def default_template(eos: str = "</s>") -> Template:
-    return Template("default", _default(eos), "<|assistant|>\n", "system")
+    return Template("default", DEFAULT, eos=eos)
 
 
 def chatml() -> Template:
-    render = lambda m, i: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n"))
-    return Template("chatml", render, "<|im_start|>assistant\n", "<|im_start|>")
+    return Template("chatml", CHATML)
 
 
 def header(bos: str = "<|begin_of_text|>") -> Template:
-    body = lambda m: F.concat(F.lit("<|start_header_id|>"), m["role"], F.lit("<|end_header_id|>\n\n"), strip(m["content"]), F.lit("<|eot_id|>"))
-    return Template("header", lambda m, i: F.concat(F.when(i == 0, bos).otherwise(""), body(m)), "<|start_header_id|>assistant<|end_header_id|>\n\n", "", bos)
+    return Template("header", HEADER, bos)
 
 
 def inst(bos: str = "<s>", eos: str = "</s>") -> Template:
-    user = lambda m: F.concat(F.lit("[INST] "), m["content"], F.lit(" [/INST]"))
-    render = lambda m, i: F.concat(F.when(i == 0, bos).otherwise(""), F.when(m["role"] == "assistant", F.concat(m["content"], F.lit(eos))).otherwise(user(m)))
-    return Template("inst", render, "", "", bos)
+    return Template("inst", INST, bos, eos)
+
+
+def chosen_template(setting: str | None, of_tokenizer: str | None = None, *, bos: str | None = None, eos: str = "</s>") -> Template:
+    """The template of the settings, else the tokenizer's own, else the default one."""
+    for name, source in (("settings", setting), ("tokenizer", of_tokenizer)):
+        if source:
+            return Template(name, source, bos, eos)
+    return Template("default", DEFAULT, bos, eos)
 
 
 def with_system(messages: Column, template: Template) -> Column:
@@ -61,8 +69,7 @@ def with_system(messages: Column, template: Template) -> Column:
 
 
 def render(messages: Column, template: Template, generation: bool = False) -> Column:
-    text = F.array_join(F.transform(messages, template.render), "")
-    return F.concat(text, F.lit(template.generation)) if generation else text
+    return compiled(template.source, messages, {"bos_token": template.bos or "", "eos_token": template.eos, "add_generation_prompt": generation})
 
 
 def strip_bos(text: Column, template: Template) -> Column:

@@ -23,6 +23,8 @@ class TokenizerSpec:
     pad: int | None = None
     model_max_length: int = 2048
     chat_template: str | None = None
+    bos_token: str | None = None
+    eos_token: str = "</s>"
     encode: Callable[[Column], Column] | None = None
     python: Callable[[list[str]], list[list[int]]] | None = None
 

@@ -101,6 +101,37 @@ _render("chat_render_header", T.header(), f"'<|start_header_id|>' || messages[i]
 _render("chat_render_inst", T.inst(), "CASE WHEN messages[i].role = 'assistant' THEN messages[i].content || '</s>' ELSE '[INST] ' || messages[i].content || ' [/INST]' END", "'<s>'")
 _render("chat_render_generation", T.chatml(), "'<|im_start|>' || messages[i].role || chr(10) || messages[i].content || '<|im_end|>' || chr(10)", "'<|im_start|>system' || chr(10) || '<|im_end|>' || chr(10)", "generation", "'<|im_start|>assistant' || chr(10)")
 
+#: A template with each construct: set, branches, places, list items, a slice, texts in texts, numbers and joins.
+EVERYTHING = """{%- set first = messages[0] -%}
+{% if first.role == 'user' and first['content'] | length > 0 %}
+{% set opening = 'Q: ' ~ first.content | trim | upper %}
+{% else %}
+{% set opening = 'No question' %}
+{% endif %}
+{{- opening }}
+{% for m in messages[1:] %}
+    {% if loop.first %}
+[{{ loop.length }} more]
+    {% endif %}
+    {%- if m.role in ['assistant', 'tool'] and not loop.last %}
+{{ loop.index }}) {{ m.content if 'a' in m.content else '(' + m.content + ')' }}
+    {% elif loop.last or loop.index0 % 2 == 1 %}
+{{ '* ' + m['content'].strip() }}
+    {% endif %}
+{% endfor %}{# ends here #}
+{%- if add_generation_prompt %}>{% endif %}"""
+SQL_EVERYTHING = f"""WITH {I.SQL_TURNS}, parts AS (SELECT row_id, messages, messages[1] AS f, messages[2:] AS rest FROM dialogues)
+SELECT row_id, CASE WHEN f.role = 'user' AND length(f.content) > 0 THEN 'Q: ' || upper({I.sql_strip('f.content')}) ELSE 'No question' END || chr(10) || array_to_string(list_transform(range(1, len(rest) + 1), lambda i:
+  CASE WHEN i = 1 THEN '[' || len(rest) || ' more]' || chr(10) ELSE '' END ||
+  CASE WHEN rest[i].role = 'assistant' AND i < len(rest) THEN i || ') ' || CASE WHEN contains(rest[i].content, 'a') THEN rest[i].content ELSE '(' || rest[i].content || ')' END || chr(10)
+       WHEN i = len(rest) OR (i - 1) % 2 = 1 THEN '* ' || {I.sql_strip('rest[i].content')} || chr(10) ELSE '' END), '') || '>' AS text FROM parts"""
+
+
+@query(SQL_EVERYTHING)
+def chat_render_language(spark, d):
+    """A template that settings give as text."""
+    return apply_template(I.dialogues(spark, d), T.chosen_template(EVERYTHING), "generation").select("row_id", "text")
+
 
 @query(f"WITH {I.SQL_PARSED} SELECT row_id, '<|begin_of_text|>' || array_to_string(list_transform(c[1:n], lambda m: '<|start_header_id|>' || m.role || '<|end_header_id|>' || chr(10) || chr(10) || m.content || '<|eot_id|>'), '') AS prompt, '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || r[n + 1].content || '<|eot_id|>' AS rejected FROM judged WHERE error IS NULL")
 def chat_render_preference(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.config import DataArguments, PreferenceConfig, config_class
-from tidewater.functions.template import Template
+from tidewater.functions.template import Template, chosen_template
 from tidewater.operators.decontaminate import contaminated_ids
 from tidewater.operators.mixing import k_sample, mix
 from tidewater.operators.pairs import STANDARD_COLUMNS, rename_rendered
@@ -35,8 +35,8 @@ def rendered(catalog: Catalog, data: DataArguments, template: Template, *, bench
 
 
 def prompt_metadata(spec: TokenizerSpec, template: Template, data: DataArguments) -> dict[str, Any]:
-    """How prompts are made, taken before rendering: the tokenizer, its template and the code and values that render."""
-    return {"tokenizer": spec.name, "template": spec.chat_template or template.name, "system": data.auto_insert_empty_system_msg, "render": function_hash(template.render)}
+    """How prompts are made, taken before rendering: the tokenizer, the template's text and its special tokens."""
+    return {"tokenizer": spec.name, "template": template.source, "bos": template.bos, "eos": template.eos, "system": data.auto_insert_empty_system_msg}
 
 
 def manifest(trainer: str, split: str, df: DataFrame, spec: TokenizerSpec, template: Template, data: DataArguments, config: PreferenceConfig) -> dict[str, Any]:
@@ -53,9 +53,11 @@ def manifest(trainer: str, split: str, df: DataFrame, spec: TokenizerSpec, templ
     }
 
 
-def prepare(catalog: Catalog, cache_root: str, trainer: str, data: DataArguments, spec: TokenizerSpec, template: Template, config: PreferenceConfig | None = None, *, benchmark: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
-    """Tokenised tables by split, from the cache or built into it, as the configuration's mode says."""
+def prepare(catalog: Catalog, cache_root: str, trainer: str, data: DataArguments, spec: TokenizerSpec, template: Template | None = None, config: PreferenceConfig | None = None, *, benchmark: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
+    """Tokenised tables by split, from the cache or built into it, as the configuration's mode says. Without a template the settings' is taken, else
+    the tokenizer's, else the default one."""
     config = config or config_class(trainer)()
+    template = template or chosen_template(data.chat_template, spec.chat_template, bos=spec.bos_token, eos=spec.eos_token)
     spec = spec.ready()
     cache, out = TokenCache(catalog.spark, cache_root), {}
     for split, df in rendered(catalog, data, template, benchmark=benchmark).items():
