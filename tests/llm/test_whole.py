@@ -1,6 +1,7 @@
 """Operators do the whole job: what the first review found left out."""
 
 import random
+import warnings
 from collections import Counter, defaultdict
 
 from tests.llm import brute
@@ -297,6 +298,43 @@ def test_formats_are_found_outside_their_contexts(spark):
         assert not any(hexes.margin(key("0123456789abcdef", m).encode()) >= 0 for m in (n - 3, n + 5))
 
 
+def test_kinds_of_several_lengths_stay_strict():
+    """Two lengths of a kind, with or without what ordinary runs look like: held-out credentials are found, and UUIDs, times, numbers and runs of other lengths aren't."""
+    from tidewater.llm.secrets import Formats, learn
+
+    rng = random.Random(23)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
+    low, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    uuid = lambda: b"-".join(key(low, n) for n in (8, 4, 4, 4, 12))
+    names = [b"_".join(rng.choice([b"get", b"value", b"some", b"user", b"name"]) for _ in range(4)) for _ in range(400)]
+    ordinary = names + [uuid() for _ in range(40)] + [b"2024-01-%02d-12-30-05" % rng.randint(1, 28) for _ in range(40)]
+    for letters, sizes in ((low, (16, 40)), (mixed, (24, 32)), (low, (16, 20, 64))):
+        words = [key(letters, rng.choice(sizes)) for _ in range(416)]
+        for plain in ([], ordinary):
+            found = learn({"hex": words}, plain)["hex"]
+            assert isinstance(found, Formats) and len(found.parts) == len(sizes) and all(a.allowed <= 1 for a in found.parts)
+            take = lambda ws: sum(found.margin(w) >= 0 for w in ws) / len(ws)
+            for n in sizes:
+                assert take([key(letters, n) for _ in range(200)]) >= 0.9
+            for n in {12, 14, 18, 33, 48, 80}:
+                assert take([key(letters, n) for _ in range(100)]) <= 0.05
+            assert take([uuid() for _ in range(100)]) <= 0.05
+            assert take([b"%d" % rng.randint(10**12, 10**14) for _ in range(100)] + [b"20240131123005", b"2024-01-31-12-30-05"]) <= 0.05
+
+
+def test_a_kind_without_a_format_is_left_out():
+    """Credentials that tell nothing of others: a warning, and no automaton that takes everything."""
+    from tidewater.llm.secrets import learn
+
+    rng = random.Random(24)
+    texts = [bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789-_.") for _ in range(n)) for n in range(12, 60)]
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        found = learn({"assign": texts})["assign"]
+    assert "no format" in str(seen[0].message) and found.allowed == -1
+    assert not any(found.margin(w) >= 0 for w in [*texts, b"some-dashed-words-in-a-row-1", b"2024-01-31-12-30-05"])
+
+
 def test_automata_equal_a_plain_alergia():
     """Word probabilities under the merged automaton equal those of a plain version of the method."""
     import math

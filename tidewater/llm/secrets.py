@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -117,8 +118,8 @@ class Automaton:
     allowed: float = math.inf
 
     def read(self, word: bytes) -> tuple[float, int]:
-        """The word's log probability, and its steps that the automaton doesn't have, an end where none was counted included. Each
-        costs `floor`, and the state stays."""
+        """The word's log probability, and its steps that the automaton doesn't have; an end where none was counted is two, as
+        all that a word lacks is behind it. Each costs `floor`, and the state stays."""
         n = len(self.prefix)
         wrong = sum(a != b for a, b in zip_longest(self.prefix, word[:n]))
         state, total = 0, self.floor * wrong
@@ -128,7 +129,7 @@ class Automaton:
             else:
                 p, wrong = self.floor, wrong + 1
             total += p + self.chars[c]
-        return total + max(self.ends[state], self.floor), wrong + (self.ends[state] == -math.inf)
+        return total + max(self.ends[state], self.floor), wrong + 2 * (self.ends[state] == -math.inf)
 
     def score(self, word: bytes) -> float:
         """Mean log likelihood ratio per character to the background."""
@@ -254,24 +255,55 @@ def infer(words: list[bytes], alpha: float = 0.01, depth: int = 128, fewest: int
     return out
 
 
-def learn(credentials: dict[str, list[bytes]], ordinary: list[bytes] = (), keep: float = 0.02) -> dict[str, Automaton]:
-    """An automaton per kind that has labelled credentials. Of those held out (every fifth; of fewer than five, all) its threshold leaves out
-    the lowest `keep` (or fewer, by their mean and deviation, as a few tell little of the lowest), and is positive: a candidate must be likelier than an ordinary run; and so many wrong steps are allowed as all but `keep`
-    of them have. Runs that are as likely as credentials, against characters drawn evenly, aren't taken for ordinary."""
-    found = {kind: infer([w for i, w in enumerate(words) if i % 5] or words) for kind, words in credentials.items() if words}
+@dataclass
+class Formats:
+    """A kind with credentials of several lengths: an automaton per format, and the one that likes a word best decides."""
+
+    parts: list[Automaton]
+
+    def score(self, word: bytes) -> float:
+        return max(a.score(word) for a in self.parts)
+
+    def margin(self, word: bytes) -> float:
+        return max(a.margin(word) for a in self.parts)
+
+
+def by_format(words: list[bytes], fewest: int = 20) -> list[list[bytes]]:
+    """Lengths that at least `fewest` of the words have are formats of their own, so that merging can't join their ends; the words of all other lengths are
+    one more if they are as many, or if there is no other."""
+    of = defaultdict(list)
+    for w in words:
+        of[len(w)].append(w)
+    own = [ws for _, ws in sorted(of.items()) if len(ws) >= fewest]
+    rest = [w for w in words if len(of[len(w)]) < fewest]
+    return own + ([rest] if len(rest) >= fewest or (rest and not own) else [])
+
+
+def learn(credentials: dict[str, list[bytes]], ordinary: list[bytes] = (), keep: float = 0.02, recall: float = 0.9) -> dict[str, Automaton | Formats]:
+    """What recognises each kind that has labelled credentials: an automaton, or Formats if they have several lengths. Of those held out (every fifth of
+    a format; of fewer than five, all) an automaton's threshold leaves out the lowest `keep` (or fewer, by their mean and deviation, as a few tell little of
+    the lowest), and is positive: a candidate must be likelier than an ordinary run. No step may be wrong if `recall` of those held out have
+    none, else one; a format of which that finds less takes nothing (allowed -1) and only scores, with a warning. Runs that are as likely as credentials, against characters drawn evenly, aren't taken for ordinary."""
+    groups = [(kind, words, infer([w for i, w in enumerate(words) if i % 5] or words)) for kind, of in credentials.items() for words in by_format(of)]
 
     def against(background: Background) -> None:
-        for kind, automaton in found.items():
+        for _, words, automaton in groups:
             automaton.background = background
-            held = [w for i, w in enumerate(credentials[kind]) if i % 5 == 0 or len(credentials[kind]) < 5]
-            k = int(len(held) * keep)
+            held = [w for i, w in enumerate(words) if i % 5 == 0 or len(words) < 5]
             scores = np.sort([automaton.score(w) for w in held])
-            automaton.threshold = max(min(scores[k], scores.mean() + NormalDist().inv_cdf(keep) * scores.std()), 0.05)
-            automaton.allowed = sorted(automaton.read(w)[1] for w in held)[-1 - k]
+            automaton.threshold = max(min(scores[int(len(held) * keep)], scores.mean() + NormalDist().inv_cdf(keep) * scores.std()), 0.05)
+            for automaton.allowed in (0, 1, -1):
+                if sum(automaton.margin(w) >= 0 for w in held) >= recall * len(held):
+                    break
 
     against(Background())
-    against(Background.of([w for w in ordinary if all(a.margin(w) < 0 for a in found.values())]))
-    return found
+    against(Background.of([w for w in ordinary if all(a.margin(w) < 0 for _, _, a in groups)]))
+    found: dict[str, list[Automaton]] = {}
+    for kind, words, automaton in groups:
+        found.setdefault(kind, []).append(automaton)
+        if automaton.allowed < 0:
+            warnings.warn(f"no format was found in {len(words)} credentials of the kind {kind} with {min(map(len, words))} to {max(map(len, words))} characters", stacklevel=2)
+    return {kind: parts[0] if len(parts) == 1 else Formats(parts) for kind, parts in found.items()}
 
 
 FOUND = "id {}, base array<struct<start:int,kind:int,end:int,a:int,value:binary>>, runs array<struct<start:int,end:int,value:binary>>, marks array<int>"
@@ -326,7 +358,7 @@ def labelled(found: DataFrame, most: int) -> tuple[dict[str, list[bytes]], list[
     return dict(zip(KINDS, out, strict=False)), out[-1]
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", automata: dict[str, Automaton] | None = None, most: int = 2000, least: int = 12) -> DataFrame:
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", automata: dict[str, Automaton | Formats] | None = None, most: int = 2000, least: int = 12) -> DataFrame:
     """(id, spans array<struct<kind, start, end, score>>), code points, end exclusive, by start and then kind.
 
     Base spans stay, with the score of their value under their kind's automaton (null if the kind has none). A run of at least `least`
