@@ -475,6 +475,61 @@ def test_prompt_metadata_tells_renderers_apart():
     assert of(T.header()) != of(T.header("<s>")) and of(T.header())["template"] == T.HEADER
 
 
+def plain_bpe(text, merges):
+    """Lowest rank first, over and over."""
+    rank = {m: i for i, m in enumerate(merges)}
+    tokens = list(text)
+    while True:
+        pairs = [(rank[p], p) for p in zip(tokens, tokens[1:], strict=False) if p in rank]
+        if not pairs:
+            break
+        pair, out, i = min(pairs)[1], [], 0
+        while i < len(tokens):
+            if tuple(tokens[i : i + 2]) == pair:
+                out.append("".join(pair))
+                i += 2
+            else:
+                out.append(tokens[i])
+                i += 1
+        tokens = out
+    made = {"".join(m): K.MERGED + i for i, m in enumerate(merges)}
+    return [made.get(t) or ord(t) for t in tokens]
+
+
+def test_merge_codec_equals_plain_merging(spark):
+    rng = random.Random(31)
+    for _ in range(4):
+        known, merges = list("aab😀 é"), []
+        while len(merges) < 25:
+            m = (rng.choice(known), rng.choice(known))
+            if "".join(m) not in known and len("".join(m)) < 9:
+                merges.append(m)
+                known.append("".join(m))
+        texts = ["", "a", "aaa", "aaaa", *["".join(rng.choice("aaab😀 é") for _ in range(rng.randint(1, 60))) for _ in range(80)]]
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", K.merge_codec(merges)(F.col("t")).alias("ids"))
+        got = df.select("i", "ids", K.merge_decode(merges)(F.col("ids")).alias("back")).collect()
+        assert {r.i: r.ids for r in got} == {i: plain_bpe(t, merges) for i, t in enumerate(texts)}
+        assert {r.i: r.back for r in got} == dict(enumerate(texts))
+    table = spark.createDataFrame([("ab", "c", 1), ("a", "b", 0)], "left string, right string, rank int")
+    assert K.read_merges(table) == [("a", "b"), ("ab", "c")]
+    assert value(spark, K.merge_codec(K.read_merges(table))(F.lit("abcab\U000F0000"))) == [K.MERGED + 1, K.MERGED, 0xFFFD]
+    for bad in ([("ab", "c")], [("a", "b"), ("a", "b")]):
+        with pytest.raises(ValueError):
+            K.merge_codec(bad)
+    with pytest.raises(ValueError, match="more than 1"):
+        K.read_merges(table, 1)
+
+
+def test_merges_move_the_boundary_or_raise(spark):
+    spec = K.TokenizerSpec(encode=K.merge_codec([("b", "c"), ("a", "bc"), ("x", "abc")]))
+    rows = lambda p, c, r: K.tokenise_pairs(spark.createDataFrame([(p, c, r)], "prompt string, chosen string, rejected string"), spec)
+    one = rows("yb", "cz", "z").first()  # y, bc, z against y, b, z
+    assert (one.prompt_input_ids, one.chosen_input_ids, one.chosen_labels) == ([121], [121, K.MERGED, 122], [-100, K.MERGED, 122])
+    assert (one.rejected_input_ids, one.rejected_labels) == ([121, 98, 122], [-100, -100, 122])
+    with pytest.raises(Exception, match="differ by more than their last token"):
+        rows("xab", "c", "z").collect()  # xabc against x, a, b, z
+
+
 def test_codecs_are_told_apart(spark):
     from tidewater.sources.cache import cache_root, function_hash
 

@@ -45,6 +45,61 @@ def word_codec(buckets: int = 1 << 15) -> Callable[[Column], Column]:
     return lambda c: F.when(F.trim(c) == "", F.array().cast(IDS)).otherwise(F.transform(F.split(F.trim(c), " +"), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")))
 
 
+#: Ids of merged tokens: this and their rank. As code points they are for private use, so a text's own are replaced.
+MERGED = 0xF0000
+
+
+def read_merges(table: DataFrame, most: int = 8192) -> list[tuple[str, str]]:
+    """The pairs of a table of (left, right, rank), lowest rank first; raises beyond `most`, as all pairs go into the plan."""
+    rows = table.select("left", "right", "rank").orderBy("rank").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs; use a tokenizer of `python` instead")
+    return [(r.left, r.right) for r in rows]
+
+
+def _merge_steps(merges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(pair, token) as characters, a token being one. Each part must be one character or made before: then merging pair by pair equals merging the lowest
+    rank first over and over."""
+    if len(merges) > 0x1FFFE - 1:
+        raise ValueError("more pairs than private code points")
+    known: dict[str, str] = {}
+    steps = []
+    for rank, pair in enumerate(merges):
+        parts = [known.get(p, p) for p in pair]
+        if any(len(p) != 1 for p in parts):
+            raise ValueError(f"pair {rank} of {pair} has a part that no earlier pair makes")
+        if "".join(pair) in known:
+            raise ValueError(f"pair {rank} of {pair} makes a token that is there")
+        known["".join(pair)] = chr(MERGED + rank)
+        steps.append(("".join(parts), known["".join(pair)]))
+    return steps
+
+
+def _replaced(c: Column, steps: list[tuple[str, str]]) -> Column:
+    if not steps:
+        return c
+    table = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in steps])
+    return F.aggregate(table, c, lambda text, step: F.replace(text, step[0], step[1]))
+
+
+def merge_codec(merges: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """Byte-pair merging over characters, without words in between, so that a prompt's end and a response's beginning may merge. A token is one
+    character, and a step of the fold replaces a pair everywhere, from the left; ids are code points, and MERGED and the rank for what was merged."""
+    steps = _merge_steps(merges)
+    return lambda c: char_codec(_replaced(F.regexp_replace(c, "[\\x{F0000}-\\x{10FFFF}]", "\ufffd"), steps))
+
+
+def merge_decode(merges: list[tuple[str, str]]) -> Callable[[Column], Column]:
+    """Ids back to text."""
+    steps = [(b, a) for a, b in reversed(_merge_steps(merges))]
+    return lambda ids: _replaced(F.array_join(F.transform(ids, _character), ""), steps)
+
+
+def _character(code: Column) -> Column:
+    """A code point as text, beyond what F.char gives."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
 def char_tokenizer(bos: int | None = None, eos: int | None = 999) -> TokenizerSpec:
     return TokenizerSpec("char", bos, eos, encode=char_codec)
 

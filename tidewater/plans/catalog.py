@@ -656,3 +656,43 @@ SELECT CASE WHEN row_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*)
 WHERE NOT coalesce((SELECT bool_or(contains(t, pattern)) FROM pat WHERE length(pattern) > 0), false) GROUP BY 1""")
 def flagship_summary(spark, d):
     return flagship(spark, d)
+
+
+#: Pairs that merge; the spaced ones reach from a prompt, which ends with a space, into its response.
+PAIRS = [("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("o", "n"), ("r", "e"), ("e", "n"), ("in", "g"), ("a", "t"), ("o", "u"), ("on", "en"), ("e", "e"), ("s", "s"), ("l", "l")]
+SPACED = [(" ", x) for x in "ADEILNSTUVW"] + [(" ", "the"), (" T", "h")]
+PAIRS = PAIRS + SPACED
+
+
+def _sql_merged(e: str, pairs: list) -> str:
+    known: dict[str, int] = {}
+    part = lambda x: f"chr({known.get(x) or ord(x)})"
+    for i, (a, b) in enumerate(pairs):
+        e = f"replace({e}, {part(a)} || {part(b)}, chr({K.MERGED + i}))"
+        known[a + b] = K.MERGED + i
+    return e
+
+
+def _merging(name: str, pairs: list) -> None:
+    ids = "array_to_string(list_transform(string_split({}, ''), lambda x: ord(x)), ',')"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Texts encoded with merges across prompt and response: where the response begins, and whether that is before the prompt's own end."""
+        spec = K.TokenizerSpec("merging", encode=K.merge_codec(pairs))
+        texts = _texts(spark, d)
+        rows = K.tokenise_pairs(K.encoded(texts, {"alone": F.col("prompt")}, spec), spec, max_length=1 << 30)
+        begins = lambda s: F.size(f"{s}_labels") - F.size(K.real_labels(F.col(f"{s}_labels")))
+        out = {"n_alone": F.size("alone"), "n_prompt": F.size("prompt_input_ids"), "chosen_at": begins("chosen"), "rejected_at": begins("rejected")}
+        text = K.merge_decode(pairs)(F.col("chosen_input_ids"))
+        moved = (F.size("alone") - begins("chosen")).cast("long").alias("moved")
+        return rows.select("row_id", *[c.cast("long").alias(n) for n, c in out.items()], moved, F.array_join("chosen_input_ids", ",").alias("chosen_ids"), F.md5(text.cast("binary")).alias("decoded_md5"))
+
+    sql = f"""WITH {I.SQL_PARSED}, texts AS (SELECT row_id, {SQL_JOINED.format('c[1:n]')} || ' || ' AS prompt, c[n + 1].content AS chosen, r[n + 1].content AS rejected FROM judged WHERE error IS NULL),
+merged AS (SELECT row_id, prompt || chosen AS whole, {_sql_merged('prompt', pairs)} AS p, {_sql_merged('prompt || chosen', pairs)} AS fc, {_sql_merged('prompt || rejected', pairs)} AS fr FROM texts),
+cut AS (SELECT *, length(p) AS n, CASE WHEN starts_with(fc, p) THEN length(p) ELSE length(p) - 1 END AS at_c, CASE WHEN starts_with(fr, p) THEN length(p) ELSE length(p) - 1 END AS at_r FROM merged)
+SELECT row_id, n AS n_alone, least(at_c, at_r) AS n_prompt, at_c AS chosen_at, at_r AS rejected_at, n - at_c AS moved, {ids.format('fc')} AS chosen_ids, md5(whole) AS decoded_md5 FROM cut"""
+    query(sql, name)(run)
+
+
+_merging("tokens_merged_across", PAIRS)
+_merging("tokens_merged_apart", PAIRS[: -len(SPACED)])
