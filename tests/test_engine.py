@@ -348,6 +348,48 @@ def test_cache(spark, tmp_path):
     assert fingerprint(df) == fingerprint(df.orderBy(F.desc("id"))) != fingerprint(spark.range(8))
 
 
+def test_cache_publication(spark, tmp_path):
+    """Two builders of one table, a failure between data and manifest, stale and incomplete folders, and the sweep."""
+    cache, m = TokenCache(spark, str(tmp_path)), {"a": 1}
+    path = cache.path("t", "train", m)
+    get = lambda c=cache, build=None, **k: c.build(build or (lambda: spark.range(3).withColumnRenamed("id", "x")), m, trainer="t", split="train", required=["x"], **k)
+    files = lambda: sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
+
+    class Broken(TokenCache):
+        def _staged(self, df, manifest, place):
+            df.write.parquet(f"{place}/dataset")
+            raise OSError("between data and manifest")
+
+    with pytest.raises(OSError, match="between"):
+        get(Broken(spark, str(tmp_path)))
+    assert files() == []  # nothing was published or left
+    with pytest.raises(FileNotFoundError):
+        get(mode="reuse_only")
+
+    first = []
+
+    def slow():  # while this one builds, another builder publishes the same table, and someone begins to read it
+        first.append(get())
+        return spark.range(5).withColumnRenamed("id", "x")
+
+    assert get(build=slow).count() == 3 and first[0].count() == 3  # the first one's files are still there
+    assert not list((tmp_path / ".staging").iterdir()) and len({f.split("/")[2] for f in files()}) == 1
+
+    for spoil in (lambda p: (p / "manifest.json").unlink(), lambda p: (p / "manifest.json").write_text('{"a": 2}'), lambda p: (p / "manifest.json").write_text('{"a"'), lambda p: [f.unlink() for f in p.glob(".manifest*")] + [__import__("shutil").rmtree(p / "dataset")]):
+        spoil(tmp_path / "t" / "train" / path.rsplit("/", 1)[-1])
+        for crc in (tmp_path / "t" / "train").rglob(".manifest*"):
+            crc.unlink()
+        before = files()
+        with pytest.raises(FileNotFoundError):
+            get(mode="reuse_only")
+        assert files() == before  # not a thing was removed
+        assert get().count() == 3 and get(mode="reuse_only").count() == 3
+    stale = list((tmp_path / ".staging").iterdir())
+    assert len(stale) == 4 and cache.sweep() == 0 and cache.sweep(-1) == 4 and get(mode="reuse_only").count() == 3
+    with pytest.raises(FileNotFoundError, match="lacks"):
+        cache.build(lambda: spark.range(1), {"b": 1}, trainer="t", split="train", required=["x"])
+
+
 def test_prepare(spark, tmp_path):
     from tidewater.plans.prepare import log_samples, prepare
 

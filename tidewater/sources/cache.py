@@ -1,11 +1,13 @@
-"""A content-addressed cache of tokenised tables: a manifest's hash is the place, and the manifest is written last."""
+"""A content-addressed cache of tokenised tables: a manifest's hash is the place, and a table appears whole or not at all."""
 
 from __future__ import annotations
 
 import hashlib
 import inspect
 import json
+import time
 import types
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -65,6 +67,10 @@ def fingerprint(df: DataFrame) -> dict[str, Any]:
 
 
 class TokenCache:
+    """A table lies under its manifest's hash. It is built in a staging folder of its own and appears by one rename, manifest and all, so that a
+    reader sees a whole table or none; of builders of one table at a time the first to rename wins and the others read its table. The folder needs a file
+    system whose renames are atomic and don't replace (HDFS, local disks)."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -78,18 +84,43 @@ class TokenCache:
 
     def _manifest(self, path: str) -> dict | None:
         fs, p = self._fs(f"{path}/manifest.json")
-        return json.loads(self.spark.read.text(str(p.toString()), wholetext=True).first()[0]) if fs.exists(p) else None
+        try:
+            return json.loads(self.spark.read.text(str(p.toString()), wholetext=True).first()[0]) if fs.exists(p) else None
+        except (json.JSONDecodeError, TypeError):
+            return None  # cut short: not a table
 
     def get(self, path: str, manifest: dict, required: list[str]) -> DataFrame | None:
+        """The table, unless it isn't there, is incomplete, of another manifest, or lacks columns."""
         fs, p = self._fs(f"{path}/dataset")
         if not fs.exists(p) or self._manifest(path) != manifest:
             return None
         df = self.spark.read.parquet(f"{path}/dataset")
         return df if set(required) <= set(df.columns) else None
 
+    def _staged(self, df: DataFrame, manifest: dict, place: str) -> None:
+        df.write.parquet(f"{place}/dataset")
+        fs, p = self._fs(f"{place}/manifest.json")
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        finally:
+            out.close()
+
+    def _moved(self, a: str, b: str) -> bool:
+        """Whether folder a is now b. A rename onto a folder that is there would put a inside it: that is undone, and isn't a move."""
+        fs, source = self._fs(a)
+        _, target = self._fs(b)
+        if fs.exists(target) or not fs.rename(source, target):
+            return False
+        _, inside = self._fs(f"{b}/{a.rsplit('/', 1)[-1]}")
+        if fs.exists(inside):
+            fs.delete(inside, True)
+            return False
+        return True
+
     def build(self, df: Callable[[], DataFrame], manifest: dict, *, trainer: str, split: str, required: list[str], mode: str = "online", reuse: bool = True) -> DataFrame:
-        """The cached table, or a new one. online without reuse caches nothing; reuse_only raises on a miss, before anything
-        stale is deleted; offline_only builds what is missing."""
+        """The cached table, or a new one. online without reuse caches nothing; reuse_only raises on a miss and changes
+        nothing; offline_only builds what is missing. What lies at a table's place and isn't it, stale or incomplete, is moved away before the new one comes."""
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         if mode == "online" and not reuse:
@@ -99,10 +130,34 @@ class TokenCache:
             return found
         if mode == "reuse_only":
             raise FileNotFoundError(f"nothing cached for {trainer}/{split} at {path}")
-        fs, p = self._fs(path)
-        fs.delete(p, True)
-        df().write.parquet(f"{path}/dataset")
-        out = fs.create(self._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json"), True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
-        return self.spark.read.parquet(f"{path}/dataset")
+        place = f"{self.root}/.staging/{uuid.uuid4().hex}"
+        fs, staged = self._fs(place)
+        try:
+            self._staged(df(), manifest, place)
+            _, parent = self._fs(f"{self.root}/{trainer}/{split}")
+            fs.mkdirs(parent)
+            if not self._moved(place, path) and self.get(path, manifest, required) is None:
+                self._moved(path, f"{self.root}/.staging/{uuid.uuid4().hex}-stale")
+                self._moved(place, path)
+        finally:
+            fs.delete(staged, True)  # nothing, if it was moved
+        if (found := self.get(path, manifest, required)) is None:
+            raise FileNotFoundError(f"the table of {trainer}/{split} at {path} was removed, or lacks some of {required}")
+        return found
+
+    def sweep(self, older_than: float = 86_400.0) -> int:
+        """Removes staging folders that builders left behind, and stale tables, untouched for that many seconds; returns how many. Tables in use stay, and so
+        do younger folders, which builders may be writing."""
+        fs, root = self._fs(f"{self.root}/.staging")
+        if not fs.exists(root):
+            return 0
+        before = (time.time() - older_than) * 1000
+        old = [s.getPath() for s in fs.listStatus(root) if self._newest(fs, s) <= before]
+        return sum(bool(fs.delete(p, True)) for p in old)
+
+    def _newest(self, fs: Any, status: Any) -> int:
+        """When something below last changed: a folder's own time doesn't tell of files within its folders."""
+        times = [status.getModificationTime()]
+        if status.isDirectory():
+            times += [self._newest(fs, s) for s in fs.listStatus(status.getPath())]
+        return max(times)
