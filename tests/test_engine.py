@@ -694,3 +694,109 @@ def test_loss_registry(spark):
     assert set(L.REGISTRY) == {"simpo", "alpha_dpo", "margin_dpo", "epsilon_dpo"}
     assert value(spark, L.REGISTRY["margin_dpo"](*c)["margin"]) == pytest.approx(0.7)
     assert value(spark, L.REGISTRY["simpo"](c[0], c[1])["loss"]) == pytest.approx(math.log1p(math.exp(-1.0)))
+
+
+def jobs_of(spark, group, run):
+    """What run gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_dropped_rows_are_counted_by_the_job_that_writes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"{'def bad thing here' if i % 4 == 0 else 'fine'} {i}") for i in range(40)], "row_id long, text string").repartition(3)
+    bench = spark.createDataFrame([("bad thing here",)], "text string")
+    plain = D.decontaminate(docs, bench)
+    _, n_plain = jobs_of(spark, "plain", lambda: plain.write.parquet(f"{tmp_path}/a"))
+    clean, dropped = D.decontaminate_observed(docs, bench)
+    _, n_observed = jobs_of(spark, "observed", lambda: clean.write.parquet(f"{tmp_path}/b"))
+    report, none = jobs_of(spark, "report", dropped.report)
+    assert report == {"n_before": 40, "n_dropped": 10, "percent": 25.0} == D.dropped_report(docs, plain)
+    assert n_observed == n_plain and none == 0
+    clean, dropped = D.decontaminate_observed(docs.filter("row_id < 0"), bench)
+    assert clean.collect() == [] and dropped.report() == {"n_before": 0, "n_dropped": 0, "percent": 0.0}
+
+
+def test_prepare_reports_what_it_drops(spark, tmp_path):
+    from tidewater.plans.prepare import prepare
+
+    rows = [(i, f"{PROMPT}{A}{'xx yy' if i < 3 else 'ok'} {i}", f"{PROMPT}{A}no {i}") for i in range(12)]
+    spark.createDataFrame(rows, "row_id long, chosen string, rejected string").coalesce(1).write.parquet(f"{tmp_path}/hh/train.parquet")
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.register("hh", f"{tmp_path}/hh", format="transcript")
+    data = DataArguments(dataset_mixer={"hh": 1.0}, dataset_splits=["train"], chat_template="{% for m in messages %}{{ m.role + ':' + m.content }};{% endfor %}")
+    for _ in range(2):  # built, then found
+        reports = {}
+        out = prepare(catalog, f"{tmp_path}/cache", "epsilon_dpo", data, K.char_tokenizer(), benchmark=spark.createDataFrame([("xx yy",)], "text string"), reports=reports)
+        assert reports == {"train": {"n_before": 12, "n_dropped": 3, "percent": 25.0}} and out["train"].count() == 9
+    text = "".join(map(chr, out["train"].orderBy("row_id").first().prompt_input_ids))
+    assert text == "user:Hi;assistant:Hello!;user:How?;"  # by the settings' own template
+
+
+def test_bucketed_sides_join_without_a_shuffle(spark, tmp_path):
+    from tidewater.sources.shared import write_bucketed
+
+    pairs = spark.range(500).selectExpr("id AS pair_id", "CAST(id AS double) AS c").repartition(5)
+    reference = spark.range(500).selectExpr("id AS pair_id", "CAST(id * 2 AS double) AS rc")
+    a, b = (write_bucketed(df, f"tidewater_{n}", "pair_id", 4, f"{tmp_path}/{n}") for n, df in (("pairs", pairs), ("reference", reference)))
+    out = G.attach_reference(a, b.hint("merge"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted((r.pair_id, r.c, r.rc) for r in out.collect()) == [(i, float(i), 2.0 * i) for i in range(500)]
+    assert len(list((tmp_path / "pairs").glob("part-*"))) == 4
+    with pytest.raises(Exception, match="missing or not finite"):
+        G.attach_reference(a, write_bucketed(reference.filter("pair_id > 0"), "tidewater_fewer", "pair_id", 4, f"{tmp_path}/fewer").hint("merge")).collect()
+
+
+def test_steps_are_replaced_and_pruned(spark, tmp_path):
+    from tidewater.sources.sinks import read_full_margins, write_full_margins
+
+    path = f"{tmp_path}/full"
+    rows = spark.createDataFrame([(s, float(i)) for s in (1, 2) for i in range(3)], "step long, margin double")
+    write_full_margins(rows, path)
+    write_full_margins(rows.filter("step = 2").withColumn("margin", F.col("margin") + 10), path)
+    write_full_margins(rows.limit(0), path)
+    got = sorted((r.step, r.margin) for r in read_full_margins(spark, path).collect())
+    assert got == [(1, 0.0), (1, 1.0), (1, 2.0), (2, 10.0), (2, 11.0), (2, 12.0)]
+    one = read_full_margins(spark, path, [2])
+    assert one.count() == 3 and len(one.inputFiles()) > 0 and all("step=2" in f for f in read_full_margins(spark, path, [2]).filter("margin > 0").select(F.input_file_name().alias("f")).toPandas()["f"])
+    assert "PartitionFilters: [isnotnull(step" in one._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [step" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_form_logits(spark):
+    rng = random.Random(41)
+    vocab, width, rows = 37, 8, []
+    logits = {(s, p): [rng.uniform(-800, 800) if p % 2 else rng.gauss(0, 3) for _ in range(vocab)] for s in range(4) for p in range(5)}
+    labels = {k: -100 if k[1] == 3 else vocab - 1 if k[1] == 4 else rng.randrange(vocab) for k in logits}
+    for (s, p), x in logits.items():
+        rows += [(s, p, c, x[c * width : (c + 1) * width]) for c in range(-(-vocab // width))]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "seq int, pos int, chunk int, values array<double>").repartition(3)
+    ys = spark.createDataFrame([(*k, y) for k, y in labels.items()] + [(9, 9, 1)], "seq int, pos int, label int")
+    got = {(r.seq, r.pos): r.logp for r in S.token_logp_long(chunks, ys, width=width).collect()}
+    assert set(got) == {k for k, y in labels.items() if y != -100}
+    for k, v in got.items():
+        x, top = logits[k], max(logits[k])
+        assert math.isclose(v, x[labels[k]] - top - math.log(sum(math.exp(e - top) for e in x)), rel_tol=1e-9, abs_tol=1e-9)
+    beyond = S.token_logp_long(chunks, spark.createDataFrame([(0, 0, 99)], "seq int, pos int, label int"), width=width).first()
+    assert beyond.logp is None
+
+
+def test_state_as_a_table(spark):
+    rng = random.Random(43)
+    rows = [(k, s, rng.gauss(0, 1), rng.random()) for k in ("a", "b", "c") for s in range(300)]
+    stats = spark.createDataFrame(rows, "key string, step long, mean double, std double")
+    ends = lambda df: df.groupBy("key").agg(F.max_by("mean", "step").alias("mean"), F.max_by("std", "step").alias("std"))
+    state = ends(G.running(stats.filter("step < 140"), 0.9, keys=("key",))).filter("key <> 'c'")
+    got = {(r.key, r.step): (r["mean"], r["std"]) for r in G.resumed(stats.filter("step >= 140"), state, 0.9, key="key").collect()}
+    assert len(got) == 480
+    for key in ("a", "b", "c"):
+        m, sd = 0.0, 1.0
+        for k, step, x, y in rows:
+            if k == key and (step >= 140 or key != "c"):
+                m, sd = 0.9 * m + 0.1 * x, 0.9 * sd + 0.1 * y
+                if step >= 140:
+                    assert math.isclose(got[key, step][0], m, abs_tol=1e-9) and math.isclose(got[key, step][1], sd, abs_tol=1e-9)

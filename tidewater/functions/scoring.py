@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
@@ -42,6 +42,21 @@ def token_logp(logits: Column, label: Column) -> Column:
     return F.try_element_at(logits, label.cast("int") + 1) - log_sum_exp(logits)
 
 
+def token_logp_long(chunks: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("seq", "pos"), *, width: int, pad: int = -100) -> DataFrame:
+    """(keys, logp) from logits as rows (keys, chunk, values), values being `width` entries of the vocabulary from chunk * width on, and labels as rows
+    (keys, label): no row holds a whole vocabulary. A chunk gives its maximum, its sum of exponentials below it, and the label's logit if it has that; three numbers
+    a chunk are shuffled, once. Padded labels give no row; a label that no chunk holds gives null."""
+    chosen = labels.filter(F.col("label") != pad).select(*keys, F.col("label").cast("long").alias("__label"))
+    rows = chunks.join(chosen, list(keys))
+    at = F.col("__label") - F.col("chunk").cast("long") * width
+    own = F.when((at >= 0) & (at < width), F.try_element_at("values", (at + 1).cast("int")))
+    top = F.array_max("values")
+    parts = rows.select(*keys, top.alias("__top"), sum_of(F.transform("values", lambda x: F.exp(x - top))).alias("__sum"), own.alias("__own"))
+    best = F.max("__top").over(Window.partitionBy(*keys))
+    merged = parts.withColumn("__best", best).groupBy(*keys).agg(F.max("__best").alias("__best"), F.sum(F.col("__sum") * F.exp(F.col("__top") - F.col("__best"))).alias("__sum"), F.max("__own").alias("__own"))
+    return merged.select(*keys, (F.col("__own") - F.col("__best") - F.ln("__sum")).alias("logp"))
+
+
 def sequence_logp(logits: Column, labels: Column, *, average: bool = False, pad: int = -100, clamp: bool = True) -> Column:
     """Of a decoder: position i's logits predict label i + 1; padded labels don't count. Sum, or mean over those that do; of none,
     0 if clamp, else NaN. Raises if there isn't one row of logits for each label."""

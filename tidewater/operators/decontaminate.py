@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import squash
@@ -91,6 +92,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "row_i
     return docs.join(contaminated_ids(docs, benchmark, id_col=id_col, text_col=text_col, **more), id_col, "left_anti")
 
 
+class Dropped:
+    """How many rows decontamination takes, counted by the action that runs the plan anyway; report() waits for the first one."""
+
+    def __init__(self) -> None:
+        self.before, self.kept = Observation(), Observation()
+
+    @staticmethod
+    def _read(counts: Observation) -> int:
+        try:
+            return counts.get.get("n") or 0
+        except Py4JJavaError:  # the plan was cut down to nothing, the count with it: there is no row
+            return 0
+
+    def report(self) -> dict[str, float]:
+        n, m = self._read(self.before), self._read(self.kept)
+        return {"n_before": n, "n_dropped": n - m, "percent": 100 * (n - m) / n if n else 0.0}
+
+
+def decontaminate_observed(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "row_id", text_col: str = "text", **more) -> tuple[DataFrame, Dropped]:
+    """The rows that hold no pattern, and what will tell how many do."""
+    dropped, n = Dropped(), F.count(F.lit(1)).alias("n")
+    ids = contaminated_ids(docs, benchmark, id_col=id_col, text_col=text_col, **more)
+    return docs.observe(dropped.before, n).join(ids, id_col, "left_anti").observe(dropped.kept, n), dropped
+
+
 def dropped_report(before: DataFrame, after: DataFrame) -> dict[str, float]:
     n, m = before.count(), after.count()
     return {"n_before": n, "n_dropped": n - m, "percent": 100 * (n - m) / n if n else 0.0}

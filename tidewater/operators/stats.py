@@ -156,6 +156,18 @@ def compare(a: DataFrame, b: DataFrame, key: str, values: list[str], atol: float
     return sums.select("n", F.explode(F.create_map(*[x for v in values for x in (F.lit(v), F.col(v))])).alias("name", "n_far")).select("name", "n", "n_far")
 
 
+def resumed(stats: DataFrame, state: DataFrame, decay: float, *, key: str, step: str = "step") -> DataFrame:
+    """running() gone on with from a table of states, a row of (key, mean, std) each: what the steps give from nothing, and the decayed state. A key without a state
+    starts from (0, 1)."""
+    columns = stats.select(key, F.col(step).alias("step"), "mean", "std")
+    own = running(columns, decay, first=(0.0, 0.0), keys=(key,))
+    left = running(columns.withColumns({"mean": F.lit(1.0), "std": F.lit(1.0)}), decay, first=(0.0, 0.0), keys=(key,)).select(key, "step", (1 - F.col("mean")).alias("__left"))
+    start = state.select(key, F.col("mean").alias("__m"), F.col("std").alias("__s"))
+    both = own.join(left, [key, "step"]).join(start, key, "left")
+    ahead = lambda c, s, none: (F.col(c) + F.col("__left") * F.coalesce(F.col(s), F.lit(none))).alias(c)
+    return both.select(key, "step", ahead("mean", "__m", 0.0), ahead("std", "__s", 1.0))
+
+
 def attach_reference(pairs: DataFrame, reference: DataFrame, key: str = "pair_id") -> DataFrame:
     """Reference log-probabilities by key, never by place; raises where one is missing or not finite."""
     joined = pairs.join(reference, key, "left")

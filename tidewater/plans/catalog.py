@@ -15,8 +15,10 @@ from tidewater.operators import stats as G
 from tidewater.operators import tokenise as K
 from tidewater.operators.render import apply_template
 from tidewater.plans import inputs as I
-from tidewater.sources.cache import fingerprint
+from tidewater.sources.cache import TokenCache, fingerprint
 from tidewater.sources.catalog import Catalog, non_empty_column
+from tidewater.sources.shared import run_folder, write_bucketed, written
+from tidewater.sources.sinks import read_full_margins, write_full_margins
 
 joined = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), " || ")
 r6 = lambda c, name: (F.round(c, 6) + 0.0).alias(name)
@@ -631,10 +633,13 @@ def beta_weights(spark, d):
 def alpha_state_resumed(spark, d):
     """The state after half of the steps, gone on from to the end."""
     stats = G.batch_stats(_gaps(spark, d), "gap", sample_std=True)
-    half = stats.agg(F.expr("max(step) div 2")).first()[0]
-    state = G.update_state(None, stats.filter(F.col("step") <= half), 0.9)
-    mean, std = G.update_state(state, stats.filter(F.col("step") > half), 0.9)
-    return spark.range(1).select(r6(F.lit(mean), "mean"), r6(F.lit(std), "std"))
+    stats = stats.withColumn("run", F.lit(0))
+    half = stats.agg(F.expr("max(step) div 2").alias("half"))
+    first = stats.join(F.broadcast(half), F.col("step") <= F.col("half")).drop("half")  # one row
+    ends = lambda df: df.groupBy("run").agg(F.max_by("mean", "step").alias("mean"), F.max_by("std", "step").alias("std"))
+    state = written(ends(G.running(first, 0.9, first=None, keys=("run",))), "alpha-state")
+    later = stats.join(F.broadcast(half), F.col("step") > F.col("half")).drop("half")
+    return ends(G.resumed(later, state, 0.9, key="run")).select(r6(F.col("mean"), "mean"), r6(F.col("std"), "std"))
 
 
 @query(f"WITH {I.SQL_SCORED} SELECT round(avg({_smooth('2.0 * (c - r - 0.5)', 0.0)}), 6) AS loss, round(avg(c), 6) AS logits_chosen, 0 AS label FROM scored")
@@ -696,3 +701,57 @@ SELECT row_id, n AS n_alone, least(at_c, at_r) AS n_prompt, at_c AS chosen_at, a
 
 _merging("tokens_merged_across", PAIRS)
 _merging("tokens_merged_apart", PAIRS[: -len(SPACED)])
+
+
+@query(SQL["token_logprob"])
+def token_logprob_long(spark, d):
+    """Logits as rows of 16 vocabulary entries."""
+    rows = I.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), "label")
+    cut = lambda i: F.slice("x", (i * 16 + 1).cast("int"), 16)
+    chunks = rows.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("x") / 16) - 1), cut)).alias("chunk", "values"))
+    return S.token_logp_long(chunks, rows.select("vec_id", "label"), ("vec_id",), width=16).select("vec_id", r6(F.col("logp"), "logp"))
+
+
+@query(SQL["ref_logp_attach"])
+def ref_logp_bucketed(spark, d):
+    """Both sides as tables in buckets of the key, joined where they lie."""
+    reference = I.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pair_id"), ((F.length("o_orderpriority") + F.col("o_custkey")) / 10).alias("rc"), (F.length("o_orderstatus") / 4).alias("rr"))
+    place = run_folder(spark, "buckets")
+    name = "b" + place.rsplit("-", 1)[-1]
+    pairs = write_bucketed(I.scored(spark, d).select("pair_id", "c"), f"{name}_pairs", "pair_id", 8, f"{place}/pairs")
+    known = write_bucketed(reference, f"{name}_reference", "pair_id", 8, f"{place}/reference")
+    return G.attach_reference(pairs, known.hint("merge")).select("pair_id", *[r6(F.col(c), c) for c in ("c", "rc", "rr")])
+
+
+@query(f"WITH {I.SQL_SCORED} SELECT pair_id, pair_id // 8192 AS step, round(c - r + 1, 6) AS margin FROM scored")
+def margin_steps_replaced(spark, d):
+    """Margins by step, every step written twice and read back."""
+    path = run_folder(spark, "margins")
+    rows = I.scored(spark, d).select("pair_id", F.expr("pair_id div 8192").alias("step"), (F.col("c") - F.col("r")).alias("margin"))
+    write_full_margins(rows, path)
+    write_full_margins(rows.withColumn("margin", F.col("margin") + 1), path)
+    return read_full_margins(spark, path).select("pair_id", F.col("step").cast("long").alias("step"), r6(F.col("margin"), "margin"))
+
+
+@query(SQL["truncate_keep_end"])
+def cache_read_back(spark, d):
+    """Tokenised pairs, built into the cache and read by who may only reuse."""
+    cache, manifest = TokenCache(spark, run_folder(spark, "cache")), {"tokenizer": "char", "split": "train"}
+    build = lambda mode: cache.build(lambda: Q["truncate_keep_end"](spark, d), manifest, trainer="dpo", split="train", required=["row_id"], mode=mode)
+    build("offline_only")
+    return build("reuse_only")
+
+
+@query(SQL["beta_ema"])
+def stream_ema_resumed(spark, d):
+    """The running statistics by a stream that ends half-way and is started again from its checkpoint, on steps that came in between."""
+    from tidewater.streaming.running import running_stream
+
+    place = run_folder(spark, "stream")
+    stats = written(G.batch_stats(_gaps(spark, d), "gap").select(F.lit(0).alias("key"), F.col("step").cast("long").alias("step"), "mean", "std"), "steps")
+    half = stats.agg(F.expr("max(step) div 2").alias("half"))
+    for part in (F.col("step") <= F.col("half"), F.col("step") > F.col("half")):
+        stats.join(F.broadcast(half), part).drop("half").write.mode("append").parquet(f"{place}/in")
+        stream = running_stream(spark.readStream.schema(stats.schema).parquet(f"{place}/in"), "key", "step", "mean", "std", 0.9)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("step", r6(F.col("mean"), "mean"), r6(F.col("std"), "std"))

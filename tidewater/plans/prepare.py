@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.config import DataArguments, PreferenceConfig, config_class
 from tidewater.functions.template import Template, chosen_template
-from tidewater.operators.decontaminate import contaminated_ids
+from tidewater.operators.decontaminate import Dropped, decontaminate_observed
 from tidewater.operators.mixing import k_sample, mix
 from tidewater.operators.pairs import STANDARD_COLUMNS, rename_rendered
 from tidewater.operators.render import apply_template
@@ -20,16 +20,18 @@ from tidewater.sources.catalog import Catalog
 from tidewater.sources.sinks import write_samples
 
 
-def rendered(catalog: Catalog, data: DataArguments, template: Template, *, benchmark: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Prompt, chosen and rejected texts by split; rows whose chosen text holds a benchmark text go if a benchmark is given."""
+def rendered(catalog: Catalog, data: DataArguments, template: Template, *, benchmark: DataFrame | None = None, dropped: dict[str, Dropped] | None = None) -> dict[str, DataFrame]:
+    """Prompt, chosen and rejected texts by split; rows whose chosen text holds a benchmark text go if a benchmark is given, and `dropped` gets what counts them."""
     mixed = mix(catalog, data.dataset_mixer, splits=tuple(data.dataset_splits), configs=data.dataset_configs, columns=STANDARD_COLUMNS)
     out = {}
     for split, df in mixed.items():
         df = rename_rendered(apply_template(df, template, "dpo", auto_system=data.auto_insert_empty_system_msg, strip_response_bos=True))
         if benchmark is not None:
             key = F.concat_ws("/", "source", F.col("row_id").cast("string"))
-            df = df.withColumn("__key", key)
-            df = df.join(contaminated_ids(df, benchmark, id_col="__key", text_col="chosen"), "__key", "left_anti").drop("__key")
+            df, counts = decontaminate_observed(df.withColumn("__key", key), benchmark, id_col="__key", text_col="chosen")
+            df = df.drop("__key")
+            if dropped is not None:
+                dropped[split] = counts
         out[split] = df
     return out
 
@@ -53,17 +55,19 @@ def manifest(trainer: str, split: str, df: DataFrame, spec: TokenizerSpec, templ
     }
 
 
-def prepare(catalog: Catalog, cache_root: str, trainer: str, data: DataArguments, spec: TokenizerSpec, template: Template | None = None, config: PreferenceConfig | None = None, *, benchmark: DataFrame | None = None, reuse: bool = True) -> dict[str, DataFrame]:
+def prepare(catalog: Catalog, cache_root: str, trainer: str, data: DataArguments, spec: TokenizerSpec, template: Template | None = None, config: PreferenceConfig | None = None, *, benchmark: DataFrame | None = None, reuse: bool = True, reports: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
     """Tokenised tables by split, from the cache or built into it, as the configuration's mode says. Without a template the settings' is taken, else
-    the tokenizer's, else the default one."""
+    the tokenizer's, else the default one. reports gets each split's rows before decontamination and those dropped, counted by the jobs that run anyway."""
     config = config or config_class(trainer)()
     template = template or chosen_template(data.chat_template, spec.chat_template, bos=spec.bos_token, eos=spec.eos_token)
     spec = spec.ready()
-    cache, out = TokenCache(catalog.spark, cache_root), {}
-    for split, df in rendered(catalog, data, template, benchmark=benchmark).items():
+    cache, out, dropped = TokenCache(catalog.spark, cache_root), {}, {}
+    for split, df in rendered(catalog, data, template, benchmark=benchmark, dropped=dropped).items():
         build = lambda df=df: tokenise_pairs(df, spec, max_length=config.max_length, max_prompt_length=config.max_prompt_length, truncation=config.truncation_mode, pad_label=config.label_pad_token_id)
         identity = manifest(trainer, split, df, spec, template, data, config)
         out[split] = cache.build(build, identity, trainer=trainer, split=split, required=list(COLUMNS), mode=config.preprocessing_mode, reuse=reuse)
+        if reports is not None and split in dropped:
+            reports[split] = dropped[split].report()
     return out
 
 

@@ -22,10 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's place in the shared folder; it goes when the session ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The table in `buckets` files by the key's hash, each sorted by key, and read back: joins of such tables on the key need no shuffle (tasks sort their bucket)."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table as one Parquet file a partition, in the partitions' order; it goes when the session ends."""
     spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(path.toString())
-    return spark.read.schema(df.schema).parquet(path.toString())
+    path = run_folder(spark, name)
+    df.write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

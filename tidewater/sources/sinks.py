@@ -26,8 +26,14 @@ def append_margins(df: DataFrame, path: str) -> None:
 
 
 def write_full_margins(df: DataFrame, path: str) -> None:
-    """All margins, a folder per step."""
-    df.write.mode("append").partitionBy("step").parquet(path)
+    """All margins, a folder per step. A step that is written again is replaced, the others stay; an empty table changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
+def read_full_margins(spark: SparkSession, path: str, steps: list[int] | None = None) -> DataFrame:
+    """The margins of these steps, or of all; other steps' folders aren't opened."""
+    df = spark.read.parquet(path)
+    return df if steps is None else df.filter(F.col("step").isin(*steps))
 
 
 def read_margins(spark: SparkSession, path: str) -> DataFrame:
