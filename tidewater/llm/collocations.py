@@ -2,7 +2,7 @@
 
 First pass: every task counts the cells of its n-grams (one to `most_words` words) in the rows of a count-min sketch; the tasks' counts are
 merged slice by slice, and of each slice only a bitmap stays: the cells that reach `least`. The sketch never counts too few, so an n-gram
-with a cell below `least` in any row is rare. Second pass: n-grams that no row rules out are counted exactly, in arrays within a stretch of text and by
+with a cell below `least` in any row is rare. Single words go first, by a sketch of their own: an n-gram with a rare word is rare, and isn't sent. Second pass: n-grams that no row rules out are counted exactly, in arrays within a stretch of text and by
 Spark over all of them. Those that are frequent are scored by their weakest cut, give way to longer ones that hold most of them, and are ranked by language.
 """
 
@@ -86,8 +86,18 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(hashes + np.uint64(row) * MULT) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def sketch(texts: DataFrame, most_words: int, bits: int, least: int) -> DataFrame:
-    """(row, slice, bits): which cells of a slice of a row reach `least`, over all n-grams of all texts.
+def passes(hashes: np.ndarray, bits: int, bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Which n-grams no row of a sketch rules out."""
+    ok = np.ones(len(hashes), bool)
+    for row in range(ROWS):
+        at = cells(hashes[ok], row, bits)
+        ok[ok] = (bitmaps[row][at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & np.uint8(1) > 0
+    return ok
+
+
+def sketch(texts: DataFrame, most_words: int, bits: int, least: int, words: tuple | None = None) -> DataFrame:
+    """(row, slice, bits): which cells of a slice of a row reach `least`, over all n-grams of all texts. words: the bits and broadcast bitmaps of a
+    sketch of single words; n-grams with a word that it rules out are rare, and aren't sent.
 
     A task sends its cells as steps in ascending order; a cell that it meets more than `least` times is sent so often, which is enough."""
 
@@ -111,7 +121,12 @@ def sketch(texts: DataFrame, most_words: int, bits: int, least: int) -> DataFram
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         n = 0
         for batch, names in with_codes(batches):
-            for _, h in grams(batch, names, most_words).hashes():
+            own = grams(batch, names, most_words)
+            for k, h in own.hashes():
+                if words is not None:
+                    if k == 1:
+                        known = passes(h, words[0], words[1].value)
+                    h = h[np.logical_and.reduce([known[own.together[k - 1] + i] for i in range(k)])]
                 for row in range(ROWS):
                     held[row].append(cells(h, row, bits))
                 n += len(h)
@@ -163,12 +178,7 @@ def sketch(texts: DataFrame, most_words: int, bits: int, least: int) -> DataFram
 def counted(texts: DataFrame, most_words: int, bits: int, bitmaps) -> DataFrame:
     """(lang, phrase, words, n): exact counts, a row per stretch of text, of the n-grams that no row of the sketch rules out; with 0 words, of all words."""
 
-    def may(hashes: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(hashes), bool)
-        for row in range(ROWS):
-            at = cells(hashes[ok], row, bits)
-            ok[ok] = (bitmaps.value[row][at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7))).astype(np.uint8)) & np.uint8(1) > 0
-        return ok
+    may = lambda hashes: passes(hashes, bits, bitmaps.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -222,6 +232,16 @@ def texts_of(own: Grams, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
 
 
+def bitmaps_of(found: DataFrame, bits: int) -> list[np.ndarray]:
+    """A sketch's rows as bitmaps, of 2**(bits - 3) bytes each."""
+    filled = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
+    width = 1 << (SLICE - 3)
+    for batch in found.toArrow().to_batches():
+        for row, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            filled[row][part * width : (part + 1) * width] = np.frombuffer(data, np.uint8)
+    return filled
+
+
 def score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (left * right)), exactly: in decimals of 38 digits, for counts up to 10**16."""
     wide = lambda c: c.cast("decimal(16,0)")
@@ -247,15 +267,12 @@ def collocations(
     scratch = Scratch(spark, "collocations")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = max(min((size * most_words // 12).bit_length(), most_bits, 32), SLICE)  # about two n-grams a cell, with six bytes for a word and what follows it
-    found = scratch.put(sketch(texts, most_words, bits, least), "sketch")
-    filled = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    width = 1 << (SLICE - 3)
-    for batch in found.toArrow().to_batches():
-        for row, part, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            filled[row][part * width : (part + 1) * width] = np.frombuffer(data, np.uint8)
-    bitmaps = spark.sparkContext.broadcast(filled)
-    del filled
+    # about two n-grams a cell, with six bytes for a word and what follows it
+    bits_for = lambda n: max(min((size * n // 12).bit_length(), most_bits, 32), SLICE)
+    single, bits = bits_for(1), bits_for(most_words)
+    words = spark.sparkContext.broadcast(bitmaps_of(scratch.put(sketch(texts, 1, single, least), "words"), single))
+    bitmaps = spark.sparkContext.broadcast(bitmaps_of(scratch.put(sketch(texts, most_words, bits, least, (single, words)), "sketch"), bits))
+    words.unpersist()
     exact = counted(texts, most_words, bits, bitmaps).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
     counts = scratch.put(exact.filter((F.col("f") >= least) | (F.col("words") == 0)), "counts")
     totals = counts.filter("words = 0").select(F.col("lang").alias("lang_n"), F.col("f").alias("n"))
