@@ -103,6 +103,7 @@ _render("chat_render_header", T.header(), f"'<|start_header_id|>' || messages[i]
 _render("chat_render_inst", T.inst(), "CASE WHEN messages[i].role = 'assistant' THEN messages[i].content || '</s>' ELSE '[INST] ' || messages[i].content || ' [/INST]' END", "'<s>'")
 _render("chat_render_generation", T.chatml(), "'<|im_start|>' || messages[i].role || chr(10) || messages[i].content || '<|im_end|>' || chr(10)", "'<|im_start|>system' || chr(10) || '<|im_end|>' || chr(10)", "generation", "'<|im_start|>assistant' || chr(10)")
 
+#: In the template language, as in Spark, the upper case of ß is SS; DuckDB's is another letter, so its SQL replaces it.
 #: A template with each construct: set, branches, places, list items, a slice, texts in texts, numbers and joins.
 EVERYTHING = """{%- set first = messages[0] -%}
 {% if first.role == 'user' and first['content'] | length > 0 %}
@@ -123,7 +124,7 @@ EVERYTHING = """{%- set first = messages[0] -%}
 {% endfor %}{# ends here #}
 {%- if add_generation_prompt %}>{% endif %}"""
 SQL_EVERYTHING = f"""WITH {I.SQL_TURNS}, parts AS (SELECT row_id, messages, messages[1] AS f, messages[2:] AS rest FROM dialogues)
-SELECT row_id, CASE WHEN f.role = 'user' AND length(f.content) > 0 THEN 'Q: ' || upper({I.sql_strip('f.content')}) ELSE 'No question' END || chr(10) || array_to_string(list_transform(range(1, len(rest) + 1), lambda i:
+SELECT row_id, CASE WHEN f.role = 'user' AND length(f.content) > 0 THEN 'Q: ' || upper(replace({I.sql_strip('f.content')}, 'ß', 'SS')) ELSE 'No question' END || chr(10) || array_to_string(list_transform(range(1, len(rest) + 1), lambda i:
   CASE WHEN i = 1 THEN '[' || len(rest) || ' more]' || chr(10) ELSE '' END ||
   CASE WHEN rest[i].role = 'assistant' AND i < len(rest) THEN i || ') ' || CASE WHEN contains(rest[i].content, 'a') THEN rest[i].content ELSE '(' || rest[i].content || ')' END || chr(10)
        WHEN i = len(rest) OR (i - 1) % 2 = 1 THEN '* ' || {I.sql_strip('rest[i].content')} || chr(10) ELSE '' END), '') || '>' AS text FROM parts"""
