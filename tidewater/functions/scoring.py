@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ def sum_of(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once: what a lambda names from outside is worked out again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.ln(sum_of(F.transform(logits, lambda x: F.exp(x - top))))
+    return bound(logits, lambda a: bound(F.array_max(a), lambda top: top + F.ln(sum_of(F.transform(a, lambda x: F.exp(x - top))))))
 
 
 def sanitise(x: Column, limit: float = 1e4) -> Column:
@@ -85,8 +91,7 @@ def step_of(up: Column, base: Column, down: Column) -> Column:
 def length_weight(logits: Column, labels: Column, pad: int = -100) -> Column:
     """Mean over loss tokens (at least one counts) of logp - log sum exp(2 log softmax)."""
     def of(p: Column) -> Column:
-        lse = log_sum_exp(p["x"])
-        return F.try_element_at(p["x"], p["y"].cast("int") + 1) - lse - log_sum_exp(F.transform(p["x"], lambda x: 2 * (x - lse)))
+        return bound(log_sum_exp(p["x"]), lambda lse: F.try_element_at(p["x"], p["y"].cast("int") + 1) - lse - log_sum_exp(F.transform(p["x"], lambda x: 2 * (x - lse))))
 
     n = F.greatest(F.size(labels) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(logits, F.lit(1), n), F.slice(labels, F.lit(2), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
