@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scoring as S
+from tidewater.plans import catalog
 
 
 def test_length_weight_takes_time_in_proportion(spark):
@@ -19,3 +20,31 @@ def test_length_weight_takes_time_in_proportion(spark):
     assert time.monotonic() - began < 30  # a sum within a sum within a lambda took the fourth power of the width
     lse = math.log(sum(math.exp(v) for v in x[0]))
     assert got == pytest.approx(x[0][5] - lse - math.log(sum(math.exp(2 * (v - lse)) for v in x[0])))
+
+
+def against_sql(spark, folder, name, rows):
+    """A query's rows and its SQL's on a table of embeddings (vec_id, embedding, label), in order."""
+    import duckdb
+
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()[name](spark, str(folder)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+        return got, sorted(con.execute(catalog.oracle_sql()[name]).fetchall())
+
+
+def vectors(ids, labelled=lambda i: True):
+    rng = random.Random(53)
+    return [(i, [rng.gauss(0, 1) for _ in range(12)], i % 10 if labelled(i) else None) for i in ids]
+
+
+@pytest.mark.parametrize(("n", "labelled"), [(25, lambda i: True), (64, lambda i: not 8 <= i < 16), (64, lambda i: not 32 <= i < 40)])
+def test_pairs_whose_sides_have_no_label_that_counts(spark, tmp_path, n, labelled):
+    """A last sequence of one vector, one without labels as the second or the first side of a pair."""
+    got, sql = against_sql(spark, tmp_path, "loss_simpo_sft", vectors(range(n), labelled))
+    assert got == sql and len(got) == 1
+
+
+def test_a_batch_without_tokens_has_no_loss(spark, tmp_path):
+    got, sql = against_sql(spark, tmp_path, "loss_simpo_sft", vectors(range(80), lambda i: i < 64))
+    assert got == sql and got[1] == (1, None)

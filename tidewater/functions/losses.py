@@ -35,8 +35,9 @@ def alpha_dpo(c: Column, r: Column, rc: Column, rr: Column, mean: Column, std: C
 
 
 def with_sft(loss: Column, nll: Column, tokens: Column, weight: float) -> Column:
-    """A batch's mean preference loss and, weighted, the mean over all its chosen tokens of their negative log-probability. Aggregates."""
-    return F.avg(loss) + (weight * F.sum(nll) / F.sum(tokens) if weight > 0 else 0.0)
+    """A batch's mean preference loss and, weighted, the mean over all its chosen tokens of their negative log-probability; null without
+    such tokens. Aggregates."""
+    return F.avg(loss) + (F.try_divide(weight * F.sum(nll), F.sum(tokens)) if weight > 0 else 0.0)
 
 
 def weighted(loss: Column, chosen_weight: Column, rejected_weight: Column) -> Column:
