@@ -87,6 +87,12 @@ class Hasher:
         return owner, two[:, 0], two[:, 1], new, end - new, hits > 1
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that neither is sent to every executor nor sends the other: segments of copies are so alike that a file of a few MB, by
+    which Spark would choose, stands for hundreds in the driver's memory."""
+    return df.hint("merge")
+
+
 def segments_of(docs: DataFrame, id_col: str, text_col: str, k: int, least: int) -> DataFrame:
     """(owner, content, check, doc, start, windows, repeats) of all texts."""
 
@@ -147,7 +153,7 @@ def windows_by_content(rows: DataFrame, least: int) -> DataFrame:
 
     windows = rows.select("doc", "start", "piece").mapInArrow(run, "h1 long, h2 long, doc long, at int")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).filter("struct(doc, at) <> first")
+    later = spread(windows).join(spread(first), ["h1", "h2"]).filter("struct(doc, at) <> first")
     return later.select("doc", F.col("at").alias("a"), (F.col("at") + least).alias("b"))
 
 
@@ -230,16 +236,17 @@ def settled(found: DataFrame, scratch: Scratch, name: str, least: int, owner_byt
     doc, start, piece) of each; hot: they have more than owner_bytes together."""
     owners = found.groupBy("owner").agg(F.count("*").alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.min("check").alias("z"), F.max("check").alias("w"), F.max("repeats").alias("repeats"))
     owners = scratch.put(owners.filter("n > 1 or repeats").select("owner", (F.expr("x <> y or z <> w") | F.col("repeats")).alias("differ")), f"{name}-owners")
-    some = scratch.put(found.drop("repeats").join(owners, "owner"), f"{name}-some")
+    some = scratch.put(spread(found.drop("repeats")).join(spread(owners), "owner"), f"{name}-some")
     scratch.drop(f"{name}-segments")
     where = F.struct("doc", "start", "windows", *[c for c in found.columns if c == "piece"])
     first = scratch.put(some.groupBy("owner", "content", "check", "differ").agg(F.min(where).alias("first"), F.count("*").alias("n")), f"{name}-first")
-    copies = some.join(first.filter("n > 1").select("owner", "content", "check", "first.doc", "first.start").toDF("owner", "content", "check", "d", "s"), ["owner", "content", "check"]).filter("doc <> d or start <> s")
+    earliest = first.filter("n > 1").select("owner", "content", "check", "first.doc", "first.start").toDF("owner", "content", "check", "d", "s")
+    copies = spread(some.drop("piece")).join(spread(earliest), ["owner", "content", "check"]).filter("doc <> d or start <> s")
     spans = scratch.put(copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (least - 1)).alias("b")), f"{name}-copies")
     scratch.drop(f"{name}-some")
     differ = first.filter("differ").select("owner", "first.*")
     many = differ.groupBy("owner").agg(F.sum(F.col("windows") + (least - 1)).alias("bytes"))
-    pieces = fetch(differ.join(many, "owner").withColumn("hot", F.col("bytes") > owner_bytes).drop("bytes"))
+    pieces = fetch(spread(differ).join(spread(many), "owner").withColumn("hot", F.col("bytes") > owner_bytes).drop("bytes"))
     pieces = scratch.put(pieces.select("owner", "hot", "doc", "start", "piece"), f"{name}-pieces")
     scratch.drop(f"{name}-first")
     return spans, pieces
@@ -260,7 +267,8 @@ def covered_spans(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
 
     def from_texts(wanted: DataFrame) -> DataFrame:
         wanted = scratch.put(wanted.groupBy("doc").agg(F.collect_list(F.struct("owner", "hot", "start", "windows")).alias("wanted")), "wanted")
-        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").dropDuplicates(["doc"])
+        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        texts = spread(texts).join(spread(wanted), "doc").dropDuplicates(["doc"])
         return texts.mapInArrow(cut, "owner long, hot boolean, doc long, start int, piece binary")
 
     found = scratch.put(segments_of(docs, id_col, text_col, k, least), "0-segments")
@@ -292,7 +300,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for turn in range(8):
         for name in ("pieces", "copies", "owners"):
             scratch.drop(f"{turn}-{name}")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(rows).join(spread(spans), F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, 1, 8 << 20):
