@@ -1,8 +1,8 @@
 """Phrase collocation mining: phrases whose words stand together far more often than each does alone.
 
-First pass: every task counts the cells of its n-grams (one to `most_words` words) in the rows of a count-min sketch; the tasks' counts are
-merged slice by slice, and of each slice only a bitmap stays: the cells that reach `least`. The sketch never counts too few, so an n-gram
-with a cell below `least` in any row is rare. Single words go first, by a sketch of their own: an n-gram with a rare word is rare, and isn't sent. Second pass: n-grams that no row rules out are counted exactly, in arrays within a stretch of text and by
+First passes, one for each number of words from one to `most_words`: every task counts the cells of its n-grams in the rows of a count-min sketch; the
+tasks' counts are merged slice by slice, and of each slice only a bitmap stays: the cells that reach `least`. The sketch never counts too few, so an n-gram
+with a cell below `least` in any row is rare. An n-gram that holds a rare one is rare, and isn't sent. Last pass: n-grams that no sketch rules out are counted exactly, in arrays within a stretch of text and by
 Spark over all of them. Those that are frequent are scored by their weakest cut, give way to longer ones that hold most of them, and are ranked by language.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import LOWER, MULT, Scratch, bytes_of, hash_spans, mix, partitions, pieces_of, tidy, word_spans
+from tidewater.llm.common import LOWER, MULT, Scratch, bytes_of, hash_spans, mix, partitions, pieces_of, shuffles_dropped, tidy, word_spans
 
 #: Bytes between pieces, and between words: [.,;:!?\x0A-\x0D] and [\x20\x09].
 BREAKS = np.zeros(256, bool)
@@ -95,9 +95,9 @@ def passes(hashes: np.ndarray, bits: int, bitmaps: list[np.ndarray]) -> np.ndarr
     return ok
 
 
-def sketch(texts: DataFrame, most_words: int, bits: int, least: int, words: tuple | None = None) -> DataFrame:
-    """(row, slice, bits): which cells of a slice of a row reach `least`, over all n-grams of all texts. words: the bits and broadcast bitmaps of a
-    sketch of single words; n-grams with a word that it rules out are rare, and aren't sent.
+def sketch(texts: DataFrame, bits: int, least: int, shorter: list[tuple]) -> DataFrame:
+    """(row, slice, bits): which cells of a slice of a row reach `least`, over all n-grams of one number of words in all texts. shorter: the bits and
+    broadcast bitmaps of the sketches of one word, two, and so on to one word less; n-grams that hold one that they rule out are rare, and aren't sent.
 
     A task sends its cells as steps in ascending order; a cell that it meets more than `least` times is sent so often, which is enough."""
 
@@ -121,15 +121,18 @@ def sketch(texts: DataFrame, most_words: int, bits: int, least: int, words: tupl
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         n = 0
         for batch, names in with_codes(batches):
-            own = grams(batch, names, most_words)
+            own = grams(batch, names, len(shorter) + 1)
             for k, h in own.hashes():
-                if words is not None:
-                    if k == 1:
-                        known = passes(h, words[0], words[1].value)
-                    h = h[np.logical_and.reduce([known[own.together[k - 1] + i] for i in range(k)])]
-                for row in range(ROWS):
-                    held[row].append(cells(h, row, bits))
-                n += len(h)
+                if k > 1:
+                    h, at = h[ok := frequent[at := own.together[k - 1]] & frequent[at + 1]], at[ok]
+                else:
+                    at = own.together[0]
+                if k <= len(shorter):
+                    frequent = np.zeros(len(own.starts), bool)  # the n-grams of k words that begin here
+                    frequent[at[passes(h, shorter[k - 1][0], shorter[k - 1][1].value)]] = True
+            for row in range(ROWS):
+                held[row].append(cells(h, row, bits))
+            n += len(h)
             if n >= HELD:
                 for row in range(ROWS):
                     yield from send(held[row], row)
@@ -175,16 +178,17 @@ def sketch(texts: DataFrame, most_words: int, bits: int, least: int, words: tupl
     return dealt.mapInArrow(merge, "row int, slice int, bits binary")
 
 
-def counted(texts: DataFrame, most_words: int, bits: int, bitmaps) -> DataFrame:
-    """(lang, phrase, words, n): exact counts, a row per stretch of text, of the n-grams that no row of the sketch rules out; with 0 words, of all words."""
+def counted(texts: DataFrame, sketches: list[tuple]) -> DataFrame:
+    """(lang, phrase, words, n): exact counts, a row per stretch of text, of the n-grams that no sketch (bits and broadcast bitmaps, by the number of
+    words) rules out; with 0 words, of all words."""
 
-    may = lambda hashes: passes(hashes, bits, bitmaps.value)
+    may = lambda hashes, n: passes(hashes, sketches[n - 1][0], sketches[n - 1][1].value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
         for batch, names in with_codes(batches):
-            own = grams(batch, names, most_words)
+            own = grams(batch, names, len(sketches))
             of = pa.array(names, pa.string())
             yield pa.RecordBatch.from_arrays([of, pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(np.bincount(own.lang, minlength=len(names)))], ["lang", "phrase", "words", "n"])
             frequent = np.zeros(len(own.starts), bool)  # the n-grams of one word less that begin here,
@@ -193,11 +197,11 @@ def counted(texts: DataFrame, most_words: int, bits: int, bitmaps) -> DataFrame:
             for n, hashes in own.hashes():
                 at = own.together[n - 1]
                 if n == 1:
-                    ok = may(hashes)
+                    ok = may(hashes, n)
                     keys = hashes[ok]
                 else:  # both shorter ones within are frequent too
                     ok = frequent[at] & frequent[at + 1]
-                    ok[ok] = may(hashes[ok])
+                    ok[ok] = may(hashes[ok], n)
                     keys = rank[at[ok]] << 32 | word[at[ok] + n - 1]  # exact: the shorter one's place and the last word's
                 at = at[ok]
                 rank_of, distinct = pd.factorize(keys)
@@ -259,22 +263,23 @@ def collocations(
     holds it and 100 * f(longer) >= `held` * a (still longer ones occur no more often). n: the language's words. Rank: score and a descending, phrase ascending.
 
     Null and empty texts have no words; a very long text is a stretch of its own; repeated rows count each; an empty table, or one
-    without frequent phrases, gives none; other columns, whatever their names, are not read. The sketch has about as many cells as there are n-grams, two to the `most_bits`-th
-    power at most and 2**16 at least (64 MB a row as bits, the size of what is broadcast); with more n-grams for each cell it rules out fewer, and the second pass counts more: no result changes. Distinct words of over 8 bytes
+    without frequent phrases, gives none; other columns, whatever their names, are not read. A sketch has about half as many cells as there are words, two to the `most_bits - 1`-th
+    power at most and 2**16 at least (32 MB a row as bits, the size of what is broadcast), that of single words a quarter of it; with more n-grams for each cell it rules out fewer, and the last pass counts more: no result changes. Distinct words of over 8 bytes
     are told apart by 64-bit hashes within 4 MB of text, all else by their bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "collocations")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).filter("text <> ''")
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # about two n-grams a cell, with six bytes for a word and what follows it
-    bits_for = lambda n: max(min((size * n // 12).bit_length(), most_bits, 32), SLICE)
-    single, bits = bits_for(1), bits_for(most_words)
-    words = spark.sparkContext.broadcast(bitmaps_of(scratch.put(sketch(texts, 1, single, least), "words"), single))
-    bitmaps = spark.sparkContext.broadcast(bitmaps_of(scratch.put(sketch(texts, most_words, bits, least, (single, words)), "sketch"), bits))
-    words.unpersist()
-    exact = counted(texts, most_words, bits, bitmaps).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-    counts = scratch.put(exact.filter((F.col("f") >= least) | (F.col("words") == 0)), "counts")
+    # about two n-grams a cell, with six bytes for a word and what follows it; words repeat more, so they have fewer
+    bits_for = lambda n: max(min((size // 12).bit_length(), most_bits - 1, 32) - 2 * (n == 1), SLICE)
+    sketches: list[tuple] = []
+    with shuffles_dropped(spark):
+        for n in range(1, most_words + 1):
+            found = scratch.put(sketch(texts, bits_for(n), least, sketches), f"sketch-{n}")
+            sketches.append((bits_for(n), spark.sparkContext.broadcast(bitmaps_of(found, bits_for(n)))))
+        exact = counted(texts, sketches).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+        counts = scratch.put(exact.filter((F.col("f") >= least) | (F.col("words") == 0)), "counts")
     totals = counts.filter("words = 0").select(F.col("lang").alias("lang_n"), F.col("f").alias("n"))
     ranked = best(counts.filter("words > 0"), most_words, held, top)
     return ranked.join(totals, F.col("lang") == F.col("lang_n")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
