@@ -2,8 +2,8 @@
 
 First passes, one for each number of words from one to `most_words`: every task counts the cells of its n-grams in the rows of a count-min sketch; the
 tasks' counts are merged slice by slice, and of each slice only a bitmap stays: the cells that reach `least`. The sketch never counts too few, so an n-gram
-with a cell below `least` in any row is rare. An n-gram that holds a rare one is rare, and isn't sent. Last pass: n-grams that no sketch rules out are counted exactly, in arrays within a stretch of text and by
-Spark over all of them. Those that are frequent are scored by their weakest cut, give way to longer ones that hold most of them, and are ranked by language.
+with a cell below `least` in any row is rare. An n-gram that holds a rare one is rare, and isn't sent. Last pass: n-grams that no sketch rules out are counted exactly, each task's as sorted,
+packed blocks by a hash of language and phrase, which meet and are summed. Those that are frequent are scored by their weakest cut, give way to longer ones that hold most of them, and are ranked by language.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import LOWER, MULT, Scratch, bytes_of, hash_spans, mix, partitions, pieces_of, shuffles_dropped, tidy, word_spans
+from tidewater.llm.common import LOWER, MULT, Scratch, bytes_of, flat_binary, hash_spans, mix, partitions, pieces_of, shuffles_dropped, tidy, word_spans
 
 #: Bytes between pieces, and between words: [.,;:!?\x0A-\x0D] and [\x20\x09].
 BREAKS = np.zeros(256, bool)
@@ -27,8 +27,8 @@ GAPS = BREAKS.copy()
 GAPS[[9, 32]] = True
 #: Bits of a cell's number within its slice; rows of the sketch; cells that a task holds before it sends them.
 SLICE, ROWS, HELD = 16, 2, 1 << 23
-#: Bytes of text whose n-grams are counted at a time.
-STRETCH = 4 << 20
+#: Bytes of text whose n-grams are counted at a time; of counts that a task gathers before it sums them; of text for each part in which they meet, at most.
+STRETCH, GATHERED, PART = 4 << 20, 48 << 20, 64 << 20
 
 
 @dataclass
@@ -178,53 +178,145 @@ def sketch(texts: DataFrame, bits: int, least: int, shorter: list[tuple]) -> Dat
     return dealt.mapInArrow(merge, "row int, slice int, bits binary")
 
 
-def counted(texts: DataFrame, sketches: list[tuple]) -> DataFrame:
-    """(lang, phrase, words, n): exact counts, a row per stretch of text, of the n-grams that no sketch (bits and broadcast bitmaps, by the number of
-    words) rules out; with 0 words, of all words."""
+def counted(texts: DataFrame, sketches: list[tuple], least: int, size: int) -> DataFrame:
+    """(lang, phrase, words, f): exact counts, over all texts, of the n-grams that occur `least` times; with 0 words, of all words. sketches: bits and
+    broadcast bitmaps, by the number of words; n-grams that one rules out are rare. size: the texts' bytes.
 
+    A task sums what it meets by language and phrase, and sends sorted blocks: as rows the same counts take four times the disk."""
+    shuffled = partitions(texts.sparkSession)
+    parts = shuffled * -(-size // (shuffled * PART) or 1)
     may = lambda hashes, n: passes(hashes, sketches[n - 1][0], sketches[n - 1][1].value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
+        held = Tally()
         for batch, names in with_codes(batches):
-            own = grams(batch, names, len(sketches))
-            of = pa.array(names, pa.string())
-            yield pa.RecordBatch.from_arrays([of, pa.array([""] * len(names)), pa.array(np.zeros(len(names), np.int32)), pa.array(np.bincount(own.lang, minlength=len(names)))], ["lang", "phrase", "words", "n"])
-            frequent = np.zeros(len(own.starts), bool)  # the n-grams of one word less that begin here,
-            rank = np.zeros(len(own.starts), np.int64)  # and their places among the distinct
-            word, words, spelled = rank, None, None
-            for n, hashes in own.hashes():
-                at = own.together[n - 1]
-                if n == 1:
-                    ok = may(hashes, n)
-                    keys = hashes[ok]
-                else:  # both shorter ones within are frequent too
-                    ok = frequent[at] & frequent[at + 1]
-                    ok[ok] = may(hashes[ok], n)
-                    keys = rank[at[ok]] << 32 | word[at[ok] + n - 1]  # exact: the shorter one's place and the last word's
-                at = at[ok]
-                rank_of, distinct = pd.factorize(keys)
-                first = np.empty(len(distinct), np.int64)
-                first[rank_of[::-1]] = at[::-1]
-                if n == 1:
-                    spelled = words = texts_of(own, first)
-                else:
-                    spelled = pc.binary_join_element_wise(spelled.take(pa.array(distinct >> 32)), words.take(pa.array(distinct & 0xFFFFFFFF)), " ")
-                frequent[:] = False
-                frequent[at] = True
-                rank = np.zeros(len(own.starts), np.int64)
-                rank[at] = rank_of
-                if n == 1:
-                    word = rank
-                n_of = np.bincount(rank_of, minlength=len(distinct))
-                for i in range(0, len(distinct), 1 << 16):
-                    cut = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([of.take(pa.array(own.lang[first[cut]])), spelled[cut], pa.array(np.full(len(n_of[cut]), n, np.int32)), pa.array(n_of[cut])], ["lang", "phrase", "words", "n"])
-            del own
+            for keys, n in counts_of(batch, names, len(sketches), may):
+                held.add(keys, n)
+            if held.sums >= GATHERED:
+                yield from blocks(held, parts)
+                held = Tally()
+        yield from blocks(held, parts)
+        del held
+        tidy()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, Tally()
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != key:
+                    yield from held.frequent(least)
+                    key, held = part, Tally()
+                held.add(*unpacked(data.as_buffer()))
+        yield from held.frequent(least)
+        del held
         tidy()
 
-    return texts.mapInArrow(run, "lang string, phrase string, words int, n long")
+    sent = texts.mapInArrow(run, "part int, counts binary")
+    dealt = sent.repartitionById(shuffled, F.col("part") % shuffled).sortWithinPartitions("part")
+    return dealt.mapInArrow(merge, "lang string, phrase string, words int, f long")
+
+
+def counts_of(batch: pa.RecordBatch, names: list[str], most_words: int, may) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(keys, counts) of a batch's languages and of its n-grams that may be frequent, by the number of words. A key is the language, a line feed and the
+    phrase, which has none; a language's own key has no phrase, and counts its words."""
+    import pandas as pd
+
+    own = grams(batch, names, most_words)
+    of = pa.array(names, pa.string())
+    keyed = lambda lang, phrase: pc.binary_join_element_wise(of.take(pa.array(lang)), phrase, "\n")
+    yield keyed(np.arange(len(names)), pa.array([""] * len(names), pa.string())), np.bincount(own.lang, minlength=len(names))
+    frequent = np.zeros(len(own.starts), bool)  # the n-grams of one word less that begin here,
+    rank = np.zeros(len(own.starts), np.int64)  # and their places among the distinct
+    word, words, spelled = rank, None, None
+    for n, hashes in own.hashes():
+        at = own.together[n - 1]
+        if n == 1:
+            ok = may(hashes, n)
+            keys = hashes[ok]
+        else:  # both shorter ones within are frequent too
+            ok = frequent[at] & frequent[at + 1]
+            ok[ok] = may(hashes[ok], n)
+            keys = rank[at[ok]] << 32 | word[at[ok] + n - 1]  # exact: the shorter one's place and the last word's
+        at = at[ok]
+        rank_of, distinct = pd.factorize(keys)
+        first = np.empty(len(distinct), np.int64)
+        first[rank_of[::-1]] = at[::-1]
+        if n == 1:
+            spelled = words = texts_of(own, first)
+        else:
+            spelled = pc.binary_join_element_wise(spelled.take(pa.array(distinct >> 32)), words.take(pa.array(distinct & 0xFFFFFFFF)), " ")
+        frequent[:] = False
+        frequent[at] = True
+        rank = np.zeros(len(own.starts), np.int64)
+        rank[at] = rank_of
+        if n == 1:
+            word = rank
+        yield keyed(own.lang[first], spelled), np.bincount(rank_of, minlength=len(distinct))
+
+
+class Tally:
+    """Sums of counts by key. They are summed whenever the gathered ones have `GATHERED` bytes and as many as the sums, so it holds about twice the distinct keys."""
+
+    def __init__(self) -> None:
+        self.tables: list[pa.Table] = []  # the first has each key once
+        self.sums = self.more = 0  # bytes of the sums and of what isn't summed yet
+
+    def add(self, keys: pa.Array, n: np.ndarray) -> None:
+        self.tables.append(pa.table({"key": keys, "n": pa.array(n, pa.int64())}))
+        self.more += self.tables[-1].nbytes
+        if self.more >= max(GATHERED, self.sums):
+            self.table()
+
+    def table(self) -> pa.Table:
+        """(key, n): each key once."""
+        if self.more:
+            whole = pa.concat_tables(self.tables).group_by("key", use_threads=False).aggregate([("n", "sum")])
+            self.tables = [whole.select(["key", "n_sum"]).rename_columns(["key", "n"])]
+            self.sums, self.more = self.tables[0].nbytes, 0
+        return self.tables[0] if self.tables else pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
+    def frequent(self, least: int) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, words, f) of the phrases that occur `least` times and, with 0 words, of the languages."""
+        for batch in self.table().to_batches(max_chunksize=1 << 16):
+            apart = pc.split_pattern(batch.column(0), "\n", max_splits=1, reverse=True)
+            lang, phrase = pc.list_element(apart, 0), pc.list_element(apart, 1)
+            words = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+            some = pa.RecordBatch.from_arrays([lang, phrase, words, batch.column(1)], ["lang", "phrase", "words", "f"])
+            yield some.filter(pc.or_(pc.greater_equal(some["f"], least), pc.equal(words, 0)))
+
+
+def blocks(held: Tally, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, counts): the sums, packed in ascending order of their keys; a key's hash gives its part."""
+    table = held.table()
+    if not table.num_rows:
+        return
+    keys, n = table["key"].combine_chunks(), table["n"].to_numpy()
+    data, offsets = flat_binary(keys)
+    part = (hash_spans(data, offsets[:-1], np.diff(offsets), False)[0] % np.uint64(parts)).astype(np.int32)
+    order = pc.sort_indices(keys).to_numpy()
+    order = order[np.argsort(part[order], kind="stable")]
+    keys, n, part = keys.take(pa.array(order)), n[order], part[order]
+    at = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for i in range(0, len(at) - 1, 1024):
+        some = at[i : i + 1025]
+        data = [packed(keys[j:k], n[j:k]) for j, k in zip(some[:-1], some[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[some[:-1]]), pa.array(data, pa.binary())], ["part", "counts"])
+
+
+def packed(keys: pa.Array, n: np.ndarray) -> bytes:
+    """Keys and counts: the lengths' and counts' bytes, the lowest of all first, then the keys'."""
+    data, offsets = flat_binary(keys)
+    numbers = np.stack([np.diff(offsets), n]).astype("<i8")
+    raw = np.ascontiguousarray(numbers.view(np.uint8).reshape(2, len(n), 8).transpose(0, 2, 1)).tobytes() + data.tobytes()
+    return len(n).to_bytes(4, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def unpacked(data: pa.Buffer) -> tuple[pa.Array, np.ndarray]:
+    m, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:12], "little")
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data[12:], decompressed_size=size), np.uint8)
+    numbers = np.ascontiguousarray(flat[: 16 * m].reshape(2, 8, m).transpose(0, 2, 1)).view("<i8")[:, :, 0]
+    offsets = np.concatenate([[0], np.cumsum(numbers[0])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), m, [None, pa.py_buffer(offsets), pa.py_buffer(flat[16 * m :])]), numbers[1]
 
 
 def texts_of(own: Grams, at: np.ndarray) -> pa.Array:
@@ -278,8 +370,9 @@ def collocations(
         for n in range(1, most_words + 1):
             found = scratch.put(sketch(texts, bits_for(n), least, sketches), f"sketch-{n}")
             sketches.append((bits_for(n), spark.sparkContext.broadcast(bitmaps_of(found, bits_for(n)))))
-        exact = counted(texts, sketches).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-        counts = scratch.put(exact.filter((F.col("f") >= least) | (F.col("words") == 0)), "counts")
+        counts = scratch.put(counted(texts, sketches, least, size), "counts")
+    for _, bitmaps in sketches:  # files on the disks of the driver and of every executor, which no later plan reads
+        bitmaps.destroy()
     totals = counts.filter("words = 0").select(F.col("lang").alias("lang_n"), F.col("f").alias("n"))
     ranked = best(counts.filter("words > 0"), most_words, held, top)
     return ranked.join(totals, F.col("lang") == F.col("lang_n")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
